@@ -1,0 +1,10 @@
+"""Registered queries, grouped like the operators they run."""
+
+from importlib import import_module
+
+MODULES = ("weather",)
+
+
+def load_all() -> None:
+    for name in MODULES:
+        import_module(f"galeframe.plans.{name}")
