@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("weather",)
+MODULES = ("weather", "windows")
 
 
 def load_all() -> None:
