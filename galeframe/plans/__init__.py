@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("weather", "windows")
+MODULES = ("weather", "windows", "joins")
 
 
 def load_all() -> None:
