@@ -23,6 +23,15 @@ def has(df: DataFrame, *names: str) -> bool:
     return all(n in present for n in names)
 
 
+def evaluate_once(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
+    """Add costly columns so that each is computed once per row.
+
+    Going through a one-element generator keeps the optimizer from copying the
+    expression into every later filter and projection that reads the column.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))
+
+
 def clip(x: str | Column, lo: float | Column | None = None, hi: float | Column | None = None) -> Column:
     """Limit ``x`` to [lo, hi]; NULL stays NULL."""
     x = col(x)

@@ -128,11 +128,22 @@ def correlation_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns, missing values replaced by the column mean.
 
     One aggregation over mean-filled columns; the result has one row per pair.
+    Wide tables go through MLlib's moment matrix, whose size depends on the
+    number of columns only.
     """
     means = df.agg(*[F.avg(n).alias(f"{n}__m") for n in names])
     mean_of = means.first().asDict()
     filled = df.select(*[F.coalesce(c(n).cast("double"), F.lit(mean_of[f"{n}__m"])).alias(n) for n in names])
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+    if len(names) > 40:
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.stat import Correlation
+
+        vectors = VectorAssembler(inputCols=list(names), outputCol="_x").transform(filled).select("_x")
+        matrix = Correlation.corr(vectors, "_x").first()[0].toArray()
+        at = {n: i for i, n in enumerate(names)}
+        found = [(a, b, float(matrix[at[a], at[b]])) for a, b in pairs]
+        return df.sparkSession.createDataFrame(found, "first string, second string, correlation double")
     wide = filled.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     rows = ", ".join(f"'{a}', '{b}', p{i}" for i, (a, b) in enumerate(pairs))
     return wide.select(F.expr(f"stack({len(pairs)}, {rows}) AS (first, second, correlation)"))

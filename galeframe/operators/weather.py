@@ -17,7 +17,7 @@ from galeframe.config import (
 )
 from galeframe.functions.curve import farm_power_mw, turbine_power_kw
 from galeframe.functions.nullsafe import (
-    clip, div, flag, has, sector_clamped, zero_if_null,
+    clip, div, evaluate_once, flag, has, sector_clamped, zero_if_null,
 )
 from galeframe.functions.physics import (
     air_density, cube, density_corrected_wind, power_density, rotor_equivalent_wind, shear_exponent, square,
@@ -191,8 +191,8 @@ def curve_power_columns(df: DataFrame, cfg: FarmConfig = DEFAULT) -> DataFrame:
     """Farm power, per-turbine power and capacity ratio by wind source, and their consensus."""
     sources = {"wind_speed_80m": "ds_80m", "wind_speed_120m": "ds_120m", "era5_wind_speed_100m": "ds_era5_100m"}
     used = {c: tag for c, tag in sources.items() if c in df.columns}
-    df = df.withColumns({f"{tag}_per_turb_kw": turbine_power_kw(c, "air_density") for c, tag in used.items()})
-    df = df.withColumns({
+    df = evaluate_once(df, {f"{tag}_per_turb_kw": turbine_power_kw(c, "air_density") for c, tag in used.items()})
+    df = evaluate_once(df, {
         f"{tag}_farm_mw": clip(F.col(f"{tag}_per_turb_kw") * F.col("active_turbines") / 1000.0, 0.0, cfg.capacity_mw)
         for tag in used.values()
     })
@@ -208,7 +208,7 @@ def curve_slope_columns(df: DataFrame, *, step: float = 0.5) -> DataFrame:
     ws, rho = F.col("wind_speed_120m"), zero_if_null("air_density", RHO_STD)
     rise = turbine_power_kw(ws + step, rho) - turbine_power_kw(clip(ws - step, 0.0), rho)
     slope = F.when((ws < 3.0) | (ws > 25.0), F.lit(0.0)).otherwise(rise / (2.0 * step))
-    df = df.withColumns({"struct_pc_slope_kw_per_ms": slope})
+    df = evaluate_once(df, {"struct_pc_slope_kw_per_ms": slope})
     return df.withColumns({
         "struct_pc_slope_farm_mw": F.col("struct_pc_slope_kw_per_ms") * F.col("active_turbines") / 1000.0
     })
@@ -218,11 +218,11 @@ def farm_slope_columns(df: DataFrame, *, step: float = 0.5) -> DataFrame:
     """Non-negative farm slope and its interactions with rolling wind and icing."""
     ws = F.col("wind_speed_120m")
     rise = turbine_power_kw(ws + step, "air_density") - turbine_power_kw(ws - step, "air_density")
-    df = df.withColumns({
-        "ds_pc_slope_mw_per_ms": clip(rise * F.col("active_turbines") / 1000.0, 0.0) / (2.0 * step),
+    df = evaluate_once(df, {"_rise_kw": rise}).withColumns({
+        "ds_pc_slope_mw_per_ms": clip(F.col("_rise_kw") * F.col("active_turbines") / 1000.0, 0.0) / (2.0 * step),
         "ds_steep_zone": flag((ws >= 7.0) & (ws <= 10.5)),
     })
-    out = {}
+    df, out = df.drop("_rise_kw"), {}
     for c, name in (("era5_ws100_roll_mean_6h", "ds_slope_x_roll6h"), ("icing_severity", "ds_slope_x_icing")):
         if c in df.columns:
             out[name] = F.col("ds_pc_slope_mw_per_ms") * F.col(c)
@@ -242,7 +242,7 @@ def smeared_power_columns(df: DataFrame, deltas=(1, 2, 3, 4), cfg: FarmConfig =
     """Mean power at v - d and v + d for each d, and its excess over the power at v."""
     ws = F.col("wind_speed_120m")
     tag = {d: f"smear_p{float(d)}".replace(".", "") for d in deltas}
-    df = df.withColumns({
+    df = evaluate_once(df, {
         "_point_mw": farm_power_mw(ws, "air_density", "active_turbines", cfg),
         **{f"{tag[d]}_per_turb_kw": (turbine_power_kw(ws - float(d), "air_density")
                                      + turbine_power_kw(ws + float(d), "air_density")) / 2.0 for d in deltas},
@@ -263,11 +263,11 @@ def hub_wind_columns(df: DataFrame, cfg: FarmConfig = DEFAULT) -> DataFrame:
     v = {h: clip(f"wind_speed_{h}m", 0.1) for h in (10, 80, 120) if f"wind_speed_{h}m" in df.columns}
     layers = [(lo, hi) for lo, hi in ((10, 120), (80, 120), (10, 80)) if lo in v and hi in v]
     shears = [clip(F.ln(v[hi] / v[lo]) / math.log(hi / lo), 0.05, 0.50) for lo, hi in layers]
-    df = df.withColumns({"shear_exp_consensus": sum(shears[1:], shears[0]) / float(len(shears))})
+    df = evaluate_once(df, {"shear_exp_consensus": sum(shears[1:], shears[0]) / float(len(shears))})
     df = df.withColumns({
         "wind_speed_85m_pl": v[120] * F.pow(F.lit(cfg.rotor_hub_m / 120.0), F.col("shear_exp_consensus"))
     })
-    df = df.withColumns({"ds_85m_pl_farm_mw": farm_power_mw("wind_speed_85m_pl", "air_density", "active_turbines", cfg)})
+    df = evaluate_once(df, {"ds_85m_pl_farm_mw": farm_power_mw("wind_speed_85m_pl", "air_density", "active_turbines", cfg)})
     out = {"ds_85m_pl_ratio": F.col("ds_85m_pl_farm_mw") / cfg.capacity_mw}
     if "ds_120m_farm_mw" in df.columns:
         out["ds_85m_vs_120m_mw"] = F.col("ds_85m_pl_farm_mw") - F.col("ds_120m_farm_mw")

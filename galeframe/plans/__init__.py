@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("weather", "windows", "joins")
+MODULES = ("weather", "windows", "joins", "lookups")
 
 
 def load_all() -> None:

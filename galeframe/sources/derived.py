@@ -34,7 +34,7 @@ HOURLY_COLUMNS = f"""
   ((m*7)%101)/1.0e0 AS cloud_cover_low,
   {REPAIR},
   CASE WHEN m%997=0 THEN 95.0e0
-       ELSE least(90.09e0*(26-{REPAIR})/26.0e0,
+       ELSE least(90.09e0*(26-{REPAIR})/26.0e0*(1.0e0-0.05e0*sqrt(((m*61)%2503+0.5e0)/2503.0e0)),
                   90.09e0*least(1.0e0,pow(ws120/12.0e0,3.0e0))*(0.70e0+(m%31)/100.0e0)) END AS {TARGET}
 """
 
