@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("weather", "windows", "joins", "lookups")
+MODULES = ("weather", "windows", "joins", "lookups", "quality")
 
 
 def load_all() -> None:
