@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("weather", "windows", "joins", "lookups", "quality")
+MODULES = ("weather", "windows", "joins", "lookups", "quality", "forecast", "evaluation")
 
 
 def load_all() -> None:
