@@ -71,8 +71,12 @@ def nearest(train: DataFrame, score: DataFrame, features: Sequence[str], *, k: i
 
     def every(other: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), c(other) - 1))
-    t = train.join(sizes, keys, "inner").select(*keys, TS, *features, *carry, part("_nt").alias("_tb"), every("_nq").alias("_qb"))
-    q = score.join(sizes, keys, "inner").select(*keys, TS, *features, part("_nq").alias("_qb"), every("_nt").alias("_tb"))
+
+    def fresh(names: Sequence[str]) -> list[Column]:
+        # New column identities, because both sides may come from one table.
+        return [c(n).alias(n) for n in names]
+    t = train.join(sizes, keys, "inner").select(*fresh(keys), *fresh([TS, *features, *carry]), part("_nt").alias("_tb"), every("_nq").alias("_qb"))
+    q = score.join(sizes, keys, "inner").select(*fresh(keys), *fresh([TS, *features]), part("_nq").alias("_qb"), every("_nt").alias("_tb"))
     kinds = {f.name: f.dataType for f in t.schema.fields}
     schema = T.StructType([*[T.StructField(n, kinds[n]) for n in keys], T.StructField(TS, kinds[TS]), T.StructField("analog_ts", kinds[TS]),
                            T.StructField("distance", T.DoubleType()), *[T.StructField(n, kinds[n]) for n in carry]])

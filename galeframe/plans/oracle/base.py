@@ -33,8 +33,8 @@ def feed_cte(name: str) -> str:
 OOF = f"""{HOURLY},
 oof AS (SELECT CAST(least(5, 3+floor((day(ts)-1)/10.0e0)) AS BIGINT) AS fold, site_id, ts, power_mw AS target_mw,
   26-n_repair AS active_turbines, wind_speed_120m AS ws_120,
-  greatest(0.0e0, least(90.09e0, power_mw+((m%21)-10)*0.83e0)) AS pred_cf_mw,
-  greatest(0.0e0, least(90.09e0, power_mw+((m%17)-8)*0.91e0)) AS pred_mw_mw FROM hourly)"""
+  greatest(0.0e0, least(90.09e0, power_mw+((m%21)-10)*1.2e0*sqrt(((m*29)%2503+0.5e0)/2503.0e0))) AS pred_cf_mw,
+  greatest(0.0e0, least(90.09e0, power_mw+((m%17)-8)*1.3e0*sqrt(((m*43)%2503+0.5e0)/2503.0e0))) AS pred_mw_mw FROM hourly)"""
 
 OOF_ORDERS = """
 oof_orders AS (SELECT CAST(floor(o_custkey/200.0e0) AS BIGINT) AS site_id, o_orderkey AS row_id, o_orderdate AS ts,

@@ -254,11 +254,10 @@ def audit_header(spark, sf):
     return writers.outlier_audit_header(w, year_factor=1.0)
 
 
-@query("S11_residual_audit", _RES + """SELECT site_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, printf('%.6f', target_mw) AS y, printf('%.6f', pred_cf_mw) AS y_oof, printf('%.4f', r) AS residual,
-   printf('%.6f', ws_120) AS ws_120m, CAST(b AS BIGINT) AS ws_bin, printf('%.4f', t) AS threshold, 'True' AS flagged FROM fl WHERE f = 1""")
+@query("S11_residual_audit", _RES + """SELECT site_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, printf('%.6f', target_mw) AS y, printf('%.6f', pred_cf_mw) AS y_oof, printf('%.6f', r) AS residual,
+   printf('%.6f', ws_120) AS ws_120m, CAST(b AS BIGINT) AS ws_bin, printf('%.6f', t) AS threshold, 'True' AS flagged FROM fl WHERE f = 1""")
 def residual_audit(spark, sf):
-    a = writers.residual_audit(_residuals(spark, sf))
-    return a.withColumns({n: F.format_string("%.4f", F.col(n).cast("double")) for n in ("residual", "threshold")})
+    return writers.residual_audit(_residuals(spark, sf))
 
 
 @query("S13_oof_wide", with_(OOF) + "SELECT " + cols({"target_mw": "target_mw", "ws_120": "ws_120", "cf": "pred_cf_mw/90.09e0", "mw": "pred_mw_mw"}, {"fold": "fold", "active_turbines": "active_turbines"}) + " FROM oof")

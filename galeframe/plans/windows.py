@@ -216,8 +216,8 @@ def short_lags(spark, sf):
 _SPLIT = "TIMESTAMP '2024-01-21 00:00:00'"
 
 
-@query("W13_tiered_power", with_(HOURLY, f"""t AS (SELECT *, greatest(0.0e0, least(90.09e0, power_mw+((m%21)-10)*0.83e0)) AS o,
-   greatest(0.0e0, least(90.09e0, power_mw+((m%17)-8)*0.91e0)) AS s FROM hourly),
+@query("W13_tiered_power", with_(HOURLY, f"""t AS (SELECT *, greatest(0.0e0, least(90.09e0, power_mw+((m%21)-10)*1.2e0*sqrt(((m*29)%2503+0.5e0)/2503.0e0))) AS o,
+   greatest(0.0e0, least(90.09e0, power_mw+((m%17)-8)*1.3e0*sqrt(((m*43)%2503+0.5e0)/2503.0e0))) AS s FROM hourly),
    p AS (SELECT *, CASE WHEN ts >= {_SPLIT} THEN s WHEN ts >= TIMESTAMP '2024-01-11 00:00:00' THEN o ELSE power_mw END AS x FROM t)""") + "SELECT " + cols({
     "power_series": "x", "lag_power_1h": f"coalesce(lag(x) {OVER}), 0)"}) + " FROM p")
 def tiered(spark, sf):

@@ -34,8 +34,8 @@ HOURLY_COLUMNS = f"""
   ((m*7)%101)/1.0e0 AS cloud_cover_low,
   {REPAIR},
   CASE WHEN m%997=0 THEN 95.0e0
-       ELSE least(90.09e0*(26-{REPAIR})/26.0e0*(1.0e0-0.05e0*sqrt(((m*61)%2503+0.5e0)/2503.0e0)),
-                  90.09e0*least(1.0e0,pow(ws120/12.0e0,3.0e0))*(0.70e0+(m%31)/100.0e0)) END AS {TARGET}
+       ELSE (1.0e0-0.05e0*sqrt(((m*61)%2503+0.5e0)/2503.0e0))
+            *least(90.09e0*(26-{REPAIR})/26.0e0, 90.09e0*least(1.0e0,pow(ws120/12.0e0,3.0e0))*(0.70e0+(m%31)/100.0e0)) END AS {TARGET}
 """
 
 # Each feed: minutes its clock runs ahead (so some hours have no partner) and its columns.
@@ -143,8 +143,8 @@ def oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly(spark, sf_dir).selectExpr(
         "CAST(least(5, 3 + floor((day(ts)-1)/10.0e0)) AS BIGINT) AS fold", SITE, TS,
         f"{TARGET} AS target_mw", f"26-{REPAIR} AS active_turbines", "wind_speed_120m AS ws_120",
-        f"greatest(0.0e0, least(90.09e0, {TARGET}+((m%21)-10)*0.83e0)) AS pred_cf_mw",
-        f"greatest(0.0e0, least(90.09e0, {TARGET}+((m%17)-8)*0.91e0)) AS pred_mw_mw",
+        f"greatest(0.0e0, least(90.09e0, {TARGET}+((m%21)-10)*1.2e0*sqrt(((m*29)%2503+0.5e0)/2503.0e0))) AS pred_cf_mw",
+        f"greatest(0.0e0, least(90.09e0, {TARGET}+((m%17)-8)*1.3e0*sqrt(((m*43)%2503+0.5e0)/2503.0e0))) AS pred_mw_mw",
     )
 
 
