@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("weather", "windows", "joins", "lookups", "quality", "forecast", "evaluation")
+MODULES = ("weather", "windows", "joins", "lookups", "quality", "forecast", "evaluation", "learning")
 
 
 def load_all() -> None:
