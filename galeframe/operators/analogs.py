@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from galeframe.config import DEFAULT, PRESSURE, SITE, TS, FarmConfig
 from galeframe.functions.nullsafe import clip, div
+from galeframe.operators.settle import settle
 
 c = F.col
 
@@ -46,6 +47,7 @@ def scaled(train: DataFrame, score: DataFrame, features: dict[str, Column], keys
         complete = c(n).isNotNull() if complete is None else complete & c(n).isNotNull()
     train, score = train.withColumns(features).filter(complete), score.withColumns(features).filter(complete)
     stats = train.groupBy(*keys).agg(*[e for n in names for e in (F.avg(n).alias(f"{n}_m"), F.stddev_pop(n).alias(f"{n}_s"))])
+    stats = settle(stats)
     drop = [x for n in names for x in (f"{n}_m", f"{n}_s")]
 
     def apply(df: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def nearest(train: DataFrame, score: DataFrame, features: Sequence[str], *, k: i
 
     def n_blocks(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias(name))
-    sizes = n_blocks(train, "_nt").join(n_blocks(score, "_nq"), keys, "inner")
+    sizes = settle(n_blocks(train, "_nt").join(n_blocks(score, "_nq"), keys, "inner"))
 
     def part(own: str) -> Column:
         return F.pmod(F.xxhash64(TS), c(own))

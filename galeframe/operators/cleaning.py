@@ -15,6 +15,7 @@ from galeframe.functions.nullsafe import clip, div, evaluate_once, flag, has, ze
 from galeframe.operators.joins import KEY, join_with_coverage, last_by_key
 from galeframe.operators.lookups import apply_site_curve, fit_site_curve, valid_target
 from galeframe.operators.ranks import percentiles, values_at_ranks
+from galeframe.operators.settle import settle
 from galeframe.operators.windows import keep_long_runs
 
 c = F.col
@@ -165,7 +166,7 @@ def trimmed_spread(df: DataFrame, keys: Sequence[str], value: str, *, trim: floa
     keys = list(keys)
     cut = F.floor(F.lit(trim) * c("_n"))
     bounds = values_at_ranks(df, keys, value, {"_v_lo": cut, "_v_hi": c("_n") - cut - 1}, width=width)
-    bounds = bounds.withColumns({"_cut": cut, "_mid": (c("_v_lo") + c("_v_hi")) / 2.0})
+    bounds = settle(bounds.withColumns({"_cut": cut, "_mid": (c("_v_lo") + c("_v_hi")) / 2.0}))
     v = c(value) - c("_mid")
     inside = (c(value) > c("_v_lo")) & (c(value) < c("_v_hi"))
     sums = df.filter(c(value).isNotNull()).join(bounds, keys, "inner").groupBy(*keys).agg(
@@ -194,7 +195,8 @@ def residual_flags(df: DataFrame, oof: DataFrame, *, k: float = 3.0, bin_width:
     ws_bin = F.least(F.lit(30), F.greatest(F.lit(0), F.floor(c("wind_speed_120m") / bin_width).cast("int")))
     joined = joined.withColumns({"residual": c(TARGET) - c("y_oof"), "ws_bin": ws_bin})
     sigma = trimmed_spread(joined.filter(c("residual").isNotNull()).select(SITE, "ws_bin", "residual"), [SITE, "ws_bin"], "residual")
-    out = joined.join(sigma.select(SITE, "ws_bin", (k * c("sigma")).alias("threshold")), [SITE, "ws_bin"], "left")
+    limits = settle(sigma.select(SITE, "ws_bin", (k * c("sigma")).alias("threshold")))
+    out = joined.join(limits, [SITE, "ws_bin"], "left")
     return out.withColumns({"residual_flag": flag(F.abs("residual") > c("threshold"))})
 
 
@@ -230,7 +232,7 @@ def decay_weights(df: DataFrame, *, train_end, lam: float, ts: str = TS, keys: S
     df = df.withColumns({"_age": age})
     value = F.when(c("_max_age") < 1.0, F.lit(1.0)).otherwise(F.exp(-lam * div("_age", "_max_age")))
     if keys:
-        widest = df.groupBy(*keys).agg(F.max("_age").alias("_max_age"))
+        widest = settle(df.groupBy(*keys).agg(F.max("_age").alias("_max_age")))
         return df.join(widest, list(keys), "left").withColumns({"time_weight": value}).drop("_age", "_max_age")
     return df.withColumn("_max_age", df.agg(F.max("_age")).scalar()).withColumns({"time_weight": value}).drop("_age", "_max_age")
 
@@ -266,7 +268,7 @@ def similarity_weights(df: DataFrame, *, prob: str, scale: float = 100.0, floor:
     df = df.withColumns({"_raw": raw, "_soft": F.sqrt(c(prob) + 0.01), "_pow4": F.pow(c(prob) + 0.005, F.lit(0.25))})
     p95 = percentiles(df, [SITE], "_raw", {"_p95": 0.95}, width=0.05)
     means = df.groupBy(SITE).agg(F.avg("_soft").alias("_soft_mean"), F.avg("_pow4").alias("_pow4_mean"))
-    out = df.join(p95, SITE, "left").join(means, SITE, "left")
+    out = df.join(settle(p95.join(means, SITE, "full")), SITE, "left")
     scaled = floor + div("_raw", "_p95") * (ceiling - floor)
     return out.withColumns({"_scaled": scaled, "_s": div("_soft", "_soft_mean"), "_q": div("_pow4", "_pow4_mean")}).withColumns({
         "adv_weight": F.when(c("_p95") <= 0, F.lit(1.0)).otherwise(clip("_scaled", floor, ceiling)),

@@ -18,6 +18,7 @@ from galeframe.functions.nullsafe import (
 )
 from galeframe.operators.isotonic import WIND_AXIS, apply_isotonic, fit_isotonic, segments
 from galeframe.operators.ranks import percentiles
+from galeframe.operators.settle import settle
 from galeframe.operators.windows import trailing_days_mean, walk_forward_rate
 
 c = F.col
@@ -31,6 +32,14 @@ def _keep(df: DataFrame, fit_filter: Column | None) -> DataFrame:
     return df if fit_filter is None else df.filter(fit_filter)
 
 
+def stacked_levels(rows: DataFrame, value: str, levels: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Each row once per level, with the keys a level does not use set to NULL, so one pass fits all levels."""
+    keys = [n for n in rows.columns if n not in (SITE, value)]
+    item = F.array(*[F.struct(F.lit(name).alias("_level"), *[(c(k) if k in used else F.lit(None).cast("int")).alias(k) for k in keys])
+                     for name, used in levels.items()])
+    return rows.select(SITE, value, F.inline(item))
+
+
 # --- binned power curve -------------------------------------------------------------------------
 
 def fit_power_curve(df: DataFrame, *, wind: str = "wind_speed_80m", direction: str = "wind_direction_80m", n_sectors: int = 8,
@@ -40,9 +49,10 @@ def fit_power_curve(df: DataFrame, *, wind: str = "wind_speed_80m", direction: s
     rows = _keep(df, fit_filter).filter(valid_target() & c(wind).isNotNull() & c(direction).isNotNull()).select(
         SITE, TARGET, bin_even(wind, width, 0, last).alias("ws_bin"),
         sector_wrapped(c(direction) * 1000.0, n_sectors).alias("sector"))
-    cell = percentiles(rows, [SITE, "ws_bin", "sector"], TARGET, {"cell_mw": 0.5}, width=0.5, count="_n")
-    row = percentiles(rows, [SITE, "ws_bin"], TARGET, {"bin_mw": 0.5}, width=0.5, count="_n")
-    return {"cells": cell.filter("_n > 3").drop("_n"), "bins": row.filter("_n > 5").drop("_n")}
+    levels = stacked_levels(rows, TARGET, {"cell": ("ws_bin", "sector"), "bin": ("ws_bin",)})
+    found = settle(percentiles(levels, [SITE, "_level", "ws_bin", "sector"], TARGET, {"_mw": 0.5}, width=0.5, count="_n"))
+    return {"cells": found.filter((c("_level") == "cell") & (c("_n") > 3)).select(SITE, "ws_bin", "sector", c("_mw").alias("cell_mw")),
+            "bins": found.filter((c("_level") == "bin") & (c("_n") > 5)).select(SITE, "ws_bin", c("_mw").alias("bin_mw"))}
 
 
 def apply_power_curve(df: DataFrame, fit: dict[str, DataFrame], *, wind: str = "wind_speed_80m", direction: str = "wind_direction_80m",
@@ -69,10 +79,13 @@ def fit_wake(df: DataFrame, *, n_sectors: int = 16, edges: Sequence[float] = WAK
     rows = _keep(df, fit_filter).filter((c(TARGET) > 0.5) & (c(theory) > 1.0)).select(
         SITE, div(TARGET, theory).alias("_ratio"), sector_wrapped(c("wind_direction_80m") * 1000.0, n_sectors).alias("wake_sector"),
         bin_left_closed("wind_speed_80m", edges, clamp=True).alias("wake_bin")).filter((c("_ratio") > 0.3) & (c("_ratio") < 1.3))
-    cell = percentiles(rows, [SITE, "wake_sector", "wake_bin"], "_ratio", {"cell_factor": 0.5}, width=0.01, count="_n")
-    sector = percentiles(rows, [SITE, "wake_sector"], "_ratio", {"sector_factor": 0.5}, width=0.01, count="_n")
-    site = percentiles(rows, [SITE], "_ratio", {"site_factor": 0.5}, width=0.01)
-    return {"cells": cell.filter("_n >= 10").drop("_n"), "sectors": sector.filter("_n >= 50").drop("_n"), "sites": site}
+    levels = stacked_levels(rows, "_ratio", {"cell": ("wake_sector", "wake_bin"), "sector": ("wake_sector",), "site": ()})
+    found = settle(percentiles(levels, [SITE, "_level", "wake_sector", "wake_bin"], "_ratio", {"_factor": 0.5}, width=0.01, count="_n"))
+
+    def level(name: str, least: int, keys: Sequence[str]) -> DataFrame:
+        rows_of = found.filter((c("_level") == name) & (c("_n") >= least))
+        return rows_of.select(SITE, *keys, c("_factor").alias(f"{name}_factor"))
+    return {"cells": level("cell", 10, ["wake_sector", "wake_bin"]), "sectors": level("sector", 50, ["wake_sector"]), "sites": level("site", 1, [])}
 
 
 def apply_wake_factor(df: DataFrame, fit: dict[str, DataFrame], *, wind: str, degrees: Column, out: str, n_sectors: int = 16,
@@ -105,7 +118,7 @@ def wake_columns(df: DataFrame, fit: dict[str, DataFrame], cfg: FarmConfig = DEF
 
 def fit_site_curve(df: DataFrame, *, wind: str = "v_eff", target: str = TARGET, fit_filter: Column | None = None) -> DataFrame:
     cond = valid_target(target) if fit_filter is None else valid_target(target) & fit_filter
-    return fit_isotonic(df, [SITE], wind, target, fit_filter=cond)
+    return settle(fit_isotonic(df, [SITE], wind, target, fit_filter=cond))
 
 
 def apply_site_curve(df: DataFrame, curve: DataFrame, *, wind: str, out: str) -> DataFrame:
@@ -118,7 +131,7 @@ def fit_sector_curve(df: DataFrame, *, wind: str = "v_eff", degrees: Column | No
     deg = c("wind_direction_120m") * 1000.0 if degrees is None else degrees
     cond = valid_target() if fit_filter is None else valid_target() & fit_filter
     tagged = df.withColumn("curve_sector", sector_wrapped(deg, n_sectors)).filter(c("curve_sector").isNotNull())
-    return fit_isotonic(tagged, [SITE, "curve_sector"], wind, TARGET, fit_filter=cond, min_rows=min_rows)
+    return settle(fit_isotonic(tagged, [SITE, "curve_sector"], wind, TARGET, fit_filter=cond, min_rows=min_rows))
 
 
 def apply_sector_curve(df: DataFrame, sector_curve: DataFrame, site_curve: DataFrame, *, wind: str, out: str,
@@ -152,7 +165,7 @@ def impute_upper_level(df: DataFrame, *, fallback_alpha: float = 0.143) -> DataF
     usable = ws180.isNotNull() & (ws120 > 0.1) & (ws180 > 0.1)
     alpha = df.groupBy(SITE).agg(
         (F.avg(F.when(usable, F.ln(ws180 / ws120))) / F.ln(F.lit(1.5))).alias("_alpha"))
-    joined = df.join(alpha, SITE, "left")
+    joined = df.join(settle(alpha), SITE, "left")
     lifted = ws120 * F.pow(F.lit(1.5), F.coalesce(c("_alpha"), F.lit(fallback_alpha)))
     return joined.withColumns({
         "ws_180m_is_imputed": (ws180.isNull() & lifted.isNotNull()).cast("int"),
@@ -199,7 +212,7 @@ def conditional_power(df: DataFrame, *, months: Sequence[int], hours: tuple[int,
 def fit_envelope(df: DataFrame, *, wind: str, target: str, edges: Sequence[float], fit_filter: Column | None = None) -> DataFrame:
     """5th and 95th percentile of the target by wind bin."""
     rows = _keep(df, fit_filter).withColumn("env_bin", bin_left_closed(wind, edges, clamp=False)).filter(c("env_bin").isNotNull())
-    return percentiles(rows, [SITE, "env_bin"], target, {"env_lo": 0.05, "env_hi": 0.95}, width=0.5)
+    return settle(percentiles(rows, [SITE, "env_bin"], target, {"env_lo": 0.05, "env_hi": 0.95}, width=0.5))
 
 
 def apply_envelope(df: DataFrame, envelope: DataFrame, *, wind: str, pred: str, edges: Sequence[float], out: str = "pred_capped",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from galeframe.config import CAPACITY_MW, DEFAULT, SITE, TS, FarmConfig
 from galeframe.functions.nullsafe import bin_left_closed, clip, div, zero_if_null
 from galeframe.operators.isotonic import POWER_AXIS, apply_isotonic, fit_isotonic, segments
+from galeframe.operators.settle import settle
 
 c = F.col
 
@@ -57,7 +58,7 @@ def leave_fold_out_bias(df: DataFrame, bins: Mapping[str, Column], *, pred: str,
     others = sums.withColumns({"_so": F.sum("_s").over(w) - c("_s"), "n_other": F.sum("_n").over(w) - c("_n")})
     weight = c("n_other") / (c("n_other") + float(shrink))
     value = F.when(c("n_other") < min_rows, F.lit(0.0)).otherwise(div("_so", "n_other") * weight)
-    return others.select(*keys, "table", "bin", fold, "n_other", value.alias("correction"))
+    return settle(others.select(*keys, "table", "bin", fold, "n_other", value.alias("correction")))
 
 
 def _with_bin_value(df: DataFrame, table: DataFrame, name: str, bin_expr: Column, out: str, fold: str, keys: Sequence[str]) -> DataFrame:
@@ -91,7 +92,7 @@ def additive_calibration(df: DataFrame, *, pred: str, target: str, wind: str = "
     table = leave_fold_out_bias(df, bins, pred=pred, target=target, fold=fold, keys=keys, min_rows=min_rows, shrink=0.0)
     df = _with_bin_value(df, table, "wind", bins["wind"], "wind_correction", fold, keys)
     if upper is None:
-        top = df.groupBy(*keys, fold).agg((F.max(pred) * 1.5).alias("_top"))
+        top = settle(df.groupBy(*keys, fold).agg((F.max(pred) * 1.5).alias("_top")))
         df = df.join(top, [*keys, fold], "left")
     else:
         df = df.withColumn("_top", F.lit(float(upper)))
@@ -108,7 +109,7 @@ def bias_shifts(df: DataFrame, *, pred: str, target: str, calibration: Column, w
         for a in (F.avg(F.when(calibration & cond, err)).alias(f"_{name}"), F.count_if(calibration & cond).alias(f"n_{name}"))])
     shrunk = {f"{name}_bias": F.when(c(f"n_{name}") > 10, c(f"_{name}") * c(f"n_{name}") / (c(f"n_{name}") + float(shrink))).otherwise(F.lit(0.0))
               for name in ("high", "cutout")}
-    return out.withColumns(shrunk).drop("_high", "_cutout")
+    return settle(out.withColumns(shrunk).drop("_high", "_cutout"))
 
 
 def apply_bias_shifts(df: DataFrame, shifts: DataFrame, *, pred: str, wind: str = "ws_120", keys: Sequence[str] = (SITE,),
@@ -132,7 +133,7 @@ def isotonic_recalibration(df: DataFrame, *, pred: str, target: str, folds: Sequ
     others = F.filter(F.array(*[F.lit(f).cast("long") for f in folds]), lambda f: f != c(fold))
     spread = df.select(*keys, pred, target, F.explode(others).alias("_held_out"))
     curve_keys = [*keys, "_held_out"]
-    curve = fit_isotonic(spread, curve_keys, pred, target, fit_filter=c(target) >= 0, min_rows=min_rows, y_max=cfg.capacity_mw)
+    curve = settle(fit_isotonic(spread, curve_keys, pred, target, fit_filter=c(target) >= 0, min_rows=min_rows, y_max=cfg.capacity_mw))
     rows = df.withColumn("_held_out", c(fold).cast("long"))
     return apply_isotonic(rows, segments(curve, curve_keys, **POWER_AXIS), curve_keys, pred, out, **POWER_AXIS).drop("_held_out")
 
@@ -154,7 +155,7 @@ def fit_affine(df: DataFrame, keys: Sequence[str], *, pred: str, target: str, mi
         ok = ok & c("_a").between(*slope_range)
     a = c("_a") if clip_slope is None else clip("_a", *clip_slope)
     b = c("_b") if clip_offset is None else clip("_b", *clip_offset)
-    return fit.select(*keys, "n", F.when(ok, a).otherwise(F.lit(1.0)).alias("slope"), F.when(ok, b).otherwise(F.lit(0.0)).alias("offset"))
+    return settle(fit.select(*keys, "n", F.when(ok, a).otherwise(F.lit(1.0)).alias("slope"), F.when(ok, b).otherwise(F.lit(0.0)).alias("offset")))
 
 
 def fit_month_affine(df: DataFrame, *, pred: str, target: str, month: str = "month", keys: Sequence[str] = (), min_rows: int = 200) -> DataFrame:
@@ -252,7 +253,7 @@ PERSISTENCE_SHARES = {0: 0.5, 1: 0.5, 2: 0.5, 3: 0.7}
 
 def persistence_blend(horizon: DataFrame, history: DataFrame, *, pred: str, target: str, out: str = "blended_mw", cfg: FarmConfig = DEFAULT) -> DataFrame:
     """Blend the first hours of the day with the site's last measured power."""
-    last = history.filter(c(target).isNotNull()).groupBy(SITE).agg(F.max_by(target, TS).alias("_last"))
+    last = settle(history.filter(c(target).isNotNull()).groupBy(SITE).agg(F.max_by(target, TS).alias("_last")))
     share = F.lit(1.0)
     for h, s in PERSISTENCE_SHARES.items():
         share = F.when(F.hour(TS) == h, F.lit(s)).otherwise(share)
@@ -276,5 +277,8 @@ def conditional_bias(df: DataFrame, *, pred: str, target: str, wind: str = "ws_1
 
 def strength_grid(pred: str, wind: str, *, levels: Sequence[float] = (0.0, 0.3, 0.5, 0.7, 1.0),
                   biases: tuple[float, float, float] = (HIGH_WIND_BIAS, CUT_OUT_BIAS, SEASON_BIAS)) -> dict[str, Column]:
-    """The regime correction at every combination of strengths."""
-    return {"/".join(f"{s:g}" for s in strengths): regime_shift(c(pred), c(wind), strengths, biases) for strengths in product(levels, repeat=3)}
+    """The regime correction at every combination of strengths; the regime tests are shared by all of them."""
+    high = ((c(wind) >= 12) & (c(wind) < 18)).cast("double")
+    past = (c(wind) >= 18).cast("double")
+    return {"/".join(f"{s:g}" for s in (a, b, s)): c(pred) + high * (biases[0] * a) + past * (biases[1] * b) + biases[2] * s
+            for a, b, s in product(levels, repeat=3)}

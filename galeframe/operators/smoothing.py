@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from galeframe.config import DEFAULT, SITE, FarmConfig
 from galeframe.functions.nullsafe import clip
+from galeframe.operators.settle import settle
 from galeframe.operators.blocks import BLOCK, BLOCK_ROWS, OWN, ROW, run_blocked, with_blocks, with_row_number
 
 c = F.col
@@ -23,7 +25,7 @@ SECOND = (9, 13, 12, 6, -5)
 
 def _sized(df: DataFrame) -> DataFrame:
     """Row position and series length per site."""
-    n = df.groupBy(SITE).agg(F.count(F.lit(1)).alias("_len"))
+    n = settle(df.groupBy(SITE).agg(F.count(F.lit(1)).alias("_len")))
     return with_row_number(df).join(n, SITE, "inner")
 
 
@@ -47,22 +49,23 @@ def quadratic_smooth(df: DataFrame, *, pred: str, out: str = "smooth_mw", cfg: F
     return done.withColumns({out: clip("_smooth", 0.0, cfg.capacity_mw)}).drop("_smooth", "_len")
 
 
-def rolling_median(df: DataFrame, *, pred: str, rows: int, out: str = "median_mw") -> DataFrame:
-    """Centred median of an odd number of rows, the series reflected at both ends."""
-    pad = rows // 2
+def rolling_median(df: DataFrame, *, pred: str, rows: Sequence[int] = (3, 5, 7), out: str = "median_{}_mw") -> DataFrame:
+    """Centred medians of odd numbers of rows, the series reflected at both ends; all widths share one pass."""
+    widest = max(rows) // 2
 
     def build(w):
-        near = F.collect_list(pred).over(w.rowsBetween(-pad, pad))
-        return [{"_near": near}]
-    done = run_blocked(_sized(df), build, back=pad, ahead=pad, keep_row=True)
-    short_head = F.greatest(F.lit(0), pad - c(ROW)).cast("int")
-    short_tail = F.greatest(F.lit(0), c(ROW) + pad - (c("_len") - 1)).cast("int")
-    size = F.size("_near")
-    head = F.slice("_near", F.lit(2), short_head)
-    tail = F.slice("_near", F.greatest(F.lit(1), size - short_tail), short_tail)
-    full = F.array_sort(F.concat("_near", head, tail))
-    value = F.when(c("_len") <= pad, c(pred)).otherwise(F.get(full, F.lit(pad)))
-    return done.withColumns({out: value}).drop("_near", "_len", ROW)
+        return [{f"_near{n}": F.collect_list(pred).over(w.rowsBetween(-(n // 2), n // 2)) for n in rows}]
+    done = run_blocked(_sized(df), build, back=widest, ahead=widest, keep_row=True)
+
+    def median(n: int) -> Column:
+        pad, near = n // 2, c(f"_near{n}")
+        short_head = F.greatest(F.lit(0), pad - c(ROW)).cast("int")
+        short_tail = F.greatest(F.lit(0), c(ROW) + pad - (c("_len") - 1)).cast("int")
+        head = F.slice(near, F.lit(2), short_head)
+        tail = F.slice(near, F.greatest(F.lit(1), F.size(near) - short_tail), short_tail)
+        full = F.array_sort(F.concat(near, head, tail))
+        return F.when(c("_len") <= pad, c(pred)).otherwise(F.get(full, F.lit(pad)))
+    return done.withColumns({out.format(n): median(n) for n in rows}).drop(*[f"_near{n}" for n in rows], "_len", ROW)
 
 
 def _reach(span: int) -> int:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from galeframe.config import PRESSURE, SITE, TARGET, TS
 from galeframe.functions.nullsafe import clip, div, flag, unit_dot, zero_if_null
+from galeframe.operators.settle import settle
 from galeframe.operators.blocks import diff, epoch, lag, lead, roll_mean, roll_std, run_blocked, with_row_number
 
 c = F.col
@@ -274,10 +275,10 @@ def skill_weights(df: DataFrame, *, target: str = TARGET, expected: str, rows: i
     def build(w):
         return [{"_roll": roll_mean("_abs", rows, w, min_rows)}]
     rolled = run_blocked(df, build, back=rows - 1)
-    site_mean = df.groupBy(SITE).agg(F.avg("_abs").alias("_site_abs"))
+    site_mean = settle(df.groupBy(SITE).agg(F.avg("_abs").alias("_site_abs")))
     raw = rolled.join(site_mean, SITE, "left").withColumns(
         {"_skill": 1.0 / (F.coalesce(c("_roll"), c("_site_abs")) + eps)})
-    scale = raw.groupBy(SITE).agg(F.avg("_skill").alias("_mean_skill"))
+    scale = settle(raw.groupBy(SITE).agg(F.avg("_skill").alias("_mean_skill")))
     return raw.join(scale, SITE, "left").withColumns({"skill_weight": div("_skill", "_mean_skill")}).drop(
         "_abs", "_roll", "_site_abs", "_skill", "_mean_skill")
 

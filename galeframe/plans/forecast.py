@@ -183,9 +183,7 @@ def _rmed(w: int) -> str:
 @query("F13_rolling_median", _POS + ", " + ", ".join(_rmed(w) for w in (3, 5, 7)) + " SELECT " + cols({f"median_{w}_mw": f"m{w}.v" for w in (3, 5, 7)}, keys="m3.site_id, CAST(m3.ts AS VARCHAR) AS ts") + " FROM m3 JOIN m5 USING (site_id, ts) JOIN m7 USING (site_id, ts)")
 def rolling_median(spark, sf):
     o = oof(spark, sf).select(SITE, TS, "pred_cf_mw")
-    for w in (3, 5, 7):
-        o = smoothing.rolling_median(o, pred="pred_cf_mw", rows=w, out=f"median_{w}_mw")
-    return o.drop("pred_cf_mw")
+    return smoothing.rolling_median(o, pred="pred_cf_mw").drop("pred_cf_mw")
 
 
 @query("F14_blend_scan", with_(OOF, f"g AS (SELECT fold, i AS position, printf('%.2f', i/20.0e0) AS candidate, avg(abs(target_mw-{lim('i/20.0e0*pred_mw_mw+(1-i/20.0e0)*pred_cf_mw')}))/{CAP}*100 AS e FROM oof, range(21) r(i) GROUP BY 1, 2, 3)")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 RUNTIME_SETTINGS = {
@@ -14,7 +17,11 @@ RUNTIME_SETTINGS = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings; cluster sizing stays with whoever submits the job."""
+    """Apply the runtime settings; cluster sizing stays with whoever submits the job.
+
+    Functions sent to Python workers carry their code along, so executors need no copy of the package.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules["galeframe"])
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
