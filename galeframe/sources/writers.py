@@ -39,7 +39,7 @@ def outlier_audit_header(df: DataFrame, *, year_factor: float | None = None) ->
     reasons = F.concat_ws(", ", *[F.concat(F.lit(f"{r}: "), c(f"n_{r}")) for r in REASONS])
     factor = "n/a" if year_factor is None else f"{year_factor:.6f}"
     line = F.concat(F.lit(f"# downweight_2022={factor} total_excluded="), c("total_excluded"), F.lit(" reasons={"), reasons,
-                    F.lit("} imputed_180m_pct="), F.coalesce(F.format_string("%.1f", c("imputed_180m_pct")), F.lit("n/a")))
+                    F.lit("} imputed_180m_pct="), F.when(c("imputed_180m_pct").isNull(), F.lit("n/a")).otherwise(F.format_string("%.1f", c("imputed_180m_pct"))))
     return out.withColumns({"header": line})
 
 
