@@ -11,6 +11,7 @@ import math
 from collections.abc import Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
@@ -67,11 +68,14 @@ def fit_band_ensemble(train: DataFrame, val: DataFrame, *, features: Sequence[st
     """
     base = F.lit(1.0) if weight is None else c(weight)
     both = train.withColumn(IS_VAL, F.lit(False)).unionByName(val.withColumn(IS_VAL, F.lit(True)), allowMissingColumns=True)
-    rows = assemble(both.filter(c(target).isNotNull()), features)
+    rows = assemble(both.filter(c(target).isNotNull()), features).persist(StorageLevel.MEMORY_AND_DISK)
     models = []
-    for lo, hi in bands.values():
-        banded = rows.withColumns({"_w": F.when((c(wind) >= lo) & (c(wind) < hi), F.lit(inside)).otherwise(F.lit(outside)) * base})
-        models += [booster(target=target, seed=s, weight="_w", validated=True, **tree).fit(banded) for s in seeds]
+    try:
+        for lo, hi in bands.values():
+            banded = rows.withColumns({"_w": F.when((c(wind) >= lo) & (c(wind) < hi), F.lit(inside)).otherwise(F.lit(outside)) * base})
+            models += [booster(target=target, seed=s, weight="_w", validated=True, **tree).fit(banded) for s in seeds]
+    finally:
+        rows.unpersist()
     return models
 
 
@@ -195,7 +199,7 @@ def regime_clusters(df: DataFrame, *, columns: Sequence[str] = ("hellmann_alpha"
 
 def hourly_models(train: DataFrame, val: DataFrame, *, features: Sequence[str], target: str, min_rows: int = 100, out: str = "hourly_pred", seed: int = 42, parallel: int = 4, **tree) -> DataFrame:
     """One model per hour of day; hours with too few training rows use a model of all hours. Fits run side by side."""
-    rows = assemble(train.filter(c(target).isNotNull()), features).withColumn("_h", F.hour(TS))
+    rows = assemble(train.filter(c(target).isNotNull()), features).withColumn("_h", F.hour(TS)).persist(StorageLevel.MEMORY_AND_DISK)
     counts = {r["_h"]: r["count"] for r in rows.groupBy("_h").count().collect()}
     hours = [h for h in range(24) if counts.get(h, 0) >= min_rows]
     wanted: list[int | None] = [*hours, *([None] if len(hours) < 24 else [])]
@@ -204,6 +208,7 @@ def hourly_models(train: DataFrame, val: DataFrame, *, features: Sequence[str],
         return booster(target=target, seed=seed, **tree).fit(rows if h is None else rows.filter(c("_h") == h))
     with ThreadPool(parallel) as pool:
         models = dict(zip(wanted, pool.map(fit, wanted)))
+    rows.unpersist()
     ahead = assemble(val, features).withColumn("_h", F.hour(TS))
     parts = [models[h].copy({models[h].predictionCol: out}).transform(ahead.filter(c("_h") == h)) for h in hours]
     if None in models:

@@ -71,9 +71,14 @@ def quantile_label(value: str, cuts: Sequence[Column], names: Sequence[str]) ->
     return F.when(c(value).isNotNull(), out)
 
 
-def fixed_quantiles(df: DataFrame, value: str, quantiles: Mapping[str, float], *, width: float) -> dict[str, float]:
-    """Exact quantiles of a column as numbers: one row comes to the driver."""
-    return percentiles(df, [], value, quantiles, width=width).first().asDict()
+def fixed_quantiles(df: DataFrame, columns: Mapping[str, float], quantiles: Mapping[str, float]) -> dict[str, dict[str, float]]:
+    """Exact quantiles of several columns as numbers, in one pass; one row per column comes to the driver.
+
+    ``columns`` maps a column to its bucket width.
+    """
+    item = F.array(*[F.struct(F.lit(n).alias("_name"), (c(n) / width).alias("_scaled")) for n, width in columns.items()])
+    rows = percentiles(df.select(F.inline(item)), ["_name"], "_scaled", quantiles, width=1.0).collect()
+    return {r["_name"]: {q: r[q] * columns[r["_name"]] for q in quantiles} for r in rows}
 
 
 def full_report(df: DataFrame, *, target: str, pred: str, wind: str = "wind_speed_120m", other_wind: str = "era5v2_wind_speed_120m", cfg: FarmConfig = DEFAULT) -> DataFrame:
@@ -82,9 +87,8 @@ def full_report(df: DataFrame, *, target: str, pred: str, wind: str = "wind_spee
 
     df = run_blocked(df, lambda w: [{"_ramp": F.abs(diff(wind, 3, w))}], back=3)
     df = df.withColumns({"_gap": F.abs(c(wind) - c(other_wind))})
-    g = fixed_quantiles(df, "_gap", {"p50": 0.5, "p75": 0.75, "p90": 0.9}, width=0.05)
-    r = fixed_quantiles(df, "_ramp", {"p90": 0.9, "p95": 0.95}, width=0.05)
-    d = fixed_quantiles(df, "air_density", {"p25": 0.25, "p75": 0.75}, width=0.001)
+    cuts = fixed_quantiles(df, {"_gap": 0.0625, "_ramp": 0.0625, "air_density": 0.0009765625}, {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95})
+    g, r, d = cuts["_gap"], cuts["_ramp"], cuts["air_density"]
     hour = F.hour(TS)
     rho = c("air_density")
     regimes = {
@@ -109,16 +113,25 @@ def compare_models(df: DataFrame, *, target: str, first: str, second: str, wind:
     return long.groupBy(c("_g.grouping").alias("grouping"), c("_g.label").alias("label")).agg(*aggs).filter(c("label").isNotNull())
 
 
-def implied_wind(df: DataFrame, *, per_turbine_kw: str, rho: str = "air_density", out: str = "implied_ws", lo: float = 3.0, hi: float = 25.0, steps: int = 30) -> DataFrame:
-    """Wind at which the power curve gives ``per_turbine_kw``, by halving an interval inside the JVM."""
-    start = F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+def implied_wind(df: DataFrame, *, per_turbine_kw: str, rho: str = "air_density", out: str = "implied_ws", halvings: int = 30) -> DataFrame:
+    """Wind between 3 and 25 m/s at which the power curve gives ``per_turbine_kw``.
 
-    def halve(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2.0
-        below = turbine_power_kw(mid, c(rho)) < c(per_turbine_kw)
-        return F.struct(F.when(below, mid).otherwise(acc["lo"]).alias("lo"), F.when(below, acc["hi"]).otherwise(mid).alias("hi"))
-    ends = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda a: (a["lo"] + a["hi"]) / 2.0)
-    return evaluate_once(df, {out: F.when(c(per_turbine_kw).isNotNull() & c(rho).isNotNull(), ends)})
+    At a fixed density the curve is linear between whole wind speeds and rises
+    up to 14 m/s, so its inverse is a sum of limited segment shares. The result
+    is put on the grid that ``halvings`` bisections of the interval end on;
+    power above the rising part gives the upper end.
+    """
+    lo, hi, top = 3, 25, 14
+    kw = c(per_turbine_kw)
+    df = evaluate_once(df, {f"_k{v}": turbine_power_kw(F.lit(float(v)), rho) for v in range(lo, top + 1)})
+    wind = F.lit(0.0)
+    for v in range(lo, top):
+        share = (kw - c(f"_k{v}")) / (c(f"_k{v + 1}") - c(f"_k{v}"))
+        wind = wind + F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+    cell = (hi - lo) / 2.0 ** halvings
+    number = F.greatest(F.lit(0.0), F.ceil(wind / cell).cast("double") - 1.0)
+    inside = F.when(kw > c(f"_k{top}"), F.lit(hi - cell / 2.0)).otherwise(lo + (number + 0.5) * cell)
+    return evaluate_once(df, {out: F.when(kw.isNotNull() & c(rho).isNotNull(), inside)}).drop(*[f"_k{v}" for v in range(lo, top + 1)])
 
 
 def implied_wind_bias(df: DataFrame, *, power: str = TARGET, physical: str, wind: str = "wind_speed_120m", active: str = "active_turbines", ts: str = TS,

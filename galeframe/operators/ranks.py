@@ -3,7 +3,8 @@
 Spark's ``percentile`` keeps every distinct value of a group in one task. Here
 a group is first counted into value buckets of a fixed width (partial
 aggregation, small result). Prefix sums over the buckets tell which bucket
-holds each wanted rank, and only those buckets are looked at value by value.
+holds each wanted rank; that short list is settled and only the rows of those
+buckets are shuffled and looked at value by value.
 The result equals linear interpolation between order statistics.
 """
 
@@ -14,14 +15,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ALL = "_all"
-
+from galeframe.operators.settle import settle
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+_ALL = "_all"
 
 
 def values_at_ranks(
@@ -45,15 +41,16 @@ def values_at_ranks(
         .withColumn("_start", F.col("_end") - F.col("_c"))
     )
     wanted = F.array(*[e.cast("long") for e in ranks.values()])
-    hits = (
+    hits = settle(
         hist.withColumn("_wanted", wanted)
         .withColumn("_here", F.filter("_wanted", lambda r: (r >= F.col("_start")) & (r < F.col("_end"))))
         .filter(F.size("_here") > 0)
         .select(*keys, "_b", "_start", "_n", "_wanted")
+        .withColumnsRenamed({k: f"{k}__h" for k in [*keys, "_b"]})
     )
-    counted = rows.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    cand = counted.join(hits.withColumnsRenamed({k: f"{k}__h" for k in [*keys, "_b"]}),
-                        _on([*keys, "_b"]), "inner").drop(*[f"{k}__h" for k in [*keys, "_b"]])
+    near = rows.join(hits, _on([*keys, "_b"]), "inner").drop(*[f"{k}__h" for k in [*keys, "_b"]])
+    cand = near.groupBy(*keys, "_b", "_v").agg(
+        F.count(F.lit(1)).alias("_c"), *[F.first(n).alias(n) for n in ("_start", "_n", "_wanted")])
     w_in = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = cand.withColumn("_hi", F.col("_start") + F.sum("_c").over(w_in)).withColumn("_lo", F.col("_hi") - F.col("_c"))
     aggs = [

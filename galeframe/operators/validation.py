@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from galeframe.config import CAPACITY_MW, DEFAULT, REPAIR, SITE, TARGET, TOTAL_TURBINES, TS, FarmConfig
 from galeframe.operators.ranks import percentiles
+from galeframe.operators.settle import settle
 
 c = F.col
 
@@ -83,7 +84,7 @@ def failing_cells(df: DataFrame, rules: TableRules) -> DataFrame:
     fields = [c("_t.column_name").alias("column_name"), c("_t.check_name").alias("check_name"), c("_t.failure_value").alias("failure_value")]
     out = df.select(*keys, F.explode(F.array_compact(F.array(*tests))).alias("_t")).select(SITE, TS, *fields)
     if rules.unique:
-        again = df.groupBy(*rules.unique).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+        again = settle(df.groupBy(*rules.unique).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"))
         rows = df.select(*rules.unique).join(again, list(rules.unique), "left_semi")
         out = out.unionByName(rows.select(*keys, F.lit(rules.unique[-1]).alias("column_name"),
                                           F.lit("field_uniqueness").alias("check_name"), F.lit(None).cast("double").alias("failure_value")))
@@ -149,6 +150,7 @@ def gate_row_count(df: DataFrame, *, expected: int, allowed: Sequence[int] | Non
 def gate_duplicates(df: DataFrame, *, order: str, keys: Sequence[str] = (SITE, TS)) -> DataFrame:
     """Later copies of a repeated key: everything after its first row in ``order``."""
     first = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first")).filter("_n > 1")
+    first = settle(first)
     return df.join(first, list(keys), "inner").filter(c(order) > c("_first")).drop("_n", "_first")
 
 
