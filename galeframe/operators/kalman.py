@@ -182,25 +182,88 @@ Q_GRID = (1e-6, 1e-4, 1e-2, 1e-1, 1.0)
 R_GRID = (0.1, 0.5, 2.0, 8.0, 32.0)
 
 
+def _maps_of_grid(seen: np.ndarray, q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``_variance_map`` for all candidates at once."""
+    a, b, cc, d = np.ones_like(q), np.zeros_like(q), np.zeros_like(q), np.ones_like(q)
+    for s in seen:
+        if s:
+            a, b, cc, d = r * (a + q * cc), r * (b + q * d), a + (q + r) * cc, b + (q + r) * d
+        else:
+            a, b = a + q * cc, b + q * d
+        top = np.maximum(np.maximum(abs(a), abs(b)), np.maximum(abs(cc), abs(d)))
+        a, b, cc, d = a / top, b / top, cc / top, d / top
+    return a, b, cc, d
+
+
+def _filter_grid(y: np.ndarray, q: np.ndarray, r: np.ndarray, x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """End level, share of the start level left in it, and log-likelihood, for all candidates at once."""
+    left, ll = np.ones_like(q), np.zeros_like(q)
+    for v in y:
+        p = p + q
+        if v == v:
+            f = p + r
+            gain, e = p / f, v - x
+            x, p, left = x + gain * e, (1.0 - gain) * p, left * (1.0 - gain)
+            ll = ll - 0.5 * (np.log(2.0 * math.pi * f) + e * e / f)
+    return x, left, ll
+
+
 def likelihood_table(df: DataFrame, value: Column, *, fit_filter: Column | None = None, q_grid: Sequence[float] = Q_GRID,
                      r_grid: Sequence[float] = R_GRID, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Log-likelihood of every (q, r) candidate per site; candidates and blocks run side by side."""
-    rows = df if fit_filter is None else df.filter(fit_filter)
-    rows = with_row_number(rows.select(SITE, TS, value.cast("double").alias("_y"))).withColumn("_blk", F.floor(c(ROW) / block_rows))
+    """Log-likelihood of every (q, r) candidate per site; blocks run side by side, candidates as one vector."""
     grid = list(itertools.product(q_grid, r_grid))
-    options = F.array(*[F.struct(F.lit(i).cast("long").alias("g"), F.lit(q).alias("q"), F.lit(r).alias("r")) for i, (q, r) in enumerate(grid)])
-    small = rows.select(SITE, ROW, "_blk", "_y", F.explode(options).alias("_o")).select(
-        SITE, c("_o.g").alias("_g"), ROW, "_blk", "_y", c("_o.q").alias("_q"), c("_o.r").alias("_r"), F.lit(FITTED_P0).alias("_p0"))
-    keys, blk = [SITE, "_g"], [SITE, "_g", "_blk"]
-    state = small.join(_start_states(small, keys), blk, "inner")
+    q, r = np.array([g[0] for g in grid]), np.array([g[1] for g in grid])
+    rows = df if fit_filter is None else df.filter(fit_filter)
+    rows = with_row_number(rows.select(SITE, TS, value.cast("double").alias("_y"))).withColumn("_blk", F.floor(c(ROW) / block_rows)).drop(TS)
+    blk = [SITE, "_blk"]
+
+    def arrays(*names: str) -> T.StructType:
+        return T.StructType([T.StructField(n, T.LongType()) for n in blk] + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in names])
+
+    def one(pdf: pd.DataFrame, **values: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame([{**{n: pdf[n].iloc[0] for n in blk}, **values}])
+
+    def stacked(pdf: pd.DataFrame, name: str) -> np.ndarray:
+        return np.stack([np.asarray(v, dtype=float) for v in pdf[name]])
+
+    def series(pdf: pd.DataFrame) -> np.ndarray:
+        return pdf.sort_values(ROW)["_y"].to_numpy(dtype=float)
+
+    def variance(pdf: pd.DataFrame) -> pd.DataFrame:
+        return one(pdf, **dict(zip("abcd", _maps_of_grid(~np.isnan(series(pdf)), q, r))))
+
+    def scan_variance(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_blk")
+        p, starts = np.full_like(q, FITTED_P0), []
+        for a, b, cc, d in zip(*(stacked(pdf, n) for n in "abcd")):
+            starts.append(p)
+            p = (a * p + b) / (cc * p + d)
+        return pdf[blk].assign(_p=starts)
+
+    def level(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = np.asarray(pdf["_p"].iloc[0], dtype=float)
+        x, left, _ = _filter_grid(series(pdf), q, r, np.zeros_like(q), p)
+        return one(pdf, _p=p, left=left, x=x)
+
+    def scan_level(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_blk")
+        x, starts = np.zeros_like(q), []
+        for left, end in zip(stacked(pdf, "left"), stacked(pdf, "x")):
+            starts.append(x)
+            x = left * x + end
+        return pdf[[*blk, "_p"]].assign(_x=starts)
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ROW)
-        f, y = pdf.iloc[0], pdf["_y"].to_numpy(dtype=float)
-        ll = _filter(y, f["_q"], f["_r"], f["_x"], f["_p"])[2]
-        return pd.DataFrame([{**{n: f[n] for n in blk}, "q": f["_q"], "r": f["_r"], "ll": ll, "n": float(np.sum(~np.isnan(y)))}])
-    per_block = state.groupBy(*blk).applyInPandas(score, _schema(small, blk, ["q", "r", "ll", "n"]))
-    return per_block.groupBy(SITE, "q", "r").agg(F.sum("ll").alias("log_likelihood"), F.sum("n").cast("long").alias("n_observed"))
+        y = series(pdf)
+        ll = _filter_grid(y, q, r, *(np.asarray(pdf[n].iloc[0], dtype=float) for n in ("_x", "_p")))[2]
+        return one(pdf, ll=ll, n=np.full_like(q, float(np.sum(~np.isnan(y)))))
+    p_start = rows.groupBy(*blk).applyInPandas(variance, arrays("a", "b", "c", "d")).groupBy(SITE).applyInPandas(scan_variance, arrays("_p"))
+    ends = rows.join(p_start, blk, "inner").groupBy(*blk).applyInPandas(level, arrays("_p", "left", "x"))
+    state = ends.groupBy(SITE).applyInPandas(scan_level, arrays("_p", "_x"))
+    parts = rows.join(state, blk, "inner").groupBy(*blk).applyInPandas(score, arrays("ll", "n"))
+    flat = parts.select(SITE, F.posexplode(F.arrays_zip("ll", "n")).alias("_g", "_v"))
+    named = flat.select(SITE, F.get(F.lit(q), c("_g")).alias("q"), F.get(F.lit(r), c("_g")).alias("r"), c("_v.ll").alias("ll"), c("_v.n").alias("n"))
+    return named.groupBy(SITE, "q", "r").agg(F.sum("ll").alias("log_likelihood"), F.sum("n").cast("long").alias("n_observed"))
 
 
 def choose_parameters(table: DataFrame, *, min_rows: int = 500) -> DataFrame:
