@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from galeframe.config import DEFAULT, PRESSURE, SITE, TS, FarmConfig
 from galeframe.functions.nullsafe import clip, div
+from galeframe.operators.blocks import spread
 from galeframe.operators.settle import settle
 
 c = F.col
@@ -109,7 +110,7 @@ def nearest(train: DataFrame, score: DataFrame, features: Sequence[str], *, k: i
         out |= {n: tp[n].to_numpy()[ti] for n in carry}
         return pd.DataFrame(out)
     pair = [*keys, "_tb", "_qb"]
-    lists = t.groupBy(*pair).cogroup(q.groupBy(*pair)).applyInPandas(best, schema)
+    lists = spread(t, *pair).groupBy(*pair).cogroup(spread(q, *pair).groupBy(*pair)).applyInPandas(best, schema)
     w = Window.partitionBy(*keys, TS).orderBy("distance", "analog_ts")
     return lists.withColumn("rank", F.row_number().over(w)).filter(c("rank") <= k)
 

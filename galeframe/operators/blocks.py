@@ -75,6 +75,15 @@ def with_blocks(
     return df.withColumn(BLOCK, F.explode(F.sequence(first, last))).withColumn(OWN, F.col(BLOCK) == own)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the session's shuffle partitions, kept apart.
+
+    For stages that run Python per group: their cost is in the work, not in the
+    bytes that adaptive coalescing goes by.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(k) for k in keys])
+
+
 def run_blocked(
     df: DataFrame,
     build: Callable[[WindowSpec], Sequence[Mapping[str, Column]]],

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeframe.config import CAPACITY_MW
+from galeframe.operators.blocks import spread
 
 _FAR = 1e300
 
@@ -79,9 +80,10 @@ def fit_isotonic(
         F.count(F.lit(1)).cast("double").alias("w"), F.sum(F.col(y).cast("double")).alias("s"))
     points = points.select(*keys, "x_lo", F.col("x_lo").alias("x_hi"), "w", "s")
     schema = points.schema
-    ranged = points.repartitionByRange(*keys, "x_lo").sortWithinPartitions(*keys, "x_lo")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = points.repartitionByRange(parts, *keys, "x_lo").sortWithinPartitions(*keys, "x_lo")
     first = ranged.mapInPandas(_pool_batches(keys), schema)
-    blocks = first.groupBy(*keys).applyInPandas(_pool_group(keys), schema)
+    blocks = spread(first, *keys).groupBy(*keys).applyInPandas(_pool_group(keys), schema)
     total = F.sum("w").over(Window.partitionBy(*keys))
     value = F.greatest(F.lit(float(y_min)), F.least(F.lit(float(y_max)), F.col("s") / F.col("w")))
     return (blocks.withColumns({"n_rows": total, "value": value}).filter(F.col("n_rows") >= min_rows)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from galeframe.config import SITE, TS
-from galeframe.operators.blocks import ROW, with_row_number
+from galeframe.operators.blocks import ROW, spread, with_row_number
 
 c = F.col
 BLOCK_ROWS = 8_192
@@ -127,7 +127,7 @@ def smooth_level(df: DataFrame, value: Column, *, params: DataFrame | None = Non
     """
     rows = _prepared(df, value, params, block_rows)
     keys, blk = [SITE], [SITE, "_blk"]
-    small = rows.select(SITE, ROW, "_blk", "_y", "_q", "_r", "_p0")
+    small = spread(rows.select(SITE, ROW, "_blk", "_y", "_q", "_r", "_p0"), *blk)
     state = small.join(_start_states(small, keys), blk, "inner")
 
     def backward(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -216,6 +216,7 @@ def likelihood_table(df: DataFrame, value: Column, *, fit_filter: Column | None
     rows = df if fit_filter is None else df.filter(fit_filter)
     rows = with_row_number(rows.select(SITE, TS, value.cast("double").alias("_y"))).withColumn("_blk", F.floor(c(ROW) / block_rows)).drop(TS)
     blk = [SITE, "_blk"]
+    rows = spread(rows, *blk)
 
     def arrays(*names: str) -> T.StructType:
         return T.StructType([T.StructField(n, T.LongType()) for n in blk] + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in names])

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from galeframe.config import DEFAULT, SITE, FarmConfig
 from galeframe.functions.nullsafe import clip
 from galeframe.operators.settle import settle
-from galeframe.operators.blocks import BLOCK, BLOCK_ROWS, OWN, ROW, run_blocked, with_blocks, with_row_number
+from galeframe.operators.blocks import BLOCK, BLOCK_ROWS, OWN, ROW, run_blocked, spread, with_blocks, with_row_number
 
 c = F.col
 
@@ -95,7 +95,7 @@ def exponential_smooth(df: DataFrame, *, pred: str, span: int, out: str = "ema_m
             back = pdf[pred][::-1].ewm(alpha=alpha, adjust=False).mean()[::-1]
             res[both] = (fwd.to_numpy() + back.to_numpy()) / 2.0
         return res[own]
-    smooth = blocks.select(SITE, BLOCK, ROW, OWN, c(pred).cast("double").alias(pred)).groupBy(SITE, BLOCK).applyInPandas(run, schema)
+    smooth = spread(blocks.select(SITE, BLOCK, ROW, OWN, c(pred).cast("double").alias(pred)), SITE, BLOCK).groupBy(SITE, BLOCK).applyInPandas(run, schema)
     return base.join(smooth, [SITE, ROW], "inner").drop(ROW)
 
 
