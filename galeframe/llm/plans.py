@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import line_dedup, sharding, simhash, suffix_decontam
+from galeframe.llm import bpe_fragments, line_dedup, packing, sharding, simhash, suffix_decontam
 from galeframe.llm.common import table
 from galeframe.plans.registry import ORACLE, QUERIES, Query
 
+TOKENIZERS = "/opt/tokenizers"
+WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
 FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -42,6 +44,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op3_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+@query("op6_bpe_fragments")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_fragments.encode_documents(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 CONTAMINATION_SQL = f"""
 WITH items AS (
