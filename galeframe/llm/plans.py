@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import bpe_fragments, line_dedup, packing, sharding, simhash, suffix_decontam
+from galeframe.llm import bpe_fragments, line_dedup, packing, quality_gbt, sharding, simhash, suffix_decontam
 from galeframe.llm.common import table
 from galeframe.plans.registry import ORACLE, QUERIES, Query
 
@@ -83,6 +83,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query("op8_quality_trees")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_gbt.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), quality_gbt.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(table(spark, sf_dir, "documents"))
