@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import bpe_fragments, line_dedup, packing, quality_gbt, sharding, simhash, suffix_decontam
+from galeframe.llm import bpe_fragments, line_dedup, packing, pii_crf, quality_gbt, sharding, simhash, site_template, suffix_decontam
 from galeframe.llm.common import table
 from galeframe.plans.registry import ORACLE, QUERIES, Query
 
@@ -49,6 +49,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+@query("op4_pii_crf")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op5_site_template")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_template.extract_text(table(spark, sf_dir, "pages"))
+
+
 @query("op6_bpe_fragments")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_fragments.encode_documents(table(spark, sf_dir, "documents"), WORD_BPE)
