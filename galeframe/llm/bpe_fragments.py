@@ -177,7 +177,7 @@ def read_tokenizer(path: str) -> str:
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ``ids`` (little-endian 32 bit) and ``decoded``.
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ``ids`` (little-endian 32 bit).
 
     A missing or empty text has no ids and decodes to the empty text. Rows are independent of each other, so repeated
     rows and ids give repeated results; other columns are not read.
@@ -189,12 +189,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc
         for batch in slices(batches, "text"):
             ids = codec.encode(batch.column("text").to_pylist())
             out = {"doc_id": batch.column("doc_id"), "n_tokens": [len(i) // 4 for i in ids], "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids]}
-            decoded = map(codec.decode, ids)
-            if with_ids:
-                decoded = out["decoded"] = list(decoded)
-                out["ids"] = ids
-            out["decoded_sha256"] = [hashlib.sha256(d.encode()).hexdigest() for d in decoded]
-            yield out
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
+            out["decoded_sha256"] = [hashlib.sha256(codec.decode(i).encode()).hexdigest() for i in ids]
+            yield out | {"ids": ids}
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, schema)

@@ -61,6 +61,7 @@ def process_store(name: str) -> dict:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow for a function that yields dictionaries of equally long columns."""
+    prepare(df.sparkSession)
     want = to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,9 +28,9 @@ def line_array(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
-def with_row_key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``_doc`` (a missing id counts as the smallest) and ``_hash`` of the text tell rows apart that repeat an id."""
-    return docs.withColumns({"_doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), "_hash": F.xxhash64(text)})
+def row_id(doc_id: str) -> Column:
+    """The id as a number; a missing one counts as the smallest. With a hash of the text it tells rows apart that repeat an id."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
 
 
 def line_table(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20) -> DataFrame:
@@ -43,7 +43,7 @@ def line_table(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", m
         before = F.get("_lines", i - 1)
         return F.struct(x.h1.alias("h1"), x.h2.alias("h2"), x.pos.alias("pos"), F.coalesce((before.h1 != x.h1) | (before.h2 != x.h2), F.lit(True)).alias("first"))
 
-    rows = with_row_key(docs.select(F.col(doc_id), F.col(text)), doc_id, text).select("_doc", "_hash", trimmed.alias("_lines"))
+    rows = docs.select(row_id(doc_id).alias("_doc"), F.xxhash64(text).alias("_hash"), trimmed.alias("_lines"))
     rows = rows.select("_doc", "_hash", lowered.alias("_lines")).select("_doc", "_hash", hashed.alias("_lines"))
     return rows.select("_doc", "_hash", F.inline(F.transform("_lines", flagged)))
 
@@ -98,7 +98,8 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     A key of at least ``min_chars`` code points in at least ``min_docs`` rows loses all its lines but those of the
     largest id holding it. A missing or empty text is one empty line. Rows that repeat an id each count as a document
-    and stay together, a missing id counts as smaller than any other; other columns pass through untouched.
+    and stay together, a missing id counts as smaller than any other; other columns pass through untouched, but those
+    named like the new ones give way.
     """
     spark = docs.sparkSession
     lines = line_table(docs, doc_id=doc_id, text=text, min_chars=min_chars)
@@ -111,12 +112,13 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     store = LineRuns(spark, fanout)
     for b in range(batches):
         store.add(lines.filter(F.col("batch") == b))
-    repeated = store.totals().filter(F.col("n_docs") >= min_docs).select(*KEY, "last_doc")
-    drops = (lines.join(repeated, KEY).filter(F.col("_doc") < F.col("last_doc"))
+    # written out, so that the join below has two plain shuffled sides and a very common line is split over tasks
+    repeated = stash(store.totals().filter(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"))
+    drops = (lines.select(*KEY, "_doc", "_hash", "pos").join(repeated.hint("merge"), KEY).filter(F.col("_doc") < F.col("last_doc"))
              .groupBy("_doc", "_hash").agg(F.collect_set("pos").alias("_drops")))
-    out = with_row_key(docs, doc_id, text).withColumn("_hash", F.coalesce("_hash", F.lit(0)))
-    out = out.join(drops.hint("shuffle_hash"), ["_doc", "_hash"], "left").withColumn("_lines", line_array(text))
+    out = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(text).alias("_hash"))
+    out = out.withColumn("_doc", row_id("_id")).join(drops.hint("shuffle_hash"), ["_doc", "_hash"], "left").withColumn("_lines", line_array("_text"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drops")), lambda i: F.get("_lines", i))
-    out = out.withColumns({"kept": F.when(F.col("_drops").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n")),
-                           "n_lines": F.size("_lines").cast("long"), "n_dropped": F.coalesce(F.size("_drops"), F.lit(0)).cast("long")})
-    return out.select(*docs.columns, "kept", "n_lines", "n_dropped")
+    own = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("kept", "n_lines", "n_dropped")]
+    return out.select(*own, F.when(F.col("_drops").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n")).alias("kept"),
+                      F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"))

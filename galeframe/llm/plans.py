@@ -40,7 +40,7 @@ FROM marked GROUP BY doc_id"""
 
 @query("op1_line_dedup", LINES_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -111,7 +111,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_quality_trees")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_gbt.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rows = quality_gbt.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), quality_gbt.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 

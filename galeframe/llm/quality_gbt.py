@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galeframe.llm.common import map_batches, slices
+from galeframe.session import prepare
 
 STATISTICS = ("log_bytes", "log_words", "bytes_per_word", "upper", "digit", "space", "beyond_ascii", "stop_marks", "pipe", "hash_marks", "other_marks", "distinct_words", "herdan",
               "repeated_next", "upper_words", "title_words", "marked_words", "log_lines", "words_per_line", "repeated_lines", "packed", "longest_word")
@@ -124,12 +125,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, d
     return grow(np.array([r["x"] for r in found]).reshape(-1, len(STATISTICS)), np.array([r["label"] for r in found], float))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 from ``threshold`` on).
+def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text", score: str = "score", predicted: str = "predicted", **settings) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 from ``threshold`` on); own columns of
+    these names give way, so other names can be given.
 
     A missing or empty text has zero statistics and a score like any other; rows are scored one by one, so repeated rows
     and ids agree. Without usable labels the score is the share of label 1, or a half. Other columns pass through.
     """
+    prepare(docs.sparkSession)
     forest = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, doc_id=doc_id, text=text, **settings))  # a fixed number of nodes
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -137,5 +140,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7,
             x = np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS))
             yield pd.Series(forest.value.score(x))
 
-    scored = docs.withColumn("score", F.pandas_udf(run, "double")(F.col(text).cast("string")))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    own = [c for c in docs.columns if c not in (score, predicted)]
+    scored = docs.select(*own, F.pandas_udf(run, "double")(F.col(text).cast("string")).alias(score))
+    return scored.withColumn(predicted, (F.col(score) >= threshold).cast("int"))

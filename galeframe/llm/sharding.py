@@ -59,7 +59,7 @@ def assign_cells(sizes: dict[int, int], shards: int) -> dict[int, int]:
     return out
 
 
-def shard_documents(docs: DataFrame, *, shards: int = 40, cells: int = 1 << 14, slice_rows: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, *, shards: int = 40, cells: int = 1 << 14, slice_rows: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``.
 
     A missing text has no bytes and the checksum 0. Rows that repeat an id get slots of their own; a missing id is

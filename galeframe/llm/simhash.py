@@ -146,7 +146,11 @@ def simhash_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose id names their component; rows with a missing id stay."""
-    classes = simhash_classes(docs, doc_id=doc_id, text=text)
+    """One row for each component: one whose id names it. Rows with a missing id stay; columns are unchanged."""
+    classes = stash(simhash_classes(docs, doc_id=doc_id, text=text).select("doc_id", "component_id"))
     gone = classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+    kept = docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+    repeated = classes.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(doc_id))
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, doc_id, "left_anti").select(*docs.columns).union(kept.join(repeated, doc_id, "left_semi").select(*docs.columns).dropDuplicates([doc_id]))

@@ -225,7 +225,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **settings) -> DataFrame:
     """The rows no window occurs in, columns unchanged; rows without text stay."""
-    names = docs.columns
-    own = docs.withColumnRenamed("found", "_own_found") if "found" in names else docs
-    kept = find_matches(own, benchmark, text=text, **settings).filter(F.size("found.spans") == 0).drop("found")
-    return kept.withColumnRenamed("_own_found", "found").select(*names) if "found" in names else kept
+    others = [c for c in docs.columns if c != text]
+    packed = docs.select(F.col(text).cast("string").alias("text"), F.struct(F.lit(True).alias("_"), *(F.col(c) for c in others)).alias("row"))
+    kept = find_matches(packed, benchmark, **settings).filter(F.size("found.spans") == 0)
+    return kept.select(*(F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
