@@ -11,10 +11,11 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from galeframe.llm.common import map_batches, process_store, slices
 END = "</w>"
 #: Characters for which Python's tables might differ from the tokenizer's; texts with one take its own rules.
 ODD = re.compile("[\x1c-\x1fͰ-\U0010ffff]")
-CACHE_ROWS = 400_000
+CACHE_ROWS = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -36,6 +37,34 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+class Cache:
+    """Ids of what was encoded before, in two generations: what is still used when the young one fills up stays."""
+
+    def __init__(self, rows: int = CACHE_ROWS):
+        self.rows, self.young, self.old = rows, {}, {}
+
+    def look_up(self, keys: list, learn: Callable[[list], list[bytes]], step: int = 1 << 17) -> list[bytes]:
+        """The ids of all keys; those never met are learnt, each once."""
+        out = list(map(self.young.get, keys))
+        if None not in out:
+            return out
+        missing = [i for i, v in enumerate(out) if v is None]
+        new = []
+        for k in {keys[i] for i in missing}:
+            known = self.old.get(k)
+            if known is None:
+                new.append(k)
+            else:
+                self.young[k] = known
+        for s in range(0, len(new), step):
+            self.young.update(zip(new[s:s + step], learn(new[s:s + step])))
+        for i in missing:
+            out[i] = self.young[keys[i]]
+        if len(self.young) > self.rows:
+            self.young, self.old = {}, self.young
+        return out
+
+
 class Codec:
     """Encode and decode with a tokenizer file of the byte-level, word-end kind."""
 
@@ -61,8 +90,8 @@ class Codec:
         self.own_words = pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True)
         self.own_normal = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.chunks: dict[str, bytes] = {}
-        self.known: dict[tuple[bytes, bool], bytes] = {}
+        self.token_array = pa.array(self.tokens)
+        self.chunks, self.known = Cache(), Cache()
 
     def _pairs(self, vocab: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         back = {c: b for b, c in enumerate(self.letters)}
@@ -74,72 +103,73 @@ class Codec:
                 (final if word != token and i == len(b) - 2 else inner)[b[i], b[i + 1]] = True
         return inner, final
 
-    def fragments(self, words: list[bytes]) -> tuple[list[tuple[bytes, bool]], np.ndarray]:
-        """All fragments of the words in order, each with "ends its word", and how many each word has."""
+    def fragments(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """All fragments of the words in order, and how many each word has. A fragment that ends its word ends in a space."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        data = b"".join(words)
+        data = b" ".join(words) + b" "
         a = np.frombuffer(data, np.uint8)
-        last = np.cumsum(size) - 1
-        cut = ~self.inner[a[:-1], a[1:]] if len(a) > 1 else np.zeros(0, bool)
-        ends = last[size > 1] - 1
+        space = np.cumsum(size + 1) - 1
+        cut = ~self.inner[a[:-1], a[1:]]
+        ends = space[size > 1] - 2
         cut[ends] = ~self.final[a[ends], a[ends + 1]]
-        cut[last[:-1]] = True
-        stops = np.append(np.flatnonzero(cut), len(a) - 1) + 1
-        ending = np.zeros(len(a) + 1, bool)
-        ending[last + 1] = True
-        count = np.diff(np.searchsorted(stops, last + 1, side="right"), prepend=0)
-        stops = stops.tolist()
-        return [(data[s:e], f) for s, e, f in zip([0, *stops[:-1]], stops, ending[stops].tolist())], count
+        cut[space - 1] = False
+        cut[space[:-1]] = True
+        stops = np.append(np.flatnonzero(cut), len(a) - 1)
+        count = np.diff(np.searchsorted(stops, space, side="right"), prepend=0)
+        stops = (stops + 1).tolist()
+        return [data[s:e] for s, e in zip([0, *stops[:-1]], stops)], count
 
     def _letters(self, fragment: bytes) -> str:
         text = fragment.decode("latin-1")
         return text if text.isascii() and text.isprintable() else text.translate(self.table)
 
-    def _learn(self, fragments: list[tuple[bytes, bool]]) -> None:
-        """Encode the fragments that are not known yet."""
-        new = [f for f in set(fragments) if f not in self.known]
-        ending = [f for f in new if f[1]]
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        """Encode fragments on their own."""
+        out: dict[bytes, bytes] = {}
+        ending = [f for f in new if f.endswith(b" ")]
         if ending:
-            ids = np.array(self.ends.encode_batch_fast([" ".join(self._letters(f[0]) for f in ending)], add_special_tokens=False)[0].ids, "<u4")
-            for f, part in zip(ending, np.split(ids, np.flatnonzero(self.is_end[ids])[:-1] + 1)):
-                self.known[f] = part.tobytes()
-        inside = [f for f in new if not f[1]]
-        for f, e in zip(inside, self.insides.encode_batch_fast([self._letters(f[0]) for f in inside], add_special_tokens=False)):
-            self.known[f] = np.array(e.ids, "<u4").tobytes()
-
-    def _encode_words(self, groups: list[list[str]]) -> list[bytes]:
+            ids = np.array(self.ends.encode_batch_fast([" ".join(self._letters(f[:-1]) for f in ending)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            out.update(zip(ending, [data[s:e] for s, e in zip([0, *stops[:-1]], stops)]))
+        inside = [f for f in new if not f.endswith(b" ")]
+        for f, e in zip(inside, self.insides.encode_batch_fast(list(map(self._letters, inside)), add_special_tokens=False)):
+            out[f] = np.array(e.ids, "<u4").tobytes()
+        return list(map(out.__getitem__, new))
+
+    def _encode_words(self, words: list[str], per_group: np.ndarray) -> list[bytes]:
         """Ids of each group of pre-tokens, concatenated."""
-        words = [w.encode() for g in groups for w in g]
         if not words:
-            return [b""] * len(groups)
-        if len(self.known) > CACHE_ROWS:
-            self.known = {}
-        fragments, count = self.fragments(words)
-        self._learn(fragments)
-        coded = list(map(self.known.__getitem__, fragments))
-        of_word = np.cumsum(np.append(0, count))
-        of_group = of_word[np.cumsum([0, *map(len, groups)])].tolist()
-        return [b"".join(coded[s:e]) for s, e in zip(of_group, of_group[1:])]
+            return [b""] * len(per_group)
+        fragments, count = self.fragments(list(map(str.encode, words)))
+        coded = self.known.look_up(fragments, self._learn)
+        of_group = np.append(0, np.cumsum(count))[np.append(0, np.cumsum(per_group))].tolist()
+        return [coded[s] if e == s + 1 else b"".join(coded[s:e]) for s, e in zip(of_group, of_group[1:])]
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of stretches between white space."""
+        words: list[str] = []
+        count = np.ones(len(chunks), np.int64)
+        for i, c in enumerate(chunks):
+            if c.isalpha():
+                words.append(c)
+            else:
+                found = self.words.findall(c)
+                count[i] = len(found)
+                words += found
+        return self._encode_words(words, count)
 
     def _encode_plain(self, texts: list[str]) -> list[bytes]:
         """Texts without special tokens."""
-        split: list[list[str] | None] = []
-        odd: dict[int, list[str]] = {}
-        for i, t in enumerate(texts):
-            if ODD.search(t):
-                odd[i] = [w for w, _ in self.own_words.pre_tokenize_str(self.own_normal.normalize_str(t))]
-                split.append(None)
-            else:
-                split.append((t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split())
-        if len(self.chunks) > CACHE_ROWS:
-            self.chunks = {}
-        new = list({c for s in split if s is not None for c in s}.difference(self.chunks))
-        for i in range(0, len(new), 1 << 17):
-            part = new[i:i + (1 << 17)]
-            self.chunks.update(zip(part, self._encode_words([self.words.findall(c) for c in part])))
-        strange = dict(zip(odd, self._encode_words(list(odd.values()))))
-        get = self.chunks.__getitem__
-        return [strange[i] if s is None else b"".join(map(get, s)) for i, s in enumerate(split)]
+        odd = {i: [w for w, _ in self.own_words.pre_tokenize_str(self.own_normal.normalize_str(t))] for i, t in enumerate(texts) if ODD.search(t)}
+        folded = ["" if i in odd else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower() for i, t in enumerate(texts)]
+        lists = pc.ascii_split_whitespace(pa.array(folded, pa.large_string()))
+        chunks = lists.flatten().dictionary_encode()
+        known = pa.array(self.chunks.look_up(chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), self._encode_chunks), pa.large_binary())
+        out = _joined(lists.offsets, known.take(chunks.indices))
+        for i, ids in zip(odd, self._encode_words([w for ws in odd.values() for w in ws], np.array([len(ws) for ws in odd.values()], np.int64))):
+            out[i] = ids
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a missing text has none."""
@@ -157,9 +187,20 @@ class Codec:
             out[i].append(np.array([self.special[p]], "<u4").tobytes() if p in self.special else ids)
         return [b[0] if len(b) == 1 else b"".join(b) for b in out]
 
-    def decode(self, ids: bytes) -> str:
-        """The tokens of the ids, special ones too, joined by spaces: this kind of file names no decoder."""
-        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: list[bytes]) -> list[str]:
+        """The tokens of each text's ids, special ones too, joined by spaces: this kind of file names no decoder."""
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        offsets = np.cumsum([0, *(len(i) // 4 for i in ids)])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.token_array.take(pa.array(flat))), " ").to_pylist()
+
+
+def _joined(groups: pa.Array, values: pa.Array) -> list[bytes]:
+    """Values of each group (given by its first index), which lie one after the other in memory."""
+    first, last = values.offset, values.offset + len(values)
+    at = np.frombuffer(values.buffers()[1], np.int64)[first:last + 1] if len(values) else np.zeros(1, np.int64)
+    data = values.buffers()[2].to_pybytes() if len(values) and values.buffers()[2] is not None else b""
+    stops = at[groups.to_numpy()].tolist()
+    return [data[s:e] for s, e in zip(stops, stops[1:])]
 
 
 def worker_codec(file: str) -> Codec:
@@ -186,10 +227,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         codec = worker_codec(file.value)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 16 << 20):
             ids = codec.encode(batch.column("text").to_pylist())
             out = {"doc_id": batch.column("doc_id"), "n_tokens": [len(i) // 4 for i in ids], "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids]}
-            out["decoded_sha256"] = [hashlib.sha256(codec.decode(i).encode()).hexdigest() for i in ids]
+            out["decoded_sha256"] = [hashlib.sha256(d.encode()).hexdigest() for d in codec.decode(ids)]
             yield out | {"ids": ids}
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
