@@ -48,6 +48,14 @@ def div(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation as an aggregate over the rows where both are present; NULL when either does not vary."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def flag(cond: Column) -> Column:
     """0/1 integer flag; an undecidable condition counts as 0."""
     return F.coalesce(cond, F.lit(False)).cast("int")
@@ -57,6 +65,15 @@ def zero_if_null(x: str | Column, value: float = 0.0) -> Column:
     return F.coalesce(col(x), F.lit(value))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys where a missing key equals a missing key; the keys of the left side stay."""
+    marked = right.withColumnsRenamed({k: f"{k}__r" for k in keys})
+    cond = left[keys[0]].eqNullSafe(marked[f"{keys[0]}__r"])
+    for k in keys[1:]:
+        cond = cond & left[k].eqNullSafe(marked[f"{k}__r"])
+    return left.join(marked, cond, how).drop(*[f"{k}__r" for k in keys])
+
+
 def nan_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Map NaN to NULL in floating columns so every operator sees one kind of missing."""
     kinds = {"double", "float"}

@@ -198,7 +198,7 @@ def regime_clusters(df: DataFrame, *, columns: Sequence[str] = ("hellmann_alpha"
 
 
 def hourly_models(train: DataFrame, val: DataFrame, *, features: Sequence[str], target: str, min_rows: int = 100, out: str = "hourly_pred", seed: int = 42, parallel: int = 4, **tree) -> DataFrame:
-    """One model per hour of day; hours with too few training rows use a model of all hours. Fits run side by side."""
+    """One model per hour of day; hours with too few training rows use a model of all hours, as ``hour_model`` tells. Fits run side by side."""
     rows = assemble(train.filter(c(target).isNotNull()), features).withColumn("_h", F.hour(TS)).persist(StorageLevel.MEMORY_AND_DISK)
     counts = {r["_h"]: r["count"] for r in rows.groupBy("_h").count().collect()}
     hours = [h for h in range(24) if counts.get(h, 0) >= min_rows]
@@ -210,10 +210,10 @@ def hourly_models(train: DataFrame, val: DataFrame, *, features: Sequence[str],
         models = dict(zip(wanted, pool.map(fit, wanted)))
     rows.unpersist()
     ahead = assemble(val, features).withColumn("_h", F.hour(TS))
-    parts = [models[h].copy({models[h].predictionCol: out}).transform(ahead.filter(c("_h") == h)) for h in hours]
+    parts = [models[h].copy({models[h].predictionCol: out}).transform(ahead.filter(c("_h") == h)).withColumn("hour_model", F.lit(h)) for h in hours]
     if None in models:
         rest = ahead.filter(~c("_h").isin(hours)) if hours else ahead
-        parts.append(models[None].copy({models[None].predictionCol: out}).transform(rest))
+        parts.append(models[None].copy({models[None].predictionCol: out}).transform(rest).withColumn("hour_model", F.lit(None).cast("int")))
     done = parts[0]
     for p in parts[1:]:
         done = done.unionByName(p)

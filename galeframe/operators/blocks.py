@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from galeframe.config import SITE, TS
+from galeframe.functions.nullsafe import join_null_safe
 
 ROW = "_row"
 BLOCK = "_block"
@@ -46,7 +47,8 @@ def with_row_number(
     """Add the zero-based position of each row inside its key, ordered by time.
 
     (keys, order) must be unique. A chunk holds at most ``chunk_seconds``
-    worth of rows, so no sort sees more than that.
+    worth of rows, so no sort sees more than that. Rows without a key or a time
+    are numbered too, those without a time first.
     """
     keys = list(keys)
     chunked = df.withColumn(CHUNK, F.floor(epoch(order) / F.lit(chunk_seconds)))
@@ -59,7 +61,7 @@ def with_row_number(
     w_rows = Window.partitionBy(*keys, CHUNK).orderBy(order)
     numbered = chunked.withColumn("_in_chunk", F.row_number().over(w_rows) - 1)
     return (
-        numbered.join(offsets, [*keys, CHUNK], "inner")
+        join_null_safe(numbered, offsets, [*keys, CHUNK])
         .withColumn(name, (F.col("_before") + F.col("_in_chunk")).cast("long"))
         .drop("_before", "_in_chunk", CHUNK)
     )

@@ -64,22 +64,22 @@ def impossible_reasons(df: DataFrame, *, out: str = "impossible_reason") -> Data
     return df.withColumns({"_is_impossible": c(out) != ""})
 
 
-def rule_guard(df: DataFrame, *, limit: float = 0.05, small_limit: float = 0.5, small: int = 100) -> DataFrame:
-    """One row: rows per rule, flagged share, allowed share and verdict."""
+def rule_guard(df: DataFrame, *, limit: float = 0.05) -> DataFrame:
+    """One row: rows, rows per rule, flagged share, allowed share and verdict. Whoever checks few rows passes a higher limit."""
     rules = impossible_rules(df)
     any_rule = None
     for e in rules.values():
         any_rule = e if any_rule is None else any_rule | e
     out = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(any_rule).alias("n_flagged"),
                  *[F.count_if(e).alias(f"n_{n}") for n, e in rules.items()])
-    allowed = F.when(c("n_rows") >= small, F.lit(limit)).otherwise(F.lit(small_limit))
+    allowed = F.lit(float(limit))
     share = zero_if_null(div("n_flagged", "n_rows"))
     return out.withColumns({"flagged_share": share, "allowed_share": allowed, "within_limit": share <= allowed})
 
 
-def require_sane_rules(df: DataFrame) -> DataFrame:
+def require_sane_rules(df: DataFrame, *, limit: float = 0.05) -> DataFrame:
     """Fail when the rules flag too large a share of the table."""
-    g = rule_guard(df).first()
+    g = rule_guard(df, limit=limit).first()
     if not g["within_limit"]:
         counts = ", ".join(f"{n}={g[f'n_{n}']}" for n in REASONS)
         raise CleanerSanityError(f"rules flag {g['flagged_share']:.3%} of {g['n_rows']} rows: {counts}")

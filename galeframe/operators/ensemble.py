@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from galeframe.functions.physics import power_law, square
 from galeframe.functions.rowstats import row_max, row_mean, row_median, row_min, row_range, row_rank, row_std
 from galeframe.operators.joins import LAYER_ALPHA, fill_zero
 from galeframe.operators.windows import trend_columns
+from galeframe.session import prepare
 
 c = F.col
 
@@ -27,7 +30,7 @@ def consensus_columns(df: DataFrame, *, fill: bool = True, reanalysis: str = "er
     """Three-source consensus with spread flag, bias of the farm forecast and, with a fourth source, its shift."""
     three = [n for n in (reanalysis, "gfs_ws100m", "ecmwf_ws100m") if n in df.columns]
     if len(three) < 2:
-        return df
+        raise KeyError(f"a consensus needs two of the three sources, found {three}")
     out = df.withColumns({"ens3_ws100_mean": row_mean(three), "ens3_ws100_std": row_std(three),
                           "ens3_ws100_range": row_range(three), "ens3_ws100_min": row_min(three), "ens3_ws100_max": row_max(three)})
     more: dict[str, Column] = {"ens3_spread_flag": flag(c("ens3_ws100_std") > 2.0)}
@@ -76,7 +79,7 @@ def rank_columns(df: DataFrame) -> DataFrame:
         df = df.withColumns({"_lifted": power_law("nasa_ws50m", 50.0, 100.0, 1.0 / 7.0)})
         members.append("_lifted")
     if len(members) < 3:
-        return df.drop("_own", "_lifted")
+        raise KeyError(f"a rank needs two sources beside the farm forecast, found {members[1:]}")
     top = len(members) - 1
     df = df.withColumns({"_rank": row_rank("_own", members, 0), "nwp_vs_ens_median": c("_own") - row_median(members)})
     ws = c("wind_speed_120m")
@@ -125,41 +128,44 @@ def identical_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def correlation_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, missing values replaced by the column mean.
+    """Pearson correlation of every pair of columns, missing values replaced by the column mean; 0 where one does not vary.
 
-    One aggregation over mean-filled columns; the result has one row per pair.
-    Wide tables go through MLlib's moment matrix, whose size depends on the
-    number of columns only.
+    Two passes, whatever the number of columns: means, then the centred products, which each task sums as one matrix.
+    The result has one row per pair. A column without any value counts as constant.
     """
-    means = df.agg(*[F.avg(n).alias(f"{n}__m") for n in names])
-    mean_of = means.first().asDict()
-    filled = df.select(*[F.coalesce(c(n).cast("double"), F.lit(mean_of[f"{n}__m"])).alias(n) for n in names])
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    if len(names) > 40:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-
-        vectors = VectorAssembler(inputCols=list(names), outputCol="_x").transform(filled).select("_x")
-        matrix = Correlation.corr(vectors, "_x").first()[0].toArray()
-        at = {n: i for i, n in enumerate(names)}
-        found = [(a, b, float(matrix[at[a], at[b]])) for a, b in pairs]
-        return df.sparkSession.createDataFrame(found, "first string, second string, correlation double")
-    wide = filled.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    rows = ", ".join(f"'{a}', '{b}', p{i}" for i, (a, b) in enumerate(pairs))
-    return wide.select(F.expr(f"stack({len(pairs)}, {rows}) AS (first, second, correlation)"))
-
-
-def drop_correlated(df: DataFrame, names: Sequence[str], *, threshold: float = 0.999) -> list[str]:
-    """Greedy choice in column order: keep a column unless it correlates above the threshold with a kept one.
-
-    Only the column-by-column matrix reaches the driver.
+    names = list(names)
+    mean_of = df.agg(*[F.avg(n).alias(f"m{i}") for i, n in enumerate(names)]).first()
+    centred = df.select(*[F.coalesce(c(n).cast("double") - F.lit(mean_of[i]), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(names)])
+    at = np.triu_indices(len(names))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names), len(names)))
+        for batch in batches:
+            x = np.stack([column.to_numpy() for column in batch.columns], 1)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(total[at])], ["i", "j", "s"])
+
+    prepare(df.sparkSession)
+    sums = centred.mapInArrow(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    own = sums.filter("i = j").select("i", F.sqrt("s").alias("own"))  # one row per column
+    pairs = sums.filter("i < j").join(own.select("i", c("own").alias("_a")), "i").join(own.select(c("i").alias("j"), c("own").alias("_b")), "j")
+    name = F.array(*[F.lit(n) for n in names])
+    return pairs.select(F.get(name, c("i")).alias("first"), F.get(name, c("j")).alias("second"), F.coalesce(F.try_divide(c("s"), c("_a") * c("_b")), F.lit(0.0)).alias("correlation"))
+
+
+def kept_columns(df: DataFrame, names: Sequence[str], *, threshold: float = 0.999) -> DataFrame:
+    """position, name and whether the greedy choice in column order keeps it: unless it correlates above the threshold
+    with a column kept before.
+
+    Only the column-by-column table reaches the driver.
     """
     seen = {(r["first"], r["second"]): r["correlation"] for r in correlation_table(df, names).collect()}
     kept: list[str] = []
     for n in names:
-        strongest = max((abs(seen[(k, n)] or 0.0) for k in kept), default=0.0)
-        if strongest <= threshold:
+        if all(abs(seen[k, n]) <= threshold for k in kept):
             kept.append(n)
-    return kept
+    return df.sparkSession.createDataFrame([(i, n, n in kept) for i, n in enumerate(names)], "position int, name string, kept boolean")
 
 
+def drop_correlated(df: DataFrame, names: Sequence[str], *, threshold: float = 0.999) -> list[str]:
+    return [r["name"] for r in kept_columns(df, names, threshold=threshold).filter("kept").orderBy("position").collect()]

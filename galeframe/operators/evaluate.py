@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from galeframe.config import DEFAULT, SITE, TARGET, TS, FarmConfig
 from galeframe.functions.curve import turbine_power_kw
-from galeframe.functions.nullsafe import bin_left_closed, bin_right_closed, clip, div, evaluate_once, sector_wrapped
+from galeframe.functions.nullsafe import bin_left_closed, bin_right_closed, clip, correlation, div, evaluate_once, sector_wrapped
 from galeframe.operators.ranks import percentiles
 
 c = F.col
@@ -135,8 +135,8 @@ def implied_wind(df: DataFrame, *, per_turbine_kw: str, rho: str = "air_density"
 
 
 def implied_wind_bias(df: DataFrame, *, power: str = TARGET, physical: str, wind: str = "wind_speed_120m", active: str = "active_turbines", ts: str = TS,
-                      min_rows: int = 3, cfg: FarmConfig = DEFAULT) -> DataFrame:
-    """Forecast wind minus implied wind, by wind bin and hour, over rows on the sloped part of the curve."""
+                      cfg: FarmConfig = DEFAULT) -> DataFrame:
+    """Forecast wind minus implied wind, by wind bin and hour, over rows on the sloped part of the curve; ``n`` tells how many."""
     rated = cfg.turbine_rated_mw * 1000.0
     df = df.withColumns({"_kw": F.when(c(active) > 0, c(power) * 1000.0 / c(active))})
     usable = (c(power) > 2.0) & (c("_kw") < rated * 0.95) & (c(power) < c(physical) * 1.3)
@@ -146,7 +146,7 @@ def implied_wind_bias(df: DataFrame, *, power: str = TARGET, physical: str, wind
     long = df.select("_bias", wind, "implied_ws", F.explode(item).alias("_g"))
     return long.groupBy(c("_g.grouping").alias("grouping"), c("_g.label").alias("label")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(wind).alias("mean_wind"), F.avg("implied_ws").alias("mean_implied"), F.avg("_bias").alias("mean_bias")
-    ).filter(c("label").isNotNull() & (c("n") >= min_rows))
+    ).filter(c("label").isNotNull())
 
 
 def variance_report(df: DataFrame, series: Mapping[str, Column], *, target: str, wind: str = "wind_speed_120m", base: Mapping[str, Column] | None = None, cfg: FarmConfig = DEFAULT) -> DataFrame:
@@ -159,7 +159,7 @@ def variance_report(df: DataFrame, series: Mapping[str, Column], *, target: str,
     for i, n in enumerate(names):
         naive = F.lit(means[i]) if base is None or n not in base else base[n] + F.lit(means[i])
         limited = F.greatest(F.lit(0.0), F.least(F.lit(cfg.capacity_mw), naive))
-        aggs += [F.avg(f"_s{i}").alias(f"m{i}"), F.stddev_pop(f"_s{i}").alias(f"d{i}"), F.var_pop(f"_s{i}").alias(f"v{i}"), F.corr(wind, f"_s{i}").alias(f"r{i}"),
+        aggs += [F.avg(f"_s{i}").alias(f"m{i}"), F.stddev_pop(f"_s{i}").alias(f"d{i}"), F.var_pop(f"_s{i}").alias(f"v{i}"), correlation(wind, f"_s{i}").alias(f"r{i}"),
                  (F.avg(F.abs(c(target) - limited)) / cfg.capacity_mw * 100.0).alias(f"e{i}")]
         rows.append(f"'{n}', m{i}, d{i}, v{i}/_vy, r{i}*r{i}, e{i}")
     return df.agg(*aggs).select(F.expr(f"stack({len(names)}, {', '.join(rows)}) AS (series, mean, std, variance_share, r2_wind, naive_nmae_pct)"))
@@ -198,7 +198,7 @@ def compare_forecasts(df: DataFrame, *, first: str, second: str, width: float =
     """Moments, percentiles, largest difference and correlation of two forecasts, one row."""
     gap = c(first) - c(second)
     sums = df.agg(F.count(F.lit(1)).alias("n"), F.avg(gap).alias("mean_diff"), F.avg(F.abs(gap)).alias("mean_abs_diff"), F.max(F.abs(gap)).alias("max_abs_diff"),
-                  F.corr(first, second).alias("correlation"),
+                  correlation(first, second).alias("correlation"),
                   *[e for tag, p in (("first", first), ("second", second)) for e in (F.avg(p).alias(f"{tag}_mean"), F.stddev_pop(p).alias(f"{tag}_std"), F.min(p).alias(f"{tag}_min"), F.max(p).alias(f"{tag}_max"))])
     for tag, p in (("first", first), ("second", second)):
         pct = percentiles(df, [], p, {f"{tag}_p05": 0.05, f"{tag}_p50": 0.5, f"{tag}_p95": 0.95}, width=width)
@@ -239,7 +239,7 @@ def curve_fit_report(df: DataFrame, columns: Sequence[str], *, target: str = TAR
     aggs, rows = [], []
     for i, n in enumerate(columns):
         gap = c(target) - c(n)
-        aggs += [F.corr(target, n).alias(f"r{i}"), F.avg(gap).alias(f"b{i}"), F.avg(F.abs(gap)).alias(f"m{i}"), F.stddev_samp(gap).alias(f"s{i}")]
+        aggs += [correlation(target, n).alias(f"r{i}"), F.avg(gap).alias(f"b{i}"), F.avg(F.abs(gap)).alias(f"m{i}"), F.stddev_samp(gap).alias(f"s{i}")]
         rows.append(f"'{n}', r{i}, b{i}, m{i}, s{i}")
     return df.agg(*aggs).select(F.expr(f"stack({len(columns)}, {', '.join(rows)}) AS (curve, correlation, mean_residual, mean_abs_residual, std_residual)"))
 

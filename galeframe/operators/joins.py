@@ -257,16 +257,11 @@ def join_surface_models(df: DataFrame, first: DataFrame, second: DataFrame, *, r
     return out.withColumns({"surface_model_spread_10m": row_std(low), "surface_model_spread_100m": row_std(high)})
 
 
-def columns_with_data(df: DataFrame, names: Sequence[str], *, more_than: int = 1_000) -> list[str]:
-    """Names with more than ``more_than`` values, from one aggregation."""
-    counts = df.agg(*[F.count(n).alias(n) for n in names]).first().asDict()
-    return [n for n in names if counts[n] > more_than]
-
-
-def join_ai_forecast(df: DataFrame, source: DataFrame, *, more_than: int = 1_000) -> DataFrame:
-    """Machine-learned forecasts; columns with too few values are left out."""
-    names = columns_with_data(source, [n for n in source.columns if n not in KEY], more_than=more_than)
-    out = join_source(df, source, keep=names)
+def join_ai_forecast(df: DataFrame, source: DataFrame, *, keep: Sequence[str]) -> DataFrame:
+    """Machine-learned forecasts. ``keep`` names the source's columns, so the result does not depend on how full they are."""
+    if absent := [n for n in keep if n not in source.columns]:
+        raise KeyError(f"source has no columns {absent}")
+    out = join_source(df, source, keep=list(keep))
     more: dict[str, Column] = {}
     if "graphcast_wind_speed_10m" in out.columns:
         more["gc_ws10_bias"] = c("wind_speed_10m") - c("graphcast_wind_speed_10m")

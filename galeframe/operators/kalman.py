@@ -116,14 +116,15 @@ def _prepared(df: DataFrame, value: Column, params: DataFrame | None, block_rows
     if params is None:
         return rows.withColumns({"_q": F.lit(FALLBACK_Q), "_r": F.lit(FALLBACK_R), "_p0": F.lit(FALLBACK_P0)})
     given = params.select(SITE, c("q").alias("_q"), c("r").alias("_r"), c("p0").alias("_p0"))
-    return rows.join(given, SITE, "inner")
+    own = {"_q": FALLBACK_Q, "_r": FALLBACK_R, "_p0": FALLBACK_P0}
+    return rows.join(given, SITE, "left").withColumns({n: F.coalesce(n, F.lit(v)) for n, v in own.items()})
 
 
 def smooth_level(df: DataFrame, value: Column, *, params: DataFrame | None = None, out: str = "level", filtered: str | None = None,
                  block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Smoothed local level of ``value`` per site (missing values allowed), and the filtered level when named.
 
-    ``params`` holds site, q, r and p0; without it the fallback values apply.
+    ``params`` holds site, q, r and p0; without it, and for sites it lacks, the fallback values apply.
     """
     rows = _prepared(df, value, params, block_rows)
     keys, blk = [SITE], [SITE, "_blk"]
@@ -268,9 +269,9 @@ def likelihood_table(df: DataFrame, value: Column, *, fit_filter: Column | None
 
 
 def choose_parameters(table: DataFrame, *, min_rows: int = 500) -> DataFrame:
-    """Best candidate per site; short series get the fallback values."""
+    """Best candidate per site; series with fewer observed rows get the fallback values, which ``fitted`` tells."""
     best = table.groupBy(SITE).agg(F.max_by(F.struct("q", "r"), F.struct("log_likelihood", -c("q"), -c("r"))).alias("_b"), F.max("n_observed").alias("n_observed"))
     enough = c("n_observed") >= min_rows
-    return best.select(SITE, "n_observed", F.when(enough, c("_b.q")).otherwise(F.lit(FALLBACK_Q)).alias("q"),
+    return best.select(SITE, "n_observed", enough.alias("fitted"), F.when(enough, c("_b.q")).otherwise(F.lit(FALLBACK_Q)).alias("q"),
                        F.when(enough, c("_b.r")).otherwise(F.lit(FALLBACK_R)).alias("r"),
                        F.when(enough, F.lit(FITTED_P0)).otherwise(F.lit(FALLBACK_P0)).alias("p0"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from galeframe.config import DEFAULT, SITE, TARGET, TS, FarmConfig
 from galeframe.functions.nullsafe import (
+    correlation,
     bin_even, bin_left_closed, bin_right_closed, clip, div, has, sector_clamped, sector_wrapped,
 )
 from galeframe.operators.isotonic import WIND_AXIS, apply_isotonic, fit_isotonic, segments
@@ -260,7 +261,7 @@ def source_agreement(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFra
     for i, (a, b) in enumerate(pairs):
         both = c(a).isNotNull() & c(b).isNotNull()
         gap = F.when(both, c(a) - c(b))
-        aggs += [F.count_if(both).alias(f"n{i}"), F.corr(a, b).alias(f"r{i}"), F.avg(gap).alias(f"d{i}"),
+        aggs += [F.count_if(both).alias(f"n{i}"), correlation(a, b).alias(f"r{i}"), F.avg(gap).alias(f"d{i}"),
                  F.avg(F.abs(gap)).alias(f"m{i}"), F.max(F.abs(gap)).alias(f"x{i}")]
         rows.append(f"'{a}', '{b}', n{i}, r{i}, d{i}, m{i}, x{i}")
     return df.agg(*aggs).select(F.expr(

@@ -1,23 +1,18 @@
-"""Small fitted tables: computed once, kept in the checkpoint folder, broadcast only when their size allows it."""
+"""Small fitted tables and cut lineage: written once to the shared folder and read back."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from galeframe.session import ensure_checkpoint_dir
+from galeframe.session import shared_folder
 
-BROADCAST_ROWS = 200_000
 
+def settle(table: DataFrame) -> DataFrame:
+    """Write a fitted table as Parquet to the cluster's shared folder and read it back.
 
-def settle(table: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Checkpoint a fitted table and count it.
-
-    Up to ``broadcast_rows`` rows it is marked for broadcast, so applying it
-    moves none of the large side; beyond that the join shuffles and adaptive
-    execution splits skewed keys. The checkpoint lies in the cluster's shared
-    folder, so a lost executor does not cause a new fit.
+    A lost executor then causes no new fit. The written size is what the planner knows of the table, so it broadcasts
+    by bytes (``spark.sql.autoBroadcastJoinThreshold``), and beyond them shuffles and splits skewed keys.
     """
-    ensure_checkpoint_dir(table.sparkSession)
-    kept = table.checkpoint()
-    return F.broadcast(kept) if kept.count() <= broadcast_rows else kept
+    folder = shared_folder(table.sparkSession)
+    table.write.parquet(folder)
+    return table.sparkSession.read.schema(table.schema).parquet(folder)

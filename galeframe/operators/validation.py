@@ -114,20 +114,27 @@ def warning_counts(cells: DataFrame, *, suppress: Sequence[str] = ()) -> DataFra
     return rows.groupBy("column_name", "check_name").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
-def validation_report(df: DataFrame, rules: TableRules, *, limit: int = MAX_LISTED_FAILURES) -> DataFrame:
-    """Listed failures (at most ``limit``, in a fixed order) with status, row count and truncation flag.
+def listed_failures(cells: DataFrame, *, limit: int = MAX_LISTED_FAILURES) -> DataFrame:
+    """The first failing cells in a fixed order, for a person to read; the whole list is ``cells``."""
+    return cells.orderBy("column_name", "check_name", SITE, TS).limit(limit)
 
-    The list is what a person reads; counts in the other columns cover every failure.
+
+def validation_report(df: DataFrame, rules: TableRules, *, limit: int = MAX_LISTED_FAILURES, failures_path: str | None = None) -> DataFrame:
+    """One row: status, counts over every failure, the first ``limit`` failures and where all of them are.
+
+    All failing cells are written as a table to ``failures_path`` when it is given.
     """
     cells = with_severity(failing_cells(df, rules))
+    if failures_path is not None:
+        cells.write.mode("overwrite").parquet(failures_path)
+        cells = df.sparkSession.read.schema(cells.schema).parquet(failures_path)
     totals = cells.agg(F.count(F.lit(1)).alias("n_failures"), F.count_if(c("severity") == "fatal").alias("n_fatal"))
     n_rows = df.agg(F.count(F.lit(1))).scalar()
     summary = totals.withColumns({
         "n_rows": n_rows, "failure_cases_truncated": c("n_failures") > limit,
         "status": F.when(c("n_fatal") > 0, "fatal").when(c("n_failures") > 0, "warning").otherwise("ok")})
-    listed = cells.orderBy("column_name", "check_name", SITE, TS).limit(limit)
-    cases = listed.agg(F.count(F.lit(1)).alias("n_listed"), F.collect_list(F.to_json(F.struct("*"))).alias("failure_cases"))
-    return summary.withColumns({"n_listed": cases.select("n_listed").scalar(), "failure_cases": cases.select("failure_cases").scalar()})
+    cases = listed_failures(cells, limit=limit).agg(F.count(F.lit(1)).alias("n_listed"), F.collect_list(F.to_json(F.struct("*"))).alias("failure_cases"))
+    return summary.withColumns({"failures_path": F.lit(failures_path), "n_listed": cases.select("n_listed").scalar(), "failure_cases": cases.select("failure_cases").scalar()})
 
 
 # --- publish gates: each returns the offending rows ---------------------------------------------

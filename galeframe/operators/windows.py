@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeframe.config import PRESSURE, SITE, TARGET, TS
-from galeframe.functions.nullsafe import clip, div, flag, unit_dot, zero_if_null
+from galeframe.functions.nullsafe import clip, correlation, div, flag, join_null_safe, unit_dot, zero_if_null
 from galeframe.operators.settle import settle
 from galeframe.operators.blocks import diff, epoch, lag, lead, roll_mean, roll_std, run_blocked, with_row_number
 
@@ -216,7 +216,8 @@ def walk_forward_rate(df: DataFrame, *, value: str, chunk_seconds: int = 60 * 86
     inside = Window.partitionBy(*keys, "_chunk").orderBy(TS).rowsBetween(Window.unboundedPreceding, -1)
     run = tagged.withColumns({
         "_rx": zero_if_null(F.sum("_x").over(inside)), "_rk": F.coalesce(F.sum("_k").over(inside), F.lit(0)),
-    }).join(totals, [*keys, "_chunk"], "inner")
+    })
+    run = join_null_safe(run, totals, [*keys, "_chunk"])
     count = c("_pk") + c("_rk")
     return run.withColumns({
         "avail_underprod_rate_mh": zero_if_null(div(c("_px") + c("_rx"), count)),
@@ -288,7 +289,7 @@ def lag_autocorrelation(df: DataFrame, *, value: str = TARGET, lags: Sequence[in
     def build(w):
         return [{f"_lag{n}": lag(value, n, w) for n in lags}]
     lagged = run_blocked(df.select(SITE, TS, value), build, back=max(lags))
-    wide = lagged.groupBy(SITE).agg(*[F.corr(value, f"_lag{n}").alias(f"_c{n}") for n in lags])
+    wide = lagged.groupBy(SITE).agg(*[correlation(value, f"_lag{n}").alias(f"_c{n}") for n in lags])
     pairs = ", ".join(f"{n}, _c{n}" for n in lags)
     return wide.select(SITE, F.expr(f"stack({len(lags)}, {pairs}) AS (lag, autocorrelation)"))
 

@@ -91,7 +91,7 @@ def _d6() -> str:
     from galeframe.plans.oracle.base import curve_macro
     body = _D6.replace("{pm}", curve_macro("mid", "air_density")).replace("WITH ", "WITH RECURSIVE ", 1)
     long = " UNION ALL ".join(f"SELECT '{g}' AS g, {_G5[g]} AS k, wind_speed_120m AS w, iw FROM iv" for g in ("all", "wind", "hour"))
-    return f"{body}, ll AS ({long}) SELECT " + cols({"mean_wind": "avg(w)", "mean_implied": "avg(iw)", "mean_bias": "avg(w-iw)"}, {"n": "count(*)"}, keys="g AS grouping, k AS label") + " FROM ll WHERE k IS NOT NULL GROUP BY g, k HAVING count(*) >= 3"
+    return f"{body}, ll AS ({long}) SELECT " + cols({"mean_wind": "avg(w)", "mean_implied": "avg(iw)", "mean_bias": "avg(w-iw)"}, {"n": "count(*)"}, keys="g AS grouping, k AS label") + " FROM ll WHERE k IS NOT NULL GROUP BY g, k"
 
 
 @query("D06_implied_wind", _d6())

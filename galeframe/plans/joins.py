@@ -172,15 +172,18 @@ def surface_models(spark, sf):
     return added(h, joins.join_surface_models(h, feed(spark, sf, "gem"), feed(spark, sf, "icon_global"), ref_100m="era5_wind_speed_100m"))
 
 
+AI_COLUMNS = ("aifs_wind_speed_100m", "aifs_wind_direction_100m", "graphcast_wind_speed_10m", "graphcast_wind_direction_10m", "graphcast_pressure_msl")
+
+
 @query("J11_ai_forecast", with_(HOURLY, feed_cte("ai"), feed_cte("reanalysis"), """j AS (SELECT h.*, a.* EXCLUDE (site_id, ts), e.wind_speed_100m AS e100
    FROM hourly h LEFT JOIN ai a USING (site_id, ts) LEFT JOIN reanalysis e USING (site_id, ts))""") + "SELECT " + cols({
-    **{n: n for n in ("aifs_wind_speed_100m", "aifs_wind_direction_100m", "graphcast_wind_speed_10m", "graphcast_wind_direction_10m", "graphcast_pressure_msl")},
+    **{n: n for n in AI_COLUMNS},
     "gc_ws10_bias": "wind_speed_10m-graphcast_wind_speed_10m", "gc_pressure_bias": "pressure_msl-graphcast_pressure_msl", "aifs_ws100_vs_80": "aifs_wind_speed_100m-wind_speed_80m",
     "aifs_ws100_cube": "pow(aifs_wind_speed_100m,3)", "era5_aifs_ws_diff": "e100-aifs_wind_speed_100m", "aifs_dir100_sin": "sin(radians(coalesce(aifs_wind_direction_100m,0)))",
     "aifs_dir100_cos": "cos(radians(coalesce(aifs_wind_direction_100m,0)))"}) + " FROM j")
 def ai_forecast(spark, sf):
     h = with_feed(spark, sf, hourly(spark, sf), "era5")
-    return added(h, joins.join_ai_forecast(h, feed(spark, sf, "ai"), more_than=100))
+    return added(h, joins.join_ai_forecast(h, feed(spark, sf, "ai"), keep=AI_COLUMNS))
 
 
 @query("J12_coverage", with_(HOURLY, feed_cte("gfs")) + "SELECT " + cols({"matched_share": "avg(CASE WHEN g.wind_speed_100m IS NULL THEN 0 ELSE 1 END)"},
@@ -316,3 +319,24 @@ _CORR = ("wind_speed_120m", "wind_speed_80m", "wind_speed_180m", "temperature_80
     + " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second, round(corr({a}, {b}), 6)+0.0e0 AS correlation FROM f" for i, a in enumerate(_CORR) for b in _CORR[i + 1:]))
 def correlation(spark, sf):
     return ensemble.correlation_table(hourly(spark, sf), _CORR)
+
+
+# 47 columns: the first is constant, every fifth is a line of the one before it, one has missing values.
+_WIDE = {"x0": "1.0e0"} | {f"x{k}": f"(((m*{15 + 2 * k})%101)/7.0e0)" for k in range(1, 47) if k % 5}
+_WIDE |= {f"x{k}": f"({_WIDE[f'x{k - 1}']}*2.0e0+1.0e0)" for k in range(5, 47, 5)}
+_WIDE["x7"] = f"CASE WHEN m%9=0 THEN NULL ELSE {_WIDE['x7']} END"
+_WIDE = {f"x{k}": _WIDE[f"x{k}"] for k in range(47)}
+_FAR = [(i, j) for j in range(47) for i in range(j)]
+
+
+@query("E07_kept_columns", with_(HOURLY, "w AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _WIDE.items()) + " FROM hourly)",
+    "f AS (SELECT " + ", ".join(f"coalesce({n}, (SELECT avg({n}) FROM w)) AS {n}" for n in _WIDE) + " FROM w)",
+    "r AS (SELECT " + ", ".join(f"covar_pop(x{i}, x{j})/nullif(stddev_pop(x{i})*stddev_pop(x{j}), 0) AS r{i}_{j}" for i, j in _FAR) + " FROM f)",
+    "p AS (SELECT unnest([" + ", ".join(f"{{'i': {i}, 'j': {j}, 'r': r{i}_{j}}}" for i, j in _FAR) + "], recursive := true) FROM r)",
+    "strong AS (SELECT j, list(i) AS near FROM p WHERE abs(coalesce(r, 0)) > 0.999e0 GROUP BY j)",
+    """g AS (SELECT 0 AS i, [0] AS kept UNION ALL
+      SELECT g.i+1, CASE WHEN len(list_intersect(kept, coalesce(near, []))) = 0 THEN list_append(kept, g.i+1) ELSE kept END FROM g LEFT JOIN strong ON strong.j = g.i+1 WHERE g.i < 46)""", recursive=True)
+    + "SELECT n AS position, 'x' || n AS name, CAST(list_contains(kept, n) AS BIGINT) AS kept FROM g, range(47) t(n) WHERE g.i = 46")
+def kept_columns(spark, sf):
+    wide = hourly(spark, sf).selectExpr(*[f"{e} AS {n}" for n, e in _WIDE.items()])
+    return ensemble.kept_columns(wide, list(_WIDE))

@@ -15,6 +15,7 @@ from galeframe.plans.frames import base, with_feed
 from galeframe.plans.oracle.base import HOURLY, cols, feed_cte, with_
 from galeframe.plans.quality import _ODD, odd
 from galeframe.plans.registry import query
+from galeframe.session import shared_folder
 from galeframe.sources.derived import hourly, oof
 from galeframe.streaming import feeds
 
@@ -103,7 +104,7 @@ def noisy_median(spark, sf):
 
 def _as_feed(spark, df):
     """Write a table as feed files and open it as a stream."""
-    path = feeds.scratch(spark, "feed")
+    path = shared_folder(spark)
     df.write.parquet(path)
     return feeds.read_feed(spark, path, df.schema)
 

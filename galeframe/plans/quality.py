@@ -11,6 +11,7 @@ from galeframe.plans.frames import added, base, with_feed
 from galeframe.plans.lookups import iso_ctes, iso_lookup
 from galeframe.plans.oracle.base import BASE, HOURLY, OOF, OOF_ORDERS, cols, curve_ctes, feed_cte, with_
 from galeframe.plans.registry import query
+from galeframe.session import shared_folder
 from galeframe.sources import readers, writers
 from galeframe.sources.derived import feed, hourly, oof, oof_orders
 
@@ -123,9 +124,9 @@ def reasons(spark, sf):
     return added(o, cleaning.impossible_reasons(o))
 
 
-@query("C03_rule_guard", _ODD + "SELECT " + cols({"flagged_share": "avg(CASE WHEN reason <> '' THEN 1.0e0 ELSE 0 END)", "allowed_share": "CASE WHEN count(*) >= 100 THEN 0.05e0 ELSE 0.5e0 END"},
+@query("C03_rule_guard", _ODD + "SELECT " + cols({"flagged_share": "avg(CASE WHEN reason <> '' THEN 1.0e0 ELSE 0 END)", "allowed_share": "0.05e0"},
     {"n_rows": "count(*)", "n_flagged": "count(*) FILTER (reason <> '')", **{f"n_{n}": f"count(*) FILTER (is_{n})" for n in _RULES},
-     "within_limit": "CASE WHEN avg(CASE WHEN reason <> '' THEN 1.0e0 ELSE 0 END) <= CASE WHEN count(*) >= 100 THEN 0.05e0 ELSE 0.5e0 END THEN 1 ELSE 0 END"}, keys="") + " FROM rs")
+     "within_limit": "CASE WHEN avg(CASE WHEN reason <> '' THEN 1.0e0 ELSE 0 END) <= 0.05e0 THEN 1 ELSE 0 END"}, keys="") + " FROM rs")
 def rule_guard(spark, sf):
     return cleaning.rule_guard(odd(spark, sf))
 
@@ -348,15 +349,22 @@ def warning_counts(spark, sf):
 
 
 @query("S12_validation_report", _DIRTY + ", " + _cells(*_V1) + f""" SELECT CASE WHEN count(*) FILTER ({_SEV} = 'fatal') > 0 THEN 'fatal' WHEN count(*) > 0 THEN 'warning' ELSE 'ok' END AS status,
-   (SELECT count(*) FROM dirty) AS n_rows, count(*) AS n_failures, count(*) FILTER ({_SEV} = 'fatal') AS n_fatal, CAST(count(*) > 50 AS BIGINT) AS failure_cases_truncated, least(50, count(*)) AS n_listed FROM cells""")
+   (SELECT count(*) FROM dirty) AS n_rows, count(*) AS n_failures, count(*) FILTER ({_SEV} = 'fatal') AS n_fatal, CAST(count(*) > 1000 AS BIGINT) AS failure_cases_truncated, least(1000, count(*)) AS n_listed FROM cells""")
 def validation_report(spark, sf):
-    return validation.validation_report(dirty(spark, sf), validation.TRAINING_RULES, limit=50).drop("failure_cases")
+    return validation.validation_report(dirty(spark, sf), validation.TRAINING_RULES, failures_path=shared_folder(spark)).drop("failure_cases", "failures_path")
 
 
-@query("K03_capped_failures", _DIRTY + ", " + _cells(*_V1) + " SELECT column_name, check_name, site_id, ts FROM cells ORDER BY column_name, check_name, site_id, ts LIMIT 50")
+@query("S12_failure_table", _DIRTY + ", " + _cells(*_V1) + f" SELECT site_id, ts, column_name, check_name, round(failure_value, 6)+0.0e0 AS failure_value, {_SEV} AS severity FROM cells")
+def failure_table(spark, sf):
+    path = shared_folder(spark)
+    validation.validation_report(dirty(spark, sf), validation.TRAINING_RULES, failures_path=path)
+    return spark.read.parquet(path)
+
+
+@query("K03_capped_failures", _DIRTY + ", " + _cells(*_V1) + " SELECT column_name, check_name, site_id, ts FROM cells ORDER BY column_name, check_name, site_id, ts LIMIT 1000")
 def capped_failures(spark, sf):
     cells = validation.failing_cells(dirty(spark, sf), validation.TRAINING_RULES)
-    return cells.orderBy("column_name", "check_name", SITE, TS).limit(50).select("column_name", "check_name", SITE, TS)
+    return validation.listed_failures(cells).select("column_name", "check_name", SITE, TS)
 
 
 def _gated(spark, sf):

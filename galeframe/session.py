@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import sys
+import uuid
 
-from pyspark import cloudpickle
+from pyspark import SparkContext, cloudpickle
 from pyspark.sql import SparkSession
 
 RUNTIME_SETTINGS = {
@@ -28,16 +30,29 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; fall back to a fresh local one only in local mode."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; below the warehouse, which executors share too, where that is unset.
+
+    The folders of a session are deleted when the program ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_tables"
+    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if not _FOLDERS:
+        atexit.register(_remove_folders)
+    _FOLDERS.append(folder)
+    return folder
+
+
+_FOLDERS: list[str] = []
+
+
+def _remove_folders() -> None:
+    jvm = SparkContext._jvm
+    if jvm is None:
         return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="galeframe-ckpt-")
-    sc.setCheckpointDir(folder)
+    for folder in _FOLDERS:
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the JVM may have ended before
+            return

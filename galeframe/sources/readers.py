@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from galeframe.config import SITE, TARGET, TS
-from galeframe.functions.nullsafe import nan_to_null
+from galeframe.functions.nullsafe import join_null_safe, nan_to_null
 from galeframe.session import prepare
 
 c = F.col
@@ -59,7 +59,7 @@ def with_position(df: DataFrame, *, order: Sequence[Column], chunk: Column, desc
     offsets = sizes.select("_pos_chunk", F.coalesce(
         F.sum("_k").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     numbered = tagged.withColumn("_in", F.row_number().over(w_rows) - 1)
-    return (numbered.join(offsets, "_pos_chunk", "inner").withColumn(name, (c("_before") + c("_in")).cast("long"))
+    return (join_null_safe(numbered, offsets, ["_pos_chunk"]).withColumn(name, (c("_before") + c("_in")).cast("long"))
             .drop("_pos_chunk", "_before", "_in"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -16,7 +15,7 @@ from galeframe.config import SITE, TARGET, TS
 from galeframe.operators.cleaning import impossible_reasons
 from galeframe.operators.kalman import FALLBACK_P0, FALLBACK_Q, FALLBACK_R
 from galeframe.operators.validation import gust_below_mean
-from galeframe.session import ensure_checkpoint_dir
+from galeframe.session import shared_folder
 
 c = F.col
 
@@ -86,12 +85,6 @@ def filter_levels(stream: DataFrame, *, q: float = FALLBACK_Q, r: float = FALLBA
     return rows.groupBy(SITE).transformWithStateInPandas(LevelFilter(q, r, p0), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the checkpoint folder, shared by all executors."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def run_available(out: DataFrame, *, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over everything available and return its table.
 
@@ -99,7 +92,7 @@ def run_available(out: DataFrame, *, keys: list[str] | None = None) -> DataFrame
     per batch and the last version of each key is kept.
     """
     spark = out.sparkSession
-    home = scratch(spark, "stream")
+    home = shared_folder(spark)
     target, state = f"{home}/out", f"{home}/state"
     if keys is None:
         query = out.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()

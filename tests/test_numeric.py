@@ -203,3 +203,27 @@ def test_bins_and_sectors(spark):
     last = next(r for r in rows if r["v"] == 360.0)
     assert (last["w"], last["k"]) == (0, 7)
     assert next(r for r in rows if r["v"] is None)["q"] is None
+
+
+def test_constant_series_have_no_correlation(spark):
+    from galeframe.functions.nullsafe import correlation
+    from galeframe.operators import ensemble, windows
+
+    df = spark.createDataFrame([(1.0, float(i), None if i % 3 else float(i)) for i in range(30)], "a double, b double, z double")
+    row = df.agg(correlation("a", "b").alias("ab"), correlation("b", "z").alias("bz")).first()
+    assert row["ab"] is None and abs(row["bz"] - 1.0) < 1e-12
+    got = {(r["first"], r["second"]): r["correlation"] for r in ensemble.correlation_table(df, ["a", "b", "z"]).collect()}
+    assert got["a", "b"] == 0.0 == got["a", "z"] and 0 < got["b", "z"] < 1
+    wide = df.selectExpr("a AS x0", *[f"sin(b * {k}) AS x{k}" for k in range(1, 47)])
+    assert ensemble.drop_correlated(wide, [f"x{k}" for k in range(47)]) == [f"x{k}" for k in range(47)]
+    assert ensemble.drop_correlated(wide.selectExpr("x0", "x1", "x1 * 2 AS x2"), ["x0", "x1", "x2"]) == ["x0", "x1"]
+    flat = spark.createDataFrame([(1, __import__("datetime").datetime(2024, 1, 1, h), 5.0) for h in range(20)], "site_id long, ts timestamp_ntz, power_mw double")
+    assert all(r["autocorrelation"] is None for r in windows.lag_autocorrelation(flat).collect())
+
+
+def test_rows_without_a_time_stay_in_windows(spark):
+    from galeframe.operators.blocks import with_row_number
+
+    rows = [(1, None), (1, __import__("datetime").datetime(2024, 1, 1)), (None, __import__("datetime").datetime(2024, 1, 2))]
+    df = spark.createDataFrame(rows, "site_id long, ts timestamp_ntz")
+    assert with_row_number(df).count() == 3

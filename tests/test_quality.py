@@ -37,8 +37,9 @@ def test_weights_guard_and_header(spark):
     df = clean(spark, _2={"power_mw": 91.09})
     weights = [r["weight"] for r in cleaning.training_weights(df, year=2023, year_factor=0.7).orderBy("ts").collect()]
     assert weights == [0.7, 0.7, 0.0, 0.7, 0.7]
-    guard = cleaning.rule_guard(df).first()
+    guard = cleaning.rule_guard(df, limit=0.5).first()
     assert (guard["n_rows"], guard["n_flagged"], guard["allowed_share"], guard["within_limit"]) == (5, 1, 0.5, True)
+    assert not cleaning.rule_guard(df).first()["within_limit"]  # one limit, whatever the number of rows
     wild = clean(spark, **{f"_{i}": {"power_mw": 95.0} for i in range(4)})
     with pytest.raises(cleaning.CleanerSanityError, match="over_capacity=4"):
         cleaning.require_sane_rules(wild)
