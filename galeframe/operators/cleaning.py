@@ -29,14 +29,10 @@ class CleanerSanityError(ValueError):
 
 
 def impossible_rules(df: DataFrame, cfg: FarmConfig = DEFAULT) -> dict[str, Column]:
-    """The four impossible-row rules as boolean columns; anything unknown is False."""
-    zero = F.lit(0.0)
-    target = c(TARGET) if TARGET in df.columns else zero
-    ws120 = c("wind_speed_120m") if "wind_speed_120m" in df.columns else zero
-    gust = c("wind_gusts_10m") if "wind_gusts_10m" in df.columns else zero
-    active = cfg.total_turbines - (F.coalesce(c(REPAIR), F.lit(0)) if REPAIR in df.columns else F.lit(0))
-    winds = [c(n) for n in ("wind_speed_10m", "wind_speed_80m", "wind_speed_120m") if n in df.columns]
-    ws_max = F.greatest(*winds) if len(winds) > 1 else (winds[0] if winds else zero)
+    """The four impossible-row rules as boolean columns; anything unknown is False, a missing column an error."""
+    target, ws120, gust = c(TARGET), c("wind_speed_120m"), c("wind_gusts_10m")
+    active = cfg.total_turbines - F.coalesce(c(REPAIR), F.lit(0))
+    ws_max = F.greatest("wind_speed_10m", "wind_speed_80m", "wind_speed_120m")
     calm = (
         ((ws_max < 4.0) & (gust < 6.0) & (target > 20.0))
         | ((ws120 < 3.0) & (gust < 5.0) & (target > 15.0))

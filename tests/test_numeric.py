@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from galeframe.functions.curve import POWER_ANY_DENSITY_KW, POWER_BY_DENSITY_KW, turbine_power_kw
+from galeframe.functions.curve import POWER_KW, turbine_power_kw
 from galeframe.functions.nullsafe import bin_left_closed, bin_right_closed, clip, sector_clamped, sector_wrapped
 from galeframe.operators import analogs, cleaning, kalman, smoothing
 from galeframe.operators.isotonic import WIND_AXIS, apply_isotonic, fit_isotonic, segments
@@ -185,7 +185,9 @@ def test_nearest_rows_in_blocks_equal_brute_force(spark):
 
 
 def test_power_curve_knots_and_limits(spark):
-    points = [(float(w), 1.225, float(v[6])) for w, v in POWER_BY_DENSITY_KW.items()] + [(float(w), 1.1, float(v)) for w, v in POWER_ANY_DENSITY_KW.items()]
+    points = [(float(w), 1.225, float(v[6])) for w, v in POWER_KW.items()]
+    # knots stated a second time, so that a wrong table value cannot pass both sides
+    points += [(3.0, 1.06, 29.0), (7.0, 1.15, 1243.0), (10.0, 1.27, 3247.0), (12.0, 1.225, 3452.0), (15.0, 1.1, 3465.0), (20.0, 1.2, 3325.0), (25.0, 1.0, 2418.0)]
     points += [(5.0, 1.225, 434.0), (10.0, 1.225, 3208.0), (8.0, 1.12, 1823.0), (8.0, 1.27, 2067.0), (2.9, 1.2, 0.0), (27.5, 1.2, 0.0), (26.0, 1.2, 2418.0), (8.0, 2.0, 2067.0), (8.5, 1.06, (1724 + 2410) / 2)]
     df = spark.createDataFrame(points, "w double, r double, want double")
     assert all(near(r["kw"], r["want"], 1e-9) for r in df.withColumn("kw", turbine_power_kw("w", "r")).collect())
