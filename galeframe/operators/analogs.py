@@ -1,8 +1,10 @@
 """Analog forecasts: the most similar past hours of a site.
 
-Exact nearest rows without a cross join: training and scoring rows of a site
-are cut into bounded blocks, every pair of blocks meets in one task, which
-returns only its best K per scoring row, and the blocks' lists are merged.
+Exact nearest rows with pruning: training rows lie in cells along the leading
+coordinate, cells in blocks of bounded size. A scoring row first meets one block
+of its own cell, whose k-th distance bounds the search; then it visits only the
+cells that are no farther along the leading coordinate than that bound. Each
+meeting returns its best k per scoring row, and the lists are merged.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from galeframe.operators.settle import settle
 c = F.col
 
 BLOCK_ROWS = 20_000
+CELL_WIDTH = 0.25  # of a standardised leading coordinate
 _QUERY_STEP = 256
 
 
@@ -41,7 +44,10 @@ def usable_history(target: str, wind: str = "wind_speed_120m", cfg: FarmConfig =
 
 
 def scaled(train: DataFrame, score: DataFrame, features: dict[str, Column], keys: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both tables with the features standardised by the training rows of their key; incomplete rows drop out."""
+    """Both tables with the features standardised by the training rows of their key.
+
+    Only complete rows can be searched or found; callers join the result to their own rows.
+    """
     names = list(features)
     complete = None
     for n in names:
@@ -57,82 +63,118 @@ def scaled(train: DataFrame, score: DataFrame, features: dict[str, Column], keys
     return apply(train), apply(score), names
 
 
+def _closest(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers in ``x`` and distances of the k nearest rows of each row of ``y``; ties to earlier rows of ``x``."""
+    k = min(k, len(x))
+    rows, dist = np.empty((len(y), k), np.int64), np.empty((len(y), k))
+    for start in range(0, len(y), _QUERY_STEP):
+        part = y[start:start + _QUERY_STEP]
+        d = np.zeros((len(part), len(x)))
+        for j in range(x.shape[1]):
+            d += (part[:, j:j + 1] - x[:, j]) ** 2
+        limit = np.partition(d, k - 1, axis=1)[:, k - 1:k]
+        place = np.where(d < limit, 0, np.where(d == limit, 1, 2))
+        # all below the limit, then the first that equal it: a stable partition by place keeps the row order
+        near = np.argsort(place, axis=1, kind="stable")[:, :k]
+        near_d = np.take_along_axis(d, near, 1)
+        order = np.lexsort((near, near_d), axis=1)
+        rows[start:start + len(part)] = np.take_along_axis(near, order, 1)
+        dist[start:start + len(part)] = np.sqrt(np.take_along_axis(near_d, order, 1))
+    return rows, dist
+
+
+def _cell(feature: str) -> Column:
+    return F.floor(c(feature) / CELL_WIDTH)
+
+
 def nearest(train: DataFrame, score: DataFrame, features: Sequence[str], *, k: int, keys: Sequence[str] = (SITE,), carry: Sequence[str] = (),
             block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k nearest training rows of each scoring row: keys, ts, distance, rank and the carried training columns.
 
-    Ties go to the earlier training hour.
+    Ties go to the earlier training hour. The first of ``features`` is the leading coordinate.
     """
     keys, features, carry = list(keys), list(features), list(carry)
-
-    def n_blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias(name))
-    sizes = settle(n_blocks(train, "_nt").join(n_blocks(score, "_nq"), keys, "inner"))
-
-    def part(own: str) -> Column:
-        return F.pmod(F.xxhash64(TS), c(own))
-
-    def every(other: str) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), c(other) - 1))
+    lead = features[0]
+    cells = settle(train.groupBy(*keys, _cell(lead).alias("_cell")).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("_blocks")))
+    # One short list per key: its cells and their numbers of blocks.
+    lists = settle(cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_cell", "_blocks"))).alias("_cells")))
+    block = [*keys, "_cell", "_block"]
 
     def fresh(names: Sequence[str]) -> list[Column]:
         # New column identities, because both sides may come from one table.
         return [c(n).alias(n) for n in names]
-    t = train.join(sizes, keys, "inner").select(*fresh(keys), *fresh([TS, *features, *carry]), part("_nt").alias("_tb"), every("_nq").alias("_qb"))
-    q = score.join(sizes, keys, "inner").select(*fresh(keys), *fresh([TS, *features]), part("_nq").alias("_qb"), every("_nt").alias("_tb"))
+    t = train.withColumn("_cell", _cell(lead)).join(cells, [*keys, "_cell"], "inner")
+    t = t.select(*fresh([*keys, TS, *features, *carry]), "_cell", F.pmod(F.xxhash64(TS), c("_blocks")).alias("_block"))
+    q = score.select(*fresh([*keys, TS, *features]))
     kinds = {f.name: f.dataType for f in t.schema.fields}
-    schema = T.StructType([*[T.StructField(n, kinds[n]) for n in keys], T.StructField(TS, kinds[TS]), T.StructField("analog_ts", kinds[TS]),
-                           T.StructField("distance", T.DoubleType()), *[T.StructField(n, kinds[n]) for n in carry]])
+    own = [T.StructField(n, kinds[n]) for n in keys] + [T.StructField(TS, kinds[TS])]
+
+    def bound(tp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
+        if len(qp) == 0:
+            return qp[[*keys, TS]].assign(_bound=np.empty(0))
+        far = np.full(len(qp), np.inf)
+        if len(tp) >= k:
+            far = _closest(tp[features].to_numpy(dtype=np.float64), qp[features].to_numpy(dtype=np.float64), k)[1][:, -1]
+        return qp[[*keys, TS]].assign(_bound=far)
 
     def best(tp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
         if len(tp) == 0 or len(qp) == 0:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return empty.copy()
         tp = tp.sort_values(TS)
-        x = tp[features].to_numpy(dtype=np.float64)
-        y = qp[features].to_numpy(dtype=np.float64)
-        take = min(k, len(x))
-        rows_q, rows_t, dist = [], [], []
-        for start in range(0, len(y), _QUERY_STEP):
-            part_y = y[start:start + _QUERY_STEP]
-            d = np.zeros((len(part_y), len(x)))
-            for j in range(x.shape[1]):
-                d += (part_y[:, j:j + 1] - x[:, j]) ** 2
-            limit = np.partition(d, take - 1, axis=1)[:, take - 1]
-            for i in range(len(part_y)):
-                near = np.flatnonzero(d[i] <= limit[i])
-                near = near[np.argsort(d[i][near], kind="stable")[:take]]
-                rows_q.append(np.full(len(near), start + i))
-                rows_t.append(near)
-                dist.append(np.sqrt(d[i][near]))
-        qi, ti = np.concatenate(rows_q), np.concatenate(rows_t)
+        rows, dist = _closest(tp[features].to_numpy(dtype=np.float64), qp[features].to_numpy(dtype=np.float64), k)
+        qi, ti, dist = np.repeat(np.arange(len(qp)), rows.shape[1]), rows.ravel(), dist.ravel()
+        near = dist <= qp["_bound"].to_numpy()[qi]
+        qi, ti, dist = qi[near], ti[near], dist[near]
         out = {n: qp[n].to_numpy()[qi] for n in [*keys, TS]}
-        out |= {"analog_ts": tp[TS].to_numpy()[ti], "distance": np.concatenate(dist)}
+        out |= {"analog_ts": tp[TS].to_numpy()[ti], "distance": dist}
         out |= {n: tp[n].to_numpy()[ti] for n in carry}
         return pd.DataFrame(out)
-    pair = [*keys, "_tb", "_qb"]
-    lists = spread(t, *pair).groupBy(*pair).cogroup(spread(q, *pair).groupBy(*pair)).applyInPandas(best, schema)
+    schema = T.StructType([*own, T.StructField("analog_ts", kinds[TS]), T.StructField("distance", T.DoubleType()), *[T.StructField(n, kinds[n]) for n in carry]])
+    empty = pd.DataFrame({f.name: pd.Series([], dtype="datetime64[ns]" if f.name in (TS, "analog_ts") else None) for f in schema.fields})
+    grouped = spread(t, *block).groupBy(*block)
+    first = q.withColumns({"_cell": _cell(lead), "_block": F.lit(0).cast("long")})
+    bounds = settle(spread(t.filter(c("_block") == 0), *block).groupBy(*block).cogroup(spread(first, *block).groupBy(*block))
+                    .applyInPandas(bound, T.StructType([*own, T.StructField("_bound", T.DoubleType())])))
+    reach = q.join(bounds, [*keys, TS], "inner").join(lists, keys, "inner")
+    # distance along the leading coordinate to the nearer edge of the cell, with room for rounding
+    low, high = (lambda x: x["_cell"] * F.lit(CELL_WIDTH)), (lambda x: (x["_cell"] + 1) * F.lit(CELL_WIDTH))
+    visited = F.filter("_cells", lambda x: F.greatest(low(x) - c(lead), c(lead) - high(x), F.lit(0.0)) <= c("_bound") * (1 + 1e-9) + 1e-9)
+    pairs = reach.withColumn("_at", F.explode(visited)).withColumns({"_cell": c("_at._cell"), "_block": F.explode(F.sequence(F.lit(0).cast("long"), c("_at._blocks") - 1))})
+    found = grouped.cogroup(spread(pairs.select(*keys, TS, *features, "_bound", "_cell", "_block"), *block).groupBy(*block)).applyInPandas(best, schema)
     w = Window.partitionBy(*keys, TS).orderBy("distance", "analog_ts")
-    return lists.withColumn("rank", F.row_number().over(w)).filter(c("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(c("rank") <= k)
+
+
+def _analog_statistics(history: DataFrame, score: DataFrame, *, k: int, quantile: float, keys: list[str], block_rows: int) -> DataFrame:
+    """Statistics of each scoring row's analogs; a row has at most k of them, so its exact percentile is small work."""
+    t, q, names = scaled(history, score, weather_features(), keys)
+    near = nearest(t, q, names, k=k, keys=keys, carry=["_per_turbine"], block_rows=block_rows)
+    weight = 1.0 / (c("distance") + 1e-6)
+    return near.groupBy(*keys, TS).agg(
+        F.percentile("_per_turbine", F.lit(quantile)).alias("_q"), F.percentile("_per_turbine", F.lit(0.5)).alias("_med"),
+        (F.sum(weight * c("_per_turbine")) / F.sum(weight)).alias("_mean"), F.count(F.lit(1)).alias("_n"))
 
 
 def analog_forecast(train: DataFrame, score: DataFrame, *, target: str, active: str = "active_turbines", k: int = 100, quantile: float = 0.55,
                     keys: Sequence[str] = (SITE,), min_train: int = 1, block_rows: int = BLOCK_ROWS, cfg: FarmConfig = DEFAULT) -> DataFrame:
     """Percentile, median and inverse-distance mean of the analogs' per-turbine power, times the active turbines now.
 
-    A scoring row has at most k analogs, so its exact percentile is small work.
+    Every scoring row comes back. Rows whose key has fewer than ``min_train`` training rows search their whole site, as
+    ``whole_site`` tells; rows without any analog (no history, a missing feature) have ``n_analogs`` 0 and no forecast.
     """
     keys = list(keys)
     history = train.filter(usable_history(target, cfg=cfg)).withColumns({"_per_turbine": div(target, F.greatest(c(active), F.lit(1)))})
-    if min_train > 1:
-        enough = history.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(c("_n") >= min_train).drop("_n")
-        history = history.join(enough, keys, "left_semi")
-    t, q, names = scaled(history, score, weather_features(), keys)
-    near = nearest(t, q, names, k=k, keys=keys, carry=["_per_turbine"], block_rows=block_rows)
-    weight = 1.0 / (c("distance") + 1e-6)
-    stats = near.groupBy(*keys, TS).agg(
-        F.percentile("_per_turbine", F.lit(quantile)).alias("_q"), F.percentile("_per_turbine", F.lit(0.5)).alias("_med"),
-        (F.sum(weight * c("_per_turbine")) / F.sum(weight)).alias("_mean"), F.count(F.lit(1)).alias("n_analogs"))
-    joined = score.select(*keys, TS, active).join(stats, [*keys, TS], "inner")
+    how = {"k": k, "quantile": quantile, "block_rows": block_rows}
+    if keys == [SITE]:
+        marked = score.withColumn("whole_site", F.lit(True))
+        stats = _analog_statistics(history, score, keys=keys, **how)
+    else:
+        enough = settle(history.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter(c("_k") >= min_train).select(*keys, F.lit(True).alias("_own")))
+        marked = score.join(enough, keys, "left").withColumn("whole_site", c("_own").isNull()).drop("_own")
+        narrow = _analog_statistics(history.join(enough, keys, "left_semi"), marked.filter(~c("whole_site")), keys=keys, **how)
+        wide = _analog_statistics(history, marked.filter("whole_site"), keys=[SITE], **how)
+        stats = narrow.drop(*[n for n in keys if n != SITE]).unionByName(wide)
+    joined = marked.select(*keys, TS, active, "whole_site").join(stats, [SITE, TS], "left")
     raw = {"analog_quantile_mw": "_q", "analog_median_mw": "_med", "analog_mean_mw": "_mean"}
     joined = joined.withColumns({v: c(v) * c(active) for v in raw.values()})
-    return joined.select(*keys, TS, *[clip(v, 0.0, cfg.capacity_mw).alias(n) for n, v in raw.items()], "n_analogs")
+    return joined.select(*keys, TS, *[clip(v, 0.0, cfg.capacity_mw).alias(n) for n, v in raw.items()], F.coalesce("_n", F.lit(0)).cast("long").alias("n_analogs"), "whole_site")

@@ -282,3 +282,21 @@ def strength_grid(pred: str, wind: str, *, levels: Sequence[float] = (0.0, 0.3,
     past = (c(wind) >= 18).cast("double")
     return {"/".join(f"{s:g}" for s in (a, b, s)): c(pred) + high * (biases[0] * a) + past * (biases[1] * b) + biases[2] * s
             for a, b, s in product(levels, repeat=3)}
+
+
+def forecast_path(forecast: DataFrame, history: DataFrame, weather: DataFrame, *, pred: str, wind: str, target: str, analog_share: float = 0.07, out: str = "forecast_mw",
+                  cfg: FarmConfig = DEFAULT) -> DataFrame:
+    """From raw predictions to the submitted forecast: regime correction, analog blend, smoothing in time order, limits, position.
+
+    ``weather`` holds the scoring hours' weather for the analog search in ``history``; hours without analogs keep the
+    corrected value.
+    """
+    from galeframe.operators.analogs import analog_forecast
+    from galeframe.operators.smoothing import quadratic_smooth
+    from galeframe.sources.readers import scoring_table
+
+    corrected = regime_bias_correction(forecast.select(SITE, TS, pred, wind), pred=pred, wind=wind, out="_corrected", cfg=cfg)
+    analogs = analog_forecast(history, weather, target=target, cfg=cfg).select(SITE, TS, "analog_quantile_mw")
+    blend = (1.0 - analog_share) * c("_corrected") + analog_share * F.coalesce("analog_quantile_mw", "_corrected")
+    blended = corrected.join(analogs, [SITE, TS], "left").withColumns({"_blend": blend}).select(SITE, TS, "_blend")
+    return scoring_table(quadratic_smooth(blended, pred="_blend", out=out, cfg=cfg)).drop("_blend")

@@ -107,20 +107,30 @@ def regime_affine(spark, sf):
     return d.select(SITE, TS, "affine_mw")
 
 
-K = 25
+K, K_SECTOR = 100, 50
 _CUT = "2024-01-25 00:00:00"
 _FEAT = ("wind_speed_120m*3.0e0", "wind_speed_80m", "wind_speed_10m", "temperature_80m", "pressure_msl/100.0e0", "wind_gusts_10m", "sin(2*pi()*hour(ts)/24)", "cos(2*pi()*hour(ts)/24)")
+_HISTORY = ("b AS (SELECT *, 26-n_repair AS act, least(7, CAST(floor(wind_direction_120m*1000/45) AS INT)) AS sec, " + ", ".join(f"{e} AS f{i}" for i, e in enumerate(_FEAT)) + " FROM hourly)",
+            f"t AS (SELECT * FROM b WHERE ts < TIMESTAMP '{_CUT}' AND power_mw BETWEEN 0 AND 90.09e0 AND NOT (wind_speed_120m > 8 AND power_mw < 5))", f"q AS (SELECT * FROM b WHERE ts >= TIMESTAMP '{_CUT}')")
 
 
-def _knn(keys: str, extra: str, min_train: int = 1) -> str:
-    on = " AND ".join(f"t.{k.strip()} = q.{k.strip()}" for k in keys.split(","))
-    f = ", ".join(f"{e} AS f{i}" for i, e in enumerate(_FEAT))
+def _knn(keys: str, k: int, *, train: str = "t", score: str = "q", name: str = "n") -> str:
+    """CTEs that end in the k nearest training rows of each scoring row."""
+    on = " AND ".join(f"t.{x.strip()} = q.{x.strip()}" for x in keys.split(","))
     st = ", ".join(f"avg(f{i}) AS m{i}, stddev_pop(f{i}) AS s{i}" for i in range(8))
     d = "+".join(f"pow((q.f{i}-t.f{i})/z.s{i}, 2)" for i in range(8))
-    return with_(HOURLY, f"b AS (SELECT *, 26-n_repair AS act, {f}{extra} FROM hourly)", f"""t AS (SELECT * FROM b WHERE ts < TIMESTAMP '{_CUT}' AND power_mw BETWEEN 0 AND 90.09e0 AND NOT (wind_speed_120m > 8 AND power_mw < 5)
-      QUALIFY count(*) OVER (PARTITION BY {keys}) >= {min_train})""", f"q AS (SELECT * FROM b WHERE ts >= TIMESTAMP '{_CUT}')",
-        f"z AS (SELECT {keys}, {st} FROM t GROUP BY {keys})", f"""p AS (SELECT q.site_id, q.ts, q.act, t.power_mw/greatest(t.act, 1) AS pt, sqrt({d}) AS dist, t.ts AS tts FROM q JOIN t ON {on} JOIN z ON {on.replace('t.', 'z.')}),
-    n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY site_id, ts ORDER BY dist, tts) <= {K})""")
+    return f"""z{name} AS (SELECT {keys}, {st} FROM {train} GROUP BY {keys}),
+    p{name} AS (SELECT q.site_id, q.ts, q.act, t.power_mw/greatest(t.act, 1) AS pt, sqrt({d}) AS dist, t.ts AS tts FROM {score} q JOIN {train} t ON {on} JOIN z{name} z ON {on.replace('t.', 'z.')}),
+    {name} AS (SELECT * FROM p{name} QUALIFY row_number() OVER (PARTITION BY site_id, ts ORDER BY dist, tts) <= {k})"""
+
+
+_BY_SITE = with_(HOURLY, *_HISTORY, _knn("site_id", K))
+_BY_SECTOR = with_(HOURLY, *_HISTORY, f"e AS (SELECT site_id, sec FROM t GROUP BY 1, 2 HAVING count(*) >= {K_SECTOR})", "ts AS (SELECT t.* FROM t SEMI JOIN e USING (site_id, sec))",
+    "qs AS (SELECT q.* FROM q SEMI JOIN e USING (site_id, sec))", "qw AS (SELECT q.* FROM q ANTI JOIN e USING (site_id, sec))", _knn("site_id, sec", K_SECTOR, train="ts", score="qs", name="ns"),
+    _knn("site_id", K_SECTOR, score="qw", name="nw"), "n AS (SELECT *, 0 AS whole FROM ns UNION ALL SELECT *, 1 AS whole FROM nw)")
+# every scoring row, with its analogs where there are any
+_ALL = " FROM q LEFT JOIN n ON n.site_id = q.site_id AND n.ts = q.ts GROUP BY q.site_id, q.ts"
+_QKEYS = "q.site_id, CAST(q.ts AS VARCHAR) AS ts"
 
 
 def _split(spark, sf):
@@ -129,23 +139,24 @@ def _split(spark, sf):
     return b.filter(F.col(TS) < cut), b.filter(F.col(TS) >= cut)
 
 
-@query("F08_analog_quantile", _knn("site_id", "") + "SELECT " + cols({"analog_quantile_mw": lim("quantile_cont(pt, 0.55)*any_value(act)"), "analog_median_mw": lim("median(pt)*any_value(act)")}, {"n_analogs": "count(*)"}) + " FROM n GROUP BY site_id, ts")
+@query("F08_analog_quantile", _BY_SITE + "SELECT " + cols({"analog_quantile_mw": f"CASE WHEN count(pt) > 0 THEN {lim('quantile_cont(pt, 0.55)*any_value(q.act)')} END", "analog_median_mw": f"CASE WHEN count(pt) > 0 THEN {lim('median(pt)*any_value(q.act)')} END"},
+    {"n_analogs": "count(pt)", "whole_site": "1"}, keys=_QKEYS) + _ALL)
 def analog_quantile(spark, sf):
     t, q = _split(spark, sf)
     return analogs.analog_forecast(t, q, target=TARGET, k=K).drop("analog_mean_mw")
 
 
-@query("F09_analog_mean", _knn("site_id", "") + "SELECT " + cols({"analog_mean_mw": lim("sum(pt/(dist+1e-6))/sum(1/(dist+1e-6))*any_value(act)")}) + " FROM n GROUP BY site_id, ts")
+@query("F09_analog_mean", _BY_SITE + "SELECT " + cols({"analog_mean_mw": f"CASE WHEN count(pt) > 0 THEN {lim('sum(pt/(dist+1e-6))/sum(1/(dist+1e-6))*any_value(q.act)')} END"}, keys=_QKEYS) + _ALL)
 def analog_mean(spark, sf):
     t, q = _split(spark, sf)
     return analogs.analog_forecast(t, q, target=TARGET, k=K).select(SITE, TS, "analog_mean_mw")
 
 
-@query("F10_analog_by_sector", _knn("site_id, sec", ", least(7, CAST(floor(wind_direction_120m*1000/45) AS INT)) AS sec", K) + "SELECT " + cols({"analog_median_mw": lim("median(pt)*any_value(act)")}, {"n_analogs": "count(*)"}) + " FROM n GROUP BY site_id, ts")
+@query("F10_analog_by_sector", _BY_SECTOR + "SELECT " + cols({"analog_median_mw": f"CASE WHEN count(pt) > 0 THEN {lim('median(pt)*any_value(q.act)')} END"}, {"n_analogs": "count(pt)", "whole_site": "coalesce(any_value(whole), 1)"}, keys=_QKEYS) + _ALL)
 def analog_by_sector(spark, sf):
     from galeframe.functions.nullsafe import sector_clamped
     t, q = (d.withColumn("sector", sector_clamped(F.col("wind_direction_120m") * 1000.0, 8)) for d in _split(spark, sf))
-    return analogs.analog_forecast(t, q, target=TARGET, k=K, keys=(SITE, "sector"), min_train=K).select(SITE, TS, "analog_median_mw", "n_analogs")
+    return analogs.analog_forecast(t, q, target=TARGET, k=K_SECTOR, keys=(SITE, "sector"), min_train=K_SECTOR).select(SITE, TS, "analog_median_mw", "n_analogs", "whole_site")
 
 
 _POS = with_(OOF, "s AS (SELECT *, pred_cf_mw AS p, row_number() OVER w AS i, count(*) OVER (PARTITION BY site_id) AS n FROM oof WINDOW w AS (PARTITION BY site_id ORDER BY ts))")
@@ -166,6 +177,21 @@ def quadratic_smooth(spark, sf):
     return smoothing.quadratic_smooth(oof(spark, sf).select(SITE, TS, "pred_cf_mw"), pred="pred_cf_mw").select(SITE, TS, "smooth_mw")
 
 
+_SHIFT = _STEP.format(a="0.7e0", b="0.5e0", s="0.7e0")
+_PATH = with_(OOF, *_HISTORY, _knn("site_id", K), f"a AS (SELECT site_id, ts, {lim('quantile_cont(pt, 0.55)*any_value(act)')} AS an FROM n GROUP BY 1, 2)",
+    f"c AS (SELECT o.site_id, o.ts, {lim('pred_cf_mw+' + _SHIFT)} AS k, a.an FROM oof o LEFT JOIN a ON a.site_id = o.site_id AND a.ts = o.ts WHERE o.ts >= TIMESTAMP '{_CUT}')",
+    "s AS (SELECT site_id, ts, 0.93e0*k+0.07e0*coalesce(an, k) AS p, row_number() OVER w AS i, count(*) OVER (PARTITION BY site_id) AS n FROM c WINDOW w AS (PARTITION BY site_id ORDER BY ts))")
+
+
+@query("F00_forecast_path", _PATH + f""", g AS (SELECT site_id, ts, CASE WHEN n < 5 THEN p WHEN i = 1 THEN {_sg('31 9 -3 -5 3', [0, 1, 2, 3, 4])} WHEN i = 2 THEN {_sg('9 13 12 6 -5', [-1, 0, 1, 2, 3])}
+   WHEN i = n THEN {_sg('31 9 -3 -5 3', [0, -1, -2, -3, -4])} WHEN i = n-1 THEN {_sg('9 13 12 6 -5', [1, 0, -1, -2, -3])} ELSE {_sg('-3 12 17 12 -3', [-2, -1, 0, 1, 2])} END AS v FROM s WINDOW w AS (PARTITION BY site_id ORDER BY ts))
+   SELECT """ + cols({"forecast_mw": lim("v")}, {"_submission_row": "row_number() OVER (ORDER BY ts DESC, site_id)-1"}) + " FROM g")
+def forecast_path(spark, sf):
+    """The whole path of a forecast: regime correction, 7 % analog blend, smoothing in time order, limits, submission order."""
+    train, score = _split(spark, sf)
+    return postprocess.forecast_path(oof(spark, sf).filter(F.col(TS) >= F.lit(_CUT).cast("timestamp_ntz")), train, score, pred="pred_cf_mw", wind="ws_120", target=TARGET).select(SITE, TS, "_submission_row", "forecast_mw")
+
+
 def _ema(alpha: str, order: str) -> str:
     return f"list_reduce(list(p) OVER (PARTITION BY site_id ORDER BY ts {order} ROWS BETWEEN 120 PRECEDING AND CURRENT ROW), lambda a, x: {alpha}*x+(1-{alpha})*a)"
 
@@ -237,11 +263,39 @@ def kalman_bias(spark, sf):
     return kalman.bias_columns(h).select(SITE, TS, "ws120_bias_kalman_smooth", "ws120_kalman")
 
 
-@query("F21_kalman_parameters")
-def kalman_parameters(spark, sf):
+_F21 = with_(HOURLY, feed_cte("reanalysis"), """y AS (SELECT h.site_id, h.ts, h.wind_speed_120m-e.wind_speed_100m AS b, row_number() OVER (PARTITION BY h.site_id ORDER BY h.ts) AS i
+     FROM hourly h LEFT JOIN reanalysis e USING (site_id, ts))""", "gr AS (SELECT unnest([1e-6, 1e-4, 1e-2, 1e-1, 1.0e0]) AS q)", "rr AS (SELECT unnest([0.1e0, 0.5e0, 2.0e0, 8.0e0, 32.0e0]) AS r)",
+   """f AS (SELECT site_id, q, r, CAST(0 AS BIGINT) AS i, 0.0e0 AS x, 10.0e0 AS p, 0.0e0 AS ll, CAST(0 AS BIGINT) AS n FROM y, gr, rr WHERE i = 1 UNION ALL
+     SELECT y.site_id, q, r, y.i, CASE WHEN y.b IS NULL THEN f.x ELSE f.x+(f.p+q)/(f.p+q+r)*(y.b-f.x) END, CASE WHEN y.b IS NULL THEN f.p+q ELSE (1-(f.p+q)/(f.p+q+r))*(f.p+q) END,
+       f.ll-CASE WHEN y.b IS NULL THEN 0 ELSE 0.5e0*(ln(2*pi()*(f.p+q+r))+pow(y.b-f.x, 2)/(f.p+q+r)) END, f.n+CASE WHEN y.b IS NULL THEN 0 ELSE 1 END
+     FROM f JOIN y ON y.site_id = f.site_id AND y.i = f.i+1)""", "l AS (SELECT * FROM f QUALIFY i = max(i) OVER (PARTITION BY site_id))", recursive=True)
+
+
+def _likelihoods(spark, sf):
     h = with_feed(spark, sf, hourly(spark, sf), "era5")
-    table = kalman.likelihood_table(h, F.col("wind_speed_120m") - F.col("era5_wind_speed_100m"))
-    return kalman.choose_parameters(table, min_rows=100)
+    return kalman.likelihood_table(h, F.col("wind_speed_120m") - F.col("era5_wind_speed_100m"))
+
+
+@query("F21_likelihoods", _F21 + "SELECT " + cols({"q": "q", "r": "r", "log_likelihood": "ll"}, {"n_observed": "n"}, keys="site_id") + " FROM l")
+def likelihoods(spark, sf):
+    return _likelihoods(spark, sf)
+
+
+def _chosen(at_least: int) -> str:
+    own = f"n >= {at_least}"
+    return _F21 + "SELECT " + cols({"q": f"CASE WHEN {own} THEN q ELSE 1e-4 END", "r": f"CASE WHEN {own} THEN r ELSE 0.5e0 END", "p0": f"CASE WHEN {own} THEN 10.0e0 ELSE 1.0e0 END"}, {
+        "n_observed": "n", "fitted": f"CASE WHEN {own} THEN 1 ELSE 0 END"}, keys="site_id") + " FROM l QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY ll DESC, q, r) = 1"
+
+
+@query("F21_kalman_parameters", _chosen(500))
+def kalman_parameters(spark, sf):
+    return kalman.choose_parameters(_likelihoods(spark, sf))
+
+
+@query("F21_parameters_of_short_series", _chosen(20))
+def kalman_parameters_short(spark, sf):
+    """The same choice with a limit that these sites reach, so that both sides of it are exercised."""
+    return kalman.choose_parameters(_likelihoods(spark, sf), min_rows=20)
 
 
 @query("F22_alpha_blend", with_(OOF, f"x AS (SELECT *, {lim('pred_cf_mw+' + _STEP.format(a='0.7e0', b='0.5e0', s='0.7e0'))} AS k FROM oof)",

@@ -85,9 +85,14 @@ def publish_forecast(df: DataFrame, path: str, *, expected_rows: int, pred: str
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
     source, target = jvm.org.apache.hadoop.fs.Path(stage), jvm.org.apache.hadoop.fs.Path(path)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.before")
     fs = target.getFileSystem(conf)
-    if fs.exists(target):
-        fs.delete(target, True)
+    if fs.exists(target) and not (fs.delete(aside, True) or not fs.exists(aside)):
+        raise OSError(f"could not clear {path}.before")
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(source, target):
-        raise OSError(f"could not move {stage} to {path}")
+        fs.rename(aside, target)
+        raise OSError(f"could not move {stage} to {path}; the former forecast stays")
+    fs.delete(aside, True)
     return path
