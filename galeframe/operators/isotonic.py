@@ -1,34 +1,44 @@
 """Isotonic curves per group, fitted and applied without collecting a group's rows.
 
-Fitting pools adjacent violators in two steps. Points are first reduced to
-distinct x, range-partitioned by (group, x) and pooled batch by batch: each
-batch is a gap-free stretch of one group's x axis, and pooling a stretch first
-never changes the final solution. Only the pooled blocks of a group meet in
-one task. The curve is stored as line segments under x buckets, so applying it
-is an equi-join on (group, bucket).
+Fitting pools adjacent violators in rounds. Points are reduced to distinct x and
+range-partitioned by (group, x); a task pools its gap-free stretch of an axis,
+which never changes the final solution. The next round cuts the axis elsewhere,
+so blocks that meet at a border are pooled too, until no two neighbours violate
+the order. A table of few blocks is finished by group instead, in tasks of
+``GROUP_BLOCKS`` blocks at most. The curve is stored as line segments under x
+buckets, so applying it is an equi-join on (group, bucket); with many segments
+the buckets are narrower, so that a bucket lists about ``BUCKET_SEGMENTS``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeframe.config import CAPACITY_MW
+from galeframe.functions.nullsafe import join_null_safe
 from galeframe.operators.blocks import spread
+from galeframe.operators.settle import settle
+from galeframe.session import prepare
 
 _FAR = 1e300
+GROUP_BLOCKS = 50_000
+BUCKET_SEGMENTS = 64
+PART = "part"  # stretch of the axis that a block belongs to
 
 
-def _pool(x_lo, x_hi, w, s) -> tuple[list, list, list, list]:
-    """Merge neighbouring blocks until their means do not decrease."""
-    lo: list[float] = []
-    hi: list[float] = []
-    ww: list[float] = []
-    ss: list[float] = []
-    for a, b, c, d in zip(x_lo, x_hi, w, s):
+Pooled = tuple[list[float], list[float], list[float], list[float]]  # x_lo, x_hi, w, s
+
+
+def _pool(pooled: Pooled, pdf: pd.DataFrame) -> None:
+    """Add sorted blocks and merge neighbours until their means do not decrease."""
+    lo, hi, ww, ss = pooled
+    for a, b, c, d in zip(*(pdf[n].to_numpy().tolist() for n in ("x_lo", "x_hi", "w", "s"))):
         while ww and ss[-1] * c >= d * ww[-1]:
             a, c, d = lo.pop(), c + ww.pop(), d + ss.pop()
             hi.pop()
@@ -36,43 +46,58 @@ def _pool(x_lo, x_hi, w, s) -> tuple[list, list, list, list]:
         hi.append(b)
         ww.append(c)
         ss.append(d)
-    return lo, hi, ww, ss
 
 
-def _pool_frame(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    lo, hi, w, s = _pool(*(pdf[n].to_numpy().tolist() for n in ("x_lo", "x_hi", "w", "s")))
-    out = pd.DataFrame({"x_lo": lo, "x_hi": hi, "w": w, "s": s})
+def _frame(pooled: Pooled, keys: list[str], group: pd.Series) -> pd.DataFrame:
+    out = pd.DataFrame(dict(zip(("x_lo", "x_hi", "w", "s"), pooled)))
     for k in keys:
-        out[k] = pdf[k].iloc[0]
+        out[k] = group[k]
     return out[[*keys, "x_lo", "x_hi", "w", "s"]]
 
 
-def _pool_batches(keys: list[str]):
+def _pool_stretch(keys: list[str]):
+    """Pool a task's sorted blocks group by group; what is kept while reading is the current group's pooled blocks."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, pooled = None, ([], [], [], [])
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
             for _, part in pdf.groupby(keys, sort=False, dropna=False):
-                yield _pool_frame(part, keys)
+                head = part.iloc[0]
+                if group is not None and not all(head[k] == group[k] or (pd.isna(head[k]) and pd.isna(group[k])) for k in keys):
+                    yield _frame(pooled, keys, group)
+                    pooled = ([], [], [], [])
+                group = head
+                _pool(pooled, part)
+        if group is not None:
+            yield _frame(pooled, keys, group)
     return run
 
 
 def _pool_group(keys: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _pool_frame(pdf.sort_values("x_lo"), keys)
+        pooled = ([], [], [], [])
+        _pool(pooled, pdf.sort_values("x_lo"))
+        return _frame(pooled, keys, pdf.iloc[0])
     return run
 
 
+def _violations(blocks: DataFrame, keys: list[str]) -> int:
+    """Neighbouring stretches of a group whose meeting blocks are out of order; looks at border blocks only."""
+    mean = F.col("s") / F.col("w")
+    ends = blocks.groupBy(*keys, PART).agg(F.min("x_lo").alias("_x"), F.min_by(mean, "x_lo").alias("_first"), F.max_by(mean, "x_lo").alias("_last"))
+    w = Window.partitionBy(*keys).orderBy("_x")
+    return ends.withColumn("_before", F.lag("_last").over(w)).filter(F.col("_before") >= F.col("_first")).count()
+
+
 def fit_isotonic(
     df: DataFrame, keys: Sequence[str], x: str, y: str, *, fit_filter: Column | None = None, min_rows: int = 1,
-    y_min: float = 0.0, y_max: float = CAPACITY_MW,
+    y_min: float = 0.0, y_max: float = CAPACITY_MW, group_blocks: int = GROUP_BLOCKS, max_rounds: int = 50,
 ) -> DataFrame:
-    """Blocks of the non-decreasing least-squares curve: keys, x_lo, x_hi, value, n_rows.
+    """Blocks of the non-decreasing least-squares curve: keys, part, x_lo, x_hi, value, n_rows.
 
     ``fit_filter`` marks the rows allowed into the fit; groups with fewer than
     ``min_rows`` of them get no curve.
     """
-    keys = list(keys)
+    spark, keys = prepare(df.sparkSession), list(keys)
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     if fit_filter is not None:
         rows = rows.filter(fit_filter)
@@ -80,23 +105,47 @@ def fit_isotonic(
         F.count(F.lit(1)).cast("double").alias("w"), F.sum(F.col(y).cast("double")).alias("s"))
     points = points.select(*keys, "x_lo", F.col("x_lo").alias("x_hi"), "w", "s")
     schema = points.schema
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = points.repartitionByRange(parts, *keys, "x_lo").sortWithinPartitions(*keys, "x_lo")
-    first = ranged.mapInPandas(_pool_batches(keys), schema)
-    blocks = spread(first, *keys).groupBy(*keys).applyInPandas(_pool_group(keys), schema)
-    total = F.sum("w").over(Window.partitionBy(*keys))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def pooled(blocks: DataFrame, cuts: int) -> DataFrame:
+        ranged = blocks.repartitionByRange(cuts, *keys, "x_lo").sortWithinPartitions(*keys, "x_lo")
+        return settle(ranged.mapInPandas(_pool_stretch(keys), schema).withColumn(PART, F.spark_partition_id()))
+    blocks = pooled(points, parts)
+    for n in range(1, max_rounds + 1):
+        if blocks.count() <= group_blocks:
+            blocks = spread(blocks.drop(PART), *keys).groupBy(*keys).applyInPandas(_pool_group(keys), schema).withColumn(PART, F.lit(0))
+            break
+        if not _violations(blocks, keys):
+            break
+        blocks = pooled(blocks.drop(PART), parts + n)
+    else:
+        raise RuntimeError("the isotonic curve did not settle")
+    total = blocks.groupBy(*keys).agg(F.sum("w").alias("n_rows")).filter(F.col("n_rows") >= min_rows)
     value = F.greatest(F.lit(float(y_min)), F.least(F.lit(float(y_max)), F.col("s") / F.col("w")))
-    return (blocks.withColumns({"n_rows": total, "value": value}).filter(F.col("n_rows") >= min_rows)
-            .select(*keys, "x_lo", "x_hi", "value", "n_rows"))
+    return join_null_safe(blocks, total, keys).withColumn("value", value).select(*keys, PART, "x_lo", "x_hi", "value", "n_rows")
 
 
-def segments(curve: DataFrame, keys: Sequence[str], *, lo: float, hi: float, width: float) -> DataFrame:
-    """Line segments of each curve grouped by x bucket, ready for ``apply_isotonic``."""
+@dataclass(frozen=True)
+class Segments:
+    """Line segments of curves under x buckets of one width."""
+
+    table: DataFrame
+    lo: float
+    hi: float
+    width: float
+
+
+def segments(curve: DataFrame, keys: Sequence[str], *, lo: float, hi: float, width: float) -> Segments:
+    """Line segments of each curve grouped by x bucket, ready for ``apply_isotonic``; ``width`` is the widest bucket."""
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("x_lo")
     c = F.col
-    linked = curve.withColumns({
-        "_next_x": F.lead("x_lo").over(w), "_next_y": F.lead("value").over(w), "_prev": F.lag("x_lo").over(w)})
+    by_part, by_group = Window.partitionBy(*keys, PART).orderBy("x_lo"), Window.partitionBy(*keys).orderBy("_x")
+    # neighbours across stretches: one row for each stretch reaches this window
+    ends = curve.groupBy(*keys, PART).agg(F.min("x_lo").alias("_x"), F.min_by("value", "x_lo").alias("_y"))
+    ends = ends.withColumns({"_after_x": F.lead("_x").over(by_group), "_after_y": F.lead("_y").over(by_group), "_before": F.lag("_x").over(by_group)})
+    linked = join_null_safe(curve, ends.drop("_x", "_y"), [*keys, PART]).withColumns({
+        "_next_x": F.coalesce(F.lead("x_lo").over(by_part), c("_after_x")), "_next_y": F.coalesce(F.lead("value").over(by_part), c("_after_y")),
+        "_prev": F.coalesce(F.lag("x_lo").over(by_part), c("_before"))})
     flat = F.struct(
         F.when(c("_prev").isNull(), F.lit(-_FAR)).otherwise(c("x_lo")).alias("x0"),
         F.when(c("_next_x").isNull(), F.lit(_FAR)).otherwise(c("x_hi")).alias("x1"),
@@ -104,22 +153,23 @@ def segments(curve: DataFrame, keys: Sequence[str], *, lo: float, hi: float, wid
     link = F.when(c("_next_x").isNotNull(), F.struct(
         c("x_hi").alias("x0"), c("_next_x").alias("x1"), c("value").alias("y0"), c("_next_y").alias("y1")))
     pieces = linked.select(*keys, F.explode(F.array_compact(F.array(flat, link))).alias("seg"))
-    spread = pieces.withColumn("_bucket", F.explode(F.sequence(
+    most = curve.groupBy(*keys, F.floor(c("x_lo") / width).alias("_b")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    # segments tile the axis, so narrower buckets add at most one copy for each bucket
+    width = width / 2 ** max(0, math.ceil(math.log2(max(1, 2 * most) / BUCKET_SEGMENTS)))
+    copies = pieces.withColumn("_bucket", F.explode(F.sequence(
         bucket_of(c("seg.x0"), lo, hi, width), bucket_of(c("seg.x1"), lo, hi, width))))
-    return spread.groupBy(*keys, "_bucket").agg(F.collect_list("seg").alias("_segs"))
+    return Segments(copies.groupBy(*keys, "_bucket").agg(F.collect_list("seg").alias("_segs")), lo, hi, width)
 
 
 def bucket_of(x: Column, lo: float, hi: float, width: float) -> Column:
     return F.when(x.isNotNull(), F.floor(F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x)) / width))
 
 
-def apply_isotonic(
-    df: DataFrame, table: DataFrame, keys: Sequence[str], x: str, out: str, *, lo: float, hi: float, width: float
-) -> DataFrame:
+def apply_isotonic(df: DataFrame, curves: Segments, keys: Sequence[str], x: str, out: str) -> DataFrame:
     """Curve value at ``x`` by linear interpolation, constant outside the fitted range; NULL without a curve."""
     keys = list(keys)
-    tagged = df.withColumn("_bucket", bucket_of(F.col(x), lo, hi, width))
-    joined = tagged.join(table, [*keys, "_bucket"], "left")
+    tagged = df.withColumn("_bucket", bucket_of(F.col(x), curves.lo, curves.hi, curves.width))
+    joined = tagged.join(curves.table, [*keys, "_bucket"], "left")
     seg = F.get(F.filter("_segs", lambda s: (F.col(x) >= s.x0) & (F.col(x) <= s.x1)), F.lit(0))
     joined = joined.withColumn("_seg", seg)
     s = F.col("_seg")

@@ -17,7 +17,7 @@ from galeframe.functions.nullsafe import (
     correlation,
     bin_even, bin_left_closed, bin_right_closed, clip, div, has, sector_clamped, sector_wrapped,
 )
-from galeframe.operators.isotonic import WIND_AXIS, apply_isotonic, fit_isotonic, segments
+from galeframe.operators.isotonic import WIND_AXIS, Segments, apply_isotonic, fit_isotonic, segments
 from galeframe.operators.ranks import percentiles
 from galeframe.operators.settle import settle
 from galeframe.operators.windows import trailing_days_mean, walk_forward_rate
@@ -122,8 +122,13 @@ def fit_site_curve(df: DataFrame, *, wind: str = "v_eff", target: str = TARGET,
     return settle(fit_isotonic(df, [SITE], wind, target, fit_filter=cond))
 
 
-def apply_site_curve(df: DataFrame, curve: DataFrame, *, wind: str, out: str) -> DataFrame:
-    return apply_isotonic(df, segments(curve, [SITE], **WIND_AXIS), [SITE], wind, out, **WIND_AXIS)
+def site_segments(curve: DataFrame | Segments) -> Segments:
+    """A site curve ready for several look-ups."""
+    return curve if isinstance(curve, Segments) else segments(curve, [SITE], **WIND_AXIS)
+
+
+def apply_site_curve(df: DataFrame, curve: DataFrame | Segments, *, wind: str, out: str) -> DataFrame:
+    return apply_isotonic(df, site_segments(curve), [SITE], wind, out)
 
 
 def fit_sector_curve(df: DataFrame, *, wind: str = "v_eff", degrees: Column | None = None, n_sectors: int = 8, min_rows: int = 51,
@@ -135,13 +140,13 @@ def fit_sector_curve(df: DataFrame, *, wind: str = "v_eff", degrees: Column | No
     return settle(fit_isotonic(tagged, [SITE, "curve_sector"], wind, TARGET, fit_filter=cond, min_rows=min_rows))
 
 
-def apply_sector_curve(df: DataFrame, sector_curve: DataFrame, site_curve: DataFrame, *, wind: str, out: str,
+def apply_sector_curve(df: DataFrame, sector_curve: DataFrame, site_curve: DataFrame | Segments, *, wind: str, out: str,
                        degrees: Column | None = None, n_sectors: int = 8, cfg: FarmConfig = DEFAULT) -> DataFrame:
     """Sector curve where there is one, else the site curve."""
     deg = c("wind_direction_120m") * 1000.0 if degrees is None else degrees
     keys = [SITE, "curve_sector"]
     tagged = df.withColumn("curve_sector", sector_wrapped(deg, n_sectors))
-    both = apply_isotonic(tagged, segments(sector_curve, keys, **WIND_AXIS), keys, wind, "_by_sector", **WIND_AXIS)
+    both = apply_isotonic(tagged, segments(sector_curve, keys, **WIND_AXIS), keys, wind, "_by_sector")
     both = apply_site_curve(both, site_curve, wind=wind, out="_by_site")
     return both.withColumns({out: clip(F.coalesce(c("_by_sector"), c("_by_site")), 0.0, cfg.capacity_mw)}).drop(
         "curve_sector", "_by_sector", "_by_site")
@@ -149,6 +154,7 @@ def apply_sector_curve(df: DataFrame, sector_curve: DataFrame, site_curve: DataF
 
 def curve_columns(df: DataFrame, sector_curve: DataFrame, site_curve: DataFrame, cfg: FarmConfig = DEFAULT) -> DataFrame:
     """Sector, site and rotor-wind curve power and their products with availability."""
+    site_curve = site_segments(site_curve)
     out = apply_sector_curve(df, sector_curve, site_curve, wind="v_eff", out="p_curve_sector", cfg=cfg)
     out = apply_site_curve(out, site_curve, wind="v_eff", out="p_curve_global")
     out = apply_site_curve(out, site_curve, wind="rews", out="p_curve_rews")

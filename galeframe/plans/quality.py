@@ -79,11 +79,33 @@ def _preds(spark, sf):
     return readers.with_position(o, order=[F.col(TS).desc(), F.col(SITE)], chunk=F.date_trunc("hour", F.col(TS).cast("timestamp")), descending=True)
 
 
-@query("S07_publish_gates")
+_GATES = with_(OOF, "p AS (SELECT site_id, ts, pred_cf_mw AS pred, ws_120 AS ws FROM oof)", "hours AS (SELECT count(*) AS n FROM hourly)",
+    "bins AS (SELECT len(list_filter([6, 8, 10, 12], lambda e: e <= ws)) AS b, median(pred) AS med FROM p WHERE ws >= 4 GROUP BY 1)", "steps AS (SELECT med, lag(med) OVER (ORDER BY b) AS before FROM bins)")
+
+
+@query("S07_publish_gates", _GATES + """SELECT 'range' AS gate, count(*) AS n_violations FROM p WHERE pred IS NULL OR pred < 0 OR pred > 90.09e0
+  UNION ALL SELECT 'row_count', CAST((SELECT count(*) FROM p) <> n AS BIGINT) FROM hours
+  UNION ALL SELECT 'duplicate_timestamp', coalesce(CAST(sum(k-1) AS BIGINT), 0) FROM (SELECT count(*) AS k FROM p GROUP BY site_id, ts)
+  UNION ALL SELECT 'wind_sanity', count(*) FROM p WHERE (ws < 1 AND pred >= 2) OR (ws > 25 AND pred >= 5)
+  UNION ALL SELECT 'pct95_capacity', CAST(quantile_cont(pred, 0.95) > 90.09e0 AS BIGINT) FROM p
+  UNION ALL SELECT 'wind_monotonicity', count(*) FROM steps WHERE med < before""")
 def publish_gates(spark, sf):
-    """What ``publish_forecast`` checks before it moves the staged files (the move itself is covered by tests)."""
-    p = _preds(spark, sf)
-    return validation.gate_results(p, expected=p.count(), order="_submission_row")
+    """Violations per gate; the expected number of rows is that of the hours, not of the forecast."""
+    return validation.gate_results(_preds(spark, sf), expected=hourly(spark, sf).count(), order="_submission_row")
+
+
+_RAMP = "CASE WHEN wind_speed_120m > 25 THEN 4.0e0 WHEN wind_speed_120m < 1 THEN 1.0e0 ELSE 7.5e0*wind_speed_120m END"
+
+
+@query("S07_publish", with_(HOURLY) + "SELECT " + cols({"pred_mw": f"least(90.09e0, {_RAMP})"}, {"_submission_row": "row_number() OVER (ORDER BY ts DESC, site_id)-1"}) + " FROM hourly")
+def publish(spark, sf):
+    """Clip, validate, stage, run the gates and move into place twice over; then read what was published."""
+    h = hourly(spark, sf)
+    forecast = readers.scoring_table(h.select(SITE, TS, "wind_speed_120m").withColumn("pred_mw", F.expr(_RAMP)))
+    path = f"{shared_folder(spark)}/forecast"
+    for _ in range(2):  # the second time over a published forecast
+        writers.publish_forecast(forecast, path, expected_rows=h.count())
+    return spark.read.parquet(path).select(SITE, TS, "_submission_row", "pred_mw")
 
 
 @query("S08_forecast_export", with_(OOF) + "SELECT CAST(row_number() OVER (ORDER BY ts DESC, site_id)-1 AS BIGINT) AS _submission_row, printf('%.6f', pred_cf_mw) AS value FROM oof")

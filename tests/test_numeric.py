@@ -67,7 +67,7 @@ def test_isotonic_curve_pools_in_any_batches(spark, batch):
         df = spark.createDataFrame(rows, "site_id long, x double, y double")
         table = segments(fit_isotonic(df, ["site_id"], "x", "y"), ["site_id"], **WIND_AXIS)
         probe = [(s, q) for s in (0, 1) for q in (-1.0, 0.05, 3.33, 12.0, 12.05, 24.99, 30.0)]
-        got = apply_isotonic(spark.createDataFrame(probe, "site_id long, x double"), table, ["site_id"], "x", "p", **WIND_AXIS).collect()
+        got = apply_isotonic(spark.createDataFrame(probe, "site_id long, x double"), table, ["site_id"], "x", "p").collect()
         for s in (0, 1):
             knots = pava([x for k, x, _ in rows if k == s], [y for k, _, y in rows if k == s])
             for r in got:
@@ -184,6 +184,27 @@ def test_nearest_rows_in_blocks_equal_brute_force(spark):
             assert [u for _, u in sorted(got[(s, t)])] == [u for _, u in pool]
 
 
+def test_isotonic_rounds_and_narrow_buckets_equal_one_task(spark):
+    import random
+    rnd = random.Random(4)
+    rows = [(s, i / 40.0, i / 400.0 + rnd.gauss(0, 3) + (5 if 200 < i < 300 else 0)) for s, n in ((0, 900), (1, 60), (None, 40)) for i in range(n)]
+    rows += [(2, i / 1000.0, float(i)) for i in range(3000)]  # nothing pools: every point is a block
+    rows += [(3, i / 100.0, float(-i % 90)) for i in range(900)]  # almost everything pools
+    df = spark.createDataFrame(rows, "site_id long, x double, y double")
+    whole = fit_isotonic(df, ["site_id"], "x", "y", y_min=-1e9, y_max=1e9)
+    cut = fit_isotonic(df, ["site_id"], "x", "y", y_min=-1e9, y_max=1e9, group_blocks=10)
+    def blocks(curve):
+        return sorted(((r["site_id"], r["x_lo"], r["x_hi"], round(r["value"], 9), r["n_rows"]) for r in curve.collect()), key=str)
+    assert blocks(cut) == blocks(whole) and cut.select("part").distinct().count() > 1
+    assert max(r["count"] for r in cut.groupBy("part").count().collect()) < 0.5 * whole.count()
+    a, b = segments(whole, ["site_id"], **WIND_AXIS), segments(cut, ["site_id"], **WIND_AXIS)
+    assert a.width < WIND_AXIS["width"] and a.table.selectExpr("max(size(_segs)) AS n").first()["n"] <= 64
+    probe = spark.createDataFrame([(s, rnd.uniform(-1, 40)) for s in (0, 1, 2, 3) for _ in range(200)], "site_id long, x double")
+    def looked_up(curves):
+        return sorted((r["site_id"], r["x"], round(r["p"], 9)) for r in apply_isotonic(probe, curves, ["site_id"], "x", "p").collect())
+    assert looked_up(a) == looked_up(b)
+
+
 def test_power_curve_knots_and_limits(spark):
     points = [(float(w), 1.225, float(v[6])) for w, v in POWER_KW.items()]
     # knots stated a second time, so that a wrong table value cannot pass both sides
