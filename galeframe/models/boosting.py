@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,33 +157,87 @@ def probability_by_period(probs: DataFrame) -> DataFrame:
     return probs.groupBy(F.year(TS).alias("year"), F.month(TS).alias("month"), "is_score").agg(F.count(F.lit(1)).alias("n"), F.avg("av_prob").alias("mean_prob"))
 
 
-def fit_ridge(df: DataFrame, *, columns: Sequence[str], target: str, alpha: float) -> PipelineModel:
-    """Ridge on standardised columns; ``alpha`` has the usual meaning of a penalty against the sum of squares."""
-    rows = assemble(df, columns).withColumnRenamed(FEATURES, "_raw")
-    n = max(1, rows.count())
-    scaler = StandardScaler(inputCol="_raw", outputCol=FEATURES, withMean=True, withStd=True).fit(rows)
-    ridge = LinearRegression(featuresCol=FEATURES, labelCol=target, elasticNetParam=0.0, regParam=alpha / n, standardization=False, solver="normal")
-    return PipelineModel([scaler, ridge.fit(scaler.transform(rows))])
+@dataclass(frozen=True)
+class Ridge:
+    """Ridge on standardised columns; missing values count as 0, as in the merged sources."""
 
+    columns: tuple[str, ...]
+    mean: tuple[float, ...]
+    scale: tuple[float, ...]
+    weight: tuple[float, ...]
+    intercept: float
 
-def predict_ridge(model: PipelineModel, df: DataFrame, *, columns: Sequence[str], out: str, cfg: FarmConfig = DEFAULT) -> DataFrame:
-    rows = assemble(df, columns).withColumnRenamed(FEATURES, "_raw")
-    done = model.transform(rows)
-    return done.withColumns({out: clip("prediction", 0.0, cfg.capacity_mw)}).drop("prediction", "_raw", FEATURES)
+    def prediction(self, cfg: FarmConfig = DEFAULT) -> Column:
+        out = F.lit(self.intercept)
+        for n, m, s, w in zip(self.columns, self.mean, self.scale, self.weight):
+            out = out + (zero_if_null(c(n).cast("double")) - F.lit(m)) * F.lit(w / s)
+        return clip(out, 0.0, cfg.capacity_mw)
+
+
+@dataclass(frozen=True)
+class Sums:
+    """Count, sums and cross-products of columns and target; the target comes last."""
+
+    n: float
+    first: np.ndarray
+    second: np.ndarray
+
+    def __sub__(self, other: Sums) -> Sums:
+        return Sums(self.n - other.n, self.first - other.first, self.second - other.second)
+
+    def ridge(self, columns: Sequence[str], alpha: float) -> Ridge:
+        """Least squares with penalty ``alpha`` on the weights of the standardised columns; a constant column gets none."""
+        mean = self.first / self.n
+        cross = self.second - self.n * np.outer(mean, mean)
+        spread = np.sqrt(np.maximum(np.diag(cross)[:-1], 0.0) / max(self.n - 1.0, 1.0))
+        scale = np.where(spread > 0.0, spread, 1.0)
+        weight = np.linalg.solve(cross[:-1, :-1] / np.outer(scale, scale) + alpha * np.eye(len(columns)), cross[:-1, -1] / scale)
+        return Ridge(tuple(columns), tuple(map(float, mean[:-1])), tuple(map(float, scale)), tuple(map(float, weight)), float(mean[-1]))
+
+
+def fold_sums(df: DataFrame, *, columns: Sequence[str], target: str, fold: str = "fold") -> dict[int, Sums]:
+    """Sums per fold from one aggregation; one row per fold reaches the driver."""
+    names = [zero_if_null(c(n).cast("double")) for n in columns] + [c(target).cast("double")]
+    at = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    rows = df.filter(c(target).isNotNull()).groupBy(fold).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(f"a{i}") for i, e in enumerate(names)], *[F.sum(names[i] * names[j]).alias(f"b{i}_{j}") for i, j in at]).collect()
+    out = {}
+    for r in rows:
+        second = np.zeros((len(names), len(names)))
+        for i, j in at:
+            second[i, j] = second[j, i] = r[f"b{i}_{j}"]
+        out[r[fold]] = Sums(float(r["n"]), np.array([r[f"a{i}"] for i in range(len(names))]), second)
+    return out
+
+
+def all_sums(parts: Mapping[int, Sums]) -> Sums:
+    every = list(parts.values())
+    return Sums(sum(p.n for p in every), sum(p.first for p in every), sum(p.second for p in every))
+
+
+def fit_ridge(df: DataFrame, *, columns: Sequence[str], target: str, alpha: float, fold: str = "fold") -> Ridge:
+    return all_sums(fold_sums(df, columns=columns, target=target, fold=fold)).ridge(columns, alpha)
 
 
 def ridge_stack(df: DataFrame, *, columns: Sequence[str], target: str, folds: Sequence[int], alphas: Sequence[float] = (0.1, 1.0, 10.0, 100.0), fold: str = "fold",
                 cfg: FarmConfig = DEFAULT) -> tuple[DataFrame, float]:
-    """Leave-one-fold-out error of every penalty, and the best penalty."""
-    rows = []
-    for alpha in alphas:
+    """Leave-one-fold-out error of every penalty, and the best penalty.
+
+    Two passes for any number of penalties: sums per fold, then the errors of all fits. The fit without a fold is solved
+    from the total minus the fold.
+    """
+    parts = fold_sums(df, columns=columns, target=target, fold=fold)
+    total = all_sums(parts)
+    held = df.filter(c(fold).isin(*folds))
+    for k, alpha in enumerate(alphas):
+        value = F.lit(None).cast("double")
         for f in folds:
-            model = fit_ridge(df.filter(c(fold) != f), columns=columns, target=target, alpha=alpha)
-            held = predict_ridge(model, df.filter(c(fold) == f), columns=columns, out="_stack", cfg=cfg)
-            rows.append((float(alpha), int(f), float(held.agg(nmae(target, "_stack", cfg).alias("e")).first()["e"])))
+            value = F.when(c(fold) == f, (total - parts[f]).ridge(columns, alpha).prediction(cfg)).otherwise(value)
+        held = held.withColumn(f"_stack{k}", value)
+    errors = held.groupBy(fold).agg(*[nmae(target, f"_stack{k}", cfg).alias(f"e{k}") for k in range(len(alphas))]).collect()
+    rows = [(float(a), int(r[fold]), float(r[f"e{k}"])) for k, a in enumerate(alphas) for r in errors]
     table = df.sparkSession.createDataFrame(rows, "alpha double, fold int, nmae_pct double")
-    best = min(alphas, key=lambda a: sum(e for x, _, e in rows if x == a))
-    return table, best
+    return table, min(alphas, key=lambda a: sum(e for x, _, e in rows if x == a))
 
 
 def good_models(df: DataFrame, models: Sequence[str], *, target: str, below: float, cfg: FarmConfig = DEFAULT) -> list[str]:

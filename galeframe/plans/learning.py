@@ -12,7 +12,7 @@ from galeframe.config import SITE, TARGET, TS
 from galeframe.models import boosting
 from galeframe.operators import lookups, weather
 from galeframe.plans.frames import base, with_feed
-from galeframe.plans.oracle.base import HOURLY, cols, feed_cte, with_
+from galeframe.plans.oracle.base import HOURLY, OOF, cols, feed_cte, with_
 from galeframe.plans.quality import _ODD, odd
 from galeframe.plans.registry import query
 from galeframe.session import shared_folder
@@ -69,18 +69,47 @@ def train_or_score(spark, sf):
     return boosting.probability_by_period(probs).withColumn("mean_auc", aucs.agg(F.avg("auc")).scalar())
 
 
-@query("M06_ridge_stack")
+def _det(m: list[list[str]]) -> str:
+    if len(m) == 2:
+        return f"({m[0][0]}*{m[1][1]}-{m[0][1]}*{m[1][0]})"
+    return "(" + "+".join(f"{'-' if k % 2 else ''}{m[0][k]}*{_det([r[:k] + r[k + 1:] for r in m[1:]])}" for k in range(len(m))).replace("+-", "-") + ")"
+
+
+def _ridge_sql(columns: tuple[str, ...], penalties: str) -> list[str]:
+    """CTEs from rows ``d`` (h: what is held out, x columns, target_mw) to weights per h and penalty, by Cramer's rule."""
+    k = range(len(columns))
+    moments = ", ".join([f"avg({n}) AS m{i}, stddev_samp({n}) AS s{i}, count(*)*covar_pop({n}, target_mw)/stddev_samp({n}) AS y{i}" for i, n in enumerate(columns)]
+                        + [f"count(*)*covar_pop({columns[i]}, {columns[j]})/(stddev_samp({columns[i]})*stddev_samp({columns[j]})) AS z{i}{j}" for i in k for j in k])
+    matrix = [[f"(z{i}{j}+alpha)" if i == j else f"z{i}{j}" for j in k] for i in k]
+    weights = ", ".join(f"{_det([[f'y{i}' if j == w else matrix[i][j] for j in k] for i in k])}/{_det(matrix)} AS w{w}" for w in k)
+    return [f"mo AS (SELECT h, avg(target_mw) AS my, {moments} FROM d GROUP BY h)", f"al AS (SELECT unnest([{penalties}]) AS alpha)", f"we AS (SELECT *, {weights} FROM mo, al)"]
+
+
+def _stacked(columns: tuple[str, ...]) -> str:
+    return "least(90.09e0, greatest(0.0e0, my+" + "+".join(f"w{i}*({n}-m{i})/s{i}" for i, n in enumerate(columns)) + "))"
+
+
+_STACK = ("pred_cf_mw", "pred_mw_mw", "ws_120")
+
+
+@query("M06_ridge_stack", with_(OOF, "d AS (SELECT f.h, o.* FROM (SELECT DISTINCT fold AS h FROM oof) f JOIN oof o ON o.fold <> f.h)", *_ridge_sql(_STACK, "0.1e0, 1.0e0, 10.0e0, 100.0e0"))
+       + "SELECT " + cols({"alpha": "alpha", "nmae_pct": f"avg(abs(target_mw-{_stacked(_STACK)}))/90.09e0*100"}, {"fold": "fold"}, keys="") + " FROM oof JOIN we ON we.h = oof.fold GROUP BY alpha, fold")
 def ridge_stack(spark, sf):
-    table, _ = boosting.ridge_stack(oof(spark, sf), columns=("pred_cf_mw", "pred_mw_mw", "ws_120"), target="target_mw", folds=(3, 4, 5), alphas=(1.0, 100.0))
+    table, _ = boosting.ridge_stack(oof(spark, sf), columns=_STACK, target="target_mw", folds=(3, 4, 5))
     return table
 
 
-@query("M07_quality_stack")
+_MODELS = {"pred_cf_mw": "pred_cf_mw", "pred_mw_mw": "pred_mw_mw", "wind_line": "least(90.09e0, 2.0e0*ws_120)"}
+_GOOD = ("pred_cf_mw", "pred_mw_mw")
+
+
+@query("M07_quality_stack", with_(OOF, "d AS (SELECT 0 AS h, * FROM oof)", *_ridge_sql(_GOOD, "1.0e0")) + "SELECT " + cols({"target_mw": "target_mw", "stack_mw": _stacked(_GOOD)}, {"fold": "fold"}) + " FROM oof, we")
 def quality_stack(spark, sf):
-    o = oof(spark, sf).withColumns({"poor": F.lit(20.0)})
-    good = boosting.good_models(o, ["pred_cf_mw", "pred_mw_mw", "poor"], target="target_mw", below=10.0)
+    """The two models under the threshold are stacked; the line through wind is a third that is not."""
+    o = oof(spark, sf).withColumns({n: F.expr(e) for n, e in _MODELS.items()})
+    good = boosting.good_models(o, list(_MODELS), target="target_mw", below=10.0)
     model = boosting.fit_ridge(o, columns=good, target="target_mw", alpha=1.0)
-    return boosting.predict_ridge(model, o, columns=good, out="stack_mw").select("fold", SITE, TS, "target_mw", "stack_mw")
+    return o.withColumn("stack_mw", model.prediction()).select("fold", SITE, TS, "target_mw", "stack_mw")
 
 
 @query("M08_regime_clusters")
