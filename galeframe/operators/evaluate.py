@@ -200,10 +200,11 @@ def compare_forecasts(df: DataFrame, *, first: str, second: str, width: float =
     sums = df.agg(F.count(F.lit(1)).alias("n"), F.avg(gap).alias("mean_diff"), F.avg(F.abs(gap)).alias("mean_abs_diff"), F.max(F.abs(gap)).alias("max_abs_diff"),
                   correlation(first, second).alias("correlation"),
                   *[e for tag, p in (("first", first), ("second", second)) for e in (F.avg(p).alias(f"{tag}_mean"), F.stddev_pop(p).alias(f"{tag}_std"), F.min(p).alias(f"{tag}_min"), F.max(p).alias(f"{tag}_max"))])
-    for tag, p in (("first", first), ("second", second)):
-        pct = percentiles(df, [], p, {f"{tag}_p05": 0.05, f"{tag}_p50": 0.5, f"{tag}_p95": 0.95}, width=width)
-        sums = sums.withColumns({n: pct.select(n).scalar() for n in pct.columns})
-    return sums
+    both = F.explode(F.array(*[F.struct(F.lit(tag).alias("_which"), c(p).cast("double").alias("_value")) for tag, p in (("first", first), ("second", second))]))
+    names = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    found = percentiles(df.select(both.alias("_b")).select("_b.*"), ["_which"], "_value", names, width=width)
+    row = found.agg(*[F.max(F.when(c("_which") == tag, c(n))).alias(f"{tag}_{n}") for tag in ("first", "second") for n in names])
+    return sums.withColumn("_one", F.lit(1)).join(row.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def compare_forecasts_by(df: DataFrame, *, first: str, second: str, wind: str = "wind_speed_120m", direction: str = "wind_direction_120m") -> DataFrame:
