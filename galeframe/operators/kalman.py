@@ -33,32 +33,49 @@ FALLBACK_Q, FALLBACK_R, FALLBACK_P0 = 1e-4, 0.5, 1.0
 FITTED_P0 = 10.0
 
 
-def _filter(y: np.ndarray, q: float, r: float, x: float, p: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Filtered level and variance from a start state, and the log-likelihood of the observed rows."""
-    n = len(y)
-    xs, ps, ll = np.empty(n), np.empty(n), 0.0
-    for t in range(n):
-        p = p + q
-        v = y[t]
-        if v == v:
-            f = p + r
-            gain = p / f
-            e = v - x
-            x = x + gain * e
-            p = (1.0 - gain) * p
-            ll -= 0.5 * (math.log(2.0 * math.pi * f) + e * e / f)
-        xs[t], ps[t] = x, p
-    return xs, ps, ll
-
-
-def _variance_map(seen: np.ndarray, q: float, r: float) -> tuple[float, float, float, float]:
-    """Composition of the per-row variance maps p -> (a p + b) / (c p + d)."""
-    m = np.eye(2)
-    hit, miss = np.array([[r, q * r], [1.0, q + r]]), np.array([[1.0, q], [0.0, 1.0]])
-    for s in seen:
-        m = (hit if s else miss) @ m
-        m /= np.abs(m).max()
-    return m[0, 0], m[0, 1], m[1, 0], m[1, 1]
+def _affine_scan(a: np.ndarray, b: np.ndarray, start: np.ndarray | float) -> np.ndarray:
+    """x[t] = a[t] x[t-1] + b[t] along the first axis, by doubling the reach of the composed maps."""
+    a, b, step = a.copy(), b.copy(), 1
+    while step < len(a):
+        b[step:] = a[step:] * b[:-step] + b[step:]
+        a[step:] = a[step:] * a[:-step]
+        step *= 2
+    return a * start + b
+
+
+def _variance_maps(seen: np.ndarray, q: np.ndarray | float, r: np.ndarray | float) -> tuple[np.ndarray, ...]:
+    """Compositions, up to each row, of the maps p -> (a p + b) / (c p + d) that a row has on the variance.
+
+    ``seen`` marks observed rows; with candidates q and r as vectors every entry is rows x candidates.
+    """
+    hit = seen.reshape(-1, *[1] * np.ndim(q))
+    one = np.ones_like(hit * np.asarray(q, dtype=float))
+    a, b, cc, d = np.where(hit, r * one, 1.0), np.where(hit, q * r * one, q * one), np.where(hit, one, 0.0), np.where(hit, (q + r) * one, 1.0)
+    step = 1
+    while step < len(a):
+        now, old = [m[step:] for m in (a, b, cc, d)], [m[:-step] for m in (a, b, cc, d)]
+        new = [now[0] * old[0] + now[1] * old[2], now[0] * old[1] + now[1] * old[3], now[2] * old[0] + now[3] * old[2], now[2] * old[1] + now[3] * old[3]]
+        top = np.maximum(np.maximum(new[0], new[1]), np.maximum(new[2], new[3]))  # all are positive or zero
+        for m, v in zip((a, b, cc, d), new):
+            m[step:] = v / top
+        step *= 2
+    return a, b, cc, d
+
+
+def _filter(y: np.ndarray, q, r, x, p) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Filtered level and variance from a start state, the share of the start level in the end level, and the
+    log-likelihood of the observed rows; q, r, x and p may be vectors of candidates."""
+    seen = ~np.isnan(y)
+    a, b, cc, d = _variance_maps(seen, q, r)
+    ps = (a * p + b) / (cc * p + d)
+    before = np.concatenate([np.broadcast_to(p, ps[:1].shape), ps[:-1]]) + q
+    shape = (-1, *[1] * np.ndim(q))
+    hit, values = seen.reshape(shape), np.where(seen, y, 0.0).reshape(shape)
+    gain = np.where(hit, before / (before + r), 0.0)
+    xs = _affine_scan(1.0 - gain, gain * values, x)
+    error = values - np.concatenate([np.broadcast_to(x, xs[:1].shape), xs[:-1]])
+    ll = -0.5 * np.where(hit, np.log(2.0 * math.pi * (before + r)) + error * error / (before + r), 0.0).sum(0)
+    return xs, ps, np.prod(1.0 - gain, axis=0), ll
 
 
 def _fields(df: DataFrame, names: Sequence[str], **doubles: None) -> T.StructType:
@@ -77,7 +94,7 @@ def _start_states(rows: DataFrame, keys: list[str]) -> DataFrame:
     def variance(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ROW)
         f = pdf.iloc[0]
-        a, b, cc, d = _variance_map(pdf["_y"].notna().to_numpy(), f["_q"], f["_r"])
+        a, b, cc, d = (m[-1] for m in _variance_maps(pdf["_y"].notna().to_numpy(), f["_q"], f["_r"]))
         return pd.DataFrame([{**{n: f[n] for n in blk}, "_q": f["_q"], "_r": f["_r"], "_p0": f["_p0"], "a": a, "b": b, "c": cc, "d": d}])
 
     def scan_variance(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -93,10 +110,8 @@ def _start_states(rows: DataFrame, keys: list[str]) -> DataFrame:
     def level(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ROW)
         f, y = pdf.iloc[0], pdf["_y"].to_numpy(dtype=float)
-        xs, ps, _ = _filter(y, f["_q"], f["_r"], 0.0, f["_p"])
-        before = np.concatenate([[f["_p"]], ps[:-1]]) + f["_q"]
-        shrink = np.where(np.isnan(y), 1.0, f["_r"] / (before + f["_r"]))
-        return pd.DataFrame([{**{n: f[n] for n in blk}, "_p": f["_p"], "m": float(np.prod(shrink)), "k": float(xs[-1])}])
+        xs, _, left, _ = _filter(y, f["_q"], f["_r"], 0.0, f["_p"])
+        return pd.DataFrame([{**{n: f[n] for n in blk}, "_p": f["_p"], "m": float(left), "k": float(xs[-1])}])
 
     def scan_level(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_blk")
@@ -134,16 +149,12 @@ def smooth_level(df: DataFrame, value: Column, *, params: DataFrame | None = Non
     def backward(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ROW)
         f = pdf.iloc[0]
-        xs, ps, _ = _filter(pdf["_y"].to_numpy(dtype=float), f["_q"], f["_r"], f["_x"], f["_p"])
+        xs, ps, _, _ = _filter(pdf["_y"].to_numpy(dtype=float), f["_q"], f["_r"], f["_x"], f["_p"])
         gain = ps / (ps + f["_q"])
-        m, k = 1.0, 0.0
-        for x, a in zip(xs[::-1], gain[::-1]):
-            m, k = a * m, (1.0 - a) * x + a * k
-        # Of the site's last row the smoothed value is the filtered one, as if a were 0 there.
-        m_last, k_last = 0.0, float(xs[-1])
-        for x, a in zip(xs[-2::-1], gain[-2::-1]):
-            k_last = (1.0 - a) * x + a * k_last
-        return pd.DataFrame([{**{n: f[n] for n in blk}, "m": m, "k": k, "m_last": m_last, "k_last": k_last}])
+        back = _affine_scan(gain[::-1], ((1.0 - gain) * xs)[::-1], 0.0)
+        # Of the site's last row the smoothed value is the filtered one, as if its gain were 0.
+        last = _affine_scan(gain[-2::-1], ((1.0 - gain) * xs)[-2::-1], xs[-1]) if len(xs) > 1 else xs
+        return pd.DataFrame([{**{n: f[n] for n in blk}, "m": float(np.prod(gain)), "k": float(back[-1]), "m_last": 0.0, "k_last": float(last[-1])}])
 
     def scan_back(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_blk")
@@ -156,12 +167,11 @@ def smooth_level(df: DataFrame, value: Column, *, params: DataFrame | None = Non
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ROW)
         f = pdf.iloc[0]
-        xs, ps, _ = _filter(pdf["_y"].to_numpy(dtype=float), f["_q"], f["_r"], f["_x"], f["_p"])
+        xs, ps, _, _ = _filter(pdf["_y"].to_numpy(dtype=float), f["_q"], f["_r"], f["_x"], f["_p"])
         gain = ps / (ps + f["_q"])
-        sm, s = np.empty(len(xs)), f["_next"]
-        for t in range(len(xs) - 1, -1, -1):
-            s = xs[t] if s != s else (1.0 - gain[t]) * xs[t] + gain[t] * s
-            sm[t] = s
+        follows = f["_next"] == f["_next"]
+        gain[-1] = gain[-1] if follows else 0.0
+        sm = _affine_scan(gain[::-1], ((1.0 - gain) * xs)[::-1], f["_next"] if follows else 0.0)[::-1]
         return pd.DataFrame({SITE: pdf[SITE].to_numpy(), ROW: pdf[ROW].to_numpy(), "_sm": sm, "_fl": xs})
     maps = state.groupBy(*blk).applyInPandas(backward, _schema(rows, blk, ["m", "k", "m_last", "k_last"]))
     nxt = maps.groupBy(*keys).applyInPandas(scan_back, _schema(rows, blk, ["_next"]))
@@ -183,32 +193,6 @@ Q_GRID = (1e-6, 1e-4, 1e-2, 1e-1, 1.0)
 R_GRID = (0.1, 0.5, 2.0, 8.0, 32.0)
 
 
-def _maps_of_grid(seen: np.ndarray, q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, ...]:
-    """``_variance_map`` for all candidates at once."""
-    a, b, cc, d = np.ones_like(q), np.zeros_like(q), np.zeros_like(q), np.ones_like(q)
-    for s in seen:
-        if s:
-            a, b, cc, d = r * (a + q * cc), r * (b + q * d), a + (q + r) * cc, b + (q + r) * d
-        else:
-            a, b = a + q * cc, b + q * d
-        top = np.maximum(np.maximum(abs(a), abs(b)), np.maximum(abs(cc), abs(d)))
-        a, b, cc, d = a / top, b / top, cc / top, d / top
-    return a, b, cc, d
-
-
-def _filter_grid(y: np.ndarray, q: np.ndarray, r: np.ndarray, x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """End level, share of the start level left in it, and log-likelihood, for all candidates at once."""
-    left, ll = np.ones_like(q), np.zeros_like(q)
-    for v in y:
-        p = p + q
-        if v == v:
-            f = p + r
-            gain, e = p / f, v - x
-            x, p, left = x + gain * e, (1.0 - gain) * p, left * (1.0 - gain)
-            ll = ll - 0.5 * (np.log(2.0 * math.pi * f) + e * e / f)
-    return x, left, ll
-
-
 def likelihood_table(df: DataFrame, value: Column, *, fit_filter: Column | None = None, q_grid: Sequence[float] = Q_GRID,
                      r_grid: Sequence[float] = R_GRID, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Log-likelihood of every (q, r) candidate per site; blocks run side by side, candidates as one vector."""
@@ -232,7 +216,7 @@ def likelihood_table(df: DataFrame, value: Column, *, fit_filter: Column | None
         return pdf.sort_values(ROW)["_y"].to_numpy(dtype=float)
 
     def variance(pdf: pd.DataFrame) -> pd.DataFrame:
-        return one(pdf, **dict(zip("abcd", _maps_of_grid(~np.isnan(series(pdf)), q, r))))
+        return one(pdf, **dict(zip("abcd", (m[-1] for m in _variance_maps(~np.isnan(series(pdf)), q, r)))))
 
     def scan_variance(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_blk")
@@ -244,8 +228,8 @@ def likelihood_table(df: DataFrame, value: Column, *, fit_filter: Column | None
 
     def level(pdf: pd.DataFrame) -> pd.DataFrame:
         p = np.asarray(pdf["_p"].iloc[0], dtype=float)
-        x, left, _ = _filter_grid(series(pdf), q, r, np.zeros_like(q), p)
-        return one(pdf, _p=p, left=left, x=x)
+        xs, _, left, _ = _filter(series(pdf), q, r, np.zeros_like(q), p)
+        return one(pdf, _p=p, left=left, x=xs[-1])
 
     def scan_level(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_blk")
@@ -257,7 +241,7 @@ def likelihood_table(df: DataFrame, value: Column, *, fit_filter: Column | None
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         y = series(pdf)
-        ll = _filter_grid(y, q, r, *(np.asarray(pdf[n].iloc[0], dtype=float) for n in ("_x", "_p")))[2]
+        ll = _filter(y, q, r, *(np.asarray(pdf[n].iloc[0], dtype=float) for n in ("_x", "_p")))[3]
         return one(pdf, ll=ll, n=np.full_like(q, float(np.sum(~np.isnan(y)))))
     p_start = rows.groupBy(*blk).applyInPandas(variance, arrays("a", "b", "c", "d")).groupBy(SITE).applyInPandas(scan_variance, arrays("_p"))
     ends = rows.join(p_start, blk, "inner").groupBy(*blk).applyInPandas(level, arrays("_p", "left", "x"))

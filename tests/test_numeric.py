@@ -119,7 +119,7 @@ def test_likelihood_is_the_same_in_blocks(spark):
     for site, part in by_site(hours(80, seed=10)).items():
         y = np.array([np.nan if r["x"] is None else r["x"] for r in part])
         for q, r in ((1e-2, 0.5), (1.0, 8.0)):
-            assert near(a[(site, q, r)], kalman._filter(y, q, r, 0.0, kalman.FITTED_P0)[2])
+            assert near(a[(site, q, r)], kalman._filter(y, q, r, 0.0, kalman.FITTED_P0)[3])
     chosen = kalman.choose_parameters(kalman.likelihood_table(df, F.col("x")), min_rows=50).collect()
     assert {r["site_id"]: r["p0"] for r in chosen} == {0: kalman.FITTED_P0, 1: kalman.FALLBACK_P0}
 
