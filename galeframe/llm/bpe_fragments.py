@@ -26,7 +26,7 @@ from galeframe.llm.common import map_batches, process_store, slices
 END = "</w>"
 #: Characters for which Python's tables might differ from the tokenizer's; texts with one take its own rules.
 ODD = re.compile("[\x1c-\x1fͰ-\U0010ffff]")
-CACHE_ROWS = 200_000
+CACHE_ROWS = 60_000
 
 
 def byte_letters() -> list[str]:
@@ -43,7 +43,7 @@ class Cache:
     def __init__(self, rows: int = CACHE_ROWS):
         self.rows, self.young, self.old = rows, {}, {}
 
-    def look_up(self, keys: list, learn: Callable[[list], list[bytes]], step: int = 1 << 17) -> list[bytes]:
+    def look_up(self, keys: list, learn: Callable[[list], list[bytes]], step: int = 1 << 14) -> list[bytes]:
         """The ids of all keys; those never met are learnt, each once."""
         out = list(map(self.young.get, keys))
         if None not in out:
@@ -227,7 +227,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         codec = worker_codec(file.value)
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", 6 << 20):
             ids = codec.encode(batch.column("text").to_pylist())
             out = {"doc_id": batch.column("doc_id"), "n_tokens": [len(i) // 4 for i in ids], "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids]}
             out["decoded_sha256"] = [hashlib.sha256(d.encode()).hexdigest() for d in codec.decode(ids)]

@@ -1,56 +1,42 @@
-"""What the text operators share: intermediate tables, folded text, Arrow batches."""
+"""What the text operators share: tables, Arrow batches, memory of the Python workers."""
 
 from __future__ import annotations
 
-import atexit
+import ctypes
 import sys
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from galeframe.operators.settle import settle
 from galeframe.session import prepare
 
-_FOLDERS: list[str] = []
+#: Rows of a batch sent to Python, so that long texts do not add up in a worker.
+BATCH_ROWS = 2_000
+stash = settle
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; below the warehouse, which executors share too, where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_tables"
-    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    if not _FOLDERS:
-        atexit.register(_remove_all)
-    _FOLDERS.append(folder)
-    return folder
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Write a table as Parquet to the shared folder and read it back; a lost executor then costs no recomputation."""
-    folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _remove_all() -> None:
-    jvm = SparkContext._jvm
-    if jvm is None:
-        return
-    for folder in _FOLDERS:
-        try:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
-        except Exception:  # noqa: BLE001 - the JVM may have ended before
-            return
+def small_batches(spark: SparkSession) -> None:
+    prepare(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def release_memory() -> None:
+    """Give freed memory back to the system at the end of a task: Python workers live on through later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+    if trim is not None:
+        trim(0)
 
 
 def process_store(name: str) -> dict:
@@ -61,12 +47,13 @@ def process_store(name: str) -> dict:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow for a function that yields dictionaries of equally long columns."""
-    prepare(df.sparkSession)
+    small_batches(df.sparkSession)
     want = to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in fn(batches):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for f, c in ((f, cols[f.name]) for f in want)], schema=want)
+        release_memory()
     return df.mapInArrow(run, schema)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from galeframe.llm.common import map_batches, stash
+from galeframe.llm.common import map_batches, small_batches, stash
 
 PAGE = "pivot int, slot_key long, near double, far double, ids binary, vectors binary, leaf_of binary, leaf_vectors binary, leaf_parent binary, leaf_radius binary, entry_parent binary"
 
@@ -225,6 +225,8 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, *, k: int = 10,
     blocks, slots = -(-n_asked // block_rows), -(-pages.count() // slot_pages)
     held = spark.sparkContext.broadcast((sample_ids, sample_x, route))
 
+    small_batches(spark)
+
     def search(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ids, known, routes = held.value
         if left.empty or right.empty:

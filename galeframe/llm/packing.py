@@ -107,7 +107,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_i
         codec = worker_codec(file.value)
         kind = "<u2" if len(codec.tokens) <= 1 << 16 else "<u4"
         pieces, held = [], 0
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", 6 << 20):
             for doc, coded in zip(batch.column("doc_id").to_pylist(), codec.encode(batch.column("text").to_pylist())):
                 ids = np.frombuffer(coded, "<u4").astype(kind)
                 if len(ids) and end_id is not None:

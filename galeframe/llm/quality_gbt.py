@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import map_batches, slices
-from galeframe.session import prepare
+from galeframe.llm.common import map_batches, release_memory, slices, small_batches
 
 STATISTICS = ("log_bytes", "log_words", "bytes_per_word", "upper", "digit", "space", "beyond_ascii", "stop_marks", "pipe", "hash_marks", "other_marks", "distinct_words", "herdan",
               "repeated_next", "upper_words", "title_words", "marked_words", "log_lines", "words_per_line", "repeated_lines", "packed", "longest_word")
@@ -132,13 +131,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7,
     A missing or empty text has zero statistics and a score like any other; rows are scored one by one, so repeated rows
     and ids agree. Without usable labels the score is the share of label 1, or a half. Other columns pass through.
     """
-    prepare(docs.sparkSession)
+    small_batches(docs.sparkSession)
     forest = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, doc_id=doc_id, text=text, **settings))  # a fixed number of nodes
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             x = np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS))
             yield pd.Series(forest.value.score(x))
+        release_memory()
 
     own = [c for c in docs.columns if c not in (score, predicted)]
     scored = docs.select(*own, F.pandas_udf(run, "double")(F.col(text).cast("string")).alias(score))
