@@ -148,7 +148,8 @@ def simhash_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each component: one whose id names it. Rows with a missing id stay; columns are unchanged."""
     classes = stash(simhash_classes(docs, doc_id=doc_id, text=text).select("doc_id", "component_id"))
-    gone = classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
+    # written, so that the planner knows its bytes: texts are shuffled only where the ids are too many to broadcast
+    gone = stash(classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct())
     kept = docs.join(gone, doc_id, "left_anti").select(*docs.columns)
     repeated = classes.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(doc_id))
     if repeated.isEmpty():
