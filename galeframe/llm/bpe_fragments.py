@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
-from galeframe.llm.common import map_batches, process_store, slices
+from galeframe.llm.common import map_batches, process_store, release_memory, slices
 
 END = "</w>"
 #: Characters for which Python's tables might differ from the tokenizer's; texts with one take its own rules.
@@ -227,11 +227,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         codec = worker_codec(file.value)
-        for batch in slices(batches, "text", 6 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             ids = codec.encode(batch.column("text").to_pylist())
             out = {"doc_id": batch.column("doc_id"), "n_tokens": [len(i) // 4 for i in ids], "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids]}
             out["decoded_sha256"] = [hashlib.sha256(d.encode()).hexdigest() for d in codec.decode(ids)]
             yield out | {"ids": ids}
+            del ids, out
+            release_memory()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, schema)

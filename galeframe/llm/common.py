@@ -32,7 +32,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def release_memory() -> None:
-    """Give freed memory back to the system at the end of a task: Python workers live on through later stages."""
+    """Give freed memory back to the system, at the end of a task at least: Python workers live on through later stages."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
     if trim is not None:
