@@ -2,8 +2,9 @@
 
 Pages are parsed once into a flat list of elements. Every element's subtree is hashed (tags and text, without what
 differs from visit to visit), and the hashes are counted per host in Spark over pages of different content: subtrees
-that recur across many of a host's pages are its template. A second pass deletes those subtrees, together with elements
-whose tag, role or class says that they are no part of the article, and joins the text blocks that are left.
+that recur across many of a host's pages are its template. A second pass deletes those subtrees from the whole page first.
+Of what is left it takes the article, without elements whose tag, role or class says that they are no part of it, and
+joins the text blocks.
 
 Prose of the article itself (paragraphs, headings, list items and the like inside its container) is never taken for
 template: passages that many articles quote stay.
@@ -153,26 +154,67 @@ def digest(root: Element) -> None:
 
 
 def candidates(root: Element) -> tuple[int, set[int]]:
-    """Hash of the page's content, and hashes of the subtrees that may be template."""
+    """Hash of the page's content, and hashes of the subtrees of the whole page that may be template."""
     digest(root)
     parts, named = container(root)
-    out, queue = set(), list(parts)
+    around, tops = holders(root, parts), set(parts)
+    out, queue = set(), [(root, False)]
     while queue:
-        e = queue.pop()
-        if e not in parts and excluded(e):
-            continue
-        has_text = e.tag not in WHOLE and e.tag != "#root" and e.tag in BLOCKS and not (named and e.tag in PROSE)
-        if has_text and any(isinstance(c, Element) or c.strip() for c in e.children):
+        e, inside = queue.pop()
+        inside = inside or e in tops
+        if e not in around and deletable(e, named and inside) and any(isinstance(c, Element) or c.strip() for c in e.children):
             out.add(e.digest)
-        queue += [c for c in e.children if isinstance(c, Element)]
+        queue += [(c, inside) for c in e.children if isinstance(c, Element)]
     whole = xxhash.xxh64()
     for e in parts:
         whole.update(e.digest.to_bytes(8, "little"))
     return whole.intdigest(), out
 
 
+def deletable(e: Element, prose_stays: bool) -> bool:
+    return e.tag in BLOCKS and e.tag not in WHOLE and not (prose_stays and e.tag in PROSE)
+
+
+def holders(root: Element, parts: list[Element]) -> set[Element]:
+    """The elements that a container lies in, which are never template."""
+    out, wanted, queue = set(), set(parts), [(root, None)]
+    above: dict[Element, Element | None] = {}
+    while queue:
+        e, parent = queue.pop()
+        above[e] = parent
+        if e not in wanted:
+            queue += [(c, e) for c in e.children if isinstance(c, Element)]
+    for e in parts:
+        up = above[e]
+        while up is not None and up not in out:
+            out.add(up)
+            up = above[up]
+    return out
+
+
+def delete_template(root: Element, template: set[int]) -> None:
+    """Take the recurring subtrees out of the page; prose of a named container stays."""
+    parts, named = container(root)
+    around, tops = holders(root, parts), set(parts)
+    queue = [(root, root in tops)]
+    while queue:
+        e, inside = queue.pop()
+        left: list[Element | str] = []
+        for c in e.children:
+            if isinstance(c, Element):
+                within = inside or c in tops
+                if c.digest in template and c not in around and deletable(c, named and within):
+                    left.append(Element("hr"))  # the blocks around it stay apart
+                    continue
+                queue.append((c, within))
+            left.append(c)
+        e.children = left
+
+
 def main_text(root: Element, template: set[int]) -> str:
-    """Text blocks of the containers without excluded and template subtrees."""
+    """Text blocks of the containers of the page without its template, and without excluded subtrees."""
+    if template:
+        delete_template(root, template)
     parts, named = container(root)
     blocks: list[str] = []
     line: list[str] = []
@@ -191,7 +233,7 @@ def main_text(root: Element, template: set[int]) -> str:
                 flush()
             elif isinstance(e, str):
                 line.append(e)
-            elif e is not part and (excluded(e) or e.tag == "header" and not named) or e.digest in template and e.tag in BLOCKS and e.tag not in WHOLE and not (named and e.tag in PROSE):
+            elif e is not part and (excluded(e) or e.tag == "header" and not named):
                 if e.tag in BLOCKS:
                     flush()
             elif e.tag in ("br", "wbr", "img"):
@@ -226,9 +268,9 @@ def template_table(pages: DataFrame, *, url: str = "url", source: str = "html",
             yield {"host": batch.column("host"), "content": [signed(c) for c, _ in found], "hashes": [sorted(map(signed, h)) for _, h in found]}
 
     rows = map_batches(pages.select(host_of(url).alias("host"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("html")), run, "host string, content long, hashes array<long>")
-    distinct = stash(rows.groupBy("host", "content").agg(F.first("hashes").alias("hashes")))
-    total = distinct.groupBy("host").agg(F.count("*").alias("pages"))
-    counted = distinct.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    distinct = stash(rows.select("host", "content", F.explode_outer("hashes").alias("hash")).distinct())
+    total = distinct.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    counted = distinct.filter(F.col("hash").isNotNull()).groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     return counted.join(total, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
 
 

@@ -59,3 +59,16 @@ def test_template_of_each_host_goes(spark, empty):
     assert all(got[i]["text"] == "A mirrored page\nwith parts" for i in range(len(rows), len(rows) + 30))
     assert all(got[i]["text"] == "" for i in range(len(rows) + 30, len(got)))
     assert m.extract_text(pages.filter("false")).count() == 0
+
+
+def test_template_rows_of_pages_with_articles(spark):
+    """Menus, adverts and footers around an article are hashed, counted and deleted by their recurrence."""
+    around = "<nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='ad'>Buy</div><article>{0}</article><footer>Imprint</footer>"
+    rows = [(i, f"http://a.example/{i}", around.format(f"<h1>Title {i}</h1><p>Body {i}</p>")) for i in range(20)]
+    found = {r["hash"] for r in m.template_table(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    root = m.parse(rows[0][2])
+    m.digest(root)
+    nav, ad, article, footer = root.children
+    assert found == {m.signed(e.digest) for e in (nav, nav.children[0], nav.children[0].children[0], ad, footer)}
+    m.delete_template(root, {h % (1 << 64) for h in found})
+    assert [e.tag for e in root.children] == ["hr", "hr", "article", "hr"]
