@@ -6,8 +6,10 @@ that recur across many of a host's pages are its template. A second pass deletes
 Of what is left it takes the article, without elements whose tag, role or class says that they are no part of it, and
 joins the text blocks.
 
-Prose of the article itself (paragraphs, headings, list items and the like inside its container) is never taken for
-template: passages that many articles quote stay.
+Prose of the article itself (paragraphs, headings, list items and the like inside its container, and subtrees that hold
+such) is never taken for template: passages that many articles quote and bodies of near copies stay. On a page without an
+article or main element the container is the smallest one with all text that does not recur. Where most of the text
+would go as template, all of it stays.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|b
                    r"widget\w*|footer|(?:site|page|top)[_-]?header|masthead|comments?|comment-?list|disqus|respond|replies|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip\w*|login|signup|search\w*)(?:$|[\s_-])", re.I)
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption caption".split())
 WHOLE = frozenset("html body article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+GROUPS = frozenset("ul ol menu dl table thead tbody tfoot tr figure".split())
 
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -46,10 +50,10 @@ SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children", "digest")
+    __slots__ = ("tag", "attributes", "children", "digest", "plain", "prose")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children, self.digest = tag, attributes, [], 0
+        self.tag, self.attributes, self.children, self.digest, self.plain, self.prose = tag, attributes, [], 0, 0, False
 
 
 def parse(source: str) -> Element:
@@ -136,21 +140,33 @@ def container(root: Element) -> tuple[list[Element], bool]:
     return [root], False
 
 
+def link(e: Element) -> bool:
+    return e.tag == "a" and "href" in e.attributes.lower() and not any(isinstance(c, Element) and c.tag in BLOCKS for c in e.children)
+
+
 def digest(root: Element) -> None:
-    """Hash every subtree from the leaves up: tag, collapsed text and the children's hashes."""
+    """Hash every subtree from the leaves up: tag, collapsed text and the children's hashes.
+
+    ``plain`` becomes the characters outside links, and ``prose`` whether any of them are in paragraphs, items or cells.
+    """
     order, queue = [], [root]
     while queue:
         e = queue.pop()
         order.append(e)
         queue += [c for c in e.children if isinstance(c, Element)]
     for e in reversed(order):
-        h = xxhash.xxh64(e.tag)
+        h, plain, prose = xxhash.xxh64(e.tag), 0, False
         for c in e.children:
             if isinstance(c, Element):
                 h.update(c.digest.to_bytes(8, "little"))
+                plain += c.plain
+                prose |= c.prose
             elif text := SPACE.sub(" ", c).strip():
                 h.update(text)
+                plain += len(text)
         e.digest = h.intdigest()
+        if e.tag not in NOT_TEXT and not link(e):
+            e.plain, e.prose = plain, prose or plain > 0 and e.tag in PROSE and e.tag not in HEADINGS
 
 
 def candidates(root: Element) -> tuple[int, set[int]]:
@@ -162,7 +178,7 @@ def candidates(root: Element) -> tuple[int, set[int]]:
     while queue:
         e, inside = queue.pop()
         inside = inside or e in tops
-        if e not in around and deletable(e, named and inside) and any(isinstance(c, Element) or c.strip() for c in e.children):
+        if e not in around and deletable(e) and not (named and inside and stays(e, True)) and any(isinstance(c, Element) or c.strip() for c in e.children):
             out.add(e.digest)
         queue += [(c, inside) for c in e.children if isinstance(c, Element)]
     whole = xxhash.xxh64()
@@ -171,8 +187,17 @@ def candidates(root: Element) -> tuple[int, set[int]]:
     return whole.intdigest(), out
 
 
-def deletable(e: Element, prose_stays: bool) -> bool:
-    return e.tag in BLOCKS and e.tag not in WHOLE and not (prose_stays and e.tag in PROSE)
+def deletable(e: Element) -> bool:
+    return e.tag in BLOCKS and e.tag not in WHOLE
+
+
+def stays(e: Element, named: bool) -> bool:
+    """Whether it is prose of the container it lies in; a link alone is prose only in a named container."""
+    return e.prose or e.tag in PROSE and (named or e.plain > 0)
+
+
+def dropped(e: Element, named: bool) -> bool:
+    return excluded(e) or e.tag == "header" and not named
 
 
 def holders(root: Element, parts: list[Element]) -> set[Element]:
@@ -192,23 +217,59 @@ def holders(root: Element, parts: list[Element]) -> set[Element]:
     return out
 
 
-def delete_template(root: Element, template: set[int]) -> None:
-    """Take the recurring subtrees out of the page; prose of a named container stays."""
+def own_part(root: Element, template: set[int]) -> Element:
+    """The smallest block that holds all text which is neither template nor a link nor excluded; else the page."""
+    order, queue, own = [], [(root, None)], {}
+    while queue:
+        e, parent = queue.pop()
+        order.append((e, parent))
+        own[e] = sum(1 for c in e.children if isinstance(c, str) and c.strip())
+        queue += [(c, e) for c in e.children if isinstance(c, Element) and c.plain and not (deletable(c) and c.digest in template) and not dropped(c, False)]
+    for e, parent in reversed(order):
+        if parent is not None:
+            own[parent] += own[e]
+    if not own[root]:
+        return root
+    path = [root]
+    while (inner := next((c for c in path[-1].children if isinstance(c, Element) and own.get(c) == own[root]), None)) is not None:
+        path.append(inner)
+    return next((e for e in reversed(path) if e.tag in BLOCKS and e.tag not in PROSE and e.tag not in GROUPS), root)
+
+
+def recurring(root: Element, template: set[int], spare: bool) -> tuple[dict[Element, set[Element]], int, int]:
+    """Subtrees to delete by parent, their characters of the content, and all characters of the content (outside links).
+
+    Outside a named container everything that recurs goes. ``spare``: what holds text outside links stays.
+    """
     parts, named = container(root)
-    around, tops = holders(root, parts), set(parts)
+    around, tops = holders(root, parts), set(parts if named else [own_part(root, template)])
+    found: dict[Element, set[Element]] = {}
+    gone, total = 0, sum(e.plain for e in parts)
     queue = [(root, root in tops)]
     while queue:
         e, inside = queue.pop()
-        left: list[Element | str] = []
         for c in e.children:
-            if isinstance(c, Element):
-                within = inside or c in tops
-                if c.digest in template and c not in around and deletable(c, named and within):
-                    left.append(Element("hr"))  # the blocks around it stay apart
-                    continue
+            if not isinstance(c, Element):
+                continue
+            within = inside or c in tops
+            content = within or not named
+            out = content and c not in tops and dropped(c, named)
+            if c.digest in template and c not in around and deletable(c) and not (within and stays(c, named)) and not (spare and content and c.plain):
+                found.setdefault(e, set()).add(c)
+                gone += c.plain if content and not out else 0
+            elif not out:
                 queue.append((c, within))
-            left.append(c)
-        e.children = left
+            total -= c.plain if out else 0
+    return found, gone, total
+
+
+def delete_template(root: Element, template: set[int]) -> None:
+    """Take the recurring subtrees out of the page, except prose of the container and what is most of the content."""
+    found, gone, total = recurring(root, template, False)
+    if 2 * gone > total:
+        found, _, _ = recurring(root, template, True)
+    for e, victims in found.items():
+        e.children = [Element("hr") if c in victims else c for c in e.children]  # the blocks around it stay apart
 
 
 def main_text(root: Element, template: set[int]) -> str:
@@ -233,7 +294,7 @@ def main_text(root: Element, template: set[int]) -> str:
                 flush()
             elif isinstance(e, str):
                 line.append(e)
-            elif e is not part and (excluded(e) or e.tag == "header" and not named):
+            elif e is not part and dropped(e, named):
                 if e.tag in BLOCKS:
                     flush()
             elif e.tag in ("br", "wbr", "img"):

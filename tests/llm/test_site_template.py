@@ -72,3 +72,24 @@ def test_template_rows_of_pages_with_articles(spark):
     assert found == {m.signed(e.digest) for e in (nav, nav.children[0], nav.children[0].children[0], ad, footer)}
     m.delete_template(root, {h % (1 << 64) for h in found})
     assert [e.tag for e in root.children] == ["hr", "hr", "article", "hr"]
+
+
+def texts(spark, pages):
+    df = spark.createDataFrame([(i, f"http://a.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in m.extract_text(df).orderBy("page_id").collect()]
+
+
+def test_prose_in_recurring_subtrees_stays(spark):
+    """Near copies under a div, tables, lists and figures of an article, and passages shared on pages without one."""
+    menu, tail = "<div><ul><li><a href='/'>Home</a></li><li><a href='/b'>More</a></li></ul></div>", "<div><p>Imprint</p></div>"
+    own = [f"Paragraph of page {i} alone, which no other page of the host has." for i in range(15)]
+    same = "<div><p>One body</p><ul><li>with an item</li></ul><table><tr><td>and a cell</table><figure><figcaption>and a caption</figcaption></figure></div>"
+    want = "One body\nwith an item\nand a cell\nand a caption"
+    assert texts(spark, [f"{menu}<article><h1>Title {i}</h1>{same}</article>{tail}" for i in range(15)]) == [f"Title {i}\n{want}" for i in range(15)]
+    assert texts(spark, [f"{menu}<h1>Title {i}</h1>{same}{tail}" for i in range(15)]) == [f"Title {i}\n{want}\nImprint" for i in range(15)]
+    bare = "A body without paragraphs that many pages share."
+    assert texts(spark, [f"{menu}<article><h1>Title {i}</h1><div>{bare}</div></article>" for i in range(15)]) == [f"Title {i}\n{bare}" for i in range(15)]
+    shared = [f"<body>{menu}<div><p>{p}</p><p>Passage that all quote.</p><blockquote><p>And another.</p></blockquote>{menu}</div>{tail}</body>" for p in own]
+    assert texts(spark, shared) == [f"{p}\nPassage that all quote.\nAnd another." for p in own]
+    related = "<div><h3>More stories</h3><ul><li><a href='/1'>One</a></li></ul></div>"
+    assert texts(spark, [f"{menu}<article><p>{p}</p>{related}</article>" for p in own]) == own
