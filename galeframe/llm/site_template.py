@@ -36,15 +36,21 @@ BARRIER = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tab
 
 NOT_TEXT = frozenset("head script style noscript template iframe object embed svg canvas audio video math select button input textarea form nav footer aside menu dialog search title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status tablist".split())
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice\w*|newsletter|subscri\w*|popup|modal|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|"
-                   r"widget\w*|footer|(?:site|page|top)[_-]?header|masthead|comments?|comment-?list|disqus|respond|replies|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip\w*|login|signup|search\w*)(?:$|[\s_-])", re.I)
+NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert(?:s|ising|isement|isements|orial)?|adsense|sponsor(?:s|ed|ship)?|promos?|promoted|promotions?|promotional|banners?|cookies?|consent|gdpr|newsletters?|subscri(?:be|ber|bers|ption|ptions)|notice[_-]?bar|popup|modal|"
+                   r"nav(?:s|bar|igation|menu|list|links?|wrap|wrapper|container)?|menus?|menu(?:bar|item|items|list)|breadcrumbs?|sidebars?|widgets?|footer|(?:site|page|top)[_-]?header|masthead|comments?|comment-?list|disqus|"
+                   r"respond|replies|share|sharing|social|related|recommend(?:ed|ations?)|pagination|pager|toolbar|skip(?:link|nav|to)?|login|signup|search(?:bar|box|form)?)\d*(?:$|[\s_-])", re.I)
+#: Words that an id may have beside those of NAMES; with any other word it is a name for something in the text.
+BESIDE = frozenset("area articles bar block bottom box button buttons container content email form global header icons inner left link links list local main mobile notice outer page panel posts primary right secondary section "
+                   "site stories sub the top widget wrap wrapper".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption caption".split())
 WHOLE = frozenset("html body article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 GROUPS = frozenset("ul ol menu dl table thead tbody tfoot tr figure".split())
 
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
+KNOWN = frozenset("class id role hidden aria-hidden".split())
+WORD = re.compile(r"[\s_-]+|(?<=[A-Za-z])(?=\d)")
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 
@@ -107,17 +113,38 @@ def open_tag(stack: list[Element], tag: str) -> None:
 
 
 def attributes_of(e: Element) -> list[tuple[str, str]]:
-    return [(m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or "") for m in ATTRIBUTE.finditer(e.attributes)] if e.attributes else []
+    """The known attributes, read as whole name=value pairs from the start of the tag; the first of a name counts."""
+    if not e.attributes:
+        return []
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(e.attributes):
+        if m.group(1) and (name := m.group(1).lower()) in KNOWN:
+            out.setdefault(name, m.group(2) or m.group(3) or m.group(4) or "")
+    return list(out.items())
 
 
-def excluded(e: Element) -> bool:
+def names_other(e: Element, name: str, value: str, inside: bool) -> bool:
+    """Whether a class or id says that the element is no part of the text; ``inside``: of a named article.
+
+    An id also serves as the anchor of a passage, so it counts only if it has no words of its own, and never on
+    headings nor, inside, on sections and prose.
+    """
+    value = HUMP.sub("-", value)
+    if name == "class":
+        return bool(NAMES.search(value))
+    if name != "id" or e.tag in HEADINGS or inside and (e.tag == "section" or e.tag in PROSE):
+        return False
+    return bool(NAMES.search(value)) and all(not w or w in BESIDE or w.isdigit() or NAMES.fullmatch(w) for w in WORD.split(value.lower()))
+
+
+def excluded(e: Element, inside: bool = False) -> bool:
     """Menus, forms, page headers and the like, by tag, role, class or id."""
     if e.tag in NOT_TEXT:
         return True
     if not e.attributes or e.tag in WHOLE:
         return False
     for name, value in attributes_of(e):
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES or name in ("class", "id") and NAMES.search(HUMP.sub("-", value)):
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES or names_other(e, name, value, inside):
             return True
     return False
 
@@ -129,7 +156,7 @@ def container(root: Element) -> tuple[list[Element], bool]:
         queue = [root]
         while queue:
             e = queue.pop()
-            if e.tag == tag and not any(n in ("class", "id") and NAMES.search(HUMP.sub("-", v)) for n, v in attributes_of(e)):
+            if e.tag == tag and not any(names_other(e, n, v, False) for n, v in attributes_of(e)):
                 found.append(e)
             elif e.tag == tag or excluded(e):
                 continue
@@ -197,7 +224,8 @@ def stays(e: Element, named: bool) -> bool:
 
 
 def dropped(e: Element, named: bool) -> bool:
-    return excluded(e) or e.tag == "header" and not named
+    """Whether exclusion takes it out of its container."""
+    return excluded(e, named) or e.tag == "header" and not named
 
 
 def holders(root: Element, parts: list[Element]) -> set[Element]:

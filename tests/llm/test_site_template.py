@@ -93,3 +93,15 @@ def test_prose_in_recurring_subtrees_stays(spark):
     assert texts(spark, shared) == [f"{p}\nPassage that all quote.\nAnd another." for p in own]
     related = "<div><h3>More stories</h3><ul><li><a href='/1'>One</a></li></ul></div>"
     assert texts(spark, [f"{menu}<article><p>{p}</p>{related}</article>" for p in own]) == own
+
+
+def test_attributes_are_whole_names():
+    """Values and longer names are no attributes, and anchors and prose classes exclude nothing."""
+    for a in ("style='overflow:hidden'", 'title="hidden gems"', "data-id='search'", "data-role=form", "data-hidden=1", "title='a class=ad b'", 'alt="id=nav"', "class=notice", "class=navy", "class='navajo researcher'",
+              "id=related-work", "id='search-algorithms'", "id=comments-on-x", "data-x='1' \"role=form\"", "aria-hidden=false", "class=a class=ad"):
+        for page in ("<article><p>a</p><TAG A>b</TAG></article>", "<div><p>a</p><TAG A>b</TAG></div>"):
+            for tag in ("p", "div", "section", "h2"):
+                assert text(page.replace("TAG", tag).replace("A>", f"{a}>")) == "a\nb", (a, tag, page)
+    for a in ("hidden", "HIDDEN=''", "class='x ad'", "data-x='1'class=\"navbar\"", "id=comments", "id=relatedPosts", "id='sidebar-left'", "id=comments2", "role=navigation", "aria-hidden='true'", "class=main-nav", "class=search-box"):
+        assert text(f"<article><p>a</p><div {a}>b</div></article>") == "a", a
+    assert text("<article><p>a</p><section id=comments><h3 id=search>b</h3></section><p id=share>c</p></article>") == "a\nb\nc"
