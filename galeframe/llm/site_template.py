@@ -345,33 +345,48 @@ def host_of(url: str) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def template_table(pages: DataFrame, *, url: str = "url", source: str = "html", min_pages: int = 10, min_share: float = 0.02) -> DataFrame:
-    """host, hash: subtrees found on at least ``min_pages`` pages and ``min_share`` of the pages of a host.
+def keyed(pages: DataFrame, *columns: F.Column, url: str, source: str) -> DataFrame:
+    """host, html and a key of 128 bits of the page's source, with other columns."""
+    out = pages.select(*columns, host_of(url).alias("host"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("html"))
+    return out.withColumns({"p": F.xxhash64(F.lit(0), "html"), "q": F.xxhash64(F.lit(1), "html")})
 
-    Pages of one host with the same content count once, so mirrored articles do not look like template. Counting is
-    partial before the shuffle, so a host with a third of all pages is no hot spot.
-    """
+
+def subtrees(pages: DataFrame, *, url: str = "url", source: str = "html") -> DataFrame:
+    """host, p, q (key of the page), content, hash: what may be template, of every page."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in slices(batches, "html"):
             found = [candidates(parse(t)) for t in batch.column("html").to_pylist()]
-            yield {"host": batch.column("host"), "content": [signed(c) for c, _ in found], "hashes": [sorted(map(signed, h)) for _, h in found]}
+            yield {"host": batch.column("host"), "p": batch.column("p"), "q": batch.column("q"), "content": [signed(c) for c, _ in found], "hashes": [sorted(map(signed, h)) for _, h in found]}
+
+    rows = map_batches(keyed(pages, url=url, source=source), run, "host string, p long, q long, content long, hashes array<long>")
+    return stash(rows.select("host", "p", "q", "content", F.explode("hashes").alias("hash")))
+
 
-    rows = map_batches(pages.select(host_of(url).alias("host"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("html")), run, "host string, content long, hashes array<long>")
-    distinct = stash(rows.select("host", "content", F.explode_outer("hashes").alias("hash")).distinct())
-    total = distinct.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    counted = distinct.filter(F.col("hash").isNotNull()).groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    return counted.join(total, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
+def recurring_subtrees(found: DataFrame, min_pages: int) -> DataFrame:
+    return found.select("host", "hash", "content").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("host", "hash")
+
+
+def template_table(pages: DataFrame, *, url: str = "url", source: str = "html", min_pages: int = 10) -> DataFrame:
+    """host, hash: subtrees found on at least ``min_pages`` pages of a host, however many it has.
+
+    Pages of one host with the same content count once, so mirrored articles do not look like template. Counting is
+    partial before the shuffle, so a host with a third of all pages is no hot spot.
+    """
+    return recurring_subtrees(subtrees(pages, url=url, source=source), min_pages)
 
 
-def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", source: str = "html", **settings) -> DataFrame:
+def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", source: str = "html", min_pages: int = 10) -> DataFrame:
     """Per row: page_id, url, text (blocks joined by a line feed) and n_chars (code points).
 
     A missing or empty page has the empty text; pages without a host in their url share the empty host. Repeated rows
-    give repeated results; other columns are not read.
+    give repeated results; other columns are not read. A page meets only the template hashes found on it, so a large
+    host's template is never carried whole.
     """
-    template = template_table(pages, url=url, source=source, **settings).groupBy("host").agg(F.collect_set("hash").alias("template"))
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html"), host_of(url).alias("host"))
-    met = rows.join(stash(template), "host", "left")
+    found = subtrees(pages, url=url, source=source)
+    template = stash(recurring_subtrees(found, min_pages))
+    hits = found.join(template, ["host", "hash"], "left_semi").groupBy("host", "p", "q").agg(F.collect_set("hash").alias("template"))
+    rows = keyed(pages, F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), url=url, source=source)
+    met = rows.join(stash(hits), ["host", "p", "q"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in slices(batches, "html"):

@@ -105,3 +105,9 @@ def test_attributes_are_whole_names():
     for a in ("hidden", "HIDDEN=''", "class='x ad'", "data-x='1'class=\"navbar\"", "id=comments", "id=relatedPosts", "id='sidebar-left'", "id=comments2", "role=navigation", "aria-hidden='true'", "class=main-nav", "class=search-box"):
         assert text(f"<article><p>a</p><div {a}>b</div></article>") == "a", a
     assert text("<article><p>a</p><section id=comments><h3 id=search>b</h3></section><p id=share>c</p></article>") == "a\nb\nc"
+
+
+def test_rare_template_of_a_large_host_goes(spark):
+    """A section's menu on ten pages goes, however many pages the host has."""
+    pages = [f"<body>{'<div><span>Section</span></div>' if i < 10 else ''}<div><p>Own words of page {i}</p><p>and more</p></div></body>" for i in range(900)]
+    assert texts(spark, pages) == [f"Own words of page {i}\nand more" for i in range(900)]
