@@ -45,7 +45,7 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in slices(batches, "text"):
         prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-        yield {"doc_id": batch.column("doc_id"), "fp": prints.view(np.int64)}
+        yield {**{name: batch.column(name) for name in batch.schema.names if name != "text"}, "fp": prints.view(np.int64)}
 
 
 def _near(x: np.ndarray) -> np.ndarray:
@@ -128,17 +128,23 @@ def variants(prints: DataFrame) -> DataFrame:
     return out.select("fp", F.expr("shiftleft(cast(i as bigint), 32) | (shiftrightunsigned(fp, 32 * (i div 32)) & 4294967295L & ~shiftleft(1L, i % 32))").alias("key"))
 
 
+def _rooted(prints: DataFrame) -> DataFrame:
+    """fp, least (smallest id), root (one fingerprint of the component) for every distinct fingerprint."""
+    classes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    met = variants(classes).repartition("key").sortWithinPartitions("key")
+    stars = connected(map_batches(met, _links, "u long, v long"))
+    return classes.join(stars, classes["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable over links) for every row.
 
     A missing or empty text has no words and the fingerprint zero, linked like any other; repeated rows and ids fall
     into one component; a missing id stays missing and never names a component others have ids for. Other columns are not read.
     """
-    prints = stash(map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), _fingerprints, "doc_id long, fp long"))
-    classes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    met = variants(classes).repartition("key").sortWithinPartitions("key")
-    stars = connected(map_batches(met, _links, "u long, v long"))
-    rooted = classes.join(stars, classes["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    prints = stash(map_batches(docs, _fingerprints, "doc_id long, fp long"))
+    rooted = _rooted(prints)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(named, "root").select("fp", "component_id")
     return (prints.join(named.hint("merge"), "fp")
@@ -146,12 +152,21 @@ def simhash_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each component: one whose id names it. Rows with a missing id stay; columns are unchanged."""
-    classes = stash(simhash_classes(docs, doc_id=doc_id, text=text).select("doc_id", "component_id"))
-    # written, so that the planner knows its bytes: texts are shuffled only where the ids are too many to broadcast
-    gone = stash(classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct())
-    kept = docs.join(gone, doc_id, "left_anti").select(*docs.columns)
-    repeated = classes.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(doc_id))
+    """Exactly one row of each component, with the smallest id; columns are unchanged.
+
+    Rows are told apart by id and text, so rows that repeat an id with other texts belong each to its own component.
+    """
+    identity = [F.col(doc_id).isNull(), F.col(doc_id).cast("long"), F.col(text).isNull(), F.col(text).cast("string")]
+    keys = {"_p": F.xxhash64(F.lit(0), *identity), "_q": F.xxhash64(F.lit(1), *identity)}
+    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(k.alias(n) for n, k in keys.items()))
+    prints = stash(map_batches(keyed, _fingerprints, "doc_id long, _p long, _q long, fp long"))
+    rows = stash(prints.join(_rooted(prints).select("fp", "root").hint("merge"), "fp").groupBy("root", "doc_id", "_p", "_q").agg(F.count("*").alias("n")))
+    first = stash(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_p", "_q", "n")).alias("f")).select("f._p", "f._q", "f.n"))
+    # written, so that the planner knows its bytes: texts are shuffled only where the keys are too many to broadcast
+    gone = stash(rows.select("_p", "_q").join(first, ["_p", "_q"], "left_anti"))
+    kept = docs.withColumns(keys).join(gone, ["_p", "_q"], "left_anti")
+    repeated = first.filter("n > 1").select("_p", "_q")
     if repeated.isEmpty():
-        return kept
-    return kept.join(repeated, doc_id, "left_anti").select(*docs.columns).union(kept.join(repeated, doc_id, "left_semi").select(*docs.columns).dropDuplicates([doc_id]))
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, ["_p", "_q"], "left_semi").dropDuplicates(["_p", "_q"])
+    return kept.join(repeated, ["_p", "_q"], "left_anti").select(*docs.columns).union(once.select(*docs.columns))

@@ -71,6 +71,14 @@ def test_odd_rows(odd, empty):
     assert simhash.one_per_component(odd).columns == odd.columns
 
 
+def test_one_row_of_each_component_where_ids_repeat(spark):
+    """Repeated ids with other texts, and copies without an id."""
+    a, b, c, d = ("alpha beta gamma delta", "one two three four five", "red green blue white black", "north south east west")
+    rows = [(3, a), (5, a), (5, b), (5, b), (9, b), (None, c), (None, c), (7, d), (None, d), (None, None), (None, "")]
+    kept = simhash.one_per_component(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["text"] or None) for r in kept), key=str) == sorted([(3, a), (5, b), (None, c), (7, d), (None, None)], key=str)
+
+
 def clusters(rnd, centres, size):
     out = set()
     for _ in range(centres):
