@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import bpe_fragments, line_dedup, mtree, packing, pii_crf, prefix_forest, quality_gbt, sharding, simhash, site_template, suffix_decontam
+from galeframe.llm import bpe_fragments, line_dedup, mtree, packing, pii_crf, prefix_forest, quality_gbt, sharding, simhash, site_template, suffix_decontam, whitening
 from galeframe.llm.common import table
 from galeframe.plans.registry import ORACLE, QUERIES, Query
 
@@ -125,6 +125,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query("op13_prefix_forest")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.nearest(table(spark, sf_dir, "embeddings"))
