@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import bpe_fragments, line_dedup, mtree, packing, pii_crf, prefix_forest, quality_gbt, sharding, simhash, site_template, suffix_decontam, whitening
+from galeframe.llm import bpe_fragments, conversation_repair, line_dedup, mtree, packing, pii_crf, prefix_forest, quality_gbt, sharding, simhash, site_template, suffix_decontam, whitening
 from galeframe.llm.common import table
 from galeframe.plans.registry import ORACLE, QUERIES, Query
 
@@ -125,6 +125,67 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _way(cost: str, audit: str, lines: str) -> str:
+    return "{" + f"'c': {cost}, 'a': {audit}, 't': {lines}" + "}"
+
+
+def _row(state: str, keeps: dict[str, str], then: str, name: str) -> str:
+    """The least (cost, audit, lines) of a row in a state: deleted, kept by its initial, or given a role."""
+    body = "CASE WHEN NOT gone THEN {} END"
+    kept = [f"CASE WHEN NOT gone AND x = '{i}' THEN {_way(f'l3+n.{q}.c', f"'K' || n.{q}.a", f"list_prepend(role || ':' || text, n.{q}.t)")} END" for i, q in keeps.items()]
+    given = body.format(_way(f"l3+3+n.{then}.c", f"'R' || n.{then}.a", f"list_prepend('{name}:' || text, n.{then}.t)"))
+    ways = [_way(f"4+n.{state}.c", f"'D' || n.{state}.a", f"n.{state}.t"), *kept, given]
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+
+
+def _insert(value: str, after: str, name: str) -> str:
+    return _least(value, _way(f"3+{after}.c", f"'I' || {after}.a", f"list_prepend('{name}:', {after}.t)"))
+
+
+REPAIR_SQL = f"""
+WITH RECURSIVE named AS (
+  SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda h: ascii(h)::BIGINT)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 20 AS d FROM named),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE d <> 0),
+placed AS (
+  SELECT *, row_number() OVER w AS i, left(role, 1) AS x, lag(left(role, 1)) OVER w AS before, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
+  FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy)),
+judged AS (
+  SELECT *, body = '' AS blank, body <> '' AND again AS twice, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS late, body = '' OR again AS gone,
+    before IS NOT NULL AND before || x NOT IN ('su', 'ua', 'au') AS odd FROM placed),
+counted AS (
+  SELECT conv_id, count(*) AS size, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE twice) AS duplicate, count(*) FILTER (WHERE late) AS truncated, count(*) FILTER (WHERE odd) AS illegal FROM judged GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, size + 1 AS i, {{'q': {_way("0", "''", "[]::VARCHAR[]")}, 's': {_way("6", "'II'", "['user:', 'assistant:']")},
+    'u': {_way("3", "'I'", "['assistant:']")}, 'a': {_way("0", "''", "[]::VARCHAR[]")}}} AS n FROM counted
+  UNION ALL
+  SELECT conv_id, i, {{'q': {_insert("p.q", "u1", "user")}, 's': {_insert("p.s", "u1", "user")}, 'u': u1, 'a': {_insert("p.a", "p.u", "user")}}} FROM (
+    SELECT conv_id, i, p, {_insert("p.u", "p.a", "assistant")} AS u1 FROM (
+      SELECT conv_id, j.i, {{'q': {_row("q", {"s": "s", "u": "u"}, "u", "user")}, 's': {_row("s", {"u": "u"}, "u", "user")},
+        'u': {_row("u", {"a": "a"}, "a", "assistant")}, 'a': {_row("a", {"u": "u"}, "u", "user")}}} AS p
+      FROM (SELECT w.conv_id, w.n, j.i, j.role, j.text, j.x, j.gone, 3 * j.late::INTEGER AS l3 FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i - 1) j)))
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(n.q.c, 0)::BIGINT AS cost, coalesce(n.q.a, '') AS audit, sha256(coalesce(array_to_string(n.q.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN walk w ON w.conv_id IS NOT DISTINCT FROM o.conv_id AND w.i = 1"""
+
+
+@query("op11_conversation_repair", REPAIR_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 @query("op12_whitening")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
