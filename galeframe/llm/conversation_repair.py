@@ -17,8 +17,7 @@ chained by conversation, which tells every piece its front and top, and the piec
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -41,7 +40,19 @@ Item = tuple[int, int]
 Node = tuple  # (state, node below or None)
 
 
-@lru_cache(1)
+_MADE: dict[str, object] = {}
+
+
+def once(make: Callable) -> Callable:
+    """A table that a process makes at its first use; unlike the standard cache it travels to tasks as plain code."""
+    def table():
+        if make.__name__ not in _MADE:
+            _MADE[make.__name__] = make()
+        return _MADE[make.__name__]
+    return table
+
+
+@once
 def automaton() -> tuple[dict[tuple[int, str], int], list[list[tuple[str, int]]], list[bool]]:
     """LR(0) automaton of the grammar: transitions, reductions (left side, length) and whether the input may end, by state."""
     def closed(items: set[Item]) -> frozenset[Item]:
@@ -85,7 +96,7 @@ def pushed(node: Node, symbol: str) -> list[Node]:
     return out
 
 
-@lru_cache(1)
+@once
 def stacks() -> tuple[list[Node], dict[Node, set[Node]]]:
     """All stacks of the grammar, and for each the stacks that can read at least what it can."""
     ends, nodes = automaton()[2], [(0, None)]
@@ -184,7 +195,7 @@ class Fronts:
         return self.known[key], least
 
 
-@lru_cache(1)
+@once
 def fronts() -> Fronts:
     return Fronts()
 

@@ -288,13 +288,14 @@ def find_personal_data(docs: DataFrame, labelled: DataFrame | None = None, *, do
     """
     if labelled is None:
         labelled = labelled_lines(docs, doc_id=doc_id, text=text)
-    field = docs.sparkSession.sparkContext.broadcast(fit_field(labelled))  # a fixed number of weights
+    weights = docs.sparkSession.sparkContext.broadcast(vars(fit_field(labelled)))  # a fixed number, as plain arrays
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        field = Field(**weights.value)
         for batch in slices(batches, "text", 4 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             base = [base_spans(t) for t in texts]
-            more = added_spans(texts, base, field.value)
+            more = added_spans(texts, base, field)
             out = {"doc_id": batch.column("doc_id"), "base_sha256": [hashlib.sha256(span_text(b).encode()).hexdigest() for b in base],
                    "spans": [span_text(sorted(b + m)) for b, m in zip(base, more)]}
             yield out | {f"n_{k}": [sum(s[1] == i for s in b) for b in base] for i, k in enumerate(KINDS)}

@@ -132,12 +132,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7,
     and ids agree. Without usable labels the score is the share of label 1, or a half. Other columns pass through.
     """
     small_batches(docs.sparkSession)
-    forest = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, doc_id=doc_id, text=text, **settings))  # a fixed number of nodes
+    arrays = docs.sparkSession.sparkContext.broadcast(vars(fit_quality(docs, labels, doc_id=doc_id, text=text, **settings)))  # a fixed number of nodes
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forest = Forest(**arrays.value)
         for texts in batches:
             x = np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS))
-            yield pd.Series(forest.value.score(x))
+            yield pd.Series(forest.score(x))
         release_memory()
 
     own = [c for c in docs.columns if c not in (score, predicted)]
