@@ -73,7 +73,10 @@ def least(rows):
         tails = [at(i + 1, then) for *_, then in steps]
         return min((c + cost, letter + a, line + lines) for (cost, letter, line, _), (c, a, lines) in zip(steps, tails))
 
-    return at(0, "")
+    for i in range(len(rows), -1, -1):  # from the end, so that nothing recurs deeply
+        for q in ("", "s", "u", "a"):
+            at(i, q)
+    return best[0, ""]
 
 
 def tried(rows):
