@@ -6,7 +6,7 @@ largest signed coordinate of 8 random projections. A tree is the array of all st
 also hold the vectors. All vectors with a common prefix lie side by side, so a prefix is a range of slots.
 
 A query descends in every tree to its own place, where the slot tells how many entries share each length of prefix
-with it. Then all trees ascend together, from the longest common prefix to shorter ones, until the entries passed reach
+with it; the entries next to these places are compared, and their best ones bound what can be among the nearest. Then all trees ascend together, from the longest common prefix to shorter ones, until the entries passed reach
 a number; the entries of these ranges are compared exactly. The number is fitted: for a bounded sample of queries the
 true neighbours are found by comparison with every vector, and the smallest number whose recall reaches the target is
 taken. At prefix length 0 a single tree holds everything and the search is exact.
@@ -28,8 +28,9 @@ from galeframe.llm.common import map_batches, small_batches, stash
 
 SYMBOLS, AXES, BITS = 16, 8, 4
 LEVELS = SYMBOLS * BITS
+FOUND = "array<struct<rid:bigint,vec_id:bigint,score:double>>"
 #: 2 * AXES symbols of BITS bits.
-SLOT = "tree int, slot long, first decimal(20,0), last decimal(20,0), n long, keys binary, rids binary, ids binary, vectors binary"
+SLOT = "tree int, slot long, first long, last long, n long, keys binary, rids binary, ids binary, vectors binary"
 
 
 def usable(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -45,14 +46,35 @@ def usable(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embeddi
     return rows.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "v", F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), "v")), 16, "0") for seed in (1, 2)]).alias("h"))
 
 
-def dense(column, dims: int) -> np.ndarray:
-    """Lists of doubles as one matrix; shorter ones go on with zeros."""
+def dense(column: pa.Array, dims: int) -> np.ndarray:
+    """Lists of numbers as one matrix of doubles; shorter ones go on with zeros."""
     out = np.zeros((len(column), dims))
-    for i, v in enumerate(column):
-        out[i, :len(v)] = v
+    lengths = np.diff(np.asarray(column.offsets))
+    values = column.values.slice(column.offsets[0].as_py(), int(lengths.sum())).to_numpy(zero_copy_only=False)
+    out[np.arange(dims) < lengths[:, None]] = values
     return out
 
 
+def lists(rows: list) -> pa.Array:
+    return pa.array(rows, pa.list_(pa.float64()))
+
+
+def binary(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as one binary value each."""
+    x = np.ascontiguousarray(x)
+    ends = np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+
+
+def signed(key: np.ndarray) -> np.ndarray:
+    """Strings as long integers of the same order."""
+    return (key ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def unsigned(key: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(key, np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+
+
 def rotations(dims: int, trees: int, seed: int) -> np.ndarray:
     """(trees, SYMBOLS, dims + 1, AXES) random projections, orthogonal within a symbol where the dimension allows it."""
     rng = np.random.default_rng(seed)
@@ -118,26 +140,24 @@ def few_copies(rows: DataFrame, most: int) -> DataFrame:
 
 def build(rows: DataFrame, *, norm: float, dims: int, turns: np.ndarray, slot_rows: int) -> DataFrame:
     """Slots of all trees: rows of at most ``slot_rows`` neighbouring strings with their vectors."""
-    kind = rows.schema["v"].dataType.elementType.simpleString()
-    stored = "<f4" if kind == "float" else "<f8"
-    schema = f"tree int, key decimal(20,0), rid long, vec_id long, v array<{kind}>"
+    stored = storage(rows)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            keys = strings(lifted(dense(batch.column("v").to_pylist(), dims), norm), turns)
+            x = dense(batch.column("v"), dims)
+            keys, data = strings(lifted(x, norm), turns), binary(x.astype(stored))
             for t in range(len(turns)):
-                yield {"tree": np.full(batch.num_rows, t, np.int32), "key": pa.array(keys[t], pa.uint64()).cast(pa.decimal128(20, 0)),
-                       "rid": batch.column("rid"), "vec_id": batch.column("vec_id"), "v": batch.column("v")}
+                yield {"tree": np.full(batch.num_rows, t, np.int32), "key": signed(keys[t]), "rid": batch.column("rid"), "vec_id": batch.column("vec_id"), "v": data}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: list[pa.Table] = []
         count, part, made = 0, None, 0
 
         def slot(t: pa.Table) -> dict:
-            keys = np.array([int(x) for x in t.column("key").to_pylist()], np.uint64)
-            return {"tree": [t.column("tree")[0].as_py()], "slot": [(part << 24) + made], "first": [t.column("key")[0].as_py()], "last": [t.column("key")[-1].as_py()], "n": [t.num_rows],
+            keys = t.column("key").to_numpy()
+            return {"tree": [t.column("tree")[0].as_py()], "slot": [(part << 24) + made], "first": [int(keys[0])], "last": [int(keys[-1])], "n": [t.num_rows],
                     "keys": [keys.tobytes()], "rids": [t.column("rid").to_numpy().tobytes()], "ids": [t.column("vec_id").to_numpy().tobytes()],
-                    "vectors": [dense(t.column("v").to_pylist(), dims).astype(stored).tobytes()]}
+                    "vectors": [b"".join(t.column("v").to_pylist())]}
 
         for batch in batches:
             part = batch.column("_part")[0].as_py()
@@ -158,29 +178,53 @@ def build(rows: DataFrame, *, norm: float, dims: int, turns: np.ndarray, slot_ro
         if held:
             yield slot(pa.concat_tables(held))
 
-    entries = map_batches(rows.select("rid", "vec_id", "v"), hashed, schema)
+    entries = map_batches(rows.select("rid", "vec_id", "v"), hashed, "tree int, key long, rid long, vec_id long, v binary")
     entries = entries.repartitionByRange("tree", "key", "rid").sortWithinPartitions("tree", "key", "rid")
     return map_batches(entries.withColumn("_part", F.spark_partition_id().cast("long")), cut, SLOT)
 
 
+def storage(rows: DataFrame) -> str:
+    return "<f4" if isinstance(rows.schema["v"].dataType.elementType, T.FloatType) else "<f8"
+
+
 class Heads:
     """First and last string and size of each slot of a tree, in order: 32 bytes for each slot."""
 
     def __init__(self, tree: np.ndarray, slot: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarray):
-        order = np.lexsort((slot, tree))
-        self.slot, self.first, self.last, self.n = slot[order], first[order], last[order], n[order]
-        self.trees = np.searchsorted(tree[order], np.arange(int(tree.max()) + 2)) if len(tree) else np.zeros(1, np.int64)
+        self.slot, self.first, self.last, self.n = slot, first, last, n
+        self.trees = np.searchsorted(tree, np.arange(int(tree.max(initial=-1)) + 2))
 
     def span(self, tree: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the slots that ranges of strings of a tree touch, the end exclusive."""
         a, b = self.trees[tree], self.trees[tree + 1]
         return a + np.searchsorted(self.last[a:b], low, "left"), a + np.searchsorted(self.first[a:b], high, "right")
 
-    @staticmethod
-    def of(slots: DataFrame) -> Heads:
-        found = slots.select("tree", "slot", "first", "last", "n").toPandas()  # one row for each slot
-        number = [np.array([int(x) for x in found[c]], np.uint64) for c in ("first", "last")]
-        return Heads(found["tree"].to_numpy(np.int64), found["slot"].to_numpy(np.int64), *number, found["n"].to_numpy(np.int64))
+
+def joined(slots: DataFrame, slot_rows: int) -> tuple[DataFrame, Heads]:
+    """Slots with the neighbours that fit with them under one name, where partitions have left small ones, and their heads."""
+    found = slots.select("tree", "slot", "first", "last", "n").toPandas().sort_values(["tree", "slot"])  # one row for each slot
+    tree, n = found["tree"].to_numpy(), found["n"].to_numpy(np.int64)
+    start, size = np.zeros(len(found), bool), 0
+    for i in range(len(found)):
+        start[i] = i == 0 or tree[i] != tree[i - 1] or size + n[i] > slot_rows
+        size = n[i] if start[i] else size + n[i]
+    at = np.flatnonzero(start)
+    name = found["slot"].to_numpy(np.int64)[at][np.cumsum(start) - 1]
+    first, last = (unsigned(found[c].to_numpy()) for c in ("first", "last"))
+    heads = Heads(tree[at], name[at], first[at], last[np.append(at[1:], len(found)) - 1], np.add.reduceat(n, at))
+    if len(at) < len(found):
+        names = slots.sparkSession.createDataFrame(pd.DataFrame({"slot": found["slot"].to_numpy(np.int64), "_name": name}))
+        slots = slots.join(names, "slot").withColumnRenamed("slot", "at").withColumnRenamed("_name", "slot")
+    else:
+        slots = slots.withColumn("at", F.col("slot"))
+    return slots, heads
+
+
+def opened(found: pd.DataFrame, dims: int, stored: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Strings, row numbers, ids and vectors of a slot."""
+    found = found.sort_values("at")
+    keys, rids, ids = (np.frombuffer(b"".join(found[c]), np.int64) for c in ("keys", "rids", "ids"))
+    return unsigned(keys), rids, ids, np.frombuffer(b"".join(found["vectors"]), stored).reshape(len(keys), dims).astype(float)
 
 
 def meet(asked_rows: DataFrame, slots: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, most: int) -> DataFrame:
@@ -192,48 +236,59 @@ def meet(asked_rows: DataFrame, slots: DataFrame, fn: Callable[[pd.DataFrame, pd
     return left.groupBy("slot", "_copy").cogroup(right.groupBy("slot", "_copy")).applyInPandas(fn, schema)
 
 
-def descend(slots: DataFrame, queries: DataFrame, heads: Heads, *, dims: int, turns: np.ndarray, most: int) -> DataFrame:
-    """(h, passed): for every prefix length, how many entries of all trees share it with the query.
+def descend(slots: DataFrame, queries: DataFrame, heads: Heads, *, dims: int, turns: np.ndarray, k: int, most: int, stored: str, around: int = 256) -> DataFrame:
+    """(h, passed, bound, found): for every prefix length, how many entries of all trees share it with the query; and the ``k``
+    best of the entries next to its own places, with the last one's score where there are as many.
 
     A query goes to its own slot of each tree. Entries there are counted exactly; other slots of the range count whole.
     """
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            keys = strings(asked(dense(batch.column("v").to_pylist(), dims)), turns)
+            x = dense(batch.column("v"), dims)
+            keys = strings(asked(x), turns)
             for t in range(len(turns)):
                 own, _ = heads.span(t, keys[t], keys[t])
-                yield {"h": batch.column("h"), "slot": heads.slot[np.minimum(own, heads.trees[t + 1] - 1)], "tree": np.full(batch.num_rows, t, np.int32), "key": pa.array(keys[t].view(np.int64))}
+                yield {"h": batch.column("h"), "slot": heads.slot[np.minimum(own, heads.trees[t + 1] - 1)], "tree": np.full(batch.num_rows, t, np.int32), "key": signed(keys[t]), "q": binary(x)}
 
     def count(places: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if places.empty or found.empty:
-            return pd.DataFrame({"h": [], "passed": []}, dtype=object)
-        keys, tree = np.frombuffer(found["keys"].iloc[0], np.uint64), int(places["tree"].iloc[0])
-        mine = int(np.searchsorted(heads.slot, places["slot"].iloc[0]))
+            return pd.DataFrame({"h": [], "passed": [], "found": []}, dtype=object)
+        tree, mine = int(places["tree"].iloc[0]), int(np.searchsorted(heads.slot, places["slot"].iloc[0]))
+        keys, rids, ids, x = opened(found, dims, stored)
         total = np.concatenate([[0], np.cumsum(heads.n)])
-        key = places["key"].to_numpy(np.int64).view(np.uint64)
+        key = unsigned(places["key"].to_numpy())
         passed = np.zeros((len(key), LEVELS + 1), np.int64)
         for level in range(LEVELS + 1):
             low, high = prefix_range(key, level)
             a, b = heads.span(tree, low, high)
             inside = np.searchsorted(keys, high, "right") - np.searchsorted(keys, low, "left")
-            whole = total[np.maximum(a, b)] - total[a] - np.where((a <= mine) & (mine < b), heads.n[mine], 0)
-            passed[:, level] = inside + whole
-        return pd.DataFrame({"h": places["h"], "passed": passed.tolist()})
-
-    places = map_batches(queries.select("h", "v"), place, "h string, slot long, tree int, key long")
-    counted = meet(places, slots.select("slot", "keys"), count, "h string, passed array<long>", most)
+            passed[:, level] = inside + total[np.maximum(a, b)] - total[a] - np.where((a <= mine) & (mine < b), heads.n[mine], 0)
+        q, largest, near = np.frombuffer(b"".join(places["q"])).reshape(len(key), dims), np.abs(x).max(), []
+        for i, at in enumerate(np.searchsorted(keys, key)):
+            some = slice(max(0, at - around), at + around)
+            rows, score = best(q[i], x[some], x[some] @ q[i], largest, ids[some], k)
+            near.append([{"rid": r, "vec_id": v, "score": f} for r, v, f in zip(rids[some][rows].tolist(), ids[some][rows].tolist(), score.tolist())])
+        return pd.DataFrame({"h": places["h"], "passed": passed.tolist(), "found": near})
+
+    places = map_batches(queries.select("h", "v"), place, "h string, slot long, tree int, key long, q binary")
+    counted = meet(places, slots.select("slot", "at", "keys", "rids", "ids", "vectors"), count, f"h string, passed array<long>, found {FOUND}", most)
     sums = [F.sum(F.col("passed")[i]).alias(f"_{i}") for i in range(LEVELS + 1)]
-    return counted.groupBy("h").agg(*sums).select("h", F.array(*[f"_{i}" for i in range(LEVELS + 1)]).alias("passed"))
+    told = counted.groupBy("h").agg(*sums, F.flatten(F.collect_list("found")).alias("_all"))  # a list from each tree
+    order = lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).when(
+        a["vec_id"] != b["vec_id"], F.when(a["vec_id"] < b["vec_id"], -1).otherwise(1)).when(a["rid"] < b["rid"], -1).when(a["rid"] > b["rid"], 1).otherwise(0)
+    top = F.slice(F.array_sort(F.array_distinct("_all"), order), 1, k)
+    told = told.select("h", F.array(*[f"_{i}" for i in range(LEVELS + 1)]).alias("passed"), top.alias("found"))
+    return told.withColumn("bound", F.get(F.col("found")["score"], k - 1))
 
 
 def true_neighbours(rows: DataFrame, sample: list, *, dims: int, k: int) -> DataFrame:
     """(h, v): the ``k`` best vectors of each sampled query, by comparison with every vector."""
-    names, q = [r["h"] for r in sample], dense([r["v"] for r in sample], dims)
+    names, q = [r["h"] for r in sample], dense(lists([r["v"] for r in sample]), dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         kept = [(np.zeros((0, dims)), np.zeros(0, np.int64), np.zeros(0))] * len(names)
         for batch in batches:
-            x, rid = dense(batch.column("v").to_pylist(), dims), batch.column("rid").to_numpy()
+            x, rid = dense(batch.column("v"), dims), batch.column("rid").to_numpy()
             rough, largest = q @ x.T, np.abs(x).max(initial=0.0)
             for i in range(len(names)):
                 at, score = best(q[i], x, rough[i], largest, rid, k)
@@ -253,8 +308,8 @@ def common_prefixes(sample: list, neighbours: list, *, dims: int, norm: float, t
         return {}
     at = {h: i for i, (h, _) in enumerate(sample)}
     whose = np.array([at[r["h"]] for r in neighbours])
-    own = strings(asked(dense([v for _, v in sample], dims)), turns)[:, whose]
-    differ = own ^ strings(lifted(dense([r["v"] for r in neighbours], dims), norm), turns)
+    own = strings(asked(dense(lists([v for _, v in sample]), dims)), turns)[:, whose]
+    differ = own ^ strings(lifted(dense(lists([r["v"] for r in neighbours]), dims), norm), turns)
     bits = np.where(differ == 0, LEVELS, LEVELS - 1 - np.floor(np.log2(np.maximum(differ, np.uint64(1)).astype(np.longdouble))).astype(np.int64)).max(0)
     return {h: bits[whose == i] for h, i in at.items()}
 
@@ -296,26 +351,24 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, trees: int = 8,
     if told["dims"] is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims, norm = int(told["dims"]), float(np.sqrt(told["square"]))
-    kind = rows.schema["v"].dataType.elementType.simpleString()
-    stored = "<f4" if kind == "float" else "<f8"
+    stored = storage(rows)
     turns = rotations(dims, trees, seed)
-    slots = stash(build(few_copies(rows, k + 1), norm=norm, dims=dims, turns=turns, slot_rows=slot_rows))
-    heads = Heads.of(slots)
+    slots, heads = joined(stash(build(few_copies(rows, k + 1), norm=norm, dims=dims, turns=turns, slot_rows=slot_rows)), slot_rows)
     asking = rows.filter(F.col("vec_id") % every == 0)
     queries = stash(asking.groupBy("h").agg(F.min_by("v", "rid").alias("v")))
-    counts = stash(descend(slots, queries, heads, dims=dims, turns=turns, most=visit_rows))
+    counts = stash(descend(slots, queries, heads, dims=dims, turns=turns, k=k + 1, most=visit_rows, stored=stored))
 
     tried = queries.orderBy("h").limit(sample).collect()
     shared = common_prefixes([(r["h"], r["v"]) for r in tried], true_neighbours(rows, tried, dims=dims, k=k + 1).collect(), dims=dims, norm=norm, turns=turns)
-    known = {r["h"]: np.array(r["passed"]) for r in counts.filter(F.col("h").isin(list(shared))).collect()} if shared else {}
+    known = {r["h"]: np.array(r["passed"]) for r in counts.select("h", "passed").filter(F.col("h").isin(list(shared))).collect()} if shared else {}
     enough = fit_budget(known, shared, recall)
     longest = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(LEVELS)), lambda i: F.get("passed", i) >= enough))
-    level = counts.select("h", F.coalesce(longest, F.lit(0)).alias("level"))
+    level = counts.select("h", "bound", F.coalesce(longest, F.lit(0)).alias("level"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            keys = strings(asked(dense(batch.column("v").to_pylist(), dims)), turns)
-            levels = batch.column("level").to_numpy()
+            x = dense(batch.column("v"), dims)
+            keys, data, levels = strings(asked(x), turns), binary(x), batch.column("level").to_numpy()
             for at in np.unique(levels):
                 some = np.flatnonzero(levels == at)
                 for t in range(len(turns) if at else 1):  # without a prefix one tree holds everything
@@ -324,33 +377,33 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, trees: int = 8,
                     goes = np.repeat(np.arange(len(some)), np.maximum(b - a, 0))
                     step = np.arange(len(goes)) - np.repeat(np.cumsum(np.maximum(b - a, 0)) - np.maximum(b - a, 0), np.maximum(b - a, 0))
                     rows_at = pa.array(some[goes])
-                    yield {"h": batch.column("h").take(rows_at), "v": batch.column("v").take(rows_at), "slot": heads.slot[a[goes] + step],
-                           "low": pa.array(low[goes].view(np.int64)), "high": pa.array(high[goes].view(np.int64))}
+                    yield {"h": batch.column("h").take(rows_at), "bound": batch.column("bound").take(rows_at), "q": data.take(rows_at), "slot": heads.slot[a[goes] + step],
+                           "low": signed(low[goes]), "high": signed(high[goes])}
 
     def search(visits: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"h": [], "rid": [], "vec_id": [], "score": []}
         if len(visits) and len(found):
-            s = found.iloc[0]
-            keys, rids, ids = np.frombuffer(s["keys"], np.uint64), np.frombuffer(s["rids"], np.int64), np.frombuffer(s["ids"], np.int64)
-            x = np.frombuffer(s["vectors"], stored).reshape(len(keys), dims).astype(float)
+            keys, rids, ids, x = opened(found, dims, stored)
             largest = np.abs(x).max()
-            low, high = (visits[c].to_numpy(np.int64).view(np.uint64) for c in ("low", "high"))
+            low, high = (unsigned(visits[c].to_numpy()) for c in ("low", "high"))
             a, b = np.searchsorted(keys, low, "left"), np.searchsorted(keys, high, "right")
-            q = dense(visits["v"], dims)
+            q, bound = np.frombuffer(b"".join(visits["q"])).reshape(len(visits), dims), visits["bound"].fillna(-np.inf).to_numpy(float)
             names = visits["h"].to_numpy()
             for start, end in {(int(i), int(j)) for i, j in zip(a, b) if j > i}:
                 part, same = x[start:end], np.flatnonzero((a == start) & (b == end))
                 for some in np.array_split(same, -(-len(same) // 256)):
                     for i, rough in zip(some, q[some] @ part.T):
                         at, score = best(q[i], part, rough, largest, ids[start:end], k + 1)
+                        at, score = at[score >= bound[i]], score[score >= bound[i]]
                         out["h"].append(np.repeat(names[i], len(at)))
                         out["rid"].append(rids[start:end][at])
                         out["vec_id"].append(ids[start:end][at])
                         out["score"].append(score)
         return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, object if c == "h" else np.float64 if c == "score" else np.int64) for c, v in out.items()})
 
-    visits = stash(map_batches(queries.join(level, "h"), route, f"h string, v array<{kind}>, slot long, low long, high long"))
-    met = meet(visits, slots.select("slot", "keys", "rids", "ids", "vectors"), search, "h string, rid long, vec_id long, score double", visit_rows)
+    visits = stash(map_batches(queries.join(level, "h"), route, "h string, bound double, q binary, slot long, low long, high long"))
+    met = meet(visits, slots.select("slot", "at", "keys", "rids", "ids", "vectors"), search, "h string, rid long, vec_id long, score double", visit_rows)
+    met = met.unionByName(counts.select("h", F.inline("found")))
     order = W.Window.partitionBy("h").orderBy(F.col("score").desc(), "vec_id", "rid")
     top = met.dropDuplicates(["h", "rid"]).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1).drop("_n")
     mine = asking.select("h", F.col("vec_id").alias("query_id"), F.col("rid").alias("_own"))
