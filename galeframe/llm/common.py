@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -31,6 +32,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def settled_keys(keys: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """A written table of keys (a few numbers a row), broadcast up to ``most`` rows; beyond them the join shuffles."""
+    keys = stash(keys)
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def release_memory() -> None:
     """Give freed memory back to the system, at the end of a task at least: Python workers live on through later stages."""
     pa.default_memory_pool().release_unused()

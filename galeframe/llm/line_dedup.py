@@ -116,9 +116,11 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     repeated = stash(store.totals().filter(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"))
     drops = (lines.select(*KEY, "_doc", "_hash", "pos").join(repeated.hint("merge"), KEY).filter(F.col("_doc") < F.col("last_doc"))
              .groupBy("_doc", "_hash").agg(F.collect_set("pos").alias("_drops")))
-    out = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(text).alias("_hash"))
-    out = out.withColumn("_doc", row_id("_id")).join(drops.hint("shuffle_hash"), ["_doc", "_hash"], "left").withColumn("_lines", line_array("_text"))
+    # the text crosses the shuffle once, beside the other columns
+    rest = [c for c in docs.columns if c not in (text, "kept", "n_lines", "n_dropped")]
+    out = docs.select(F.struct(*rest).alias("_row"), F.col(text).alias("_text"), row_id(doc_id).alias("_doc"), F.xxhash64(text).alias("_hash"))
+    out = out.join(drops.hint("shuffle_hash"), ["_doc", "_hash"], "left").withColumn("_lines", line_array("_text"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drops")), lambda i: F.get("_lines", i))
-    own = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("kept", "n_lines", "n_dropped")]
-    return out.select(*own, F.when(F.col("_drops").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n")).alias("kept"),
+    own = [F.col("_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns if c == text or c in rest]
+    return out.select(*own, F.when(F.col("_drops").isNull(), F.coalesce("_text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept"),
                       F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"))

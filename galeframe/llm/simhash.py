@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import map_batches, slices, stash
+from galeframe.llm.common import map_batches, settled_keys, slices, stash
 from galeframe.llm.components import connected
 
 SEED, SHINGLE, REACH = 42, 3, 3
@@ -162,11 +162,14 @@ def one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     prints = stash(map_batches(keyed, _fingerprints, "doc_id long, _p long, _q long, fp long"))
     rows = stash(prints.join(_rooted(prints).select("fp", "root").hint("merge"), "fp").groupBy("root", "doc_id", "_p", "_q").agg(F.count("*").alias("n")))
     first = stash(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_p", "_q", "n")).alias("f")).select("f._p", "f._q", "f.n"))
-    # written, so that the planner knows its bytes: texts are shuffled only where the keys are too many to broadcast
-    gone = stash(rows.select("_p", "_q").join(first, ["_p", "_q"], "left_anti"))
-    kept = docs.withColumns(keys).join(gone, ["_p", "_q"], "left_anti")
-    repeated = first.filter("n > 1").select("_p", "_q")
+    # Texts meet tables of keys whose size is known, and are shuffled only where these are too many to broadcast. Of rows
+    # that are equal in id and text, only such rows travel to be told apart.
+    gone = settled_keys(rows.select("_p", "_q").join(first, ["_p", "_q"], "left_anti"))
+    repeated = settled_keys(first.filter("n > 1").select("_p", "_q"))
+    named = docs.select(F.struct("*").alias("_row"), *(k.alias(n) for n, k in keys.items()))
+    own = [F.col("_row").getField(c).alias(c) for c in docs.columns]
+    single = named.join(gone, ["_p", "_q"], "left_anti")
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(repeated, ["_p", "_q"], "left_semi").dropDuplicates(["_p", "_q"])
-    return kept.join(repeated, ["_p", "_q"], "left_anti").select(*docs.columns).union(once.select(*docs.columns))
+        return single.select(*own)
+    once = named.join(repeated, ["_p", "_q"], "left_semi").dropDuplicates(["_p", "_q"])
+    return single.join(repeated, ["_p", "_q"], "left_anti").select(*own).union(once.select(*own))

@@ -77,7 +77,7 @@ def test_empty_tables(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_mtree", "op7_suffix_decontamination"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_mtree", "op7_suffix_decontamination", "op11_conversation_repair"])
 def test_query_matches_sql(spark, name):
     df = contract.queries()[name](spark, SF)
     rel = check.duck(SF).execute(contract.oracle_sql()[name])
@@ -87,4 +87,4 @@ def test_query_matches_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = [n.split("_")[0] for n in contract.queries() if n.startswith("op")]
-    assert sorted(names) == sorted(f"op{n}" for n in range(1, 11)) and "pipeline" in contract.queries()
+    assert sorted(names) == sorted(f"op{n}" for n in range(1, 14)) and "pipeline" in contract.queries()
