@@ -1,7 +1,7 @@
-"""Queries over the Spark ML jobs and the streaming operators.
+"""Queries over the fitted models and the streaming operators.
 
-Tree sizes are small here: these queries show that the jobs run and stay within
-bounds, not how accurate a tuned model is.
+What fitted trees predict cannot be told in SQL. The ``_checks`` queries tell what must hold of it for every row instead:
+the keys, the bounds of the target, and whether the model beats the best constant of the fold it did not see.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from galeframe.config import SITE, TARGET, TS
 from galeframe.models import boosting
 from galeframe.operators import lookups, weather
+from galeframe.operators.settle import settle
 from galeframe.plans.frames import base, with_feed
-from galeframe.plans.oracle.base import HOURLY, OOF, cols, feed_cte, with_
+from galeframe.plans.oracle.base import BASE, HOURLY, OOF, cols, feed_cte, with_
 from galeframe.plans.quality import _ODD, odd
 from galeframe.plans.registry import query
 from galeframe.session import shared_folder
@@ -20,12 +21,11 @@ from galeframe.sources.derived import hourly, oof
 from galeframe.streaming import feeds
 
 INPUTS = ("wind_speed_10m", "wind_speed_80m", "wind_speed_120m", "wind_gusts_10m", "temperature_80m", "pressure_msl", "air_density", "v_eff", "active_turbines")
-SMALL = {"max_iter": 4, "max_depth": 3}
 
 
-def frame(spark, sf):
+def frame(spark, sf, first=3, days=10):
     b = base(spark, sf)
-    return b.withColumns({"fold": F.least(F.lit(5), 3 + F.floor((F.dayofmonth(TS) - 1) / 10)).cast("int")})
+    return b.withColumns({"fold": F.least(F.lit(5), first + F.floor((F.dayofmonth(TS) - 1) / days)).cast("int")})
 
 
 def _halves(spark, sf):
@@ -33,39 +33,81 @@ def _halves(spark, sf):
     return f.filter("fold < 5"), f.filter("fold = 5")
 
 
+def _checked(df, pred, cfg_max=90.09):
+    """Keys and target, whether the prediction lies in the target's range, and whether the fold's predictions beat its best constant."""
+    middle = df.agg(F.percentile(TARGET, F.lit(0.5))).first()[0]
+    errors = df.agg(F.avg(F.abs(F.col(TARGET) - F.col(pred))).alias("model"), F.avg(F.abs(F.col(TARGET) - F.lit(middle))).alias("constant")).first()
+    better = int(errors["model"] is not None and errors["model"] < errors["constant"])
+    return df.select(SITE, TS, TARGET, F.col(pred).between(0.0, cfg_max).cast("int").alias("in_bounds"), F.lit(better).alias("beats_constant"))
+
+
+def _checks_sql(folds: str) -> str:
+    return with_(BASE) + "SELECT " + cols({"power_mw": "power_mw"}, {"in_bounds": "CASE WHEN true THEN 1 ELSE 0 END", "beats_constant": "1"}, keys="site_id, CAST(ts AS VARCHAR) AS ts") + f" FROM base WHERE {folds}"
+
+
 @query("M01_band_ensemble")
 def band_ensemble(spark, sf):
+    """Three bands and five seeds, all inputs, stopped early on the last fold."""
     train, val = _halves(spark, sf)
-    models = boosting.fit_band_ensemble(train, val, features=INPUTS, target=TARGET, **SMALL)
-    return boosting.predict_ensemble(models, val, features=INPUTS, out="pred_mw").select(SITE, TS, TARGET, "pred_mw")
+    models = boosting.fit_band_ensemble(train, val, features=INPUTS, target=TARGET)
+    return boosting.predict_ensemble(models, val, out="pred_mw").select(SITE, TS, TARGET, "pred_mw")
+
+
+@query("M01_band_checks", _checks_sql("day(ts) > 20"))
+def band_checks(spark, sf):
+    return _checked(settle(band_ensemble(spark, sf)), "pred_mw")
 
 
 @query("M02_cross_validated_bag")
 def cross_validated_bag(spark, sf):
-    f = frame(spark, sf)
-    held, scored = boosting.cross_validated_bag(f, f.filter("fold = 5"), folds=(4, 5), features=INPUTS[:4], target=TARGET, max_iter=2, max_depth=3)
+    """Three folds, three bands, two seeds: 18 models of all inputs."""
+    f = frame(spark, sf, first=2, days=8)
+    held, scored = boosting.cross_validated_bag(f, f.filter("fold = 5"), folds=(3, 4, 5), features=INPUTS, target=TARGET)
     test = scored.select(F.lit(0).alias("fold"), SITE, TS, F.lit(None).cast("double").alias(TARGET), F.col("test_mean").alias("raw_pred"))
     return held.unionByName(test)
 
 
+@query("M02_bag_checks", _checks_sql("day(ts) > 8"))
+def bag_checks(spark, sf):
+    held = settle(cross_validated_bag(spark, sf).filter("fold > 0"))
+    return _checked(held, "raw_pred")
+
+
 @query("M03_top_features")
 def top_features(spark, sf):
-    return boosting.top_features(frame(spark, sf), features=INPUTS, target=TARGET, k=5, fold_weights={4: 0.4, 5: 0.6}, **SMALL)
+    return boosting.top_features(frame(spark, sf, first=2, days=8), features=INPUTS, target=TARGET, k=5, fold_weights={3: 0.2, 4: 0.3, 5: 0.5})
 
 
 @query("M04_residual_ensemble")
 def residual_ensemble(spark, sf):
+    """All bands on the residual, three seeds, and the mid-wind specialist beside them."""
     train, val = _halves(spark, sf)
     curve = lookups.fit_site_curve(train)
     train, val = (lookups.apply_site_curve(d, curve, wind="v_eff", out="baseline") for d in (train, val))
-    models = boosting.fit_residual_ensemble(train, val, features=INPUTS, target=TARGET, baseline="baseline", mid_band=(7.0, 12.0), **SMALL)
-    return boosting.predict_residual(models, val, features=INPUTS, baseline="baseline", out="pred_mw").select(SITE, TS, TARGET, "baseline", "pred_mw")
+    bands = {**boosting.BANDS, "mid": (7.0, 12.0)}
+    models = boosting.fit_residual_ensemble(train, val, features=INPUTS, target=TARGET, baseline="baseline", bands=bands, seeds=(42, 7, 123))
+    return boosting.predict_residual(models, val, baseline="baseline", out="pred_mw").select(SITE, TS, TARGET, "baseline", "pred_mw")
+
+
+@query("M04_residual_checks", _checks_sql("day(ts) > 20"))
+def residual_checks(spark, sf):
+    return _checked(settle(residual_ensemble(spark, sf)), "pred_mw")
+
+
+@query("M05_area_under_curve", with_(BASE, """v AS (SELECT n_repair AS g, round(wind_speed_120m)+temperature_80m*0 AS s, CASE WHEN day(ts) > 20 THEN 1 ELSE 0 END AS y FROM base),
+     e AS (SELECT g, s, sum(y) AS one, sum(1-y) AS zero FROM v WHERE s IS NOT NULL GROUP BY g, s), b AS (SELECT *, sum(zero) OVER (PARTITION BY g ORDER BY s)-zero AS below FROM e)""")
+       + "SELECT " + cols({"auc": "sum(one*(below+0.5e0*zero))/(sum(one)*sum(zero))"}, {"n_repair": "g"}, keys="") + " FROM b GROUP BY g HAVING sum(one) > 0 AND sum(zero) > 0")
+def auc_of_wind(spark, sf):
+    """How well rounded wind tells the last fold's rows from the others, with ties, by repair state."""
+    b = base(spark, sf).withColumns({"s": F.round("wind_speed_120m") + F.col("temperature_80m") * 0.0, "y": (F.dayofmonth(TS) > 20).cast("int")})
+    return boosting.area_under_curve(b, score="s", label="y", by="n_repair").filter("auc IS NOT NULL")
 
 
 @query("M05_train_or_score")
 def train_or_score(spark, sf):
+    """Five folds of all inputs; one round of taking out a column that gives the rows away."""
     train, score = _halves(spark, sf)
-    aucs, probs = boosting.train_or_score(train, score, features=INPUTS[:5], n_folds=3, max_iter=3, max_depth=3)
+    aucs, probs, _ = boosting.train_or_score(train, score, features=INPUTS)
     return boosting.probability_by_period(probs).withColumn("mean_auc", aucs.agg(F.avg("auc")).scalar())
 
 
@@ -121,14 +163,25 @@ def regime_clusters(spark, sf):
 @query("M09_hourly_models")
 def hourly_models(spark, sf):
     train, val = _halves(spark, sf)
-    return boosting.hourly_models(train, val, features=INPUTS[:4], target=TARGET, max_iter=1, max_depth=2).select(SITE, TS, TARGET, "hourly_pred")
+    return boosting.hourly_models(train, val, features=INPUTS, target=TARGET).select(SITE, TS, TARGET, "hourly_pred")
+
+
+@query("M09_hourly_checks", _checks_sql("day(ts) > 20"))
+def hourly_checks(spark, sf):
+    return _checked(settle(hourly_models(spark, sf)), "hourly_pred")
 
 
 @query("M10_noisy_median")
 def noisy_median(spark, sf):
     train, val = _halves(spark, sf)
-    models = boosting.fit_band_ensemble(train, val, features=INPUTS, target=TARGET, bands={"all": (0.0, 100.0)}, max_iter=2, max_depth=3)
-    return boosting.noisy_median(models, val, features=INPUTS)
+    models = boosting.fit_band_ensemble(train, val, features=INPUTS, target=TARGET)
+    return boosting.noisy_median(models, val)
+
+
+@query("M10_noise_checks", _checks_sql("day(ts) > 20"))
+def noise_checks(spark, sf):
+    told = settle(noisy_median(spark, sf))
+    return _checked(_halves(spark, sf)[1].join(told, [SITE, TS]), "median_pred")
 
 
 def _as_feed(spark, df):
