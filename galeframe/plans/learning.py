@@ -6,6 +6,8 @@ the keys, the bounds of the target, and whether the model beats the best constan
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from galeframe.config import SITE, TARGET, TS
@@ -206,11 +208,23 @@ def window_stream(spark, sf):
     return feeds.run_available(feeds.window_statistics(_as_feed(spark, h), "wind_speed_120m", delay="45 days"), keys=[SITE, "window_start", "window_end"])
 
 
-@query("T03_level_stream", with_(HOURLY, feed_cte("reanalysis"), """y AS (SELECT h.site_id, h.ts, h.wind_speed_120m-e.wind_speed_100m AS b, row_number() OVER (PARTITION BY h.site_id ORDER BY h.ts) AS i
-     FROM hourly h LEFT JOIN reanalysis e USING (site_id, ts))""", """f AS (SELECT site_id, CAST(0 AS BIGINT) AS i, 0.0e0 AS x, 1.0e0 AS p FROM y WHERE i = 1 UNION ALL
+_ARRIVAL = "least(3, CAST(floor((day(ts)-1)/8.0e0) AS BIGINT)) + CASE WHEN (day(ts)*24+hour(ts))%7 = 3 THEN 1 ELSE 0 END"
+
+
+@query("T03_level_stream", with_(HOURLY, feed_cte("reanalysis"), f"""z AS (SELECT h.site_id, h.ts, h.wind_speed_120m-e.wind_speed_100m AS b, {_ARRIVAL.replace("ts", "h.ts")} AS batch
+     FROM hourly h LEFT JOIN reanalysis e USING (site_id, ts))""", """tops AS (SELECT site_id, batch, max(ts) AS top FROM z GROUP BY site_id, batch)""",
+     """seen AS (SELECT z.*, (SELECT max(top) FROM tops t WHERE t.site_id = z.site_id AND t.batch < z.batch) AS before, max(ts) OVER (PARTITION BY site_id) AS last FROM z)""",
+     """told AS (SELECT *, coalesce(ts <= before-INTERVAL 48 HOUR, false) AS late FROM seen)""",
+     """y AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts) AS i FROM told WHERE NOT late AND ts <= last-INTERVAL 48 HOUR)""",
+     """f AS (SELECT site_id, CAST(0 AS BIGINT) AS i, 0.0e0 AS x, 1.0e0 AS p FROM y WHERE i = 1 UNION ALL
      SELECT y.site_id, y.i, CASE WHEN y.b IS NULL THEN f.x ELSE f.x+(f.p+1e-4)/(f.p+1e-4+0.5e0)*(y.b-f.x) END, CASE WHEN y.b IS NULL THEN f.p+1e-4 ELSE (1-(f.p+1e-4)/(f.p+1e-4+0.5e0))*(f.p+1e-4) END
-     FROM f JOIN y ON y.site_id = f.site_id AND y.i = f.i+1)""", recursive=True) + "SELECT " + cols({"bias": "b", "level": "x"}) + " FROM y JOIN f USING (site_id, i)")
+     FROM f JOIN y ON y.site_id = f.site_id AND y.i = f.i+1)""", recursive=True)
+       + "SELECT " + cols({"bias": "b", "level": "x"}, {"late": "0"}) + " FROM y JOIN f USING (site_id, i) UNION ALL SELECT " + cols({"bias": "b", "level": "NULL"}, {"late": "1"}) + " FROM told WHERE late")
 def level_stream(spark, sf):
+    """Five triggers; every seventh hour arrives a trigger late, most of these more than the 48 hours rows are waited for."""
     h = with_feed(spark, sf, hourly(spark, sf), "era5")
-    b = h.select(SITE, TS, (F.col("wind_speed_120m") - F.col("era5_wind_speed_100m")).alias("bias"))
-    return feeds.run_available(feeds.filter_levels(_as_feed(spark, b)))
+    arrival = F.least(F.lit(3), F.floor((F.dayofmonth(TS) - 1) / 8.0)) + ((F.dayofmonth(TS) * 24 + F.hour(TS)) % 7 == 3).cast("int")
+    b = h.select(SITE, F.col(TS).cast("timestamp").alias(TS), (F.col("wind_speed_120m") - F.col("era5_wind_speed_100m")).alias("bias"), arrival.alias("_batch"))
+    with feeds.ordered_state(spark):
+        out = feeds.run_available(feeds.filter_levels(feeds.replayed(settle(b), "_batch", range(5)), delay=dt.timedelta(hours=48)))
+    return out.withColumn("late", F.col("late").cast("int"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime as dt
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -48,41 +49,93 @@ def window_statistics(stream: DataFrame, value: str, *, width: str = "6 hours",
 
 
 class LevelFilter(StatefulProcessor):
-    """Forward local-level filter of one site; the state is the last level and variance."""
+    """Forward local-level filter of one site, in the order of time whatever the order of arrival.
 
-    def __init__(self, q: float, r: float, p0: float) -> None:
-        self.q, self.r, self.p0 = q, r, p0
+    The state is the last level and variance, the latest hour seen, and the rows that wait. A row waits until its site has
+    shown an hour at least ``delay`` after it; a row that comes when its hour has been passed already is late: it is told
+    with no level and does not move the filter.
+    """
+
+    def __init__(self, q: float, r: float, p0: float, delay: dt.timedelta) -> None:
+        self.q, self.r, self.p0, self.delay = q, r, p0, delay
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("level", T.StructType([T.StructField("x", T.DoubleType()), T.StructField("p", T.DoubleType())]))
+        clock = [T.StructField("x", T.DoubleType()), T.StructField("p", T.DoubleType()), T.StructField("latest", T.TimestampType())]
+        self.level = handle.getValueState("level", T.StructType(clock))
+        self.waiting = handle.getListState("waiting", T.StructType([T.StructField(TS, T.TimestampType()), T.StructField("bias", T.DoubleType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        x, p = self.state.get() if self.state.exists() else (0.0, self.p0)
-        pdf = pd.concat(list(rows)).sort_values(TS)
+        x, p, latest = self.level.get() if self.level.exists() else (0.0, self.p0, None)
+        passed = None if latest is None else pd.Timestamp(latest) - self.delay
+        held = [(pd.Timestamp(t), b) for t, b in self.waiting.get()] if self.waiting.exists() else []
         out = []
-        for v in pdf["bias"]:
+        for part in rows:
+            for t, b in zip(part[TS], part["bias"]):
+                if passed is not None and t <= passed:
+                    out.append((t, b, None, True))
+                else:
+                    held.append((t, b))
+                    latest = t if latest is None else max(pd.Timestamp(latest), t)
+        held.sort(key=lambda r: r[0])
+        now = None if latest is None else pd.Timestamp(latest) - self.delay
+        ready = sum(1 for t, _ in held if t <= now) if held else 0
+        for t, v in held[:ready]:
             p = p + self.q
-            if v == v and v is not None:
+            if v is not None and v == v:
                 gain = p / (p + self.r)
                 x, p = x + gain * (v - x), (1.0 - gain) * p
-            out.append(x)
-        self.state.update((float(x), float(p)))
-        yield pd.DataFrame({SITE: key[0], TS: pdf[TS].to_numpy(), "bias": pdf["bias"].to_numpy(), "level": out})
+            out.append((t, v, x, False))
+        self.level.update((float(x), float(p), None if latest is None else pd.Timestamp(latest).to_pydatetime()))
+        if held[ready:]:
+            self.waiting.put([(t.to_pydatetime(), None if b is None or b != b else float(b)) for t, b in held[ready:]])
+        else:
+            self.waiting.clear()
+        if out:
+            done = pd.DataFrame(out, columns=[TS, "bias", "level", "late"])
+            yield pd.DataFrame({SITE: key[0], TS: done[TS], "bias": done["bias"].astype(float), "level": done["level"].astype(float), "late": done["late"].astype(bool)})
 
     def close(self) -> None:
         pass
 
 
-def filter_levels(stream: DataFrame, *, q: float = FALLBACK_Q, r: float = FALLBACK_R, p0: float = FALLBACK_P0) -> DataFrame:
-    """Filtered level per site and hour; each micro-batch carries on from the stored state.
+def filter_levels(stream: DataFrame, *, delay: dt.timedelta = dt.timedelta(0), q: float = FALLBACK_Q, r: float = FALLBACK_R, p0: float = FALLBACK_P0) -> DataFrame:
+    """Filtered level per site and hour, with ``late`` rows told apart; each micro-batch carries on from the stored state.
 
-    A batch holds a site's rows of one trigger, so the trigger bounds what a task sees.
+    A site's clock is its own latest hour, so its rows wait for ``delay`` of its own time and sites do not make each other's
+    rows late. A site's task holds its rows of one trigger and those of the last ``delay``; both are bounded by settings.
+    The session must keep state in a store for arbitrary state, which ``ordered_state`` sets.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
-                                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    schema = T.StructType([T.StructField(SITE, T.LongType()), T.StructField(TS, T.TimestampType()), T.StructField("bias", T.DoubleType()), T.StructField("level", T.DoubleType())])
-    rows = stream.select(SITE, c(TS).cast("timestamp").alias(TS), "bias")
-    return rows.groupBy(SITE).transformWithStateInPandas(LevelFilter(q, r, p0), outputStructType=schema, outputMode="Append", timeMode="None")
+    kinds = ((SITE, T.LongType()), (TS, T.TimestampType()), ("bias", T.DoubleType()), ("level", T.DoubleType()), ("late", T.BooleanType()))
+    rows = stream.select(SITE, c(TS).cast("timestamp").alias(TS), "bias").filter(c(TS).isNotNull())
+    return rows.groupBy(SITE).transformWithStateInPandas(LevelFilter(q, r, p0, delay), outputStructType=T.StructType([T.StructField(n, t) for n, t in kinds]), outputMode="Append", timeMode="None")
+
+
+class ordered_state:
+    """For the time of a ``with`` block, streams of the session keep their state in the store that ``filter_levels`` needs."""
+
+    NAME, STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.conf = spark.conf
+
+    def __enter__(self) -> None:
+        self.before = self.conf.get(self.NAME, None)
+        self.conf.set(self.NAME, self.STORE)
+
+    def __exit__(self, *_: object) -> None:
+        if self.before is None:
+            self.conf.unset(self.NAME)
+        else:
+            self.conf.set(self.NAME, self.before)
+
+
+def replayed(df: DataFrame, batch: str, batches: Sequence[int]) -> DataFrame:
+    """A stream that brings the rows of each number of ``batch`` in a trigger of its own, in this order."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    rows = df.drop(batch)
+    for n in batches:
+        df.filter(c(batch) == n).drop(batch).coalesce(1).write.mode("append").parquet(path)
+    return read_feed(spark, path, rows.schema, files_per_batch=1)
 
 
 def run_available(out: DataFrame, *, keys: list[str] | None = None) -> DataFrame:

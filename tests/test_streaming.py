@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -52,7 +53,8 @@ def test_window_stream_equals_batch(spark, tmp_path):
 def test_level_state_carries_over_batches(spark, tmp_path):
     schema = "site_id long, ts timestamp, bias double"
     rows = sorted(({"site_id": r["site_id"], "ts": r["ts"], "bias": r["x"]} for r in hours(60, seed=32, null=0.2)), key=lambda r: r["ts"])
-    out = feeds.run_available(feeds.filter_levels(stream_of(spark, str(tmp_path / "f"), [rows[:25], rows[25:45], rows[45:]], schema)))
+    with feeds.ordered_state(spark):
+        out = feeds.run_available(feeds.filter_levels(stream_of(spark, str(tmp_path / "f"), [rows[:25], rows[25:45], rows[45:]], schema)))
     got = {(r["site_id"], r["ts"]): r["level"] for r in out.collect()}
     assert len(got) == len(rows)
     for site, part in by_site(rows).items():
@@ -63,3 +65,33 @@ def test_level_state_carries_over_batches(spark, tmp_path):
                 k = p / (p + kalman.FALLBACK_R)
                 x, p = x + k * (r["bias"] - x), (1 - k) * p
             assert near(got[(site, r["ts"])], x, 1e-9)
+
+
+def test_level_stream_orders_rows_and_tells_late_ones(spark):
+    rnd = random.Random(9)
+    start, wait = dt.datetime(2024, 1, 1), dt.timedelta(hours=12)
+    rows = [(site, start + dt.timedelta(hours=h), None if h % 13 == 4 else rnd.uniform(-3, 3), min(4, h // 24 + (2 if h % 17 == 3 else 1 if h % 5 == 2 else 0)))
+            for site, n in ((0, 110), (1, 40), (2, 1)) for h in range(n)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "site_id long, ts timestamp, bias double, batch int").repartition(3)
+    with feeds.ordered_state(spark):
+        out = feeds.run_available(feeds.filter_levels(feeds.replayed(df, "batch", range(5)), delay=wait)).collect()
+    assert spark.conf.get(feeds.ordered_state.NAME, "") != feeds.ordered_state.STORE
+    got = {(r["site_id"], r["ts"]): (r["level"], r["late"]) for r in out}
+    want = {}
+    for site in (0, 1, 2):
+        mine = [r for r in rows if r[0] == site]
+        before = {b: max((t for _, t, _, n in mine if n < b), default=None) for b in range(5)}
+        late = {t for _, t, _, n in mine if before[n] is not None and t <= before[n] - wait}
+        x, p, end = 0.0, kalman.FALLBACK_P0, max(t for _, t, _, _ in mine) - wait
+        for _, t, v, _ in sorted((r for r in mine), key=lambda r: r[1]):
+            if t in late:
+                want[site, t] = (None, True)
+            elif t <= end:
+                p += kalman.FALLBACK_Q
+                if v is not None:
+                    k = p / (p + kalman.FALLBACK_R)
+                    x, p = x + k * (v - x), (1 - k) * p
+                want[site, t] = (x, False)
+    assert any(late for _, late in want.values()) and got.keys() == want.keys() and len(out) == len(got)
+    assert all(got[k][1] == want[k][1] and near(got[k][0], want[k][0]) for k in want)
