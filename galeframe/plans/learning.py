@@ -18,7 +18,6 @@ from galeframe.plans.frames import base, with_feed
 from galeframe.plans.oracle.base import BASE, HOURLY, OOF, cols, feed_cte, with_
 from galeframe.plans.quality import _ODD, odd
 from galeframe.plans.registry import query
-from galeframe.session import shared_folder
 from galeframe.sources.derived import hourly, oof
 from galeframe.streaming import feeds
 
@@ -186,29 +185,44 @@ def noise_checks(spark, sf):
     return _checked(_halves(spark, sf)[1].join(told, [SITE, TS]), "median_pred")
 
 
-def _as_feed(spark, df):
-    """Write a table as feed files and open it as a stream."""
-    path = shared_folder(spark)
-    df.write.parquet(path)
-    return feeds.read_feed(spark, path, df.schema)
+_ARRIVAL = "least(3, CAST(floor((day(ts)-1)/8.0e0) AS BIGINT)) + CASE WHEN (day(ts)*24+hour(ts))%7 = 3 THEN 2 ELSE 0 END"
 
 
-@query("T01_clean_stream", _ODD + "SELECT " + cols({"power_mw": "power_mw"}, {"target_in_range": "CASE WHEN power_mw BETWEEN 0 AND 90.09e0 THEN 1 ELSE 0 END"}, keys="site_id, CAST(ts AS VARCHAR) AS ts, reason AS impossible_reason") + " FROM rs")
+def _arrival():
+    """The trigger a row arrives in: one for each eight days, and every seventh hour two triggers late."""
+    return (F.least(F.lit(3), F.floor((F.dayofmonth(TS) - 1) / 8.0)) + F.when((F.dayofmonth(TS) * 24 + F.hour(TS)) % 7 == 3, 2).otherwise(0)).cast("int")
+
+
+#: A trigger drops what the watermark of the trigger before it has passed: 48 hours before the latest hour two triggers ago.
+def _passed(rows: str) -> str:
+    return f"""tops AS (SELECT batch, max(ts) AS top FROM {rows} GROUP BY batch),
+     marks AS (SELECT b.batch, max(t.top)-INTERVAL 48 HOUR AS mark FROM tops b LEFT JOIN tops t ON t.batch < b.batch-1 GROUP BY b.batch)"""
+
+
+def _replayed(spark, df, batches):
+    return feeds.replayed(settle(df.withColumn(TS, F.col(TS).cast("timestamp"))), "_batch", range(batches))
+
+
+@query("T01_clean_stream", _ODD + f""", arrived AS (SELECT *, {_ARRIVAL} AS batch FROM rs),
+     """ + _passed("arrived") + " SELECT " + cols({"power_mw": "power_mw"}, {"target_in_range": "CASE WHEN power_mw BETWEEN 0 AND 90.09e0 THEN 1 ELSE 0 END"}, keys="site_id, CAST(ts AS VARCHAR) AS ts, reason AS impossible_reason")
+       + " FROM arrived JOIN marks USING (batch) WHERE mark IS NULL OR ts > mark")
 def clean_stream(spark, sf):
-    o = odd(spark, sf)
-    repeated = o.unionByName(o.filter(F.col("snowfall") > 0.5))
-    out = feeds.run_available(feeds.clean_readings(_as_feed(spark, repeated), delay="45 days"))
+    """Seven triggers; some rows arrive later than they are waited for, others come again in the next trigger."""
+    o = odd(spark, sf).withColumn("_batch", _arrival())
+    again = o.filter(F.col("snowfall") > 0.5).withColumn("_batch", F.col("_batch") + 1)
+    out = feeds.run_available(feeds.clean_readings(_replayed(spark, o.unionByName(again), 7), delay="48 hours"))
     return out.select(SITE, TS, "impossible_reason", TARGET, "target_in_range")
 
 
-@query("T02_window_stream", with_(HOURLY, "x AS (SELECT site_id, ts-k*INTERVAL 1 HOUR AS s, wind_speed_120m AS w FROM hourly, range(6) r(k))") + "SELECT " + cols({"mean": "avg(w)", "std": "CASE WHEN count(w) > 1 THEN stddev_samp(w) ELSE 0 END"}, {"n": "count(w)"},
+@query("T02_window_stream", with_(HOURLY, f"arrived AS (SELECT *, {_ARRIVAL} AS batch FROM hourly)", _passed("arrived"),
+       """x AS (SELECT site_id, ts-k*INTERVAL 1 HOUR AS s, wind_speed_120m AS w FROM arrived JOIN marks USING (batch), range(6) r(k)
+     WHERE mark IS NULL OR ts-k*INTERVAL 1 HOUR+INTERVAL 6 HOUR > mark)""") + "SELECT " + cols({"mean": "avg(w)", "std": "CASE WHEN count(w) > 1 THEN stddev_samp(w) ELSE 0 END"}, {"n": "count(w)"},
        keys="site_id, CAST(s AS VARCHAR) AS window_start, CAST(s+INTERVAL 6 HOUR AS VARCHAR) AS window_end") + " FROM x GROUP BY site_id, s")
 def window_stream(spark, sf):
-    h = hourly(spark, sf).select(SITE, TS, "wind_speed_120m")
-    return feeds.run_available(feeds.window_statistics(_as_feed(spark, h), "wind_speed_120m", delay="45 days"), keys=[SITE, "window_start", "window_end"])
-
+    """Six triggers; a late row counts only in the windows that are still open."""
+    h = hourly(spark, sf).select(SITE, TS, "wind_speed_120m").withColumn("_batch", _arrival())
+    return feeds.run_available(feeds.window_statistics(_replayed(spark, h, 6), "wind_speed_120m", delay="48 hours"), keys=[SITE, "window_start", "window_end"])
 
-_ARRIVAL = "least(3, CAST(floor((day(ts)-1)/8.0e0) AS BIGINT)) + CASE WHEN (day(ts)*24+hour(ts))%7 = 3 THEN 1 ELSE 0 END"
 
 
 @query("T03_level_stream", with_(HOURLY, feed_cte("reanalysis"), f"""z AS (SELECT h.site_id, h.ts, h.wind_speed_120m-e.wind_speed_100m AS b, {_ARRIVAL.replace("ts", "h.ts")} AS batch
@@ -221,10 +235,9 @@ _ARRIVAL = "least(3, CAST(floor((day(ts)-1)/8.0e0) AS BIGINT)) + CASE WHEN (day(
      FROM f JOIN y ON y.site_id = f.site_id AND y.i = f.i+1)""", recursive=True)
        + "SELECT " + cols({"bias": "b", "level": "x"}, {"late": "0"}) + " FROM y JOIN f USING (site_id, i) UNION ALL SELECT " + cols({"bias": "b", "level": "NULL"}, {"late": "1"}) + " FROM told WHERE late")
 def level_stream(spark, sf):
-    """Five triggers; every seventh hour arrives a trigger late, most of these more than the 48 hours rows are waited for."""
+    """Six triggers; every seventh hour arrives two triggers late, most of these more than the 48 hours rows are waited for."""
     h = with_feed(spark, sf, hourly(spark, sf), "era5")
-    arrival = F.least(F.lit(3), F.floor((F.dayofmonth(TS) - 1) / 8.0)) + ((F.dayofmonth(TS) * 24 + F.hour(TS)) % 7 == 3).cast("int")
-    b = h.select(SITE, F.col(TS).cast("timestamp").alias(TS), (F.col("wind_speed_120m") - F.col("era5_wind_speed_100m")).alias("bias"), arrival.alias("_batch"))
+    b = h.select(SITE, TS, (F.col("wind_speed_120m") - F.col("era5_wind_speed_100m")).alias("bias"), _arrival().alias("_batch"))
     with feeds.ordered_state(spark):
-        out = feeds.run_available(feeds.filter_levels(feeds.replayed(settle(b), "_batch", range(5)), delay=dt.timedelta(hours=48)))
+        out = feeds.run_available(feeds.filter_levels(_replayed(spark, b, 6), delay=dt.timedelta(hours=48)))
     return out.withColumn("late", F.col("late").cast("int"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from galeframe.config import SITE, TARGET, TS
 from galeframe.operators.cleaning import impossible_reasons
@@ -138,24 +138,31 @@ def replayed(df: DataFrame, batch: str, batches: Sequence[int]) -> DataFrame:
     return read_feed(spark, path, rows.schema, files_per_batch=1)
 
 
-def run_available(out: DataFrame, *, keys: list[str] | None = None) -> DataFrame:
+def run_available(out: DataFrame, *, keys: list[str] | None = None, told: list[dict] | None = None) -> DataFrame:
     """Run a stream over everything available and return its table.
 
     Without ``keys`` rows are appended. With ``keys`` updated rows are written
-    per batch and the last version of each key is kept.
+    per batch and the last version of each key is kept. ``told`` receives, for each trigger, the rows in the state and the
+    rows that came too late for it.
     """
+    def report(query: StreamingQuery) -> None:
+        query.awaitTermination()
+        if told is not None:
+            states = [(p.batchId, p.stateOperators) for p in query.recentProgress]
+            told.extend({"batch": n, "in_state": sum(s.numRowsTotal for s in ops), "late": sum(s.numRowsDroppedByWatermark for s in ops)} for n, ops in states)
+
     spark = out.sparkSession
     home = shared_folder(spark)
     target, state = f"{home}/out", f"{home}/state"
     if keys is None:
         query = out.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
+        report(query)
         return spark.read.schema(out.schema).parquet(target)
 
     def save(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/part={number}")
     query = out.writeStream.foreachBatch(save).option("checkpointLocation", state).outputMode("update").trigger(availableNow=True).start()
-    query.awaitTermination()
+    report(query)
     rest = [n for n in out.columns if n not in keys]
     versions = spark.read.parquet(target).drop("part")
     return versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, *[c("_r")[n].alias(n) for n in rest])

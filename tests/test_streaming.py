@@ -95,3 +95,17 @@ def test_level_stream_orders_rows_and_tells_late_ones(spark):
                 want[site, t] = (x, False)
     assert any(late for _, late in want.values()) and got.keys() == want.keys() and len(out) == len(got)
     assert all(got[k][1] == want[k][1] and near(got[k][0], want[k][0]) for k in want)
+
+
+def test_late_rows_are_counted_and_old_state_goes(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(0, start + dt.timedelta(hours=h), 1.0, 0, 5.0, 5.0, 5.0, 6.0, 2 + h // 24 if h % 8 == 1 else h // 24) for h in range(24 * 6)]
+    rows += [r[:-1] + (r[-1] + 1,) for r in rows[::3]]  # again, one trigger later
+    df = spark.createDataFrame(rows, SCHEMA + ", batch int")
+    told = []
+    out = feeds.run_available(feeds.clean_readings(feeds.replayed(df, "batch", range(9)), delay="12 hours"), told=told)
+    tops = {b: max((r[1] for r in rows if r[-1] < b - 1), default=None) for b in range(9)}
+    late = [r for r in rows if tops[r[-1]] is not None and r[1] <= tops[r[-1]] - dt.timedelta(hours=12)]
+    assert late and {r["ts"] for r in out.collect()} == {r[1] for r in rows if r not in late} and out.count() == len({r[1] for r in rows if r not in late})
+    assert sum(t["late"] for t in told) == len(late)
+    assert max(t["in_state"] for t in told) < 24 * 4  # the state of a day goes once it has been passed
