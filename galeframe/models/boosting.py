@@ -1,4 +1,4 @@
-"""Model-shaped jobs: boosted trees grown by ``histogram``, ridge stacks from sums, clusters by Spark ML.
+"""Model-shaped jobs: boosted trees grown by ``histogram``, ridge stacks from sums, clusters by ``regimes``.
 
 The trees stand in for single-machine boosters, so fitted numbers differ from those by design; weights, folds, seeds, early
 stopping and averaging follow the same recipe. All models of a job grow side by side.
@@ -11,8 +11,6 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -20,19 +18,12 @@ from pyspark.sql import window as W
 from galeframe.config import DEFAULT, SITE, TS, FarmConfig
 from galeframe.functions.nullsafe import clip, zero_if_null
 from galeframe.models.histogram import Models, Settings, Trees, fit_models, prediction_of
+from galeframe.models.regimes import cluster
 from galeframe.operators.cleaning import BANDS
 from galeframe.operators.evaluate import nmae
 from galeframe.operators.settle import settle
 
 c = F.col
-FEATURES = "_features"
-
-
-def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """One vector column; missing values count as 0, as in the merged sources."""
-    filled = df.withColumns({f"_x_{n}": zero_if_null(c(n).cast("double")) for n in features})
-    names = [f"_x_{n}" for n in features]
-    return VectorAssembler(inputCols=names, outputCol=FEATURES).transform(filled).drop(*names)
 
 
 def band_weights(wind: str, bands: Mapping[str, tuple[float, float]], seeds: Sequence[int], *, base: Column, inside: float, outside: float, rows: float) -> list[Column]:
@@ -263,9 +254,8 @@ def good_models(df: DataFrame, models: Sequence[str], *, target: str, below: flo
 
 
 def regime_clusters(df: DataFrame, *, columns: Sequence[str] = ("hellmann_alpha", "wind_speed_120m", "air_density", "temp_gradient"), k: int = 5, seed: int = 42, out: str = "regime_cluster") -> DataFrame:
-    rows = assemble(df, [n for n in columns if n in df.columns])
-    model = KMeans(k=k, seed=seed, featuresCol=FEATURES, predictionCol=out).fit(rows)
-    return model.transform(rows).drop(FEATURES)
+    """Rows with the number of their atmospheric regime."""
+    return cluster(df, columns=columns, k=k, seed=seed, out=out)[0]
 
 
 def hourly_models(train: DataFrame, val: DataFrame, *, features: Sequence[str], target: str, min_rows: int = 100, out: str = "hourly_pred", seed: int = 42,

@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from galeframe.config import SITE, TARGET, TS
-from galeframe.models import boosting
+from galeframe.models import boosting, regimes
 from galeframe.operators import lookups, weather
 from galeframe.operators.settle import settle
 from galeframe.plans.frames import base, with_feed
@@ -161,6 +161,22 @@ def regime_clusters(spark, sf):
     return boosting.regime_clusters(b).select(SITE, TS, "regime_cluster")
 
 
+REGIME = ("hellmann_alpha", "wind_speed_120m", "air_density", "temp_gradient")
+
+
+@query("M08_cluster_checks", with_(BASE) + "SELECT " + cols({}, {"with_nearest": "1", "centre_is_mean": "1"}, keys="site_id, CAST(ts AS VARCHAR) AS ts") + " FROM base")
+def cluster_checks(spark, sf):
+    """For every row: whether no other centre is nearer than its own, and whether that is the mean of its rows."""
+    b = regimes.standardised(weather.atmosphere_columns(weather.shear_exponent_column(base(spark, sf))), REGIME)
+    told, centres = regimes.cluster(b, columns=REGIME)
+    told = settle(told.join(b.select(SITE, TS, regimes.POINT), [SITE, TS]).select(SITE, TS, "regime_cluster", regimes.POINT))
+    means = {r["regime_cluster"]: r["m"] for r in told.groupBy("regime_cluster").agg(F.array(*[F.avg(F.get(regimes.POINT, i)) for i in range(len(REGIME))]).alias("m")).collect()}
+    still = F.lit([int(j in means and max(abs(x - y) for x, y in zip(means[j], centre)) < 1e-2) for j, centre in enumerate(centres)])
+    near = regimes.distances(centres)
+    own = F.get(near, F.col("regime_cluster"))
+    return told.select(SITE, TS, (own <= F.array_min(near)).cast("int").alias("with_nearest"), F.get(still, F.col("regime_cluster")).alias("centre_is_mean"))
+
+
 @query("M09_hourly_models")
 def hourly_models(spark, sf):
     train, val = _halves(spark, sf)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from galeframe.models import boosting
+from galeframe.models import boosting, regimes
 from galeframe.models.histogram import Settings, fit_models, middle, split
 
 START = dt.datetime(2024, 1, 1)
@@ -156,3 +156,25 @@ def test_empty_and_single_rows(spark):
     one = spark.createDataFrame(rows(1), SCHEMA)
     models = fit_models(one, features=["a", "b"], target=F.col("y"), weights=[F.lit(1.0)], settings=FEW)
     assert one.select(F.get(models.predictions(), 0).alias("p")).first()["p"] == pytest.approx(one.first()["y"], abs=1e-6)
+
+
+def test_clusters_are_at_rest_and_repeat(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(4, 2)) * 20.0
+    data = [(i % 3, START + dt.timedelta(hours=i // 3), *map(float, centre[i % 4] + rng.normal(size=2))) for i in range(800)] + [(9, START, None, 1.0), (9, START + dt.timedelta(hours=1), 1.0, None)]
+    df = spark.createDataFrame(data, "site_id long, ts timestamp_ntz, a double, b double")
+    told, centres = regimes.cluster(df, columns=["a", "b"], k=4, tolerance=1e-9)
+    again, same = regimes.cluster(df.repartition(7), columns=["a", "b"], k=4, tolerance=1e-9)
+    key = lambda r: (r["site_id"], r["ts"])
+    got = {key(r): r["regime_cluster"] for r in told.collect()}
+    assert got == {key(r): r["regime_cluster"] for r in again.collect()} and np.allclose(centres, same)
+    points = {key(r): np.array(r[regimes.POINT]) for r in regimes.standardised(df, ["a", "b"]).collect()}
+    for k, p in points.items():
+        assert np.square(centres - p).sum(1).argmin() == got[k]
+    for j in range(4):
+        assert np.allclose(np.mean([points[k] for k in points if got[k] == j], axis=0), centres[j])
+    assert len({(i % 4, got[data[i][0], data[i][1]]) for i in range(800)}) == 4  # the groups drawn are the clusters
+    few, some = regimes.cluster(df.limit(2), columns=["a", "b"], k=5)
+    assert len(some) == 2 and few.count() == 2
+    none, empty = regimes.cluster(df.limit(0), columns=["a", "b"])
+    assert none.count() == 0 and len(empty) == 0
