@@ -1,10 +1,11 @@
 """Analog forecasts: the most similar past hours of a site.
 
-Exact nearest rows with pruning: training rows lie in cells along the leading
-coordinate, cells in blocks of bounded size. A scoring row first meets one block
-of its own cell, whose k-th distance bounds the search; then it visits only the
-cells that are no farther along the leading coordinate than that bound. Each
-meeting returns its best k per scoring row, and the lists are merged.
+Exact nearest rows with pruning: the training rows of a key lie in k-d cells,
+cut level by level at quantiles of the coordinate that varies most in a cell
+until a cell holds few rows. A scoring row first meets its own cell, whose k-th
+distance bounds the search, then the nearest other cells, which tighten it, and
+last the cells whose bounding boxes are still no farther. Boxes are found by
+going down the tree, so cells out of reach are never paired with a row.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ from galeframe.operators.settle import settle
 
 c = F.col
 
-BLOCK_ROWS = 20_000
-CELL_WIDTH = 0.25  # of a standardised leading coordinate
+BLOCK_ROWS = 2_000
+SLICE_ROWS = 20_000  # scoring rows that meet a block in one task
+PARTS = 8  # children of a cell that is split
+MAX_LEVELS = 20
+FIRST_CELLS = 4  # other cells visited before the bound is taken again
 _QUERY_STEP = 256
 
 
@@ -73,49 +77,78 @@ def _closest(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
         for j in range(x.shape[1]):
             d += (part[:, j:j + 1] - x[:, j]) ** 2
         limit = np.partition(d, k - 1, axis=1)[:, k - 1:k]
-        place = np.where(d < limit, 0, np.where(d == limit, 1, 2))
-        # all below the limit, then the first that equal it: a stable partition by place keeps the row order
-        near = np.argsort(place, axis=1, kind="stable")[:, :k]
-        near_d = np.take_along_axis(d, near, 1)
-        order = np.lexsort((near, near_d), axis=1)
-        rows[start:start + len(part)] = np.take_along_axis(near, order, 1)
-        dist[start:start + len(part)] = np.sqrt(np.take_along_axis(near_d, order, 1))
+        who, near = np.nonzero(d <= limit)  # at least k of each row, more where several equal the limit
+        near_d = d[who, near]
+        order = np.lexsort((near, near_d, who))
+        first = np.searchsorted(who, np.arange(len(part)))
+        order = order[first[:, None] + np.arange(k)]
+        rows[start:start + len(part)] = near[order]
+        dist[start:start + len(part)] = np.sqrt(near_d[order])
     return rows, dist
 
 
-def _cell(feature: str) -> Column:
-    return F.floor(c(feature) / CELL_WIDTH)
+def _cells(table: DataFrame, splits: Sequence[DataFrame], keys: list[str], features: list[str]) -> DataFrame:
+    """``_cell`` of each row and ``_path``, the cells it lies in from the whole key down; a cell that is not split stands for itself."""
+    out = table.withColumns({"_cell": F.lit(0).cast("long"), "_path": F.array(F.lit(0).cast("long"))})
+    for split in splits:
+        value = F.element_at(F.array(*features), c("_dim"))
+        part = F.size(F.filter("_cuts", lambda x: x <= value)).cast("long")
+        out = out.join(split, [*keys, "_cell"], "left").withColumn("_cell", F.when(c("_cuts").isNull(), c("_cell")).otherwise(c("_cell") * PARTS + 1 + part))
+        out = out.withColumn("_path", F.concat("_path", F.array("_cell"))).drop("_dim", "_cuts")
+    return out
+
+
+def _splits(table: DataFrame, keys: list[str], features: list[str], cell_rows: int) -> list[DataFrame]:
+    """Cuts of the k-d cells, one written table for each level: keys, _cell, _dim (from 1), _cuts.
+
+    A cell of more than ``cell_rows`` rows is cut into up to ``PARTS`` at quantiles of the coordinate that varies most in
+    it, or at the mean where all quantiles are the lowest value. Rows equal in every coordinate stay together.
+    """
+    spreads = F.array_max(F.array(*[F.struct(F.stddev_pop(n).alias("sd"), F.lit(i + 1).alias("dim")) for i, n in enumerate(features)]))
+    out: list[DataFrame] = []
+    while len(out) < MAX_LEVELS:
+        placed = _cells(table, out, keys, features)
+        sizes = placed.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+        if (sizes or 0) <= cell_rows:
+            break
+        large = settle(placed.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"), spreads.alias("_s")).filter((c("_n") > cell_rows) & (c("_s.sd") > 0))
+                       .select(*keys, "_cell", "_n", c("_s.dim").alias("_dim")))
+        if large.isEmpty():
+            break
+        values = placed.join(large, [*keys, "_cell"], "inner").withColumn("_v", F.element_at(F.array(*features), c("_dim")))
+        marks = values.groupBy(*keys, "_cell", "_n", "_dim").agg(
+            F.percentile_approx("_v", [i / PARTS for i in range(1, PARTS)], 1000).alias("_q"), F.min("_v").alias("_low"), F.avg("_v").alias("_mid"))
+        step = PARTS // 2
+        few = F.when(c("_n") <= 2 * cell_rows, F.array(c("_q")[step - 1])).otherwise(c("_q"))
+        cuts = F.filter(F.array_distinct(few), lambda x: x > c("_low"))
+        out.append(settle(marks.select(*keys, "_cell", "_dim", F.when(F.size(cuts) > 0, cuts).otherwise(F.array("_mid")).alias("_cuts"))))
+    return out
 
 
 def nearest(train: DataFrame, score: DataFrame, features: Sequence[str], *, k: int, keys: Sequence[str] = (SITE,), carry: Sequence[str] = (),
             block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The k nearest training rows of each scoring row: keys, ts, distance, rank and the carried training columns.
+    """The k nearest training rows of each scoring row: keys, ts, analog_ts, distance, the carried training columns, rank, cells_visited.
 
-    Ties go to the earlier training hour. The first of ``features`` is the leading coordinate.
+    Ties go to the earlier training hour; (keys, ts) must be unique on either side. Cells hold up to about ``block_rows``
+    rows; more rows than that equal in every coordinate are cut into blocks by hash. Scoring rows without any training
+    row of their key do not come back.
     """
     keys, features, carry = list(keys), list(features), list(carry)
-    lead = features[0]
-    cells = settle(train.groupBy(*keys, _cell(lead).alias("_cell")).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("_blocks")))
-    # One short list per key: its cells and their numbers of blocks.
-    lists = settle(cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_cell", "_blocks"))).alias("_cells")))
-    block = [*keys, "_cell", "_block"]
-
-    def fresh(names: Sequence[str]) -> list[Column]:
-        # New column identities, because both sides may come from one table.
-        return [c(n).alias(n) for n in names]
-    t = train.withColumn("_cell", _cell(lead)).join(cells, [*keys, "_cell"], "inner")
-    t = t.select(*fresh([*keys, TS, *features, *carry]), "_cell", F.pmod(F.xxhash64(TS), c("_blocks")).alias("_block"))
-    q = score.select(*fresh([*keys, TS, *features]))
-    kinds = {f.name: f.dataType for f in t.schema.fields}
-    own = [T.StructField(n, kinds[n]) for n in keys] + [T.StructField(TS, kinds[TS])]
-
-    def bound(tp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
-        if len(qp) == 0:
-            return qp[[*keys, TS]].assign(_bound=np.empty(0))
-        far = np.full(len(qp), np.inf)
-        if len(tp) >= k:
-            far = _closest(tp[features].to_numpy(dtype=np.float64), qp[features].to_numpy(dtype=np.float64), k)[1][:, -1]
-        return qp[[*keys, TS]].assign(_bound=far)
+    cell_rows = max(block_rows, 8 * k)  # so that the smallest usual cell holds k rows
+    train = settle(train.select(*keys, TS, *features, *[n for n in carry if n not in features]))
+    score = settle(score.select(*keys, TS, *features))
+    splits = _splits(train, keys, features, cell_rows)
+    kinds = {f.name: f.dataType for f in train.schema.fields}
+    schema = T.StructType([*[T.StructField(n, kinds[n]) for n in keys], T.StructField(TS, kinds[TS]), T.StructField("analog_ts", kinds[TS]),
+                           T.StructField("distance", T.DoubleType()), *[T.StructField(n, kinds[n]) for n in carry]])
+    empty = pd.DataFrame({f.name: pd.Series([], dtype="datetime64[ns]" if f.name in (TS, "analog_ts") else None) for f in schema.fields})
+    place, group = [*keys, "_cell"], [*keys, "_cell", "_block", "_slice"]
+    # the sizes that a task may meet are bounded on both sides: training blocks and slices of the scoring rows
+    held = _cells(train, splits, keys, features)
+    boxes = held.groupBy(*keys, "_cell", "_path").agg(F.ceil(F.count(F.lit(1)) / (PARTS * cell_rows)).cast("long").alias("_blocks"),
+                                                      *[e for n in features for e in (F.min(n).alias(f"{n}_lo"), F.max(n).alias(f"{n}_hi"))])
+    if splits:
+        boxes = settle(boxes)
 
     def best(tp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
         if len(tp) == 0 or len(qp) == 0:
@@ -129,20 +162,55 @@ def nearest(train: DataFrame, score: DataFrame, features: Sequence[str], *, k: i
         out |= {"analog_ts": tp[TS].to_numpy()[ti], "distance": dist}
         out |= {n: tp[n].to_numpy()[ti] for n in carry}
         return pd.DataFrame(out)
-    schema = T.StructType([*own, T.StructField("analog_ts", kinds[TS]), T.StructField("distance", T.DoubleType()), *[T.StructField(n, kinds[n]) for n in carry]])
-    empty = pd.DataFrame({f.name: pd.Series([], dtype="datetime64[ns]" if f.name in (TS, "analog_ts") else None) for f in schema.fields})
-    grouped = spread(t, *block).groupBy(*block)
-    first = q.withColumns({"_cell": _cell(lead), "_block": F.lit(0).cast("long")})
-    bounds = settle(spread(t.filter(c("_block") == 0), *block).groupBy(*block).cogroup(spread(first, *block).groupBy(*block))
-                    .applyInPandas(bound, T.StructType([*own, T.StructField("_bound", T.DoubleType())])))
-    reach = q.join(bounds, [*keys, TS], "inner").join(lists, keys, "inner")
-    # distance along the leading coordinate to the nearer edge of the cell, with room for rounding
-    low, high = (lambda x: x["_cell"] * F.lit(CELL_WIDTH)), (lambda x: (x["_cell"] + 1) * F.lit(CELL_WIDTH))
-    visited = F.filter("_cells", lambda x: F.greatest(low(x) - c(lead), c(lead) - high(x), F.lit(0.0)) <= c("_bound") * (1 + 1e-9) + 1e-9)
-    pairs = reach.withColumn("_at", F.explode(visited)).withColumns({"_cell": c("_at._cell"), "_block": F.explode(F.sequence(F.lit(0).cast("long"), c("_at._blocks") - 1))})
-    found = grouped.cogroup(spread(pairs.select(*keys, TS, *features, "_bound", "_cell", "_block"), *block).groupBy(*block)).applyInPandas(best, schema)
+
+    def meet(visits: DataFrame) -> DataFrame:
+        """Best training rows of every (scoring row, cell) pair; ``visits`` has the scoring columns, _bound and _cell."""
+        asked = settle(visits.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("long").alias("_slices")).join(
+            boxes.select(*place, "_blocks"), place, "inner"))  # read by both sides
+        t = held.drop("_path").join(asked, place, "inner").withColumns({"_block": F.pmod(F.xxhash64(TS), c("_blocks")), "_slice": F.explode(F.sequence(F.lit(0).cast("long"), c("_slices") - 1))})
+        q = visits.join(asked, place, "inner").withColumns({"_slice": F.pmod(F.xxhash64(TS, F.lit(1)), c("_slices")), "_block": F.explode(F.sequence(F.lit(0).cast("long"), c("_blocks") - 1))})
+        t, q = t.select(*group, TS, *features, *[n for n in carry if n not in features]), q.select(*group, TS, *features, "_bound")
+        return spread(t, *group).groupBy(*group).cogroup(spread(q, *group).groupBy(*group)).applyInPandas(best, schema)
+
     w = Window.partitionBy(*keys, TS).orderBy("distance", "analog_ts")
-    return found.withColumn("rank", F.row_number().over(w)).filter(c("rank") <= k)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(w)).filter(c("rank") <= k)
+
+    own = _cells(score, splits, keys, features).drop("_path").withColumn("_bound", F.lit(float("inf")))
+    if not splits:
+        return ranked(meet(own)).withColumn("cells_visited", F.lit(1).cast("long"))
+    # first the row's own cell, then the nearest others, then whatever the distance found by then still allows
+    found, visited = settle(ranked(meet(own)).drop("rank")), own.select(*keys, TS, F.lit(1).cast("long").alias("_v"))
+    near_first, others = Window.partitionBy(*keys, TS).orderBy("_away", "_cell"), None
+    for wave in range(2):
+        bounds = found.groupBy(*keys, TS).agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("_far"))
+        rows = (own.drop("_bound") if others is None else others).join(bounds, [*keys, TS], "left").withColumn("_bound", F.coalesce("_far", F.lit(float("inf")))).drop("_far")
+        reach = c("_away") <= c("_bound") * (1 + 1e-9) + 1e-9
+        if others is None:
+            rows = settle(_reachable(rows, boxes, len(splits), keys, features, reach).withColumn("_order", F.row_number().over(near_first)))
+            others, visits = rows.filter(c("_order") > FIRST_CELLS).drop("_bound"), rows.filter(c("_order") <= FIRST_CELLS)
+        else:
+            visits = settle(rows.filter(reach))
+        found = settle(ranked(found.unionByName(meet(visits.select(*keys, TS, *features, "_bound", "_cell")))).drop("rank"))
+        visited = visited.unionByName(visits.groupBy(*keys, TS).agg(F.count(F.lit(1)).alias("_v")))
+    return ranked(found).join(visited.groupBy(*keys, TS).agg(F.sum("_v").alias("cells_visited")), [*keys, TS], "inner")
+
+
+def _reachable(rows: DataFrame, boxes: DataFrame, levels: int, keys: list[str], features: list[str], reach: Column) -> DataFrame:
+    """(scoring row, cell) pairs within reach, the row's own cell left out: down the tree, by the distance to each node's box."""
+    edges = [f"{n}_{e}" for n in features for e in ("lo", "hi")]
+    out = rows.withColumnRenamed("_cell", "_home").withColumn("_node", F.lit(0).cast("long"))
+    for level in range(1, levels + 1):
+        up, down = F.element_at("_path", level).alias("_node"), F.element_at("_path", level + 1).alias("_child")
+        nodes = boxes.groupBy(*keys, up, down).agg(*[(F.min if e.endswith("_lo") else F.max)(e).alias(e) for e in edges])
+        gaps = [F.greatest(c(f"{n}_lo") - c(n), c(n) - c(f"{n}_hi"), F.lit(0.0)) for n in features]
+        away = gaps[0] * gaps[0]
+        for g in gaps[1:]:
+            away = away + g * g
+        out = out.drop("_away").join(settle(nodes), [*keys, "_node"], "inner").withColumn("_away", F.sqrt(away)).filter(reach)
+        out = out.drop("_node", *edges).withColumnRenamed("_child", "_node")
+    return out.withColumnRenamed("_node", "_cell").filter(c("_cell") != c("_home")).drop("_home")
 
 
 def _analog_statistics(history: DataFrame, score: DataFrame, *, k: int, quantile: float, keys: list[str], block_rows: int) -> DataFrame:

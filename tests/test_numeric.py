@@ -169,19 +169,31 @@ def test_rolling_median_reflects_edges(spark):
             assert near(got[(0, r["ts"])][j], float(np.median(padded[i:i + w])))
 
 
-def test_nearest_rows_in_blocks_equal_brute_force(spark):
+def test_nearest_rows_in_cells_equal_brute_force(spark):
     rnd, start = random.Random(5), dt.datetime(2024, 1, 1)
     schema = "site_id long, ts timestamp_ntz, a double, b double"
-    rows = [(s, start + dt.timedelta(hours=i), rnd.random(), rnd.random()) for s, n in ((0, 150), (1, 12)) for i in range(n)]
-    df = spark.createDataFrame(rows, schema)
-    train, score = df.filter("a < 0.7"), df.filter("a >= 0.7")
+    def value():
+        return rnd.choice([0.5, 0.25, rnd.random(), rnd.random()])  # ties and equal rows
+    rows = [(s, start + dt.timedelta(hours=i), value(), value()) for s, n in ((0, 400), (1, 12)) for i in range(n)]
+    rows += [(3, start + dt.timedelta(hours=i), 0.5, 0.5) for i in range(300)] + [(4, start, 0.1, 0.9)]  # cannot be split; no history
+    asked = {(s, t) for i, (s, t, _, _) in enumerate(rows) if i % 5 == 0 or s == 4}
+    df = spark.createDataFrame([(*r, (r[0], r[1]) in asked) for r in rows], schema + ", asked boolean")
     got = {}
-    for r in analogs.nearest(train, score, ["a", "b"], k=5, block_rows=20).collect():
+    for r in analogs.nearest(df.filter("NOT asked"), df.filter("asked"), ["a", "b"], k=3, block_rows=10).collect():
         got.setdefault((r["site_id"], r["ts"]), []).append((r["rank"], r["analog_ts"]))
     for s, t, a, b in rows:
-        if a >= 0.7:
-            pool = sorted(((x - a) ** 2 + (y - b) ** 2, u) for k, u, x, y in rows if k == s and x < 0.7)[:5]
-            assert [u for _, u in sorted(got[(s, t)])] == [u for _, u in pool]
+        if (s, t) in asked:
+            pool = sorted(((x - a) ** 2 + (y - b) ** 2, u) for k, u, x, y in rows if k == s and (k, u) not in asked)[:3]
+            assert [u for _, u in sorted(got.get((s, t), []))] == [u for _, u in pool]
+
+
+def test_nearest_visits_few_cells_at_ten_times_the_rows(spark):
+    def visited(n: int) -> float:
+        base = spark.range(n).selectExpr("0 AS site_id", "timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS ts", *(f"pmod(xxhash64(id, {j}), 1000003) / 1000003.0e0 AS f{j}" for j in range(3)))
+        found = analogs.nearest(base, base.filter("ts < timestamp_ntz'2020-01-03 00:00:00'"), ["f0", "f1", "f2"], k=4, block_rows=64)
+        return found.filter("rank = 1").agg(F.avg("cells_visited")).first()[0]
+    small, large = visited(2_000), visited(20_000)
+    assert large < 1.5 * small + 2 and large < 0.2 * 20_000 / 64
 
 
 def test_isotonic_rounds_and_narrow_buckets_equal_one_task(spark):
