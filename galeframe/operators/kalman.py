@@ -1,14 +1,15 @@
 """Local-level filter and smoother of a source's bias, parallel inside a site.
 
-The recursion is sequential, but each block of rows acts on its start state as
-a small map that can be summarised and composed: the variance as a fractional
-linear map (a 2x2 matrix), the level as an affine map, and the backward pass as
-an affine map of the next block's first smoothed value. So a site runs as
+The recursion is sequential, but what a row does to a state is a small element
+that composes with the next row's: five numbers (share, shift, spread, and the
+slope and curvature of the likelihood of the observations as a function of the
+level before them). So a site runs as
 
-    summary per block -> short scan over the blocks -> next pass per block
+    one summary per block -> one short scan over the blocks -> one last pass
 
-for variance, level and smoothing in turn. Tasks see one block of rows or one
-row per block, and the result equals the row-by-row recursion.
+The scan gives every block the filter state before it and the likelihood of all
+that follows it; the smoothed level joins the two. Tasks see one block of rows
+or one row per block, and the result equals the row-by-row recursion.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 
 from galeframe.config import SITE, TS
 from galeframe.operators.blocks import ROW, spread, with_row_number
+from galeframe.operators.settle import settle
 
 c = F.col
 BLOCK_ROWS = 8_192
@@ -87,42 +89,70 @@ def _schema(df: DataFrame, names: Sequence[str], doubles: Sequence[str]) -> T.St
     return _fields(df, names, **{n: None for n in doubles})
 
 
-def _start_states(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Filter state (variance, level) at the start of every block; ``rows`` has _y, _q, _r, _p0 and _blk."""
-    blk = [*keys, "_blk"]
+Element = tuple[np.ndarray, ...]  # share, shift, spread, slope, curvature
 
-    def variance(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ROW)
-        f = pdf.iloc[0]
-        a, b, cc, d = (m[-1] for m in _variance_maps(pdf["_y"].notna().to_numpy(), f["_q"], f["_r"]))
-        return pd.DataFrame([{**{n: f[n] for n in blk}, "_q": f["_q"], "_r": f["_r"], "_p0": f["_p0"], "a": a, "b": b, "c": cc, "d": d}])
 
-    def scan_variance(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk")
-        p, starts = float(pdf["_p0"].iloc[0]), []
-        for a, b, cc, d in zip(pdf["a"], pdf["b"], pdf["c"], pdf["d"]):
-            starts.append(p)
-            p = (a * p + b) / (cc * p + d)
-        return pdf[blk].assign(_p=starts)
-    maps = rows.groupBy(*blk).applyInPandas(variance, _schema(rows, blk, ["_q", "_r", "_p0", "a", "b", "c", "d"]))
-    p_start = maps.groupBy(*keys).applyInPandas(scan_variance, _schema(rows, blk, ["_p"]))
-
-    def level(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ROW)
-        f, y = pdf.iloc[0], pdf["_y"].to_numpy(dtype=float)
-        xs, _, left, _ = _filter(y, f["_q"], f["_r"], 0.0, f["_p"])
-        return pd.DataFrame([{**{n: f[n] for n in blk}, "_p": f["_p"], "m": float(left), "k": float(xs[-1])}])
+def _elements(y: np.ndarray, q, r) -> Element:
+    """What each row does to the state before it; with candidates q and r as vectors every entry is rows x candidates."""
+    seen = ~np.isnan(y).reshape(-1, *[1] * np.ndim(q))
+    v = np.where(seen, np.nan_to_num(y).reshape(seen.shape), 0.0)
+    both = q + r
+    return (np.where(seen, r / both, 1.0), np.where(seen, q / both, 0.0) * v, np.where(seen, q * r / both, q), np.where(seen, v / both, 0.0), np.where(seen, 1.0 / both, 0.0))
 
-    def scan_level(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk")
-        x, starts = 0.0, []
-        for m, k in zip(pdf["m"], pdf["k"]):
-            starts.append(x)
-            x = m * x + k
-        return pdf[[*blk, "_p"]].assign(_x=starts)
-    with_p = rows.join(p_start, blk, "inner")
-    affine = with_p.groupBy(*blk).applyInPandas(level, _schema(rows, blk, ["_p", "m", "k"]))
-    return affine.groupBy(*keys).applyInPandas(scan_level, _schema(rows, blk, ["_p", "_x"]))
+
+def _compose(first: Element, then: Element) -> Element:
+    """The element of two stretches, one after the other."""
+    (a1, b1, c1, e1, j1), (a2, b2, c2, e2, j2) = first, then
+    d = 1.0 + c1 * j2
+    return a2 * a1 / d, a2 * (b1 + c1 * e2) / d + b2, a2 * a2 * c1 / d + c2, a1 * (e2 - j2 * b1) / d + e1, a1 * a1 * j2 / d + j1
+
+
+def _suffixes(e: Element) -> Element:
+    """The elements of each row and all rows after it, by doubling the reach of the composed stretches."""
+    out, step = tuple(m.copy() for m in e), 1
+    while step < len(out[0]):
+        new = _compose(tuple(m[:-step] for m in out), tuple(m[step:] for m in out))
+        for m, v in zip(out, new):
+            m[:-step] = v
+        step *= 2
+    return out
+
+
+def _whole(e: Element) -> Element:
+    """The element of all rows: neighbours are composed pairwise until one is left."""
+    while len(e[0]) > 1:
+        odd = tuple(m[len(m) - len(m) % 2:] for m in e)
+        e = _compose(tuple(m[:len(m) - len(m) % 2:2] for m in e), tuple(m[1::2] for m in e))
+        e = tuple(np.concatenate([m, o]) for m, o in zip(e, odd))
+    return tuple(m[0] for m in e)
+
+
+def _follows(e: Element, slope, curvature) -> tuple[np.ndarray, np.ndarray]:
+    """Likelihood of the observations from an element on, given that of those after it."""
+    a, b, cc, eta, j = e
+    d = 1.0 + cc * curvature
+    return a * (slope - curvature * b) / d + eta, a * a * curvature / d + j
+
+
+def _advance(e: Element, x, p) -> tuple[np.ndarray, np.ndarray]:
+    """Level and variance after an element."""
+    a, b, cc, eta, j = e
+    d = 1.0 + p * j
+    return a * (x + p * eta) / d + b, a * a * p / d + cc
+
+
+def _scan_blocks(elements: list[Element], p0) -> list[tuple]:
+    """For each block of a site in order: level and variance before it, slope and curvature of what follows it."""
+    x, p, ahead = np.zeros_like(p0), p0, []
+    for e in elements:
+        ahead.append((x, p))
+        x, p = _advance(e, x, p)
+    slope = curvature = np.zeros_like(p0)
+    after = []
+    for e in reversed(elements):
+        after.append((slope, curvature))
+        slope, curvature = _follows(e, slope, curvature)
+    return [(*u, *v) for u, v in zip(ahead, reversed(after))]
 
 
 def _prepared(df: DataFrame, value: Column, params: DataFrame | None, block_rows: int) -> DataFrame:
@@ -141,41 +171,32 @@ def smooth_level(df: DataFrame, value: Column, *, params: DataFrame | None = Non
 
     ``params`` holds site, q, r and p0; without it, and for sites it lacks, the fallback values apply.
     """
-    rows = _prepared(df, value, params, block_rows)
-    keys, blk = [SITE], [SITE, "_blk"]
-    small = spread(rows.select(SITE, ROW, "_blk", "_y", "_q", "_r", "_p0"), *blk)
-    state = small.join(_start_states(small, keys), blk, "inner")
+    rows = settle(_prepared(df, value, params, block_rows))
+    blk = [SITE, "_blk"]
+    small = rows.select(SITE, ROW, "_blk", "_y", "_q", "_r", "_p0")
+    parts, state = ["a", "b", "c", "e", "j"], ["_x", "_p", "_slope", "_curvature"]
 
-    def backward(pdf: pd.DataFrame) -> pd.DataFrame:
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ROW)
         f = pdf.iloc[0]
-        xs, ps, _, _ = _filter(pdf["_y"].to_numpy(dtype=float), f["_q"], f["_r"], f["_x"], f["_p"])
-        gain = ps / (ps + f["_q"])
-        back = _affine_scan(gain[::-1], ((1.0 - gain) * xs)[::-1], 0.0)
-        # Of the site's last row the smoothed value is the filtered one, as if its gain were 0.
-        last = _affine_scan(gain[-2::-1], ((1.0 - gain) * xs)[-2::-1], xs[-1]) if len(xs) > 1 else xs
-        return pd.DataFrame([{**{n: f[n] for n in blk}, "m": float(np.prod(gain)), "k": float(back[-1]), "m_last": 0.0, "k_last": float(last[-1])}])
-
-    def scan_back(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = _whole(_elements(pdf["_y"].to_numpy(dtype=float), f["_q"], f["_r"]))
+        return pd.DataFrame([{**{n: f[n] for n in blk}, "_p0": f["_p0"], **dict(zip(parts, map(float, whole)))}])
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_blk")
-        nxt, s = [float("nan")] * len(pdf), float("nan")
-        for i in range(len(pdf) - 1, -1, -1):
-            nxt[i] = s
-            s = float(pdf["k_last"].iloc[i]) if i == len(pdf) - 1 else float(pdf["m"].iloc[i]) * s + float(pdf["k"].iloc[i])
-        return pdf[blk].assign(_next=nxt)
+        found = _scan_blocks([tuple(v) for v in pdf[parts].to_numpy(dtype=float)], float(pdf["_p0"].iloc[0]))
+        return pdf[blk].assign(**dict(zip(state, np.array(found, dtype=float).T)))
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ROW)
-        f = pdf.iloc[0]
-        xs, ps, _, _ = _filter(pdf["_y"].to_numpy(dtype=float), f["_q"], f["_r"], f["_x"], f["_p"])
-        gain = ps / (ps + f["_q"])
-        follows = f["_next"] == f["_next"]
-        gain[-1] = gain[-1] if follows else 0.0
-        sm = _affine_scan(gain[::-1], ((1.0 - gain) * xs)[::-1], f["_next"] if follows else 0.0)[::-1]
-        return pd.DataFrame({SITE: pdf[SITE].to_numpy(), ROW: pdf[ROW].to_numpy(), "_sm": sm, "_fl": xs})
-    maps = state.groupBy(*blk).applyInPandas(backward, _schema(rows, blk, ["m", "k", "m_last", "k_last"]))
-    nxt = maps.groupBy(*keys).applyInPandas(scan_back, _schema(rows, blk, ["_next"]))
-    done = state.join(nxt, blk, "inner").groupBy(*blk).applyInPandas(finish, _schema(rows, [SITE, ROW], ["_sm", "_fl"]))
+        f, y = pdf.iloc[0], pdf["_y"].to_numpy(dtype=float)
+        xs, ps, _, _ = _filter(y, f["_q"], f["_r"], f["_x"], f["_p"])
+        after = _follows(tuple(m[1:] for m in _suffixes(_elements(y, f["_q"], f["_r"]))), f["_slope"], f["_curvature"])
+        slope, curvature = np.append(after[0], f["_slope"]), np.append(after[1], f["_curvature"])
+        return pd.DataFrame({SITE: pdf[SITE].to_numpy(), ROW: pdf[ROW].to_numpy(), "_sm": (xs + ps * slope) / (1.0 + ps * curvature), "_fl": xs})
+    maps = spread(small, *blk).groupBy(*blk).applyInPandas(summary, _schema(rows, blk, ["_p0", *parts]))
+    states = settle(maps.groupBy(SITE).applyInPandas(scan, _schema(rows, blk, state)))
+    done = spread(small.join(states, blk, "inner"), *blk).groupBy(*blk).applyInPandas(finish, _schema(rows, [SITE, ROW], ["_sm", "_fl"]))
     names = {"_sm": out, **({"_fl": filtered} if filtered else {})}
     joined = rows.join(done, [SITE, ROW], "inner").withColumns({n: c(v) for v, n in names.items()})
     return joined.drop("_sm", "_fl", ROW, "_blk", "_y", "_q", "_r", "_p0")
@@ -201,7 +222,7 @@ def likelihood_table(df: DataFrame, value: Column, *, fit_filter: Column | None
     rows = df if fit_filter is None else df.filter(fit_filter)
     rows = with_row_number(rows.select(SITE, TS, value.cast("double").alias("_y"))).withColumn("_blk", F.floor(c(ROW) / block_rows)).drop(TS)
     blk = [SITE, "_blk"]
-    rows = spread(rows, *blk)
+    rows = settle(rows)
 
     def arrays(*names: str) -> T.StructType:
         return T.StructType([T.StructField(n, T.LongType()) for n in blk] + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in names])
@@ -215,38 +236,21 @@ def likelihood_table(df: DataFrame, value: Column, *, fit_filter: Column | None
     def series(pdf: pd.DataFrame) -> np.ndarray:
         return pdf.sort_values(ROW)["_y"].to_numpy(dtype=float)
 
-    def variance(pdf: pd.DataFrame) -> pd.DataFrame:
-        return one(pdf, **dict(zip("abcd", (m[-1] for m in _variance_maps(~np.isnan(series(pdf)), q, r)))))
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        return one(pdf, **dict(zip("abcej", _whole(_elements(series(pdf), q, r)))))
 
-    def scan_variance(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk")
-        p, starts = np.full_like(q, FITTED_P0), []
-        for a, b, cc, d in zip(*(stacked(pdf, n) for n in "abcd")):
-            starts.append(p)
-            p = (a * p + b) / (cc * p + d)
-        return pdf[blk].assign(_p=starts)
-
-    def level(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = np.asarray(pdf["_p"].iloc[0], dtype=float)
-        xs, _, left, _ = _filter(series(pdf), q, r, np.zeros_like(q), p)
-        return one(pdf, _p=p, left=left, x=xs[-1])
-
-    def scan_level(pdf: pd.DataFrame) -> pd.DataFrame:
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_blk")
-        x, starts = np.zeros_like(q), []
-        for left, end in zip(stacked(pdf, "left"), stacked(pdf, "x")):
-            starts.append(x)
-            x = left * x + end
-        return pdf[[*blk, "_p"]].assign(_x=starts)
+        found = _scan_blocks(list(zip(*(stacked(pdf, n) for n in "abcej"))), np.full_like(q, FITTED_P0))
+        return pdf[blk].assign(_x=[f[0] for f in found], _p=[f[1] for f in found])
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         y = series(pdf)
         ll = _filter(y, q, r, *(np.asarray(pdf[n].iloc[0], dtype=float) for n in ("_x", "_p")))[3]
         return one(pdf, ll=ll, n=np.full_like(q, float(np.sum(~np.isnan(y)))))
-    p_start = rows.groupBy(*blk).applyInPandas(variance, arrays("a", "b", "c", "d")).groupBy(SITE).applyInPandas(scan_variance, arrays("_p"))
-    ends = rows.join(p_start, blk, "inner").groupBy(*blk).applyInPandas(level, arrays("_p", "left", "x"))
-    state = ends.groupBy(SITE).applyInPandas(scan_level, arrays("_p", "_x"))
-    parts = rows.join(state, blk, "inner").groupBy(*blk).applyInPandas(score, arrays("ll", "n"))
+    maps = spread(rows, *blk).groupBy(*blk).applyInPandas(summary, arrays(*"abcej"))
+    state = settle(maps.groupBy(SITE).applyInPandas(scan, arrays("_x", "_p")))
+    parts = spread(rows.join(state, blk, "inner"), *blk).groupBy(*blk).applyInPandas(score, arrays("ll", "n"))
     flat = parts.select(SITE, F.posexplode(F.arrays_zip("ll", "n")).alias("_g", "_v"))
     named = flat.select(SITE, F.get(F.lit(q), c("_g")).alias("q"), F.get(F.lit(r), c("_g")).alias("r"), c("_v.ll").alias("ll"), c("_v.n").alias("n"))
     return named.groupBy(SITE, "q", "r").agg(F.sum("ll").alias("log_likelihood"), F.sum("n").cast("long").alias("n_observed"))
