@@ -1,19 +1,22 @@
 """Isotonic curves per group, fitted and applied without collecting a group's rows.
 
-Fitting pools adjacent violators in rounds. Points are reduced to distinct x and
-range-partitioned by (group, x); a task pools its gap-free stretch of an axis,
-which never changes the final solution. The next round cuts the axis elsewhere,
-so blocks that meet at a border are pooled too, until no two neighbours violate
-the order. A table of few blocks is finished by group instead, in tasks of
-``GROUP_BLOCKS`` blocks at most. The curve is stored as line segments under x
-buckets, so applying it is an equi-join on (group, bucket); with many segments
-the buckets are narrower, so that a bucket lists about ``BUCKET_SEGMENTS``.
+Fitting takes two pooling passes, whatever the data. Points are reduced to distinct
+x and range-partitioned by (group, x); a task pools its stretch of an axis. A pooled
+block is final if its mean lies above every mean that a stretch further left ends
+with and below every mean that a stretch further right starts with: no average that
+reaches it from outside can then violate the order. In a stretch the final blocks
+follow each other, so what is left are open blocks around the borders of stretches;
+the final ones keep the zones between them independent. Only open blocks are
+shuffled again, and each zone is pooled as a stream.
+
+The curve is looked up through a search tree: blocks are numbered along the axis,
+``FAN`` of them share a leaf and ``FAN`` nodes share a parent, so every list is
+bounded however crowded the axis is. A look-up is one equi-join a level.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -22,14 +25,12 @@ from pyspark.sql import functions as F
 
 from galeframe.config import CAPACITY_MW
 from galeframe.functions.nullsafe import join_null_safe
-from galeframe.operators.blocks import spread
 from galeframe.operators.settle import settle
 from galeframe.session import prepare
 
-_FAR = 1e300
-GROUP_BLOCKS = 50_000
-BUCKET_SEGMENTS = 64
-PART = "part"  # stretch of the axis that a block belongs to
+_FAR = float("inf")
+FAN = 32
+PART = "part"  # stretch of the axis that a block belongs to; stretches of a group are numbered along it
 
 
 Pooled = tuple[list[float], list[float], list[float], list[float]]  # x_lo, x_hi, w, s
@@ -72,113 +73,118 @@ def _pool_stretch(keys: list[str]):
     return run
 
 
-def _pool_group(keys: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pooled = ([], [], [], [])
-        _pool(pooled, pdf.sort_values("x_lo"))
-        return _frame(pooled, keys, pdf.iloc[0])
-    return run
+def _pooled(blocks: DataFrame, keys: list[str], *, schema) -> DataFrame:
+    return blocks.sortWithinPartitions(*keys, "x_lo").mapInPandas(_pool_stretch(keys), schema)
+
 
+def _borders(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """For each stretch of a group: the highest mean left of it, the lowest right of it, and the number of its left zone.
 
-def _violations(blocks: DataFrame, keys: list[str]) -> int:
-    """Neighbouring stretches of a group whose meeting blocks are out of order; looks at border blocks only."""
+    One row for each stretch reaches the windows. A stretch divides the axis if the one lies below the other.
+    """
     mean = F.col("s") / F.col("w")
-    ends = blocks.groupBy(*keys, PART).agg(F.min("x_lo").alias("_x"), F.min_by(mean, "x_lo").alias("_first"), F.max_by(mean, "x_lo").alias("_last"))
+    ends = blocks.groupBy(*keys, PART).agg(F.min("x_lo").alias("_x"), F.min(mean).alias("_first"), F.max(mean).alias("_last"))
     w = Window.partitionBy(*keys).orderBy("_x")
-    return ends.withColumn("_before", F.lag("_last").over(w)).filter(F.col("_before") >= F.col("_first")).count()
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.withColumns({"_left": F.coalesce(F.max("_last").over(before), F.lit(-_FAR)),
+                             "_right": F.coalesce(F.min("_first").over(after), F.lit(_FAR))})
+    divides = (F.col("_left") < F.col("_right")).cast("long")
+    return ends.select(*keys, PART, "_left", "_right", divides.alias("_divides"), F.coalesce(F.sum(divides).over(before), F.lit(0)).alias("_zone"))
 
 
 def fit_isotonic(
     df: DataFrame, keys: Sequence[str], x: str, y: str, *, fit_filter: Column | None = None, min_rows: int = 1,
-    y_min: float = 0.0, y_max: float = CAPACITY_MW, group_blocks: int = GROUP_BLOCKS, max_rounds: int = 50,
+    y_min: float = 0.0, y_max: float = CAPACITY_MW, stretches: int | None = None,
 ) -> DataFrame:
-    """Blocks of the non-decreasing least-squares curve: keys, part, x_lo, x_hi, value, n_rows.
+    """Blocks of the non-decreasing least-squares curve: keys, part, x_lo, x_hi, value, n_rows (of the block).
 
     ``fit_filter`` marks the rows allowed into the fit; groups with fewer than
-    ``min_rows`` of them get no curve.
+    ``min_rows`` of them get no curve. The axis is cut into ``stretches``, by
+    default the session's shuffle partitions; the result does not depend on it.
     """
-    spark, keys = prepare(df.sparkSession), list(keys)
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    spark, keys, c = prepare(df.sparkSession), list(keys), F.col
+    rows = df.filter(c(x).isNotNull() & c(y).isNotNull())
     if fit_filter is not None:
         rows = rows.filter(fit_filter)
-    points = rows.groupBy(*keys, F.col(x).cast("double").alias("x_lo")).agg(
-        F.count(F.lit(1)).cast("double").alias("w"), F.sum(F.col(y).cast("double")).alias("s"))
-    points = points.select(*keys, "x_lo", F.col("x_lo").alias("x_hi"), "w", "s")
-    schema = points.schema
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def pooled(blocks: DataFrame, cuts: int) -> DataFrame:
-        ranged = blocks.repartitionByRange(cuts, *keys, "x_lo").sortWithinPartitions(*keys, "x_lo")
-        return settle(ranged.mapInPandas(_pool_stretch(keys), schema).withColumn(PART, F.spark_partition_id()))
-    blocks = pooled(points, parts)
-    for n in range(1, max_rounds + 1):
-        if blocks.count() <= group_blocks:
-            blocks = spread(blocks.drop(PART), *keys).groupBy(*keys).applyInPandas(_pool_group(keys), schema).withColumn(PART, F.lit(0))
-            break
-        if not _violations(blocks, keys):
-            break
-        blocks = pooled(blocks.drop(PART), parts + n)
-    else:
-        raise RuntimeError("the isotonic curve did not settle")
-    total = blocks.groupBy(*keys).agg(F.sum("w").alias("n_rows")).filter(F.col("n_rows") >= min_rows)
-    value = F.greatest(F.lit(float(y_min)), F.least(F.lit(float(y_max)), F.col("s") / F.col("w")))
-    return join_null_safe(blocks, total, keys).withColumn("value", value).select(*keys, PART, "x_lo", "x_hi", "value", "n_rows")
+    points = rows.groupBy(*keys, c(x).cast("double").alias("x_lo")).agg(
+        F.count(F.lit(1)).cast("double").alias("w"), F.sum(c(y).cast("double")).alias("s"))
+    points = points.select(*keys, "x_lo", c("x_lo").alias("x_hi"), "w", "s")
+    parts = stretches or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = points.repartitionByRange(parts, *keys, "x_lo")
+    # settled: the cuts of a range partitioning may differ when it is computed again
+    blocks = settle(_pooled(ranged, keys, schema=points.schema).withColumn(PART, F.spark_partition_id()))
+    placed = join_null_safe(blocks, _borders(blocks, keys), [*keys, PART])
+    mean = c("s") / c("w")
+    side = F.when(c("_divides") == 0, 0).when(mean <= c("_left"), 0).when(mean >= c("_right"), 2).otherwise(1)
+    # zones and the final runs between them take turns along the axis
+    placed = placed.withColumn(PART, 2 * c("_zone") + side).select(*keys, PART, "x_lo", "x_hi", "w", "s")
+    zones = placed.filter(c(PART) % 2 == 0)
+    zones = _pooled(zones.repartition(parts, *keys, PART), [*keys, PART], schema=placed.schema)
+    blocks = placed.filter(c(PART) % 2 == 1).unionByName(zones)
+    if min_rows > 1:
+        total = blocks.groupBy(*keys).agg(F.sum("w").alias("_rows"))
+        blocks = join_null_safe(blocks, total, keys).filter(c("_rows") >= min_rows)
+    value = F.greatest(F.lit(float(y_min)), F.least(F.lit(float(y_max)), c("s") / c("w")))
+    return blocks.select(*keys, PART, "x_lo", "x_hi", value.alias("value"), c("w").alias("n_rows"))
 
 
 @dataclass(frozen=True)
 class Segments:
-    """Line segments of curves under x buckets of one width."""
+    """Search tree over the blocks of curves: ``levels`` from the root down to the leaves, each by (keys, ``_node``)."""
 
-    table: DataFrame
-    lo: float
-    hi: float
-    width: float
+    levels: tuple[DataFrame, ...]
 
 
-def segments(curve: DataFrame, keys: Sequence[str], *, lo: float, hi: float, width: float) -> Segments:
-    """Line segments of each curve grouped by x bucket, ready for ``apply_isotonic``; ``width`` is the widest bucket."""
-    keys = list(keys)
-    c = F.col
+def segments(curve: DataFrame, keys: Sequence[str]) -> Segments:
+    """Search tree of each curve, ready for ``apply_isotonic``; a list holds at most ``FAN`` blocks or children."""
+    keys, c = list(keys), F.col
     by_part, by_group = Window.partitionBy(*keys, PART).orderBy("x_lo"), Window.partitionBy(*keys).orderBy("_x")
-    # neighbours across stretches: one row for each stretch reaches this window
-    ends = curve.groupBy(*keys, PART).agg(F.min("x_lo").alias("_x"), F.min_by("value", "x_lo").alias("_y"))
-    ends = ends.withColumns({"_after_x": F.lead("_x").over(by_group), "_after_y": F.lead("_y").over(by_group), "_before": F.lag("_x").over(by_group)})
-    linked = join_null_safe(curve, ends.drop("_x", "_y"), [*keys, PART]).withColumns({
-        "_next_x": F.coalesce(F.lead("x_lo").over(by_part), c("_after_x")), "_next_y": F.coalesce(F.lead("value").over(by_part), c("_after_y")),
-        "_prev": F.coalesce(F.lag("x_lo").over(by_part), c("_before"))})
-    flat = F.struct(
-        F.when(c("_prev").isNull(), F.lit(-_FAR)).otherwise(c("x_lo")).alias("x0"),
-        F.when(c("_next_x").isNull(), F.lit(_FAR)).otherwise(c("x_hi")).alias("x1"),
-        c("value").alias("y0"), c("value").alias("y1"))
-    link = F.when(c("_next_x").isNotNull(), F.struct(
-        c("x_hi").alias("x0"), c("_next_x").alias("x1"), c("value").alias("y0"), c("_next_y").alias("y1")))
-    pieces = linked.select(*keys, F.explode(F.array_compact(F.array(flat, link))).alias("seg"))
-    most = curve.groupBy(*keys, F.floor(c("x_lo") / width).alias("_b")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    # segments tile the axis, so narrower buckets add at most one copy for each bucket
-    width = width / 2 ** max(0, math.ceil(math.log2(max(1, 2 * most) / BUCKET_SEGMENTS)))
-    copies = pieces.withColumn("_bucket", F.explode(F.sequence(
-        bucket_of(c("seg.x0"), lo, hi, width), bucket_of(c("seg.x1"), lo, hi, width))))
-    return Segments(copies.groupBy(*keys, "_bucket").agg(F.collect_list("seg").alias("_segs")), lo, hi, width)
-
-
-def bucket_of(x: Column, lo: float, hi: float, width: float) -> Column:
-    return F.when(x.isNotNull(), F.floor(F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x)) / width))
-
-
-def apply_isotonic(df: DataFrame, curves: Segments, keys: Sequence[str], x: str, out: str) -> DataFrame:
-    """Curve value at ``x`` by linear interpolation, constant outside the fitted range; NULL without a curve."""
+    # neighbours and numbers across stretches: one row for each stretch reaches this window
+    ends = curve.groupBy(*keys, PART).agg(F.min("x_lo").alias("_x"), F.min_by("value", "x_lo").alias("_y"), F.count(F.lit(1)).alias("_n"))
+    ends = ends.withColumns({"_after_x": F.lead("_x").over(by_group), "_after_y": F.lead("_y").over(by_group),
+                             "_before": F.sum("_n").over(by_group) - c("_n")})
+    numbered = join_null_safe(curve, ends.drop("_x", "_y", "_n"), [*keys, PART]).withColumns({
+        "_at": c("_before") + F.row_number().over(by_part) - 1,
+        "next_x": F.coalesce(F.lead("x_lo").over(by_part), c("_after_x")), "next_y": F.coalesce(F.lead("value").over(by_part), c("_after_y"))})
+    start = F.when(c("_at") > 0, c("x_lo")).otherwise(F.lit(-_FAR)).alias("x0")
+    leaf = numbered.withColumn("_node", F.floor(c("_at") / FAN)).groupBy(*keys, "_node").agg(
+        F.sort_array(F.collect_list(F.struct(start, "x_hi", "value", "next_x", "next_y"))).alias("_list"))
+    levels = [settle(leaf)]
+    while (levels[0].agg(F.max("_node")).first()[0] or 0) > 0:
+        child = F.struct(F.get("_list", F.lit(0))["x0"].alias("x0"), c("_node").alias("child"))
+        levels.insert(0, settle(levels[0].groupBy(*keys, F.floor(c("_node") / FAN).alias("_node")).agg(
+            F.sort_array(F.collect_list(child)).alias("_list"))))
+    return Segments(tuple(levels))
+
+
+def _last_from(x: str) -> Column:
+    """The last entry of a list that starts at or before ``x``; NULL for a missing ``x``."""
+    here = F.filter("_list", lambda e: e.x0 <= F.col(x))
+    return F.when(~F.isnan(x), F.get(here, F.size(here) - 1))
+
+
+def apply_isotonic(df: DataFrame, curves: Segments, keys: Sequence[str], outs: Mapping[str, str]) -> DataFrame:
+    """Curve values by linear interpolation, constant outside the fitted range; NULL without a curve.
+
+    ``outs`` maps each new column to its x. Curves of one leaf answer all of them from one join.
+    """
     keys = list(keys)
-    tagged = df.withColumn("_bucket", bucket_of(F.col(x), curves.lo, curves.hi, curves.width))
-    joined = tagged.join(curves.table, [*keys, "_bucket"], "left")
-    seg = F.get(F.filter("_segs", lambda s: (F.col(x) >= s.x0) & (F.col(x) <= s.x1)), F.lit(0))
-    joined = joined.withColumn("_seg", seg)
-    s = F.col("_seg")
-    span = s["x1"] - s["x0"]
-    value = F.when(s["y0"] == s["y1"], s["y0"]).otherwise(
-        s["y0"] + (F.col(x) - s["x0"]) * F.try_divide(s["y1"] - s["y0"], span))
-    return joined.withColumn(out, value).drop("_bucket", "_segs", "_seg")
-
-
-WIND_AXIS = {"lo": 0.0, "hi": 60.0, "width": 0.25}
-POWER_AXIS = {"lo": 0.0, "hi": 100.0, "width": 1.0}
 
+    def value(x: str) -> Column:
+        e = F.col(f"_e_{x}")
+        slope = F.try_divide(e["next_y"] - e["value"], e["next_x"] - e["x_hi"])
+        flat = (F.col(x) <= e["x_hi"]) | e["next_x"].isNull()
+        return F.when(flat, e["value"]).otherwise(e["value"] + (F.col(x) - e["x_hi"]) * slope)
+    xs = list(dict.fromkeys(outs.values()))
+    if len(curves.levels) == 1:
+        found = df.join(curves.levels[0].drop("_node"), keys, "left").withColumns({f"_e_{x}": _last_from(x) for x in xs}).drop("_list")
+    else:
+        found = df
+        for x in xs:
+            found = found.withColumn("_node", F.lit(0).cast("long"))
+            for table in curves.levels:
+                found = found.join(table, [*keys, "_node"], "left").withColumn(f"_e_{x}", _last_from(x)).drop("_list")
+                if table is not curves.levels[-1]:
+                    found = found.withColumn("_node", F.col(f"_e_{x}")["child"])
+            found = found.drop("_node")
+    return found.withColumns({out: value(x) for out, x in outs.items()}).drop(*[f"_e_{x}" for x in xs])

@@ -136,6 +136,7 @@ def join_multi_source(df: DataFrame, source: DataFrame, *, fill: bool = True) ->
     return fill_zero(out, _new(df, out, "om_ens_")) if fill else out
 
 
+# Column names of the model, and the names they get.
 ICON_NAMES = {"wind_speed_100m": "icon_ws100m", "wind_direction_100m": "icon_dir100m", "wind_speed_10m": "icon_ws10m",
               "wind_gusts_10m": "icon_gusts10m", "temperature_2m": "icon_t2m", "pressure_msl": "icon_msl"}
 
@@ -145,13 +146,12 @@ def join_regional_model(df: DataFrame, source: DataFrame, *, impute: bool = Fals
     """Regional model; optionally fill missing hours with reanalysis wind, exact medians and calm direction."""
     out = join_source(df, source, rename=ICON_NAMES).withColumns(_angle("icon_dir100m", "icon_dir100m"))
     if impute:
-        from galeframe.operators.ranks import table_median
+        from galeframe.operators.ranks import table_medians
 
         absent = c("icon_ws100m").isNull()
         fills = {"icon_ws100m": c(reanalysis_wind), "icon_ws10m": c("wind_speed_10m"),
                  "icon_dir100m": F.lit(0.0), "icon_dir100m_sin": F.lit(0.0), "icon_dir100m_cos": F.lit(0.0)}
-        for n, width in (("icon_gusts10m", 0.1), ("icon_t2m", 0.1), ("icon_msl", 0.1)):
-            fills[n] = table_median(out, n, width=width)
+        fills |= table_medians(out, {n: 0.1 for n in ("icon_gusts10m", "icon_t2m", "icon_msl") if n in out.columns})
         out = out.withColumns({n: F.when(absent, e).otherwise(c(n)) for n, e in fills.items() if n in out.columns})
     spread = row_std([reanalysis_wind, "icon_ws100m"])
     return out.withColumns({
@@ -174,6 +174,7 @@ def join_best_match(df: DataFrame, source: DataFrame, *, reanalysis_wind: str =
     return fill_zero(out, _new(df, out))
 
 
+# Column names of the model, and the names they get.
 GFS_NAMES = {"wind_speed_10m": "gfs_ws10m", "wind_speed_100m": "gfs_ws100m", "wind_direction_10m": "gfs_dir10m",
              "wind_direction_100m": "gfs_dir100m", "wind_gusts_10m": "gfs_gust10m", "temperature_2m": "gfs_t2m",
              "pressure_msl": "gfs_msl"}

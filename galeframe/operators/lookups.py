@@ -17,7 +17,7 @@ from galeframe.functions.nullsafe import (
     correlation,
     bin_even, bin_left_closed, bin_right_closed, clip, div, has, sector_clamped, sector_wrapped,
 )
-from galeframe.operators.isotonic import WIND_AXIS, Segments, apply_isotonic, fit_isotonic, segments
+from galeframe.operators.isotonic import Segments, apply_isotonic, fit_isotonic, segments
 from galeframe.operators.ranks import percentiles
 from galeframe.operators.settle import settle
 from galeframe.operators.windows import trailing_days_mean, walk_forward_rate
@@ -73,10 +73,9 @@ def apply_power_curve(df: DataFrame, fit: dict[str, DataFrame], *, wind: str = "
 WAKE_EDGES = (0, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 25)
 
 
-def fit_wake(df: DataFrame, *, n_sectors: int = 16, edges: Sequence[float] = WAKE_EDGES, theory: str | None = None,
+def fit_wake(df: DataFrame, *, theory: str, n_sectors: int = 16, edges: Sequence[float] = WAKE_EDGES,
              fit_filter: Column | None = None) -> dict[str, DataFrame]:
     """Median of actual over theoretical power by (sector, bin), by sector and by site."""
-    theory = theory or ("ds_80m_farm_mw" if "ds_80m_farm_mw" in df.columns else "ds_120m_farm_mw")
     rows = _keep(df, fit_filter).filter((c(TARGET) > 0.5) & (c(theory) > 1.0)).select(
         SITE, div(TARGET, theory).alias("_ratio"), sector_wrapped(c("wind_direction_80m") * 1000.0, n_sectors).alias("wake_sector"),
         bin_left_closed("wind_speed_80m", edges, clamp=True).alias("wake_bin")).filter((c("_ratio") > 0.3) & (c("_ratio") < 1.3))
@@ -124,11 +123,11 @@ def fit_site_curve(df: DataFrame, *, wind: str = "v_eff", target: str = TARGET,
 
 def site_segments(curve: DataFrame | Segments) -> Segments:
     """A site curve ready for several look-ups."""
-    return curve if isinstance(curve, Segments) else segments(curve, [SITE], **WIND_AXIS)
+    return curve if isinstance(curve, Segments) else segments(curve, [SITE])
 
 
 def apply_site_curve(df: DataFrame, curve: DataFrame | Segments, *, wind: str, out: str) -> DataFrame:
-    return apply_isotonic(df, site_segments(curve), [SITE], wind, out)
+    return apply_isotonic(df, site_segments(curve), [SITE], {out: wind})
 
 
 def fit_sector_curve(df: DataFrame, *, wind: str = "v_eff", degrees: Column | None = None, n_sectors: int = 8, min_rows: int = 51,
@@ -146,7 +145,7 @@ def apply_sector_curve(df: DataFrame, sector_curve: DataFrame, site_curve: DataF
     deg = c("wind_direction_120m") * 1000.0 if degrees is None else degrees
     keys = [SITE, "curve_sector"]
     tagged = df.withColumn("curve_sector", sector_wrapped(deg, n_sectors))
-    both = apply_isotonic(tagged, segments(sector_curve, keys, **WIND_AXIS), keys, wind, "_by_sector")
+    both = apply_isotonic(tagged, segments(sector_curve, keys), keys, {"_by_sector": wind})
     both = apply_site_curve(both, site_curve, wind=wind, out="_by_site")
     return both.withColumns({out: clip(F.coalesce(c("_by_sector"), c("_by_site")), 0.0, cfg.capacity_mw)}).drop(
         "curve_sector", "_by_sector", "_by_site")
@@ -154,10 +153,12 @@ def apply_sector_curve(df: DataFrame, sector_curve: DataFrame, site_curve: DataF
 
 def curve_columns(df: DataFrame, sector_curve: DataFrame, site_curve: DataFrame, cfg: FarmConfig = DEFAULT) -> DataFrame:
     """Sector, site and rotor-wind curve power and their products with availability."""
-    site_curve = site_segments(site_curve)
-    out = apply_sector_curve(df, sector_curve, site_curve, wind="v_eff", out="p_curve_sector", cfg=cfg)
-    out = apply_site_curve(out, site_curve, wind="v_eff", out="p_curve_global")
-    out = apply_site_curve(out, site_curve, wind="rews", out="p_curve_rews")
+    keys = [SITE, "curve_sector"]
+    out = apply_isotonic(df, site_segments(site_curve), [SITE], {"p_curve_global": "v_eff", "p_curve_rews": "rews"})
+    out = out.withColumn("curve_sector", sector_wrapped(c("wind_direction_120m") * 1000.0, 8))
+    out = apply_isotonic(out, segments(sector_curve, keys), keys, {"_by_sector": "v_eff"}).drop("curve_sector")
+    by_sector = clip(F.coalesce(c("_by_sector"), c("p_curve_global")), 0.0, cfg.capacity_mw)
+    out = out.withColumn("p_curve_sector", by_sector).drop("_by_sector")
     return out.withColumns({
         "p_curve_x_active": c("p_curve_sector") * c("active_turbines_ratio"),
         "p_curve_global_x_active": c("p_curve_global") * c("active_turbines_ratio"),

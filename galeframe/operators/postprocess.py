@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from galeframe.config import CAPACITY_MW, DEFAULT, SITE, TS, FarmConfig
 from galeframe.functions.nullsafe import bin_left_closed, clip, div, zero_if_null
-from galeframe.operators.isotonic import POWER_AXIS, apply_isotonic, fit_isotonic, segments
+from galeframe.operators.isotonic import apply_isotonic, fit_isotonic, segments
 from galeframe.operators.settle import settle
 
 c = F.col
@@ -135,7 +135,7 @@ def isotonic_recalibration(df: DataFrame, *, pred: str, target: str, folds: Sequ
     curve_keys = [*keys, "_held_out"]
     curve = settle(fit_isotonic(spread, curve_keys, pred, target, fit_filter=c(target) >= 0, min_rows=min_rows, y_max=cfg.capacity_mw))
     rows = df.withColumn("_held_out", c(fold).cast("long"))
-    return apply_isotonic(rows, segments(curve, curve_keys, **POWER_AXIS), curve_keys, pred, out).drop("_held_out")
+    return apply_isotonic(rows, segments(curve, curve_keys), curve_keys, {out: pred}).drop("_held_out")
 
 
 def recalibration_table(df: DataFrame, *, before: str, after: str, target: str, fold: str = "fold", cfg: FarmConfig = DEFAULT) -> DataFrame:

@@ -21,17 +21,19 @@ _ALL = "_all"
 
 
 def values_at_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column], *, width: float
+    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column], *, width: float | Column
 ) -> DataFrame:
     """One row per key with the value at each zero-based rank, and the group size ``_n``.
 
     ``ranks`` maps output names to integer expressions of ``_n``; ``width`` is
     the bucket width in units of ``value`` (any positive number is correct, a
-    good one leaves a few rows per bucket).
+    good one leaves a few rows per bucket); a column gives each row its own,
+    the same for all rows of a key.
     """
     keys = list(keys)
+    width = width if isinstance(width, Column) else F.lit(float(width))
     rows = df.filter(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double").alias("_v"), F.floor(F.col(value) / F.lit(float(width))).alias("_b")
+        *keys, F.col(value).cast("double").alias("_v"), F.floor(F.col(value) / width).alias("_b")
     )
     w_all = Window.partitionBy(*keys)
     w_run = w_all.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
@@ -68,7 +70,7 @@ def _on(keys: Sequence[str]) -> Column:
 
 
 def percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], *, width: float, count: str | None = None
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], *, width: float | Column, count: str | None = None
 ) -> DataFrame:
     """Exact interpolated percentiles per key; one row per key that has a value."""
     whole = not keys
@@ -90,6 +92,14 @@ def percentiles(
     return picked.select(*([] if whole else keys), *out)
 
 
-def table_median(df: DataFrame, value: str, *, width: float) -> Column:
-    """Exact median of a whole column as a scalar subquery."""
-    return percentiles(df, [], value, {"median": 0.5}, width=width).scalar()
+def table_medians(df: DataFrame, widths: Mapping[str, float]) -> dict[str, Column]:
+    """Exact medians of whole columns, as literals; ``widths`` gives each column its bucket width.
+
+    However many columns, ``df`` is read twice: once for the bucket counts, once for the values next to the medians.
+    """
+    item = F.array(*[F.struct(F.lit(n).alias("_name"), F.col(n).cast("double").alias("_value"), F.lit(float(w)).alias("_width"))
+                     for n, w in widths.items()])
+    stacked = df.select(F.inline(item))
+    found = percentiles(stacked, ["_name"], "_value", {"median": 0.5}, width=F.col("_width")).collect()
+    medians = {r["_name"]: r["median"] for r in found}
+    return {n: F.lit(medians.get(n)).cast("double") for n in widths}

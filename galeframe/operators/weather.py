@@ -282,10 +282,10 @@ def surface_density_columns(df: DataFrame) -> DataFrame:
     """
     if not has(df, "sp", "t2m"):
         return df
-    from galeframe.operators.ranks import table_median
+    from galeframe.operators.ranks import table_medians
 
-    sp_is_hpa = table_median(df, "sp", width=1.0) < 2_000.0
-    t_is_celsius = table_median(df, "t2m", width=0.1) < 100.0
+    medians = table_medians(df, {"sp": 1.0, "t2m": 0.1})
+    sp_is_hpa, t_is_celsius = medians["sp"] < 2_000.0, medians["t2m"] < 100.0
     df = df.withColumns({
         "_pa": F.when(sp_is_hpa, F.col("sp") * 100.0).otherwise(F.col("sp")),
         "_k": F.when(t_is_celsius, F.col("t2m") + KELVIN).otherwise(F.col("t2m")),

@@ -80,7 +80,7 @@ def _theory(spark, sf):
 @query("A02_wake_factor", _TH + "SELECT " + cols({"factor": "f"}, {"wake_sector": "s", "wake_bin": "b"}, keys="site_id, level") + """ FROM (
   SELECT 'cell' AS level, site_id, s, b, f FROM wc UNION ALL SELECT 'sector', site_id, s, -1, f FROM ws UNION ALL SELECT 'site', site_id, -1, -1, f FROM wg)""")
 def wake_factor(spark, sf):
-    fit = lookups.fit_wake(_theory(spark, sf), fit_filter=_train())
+    fit = lookups.fit_wake(_theory(spark, sf), theory="ds_80m_farm_mw", fit_filter=_train())
     none = F.lit(-1).alias
     parts = [fit["cells"].select(SITE, F.lit("cell").alias("level"), "wake_sector", "wake_bin", F.col("cell_factor").alias("factor")),
              fit["sectors"].select(SITE, F.lit("sector").alias("level"), "wake_sector", none("wake_bin"), F.col("sector_factor").alias("factor")),
@@ -99,7 +99,7 @@ def _wf(w: str, d: str, n: str) -> str:
     "era5_wake_factor": "f2.f", "ds_era5_wake_corrected": "me*f2.f"}) + " FROM th JOIN f1 USING (site_id, ts) JOIN f2 USING (site_id, ts)")
 def wake(spark, sf):
     t = _theory(spark, sf)
-    return added(t, lookups.wake_columns(t, lookups.fit_wake(t, fit_filter=_train())))
+    return added(t, lookups.wake_columns(t, lookups.fit_wake(t, theory="ds_80m_farm_mw", fit_filter=_train())))
 
 
 _PT = f"pt AS (SELECT site_id, v_eff AS x, power_mw AS y FROM base WHERE power_mw >= 0 AND ts <= TIMESTAMP '{TRAIN}')"

@@ -322,3 +322,19 @@ def day_sequences(spark, sf):
                     F.aggregate(F.col(f"sequence.{TARGET}"), F.lit(0.0), lambda a, x: a + x).alias("sum_power"), F.size("sequence").alias("n"))
 
 
+_REGION = "region AS (SELECT CAST(floor(site_id/5.0e0) AS BIGINT) AS site_id, ts, max(wind_speed_120m) AS v, max(power_mw) AS y FROM hourly GROUP BY 1, 2)"
+
+
+@query("W21_region_day_sequences", with_(HOURLY, _REGION, "o AS (SELECT *, row_number() OVER (PARTITION BY site_id, CAST(ts AS DATE) ORDER BY ts) AS k FROM region)")
+    + "SELECT " + cols({"wind_by_place": "sum(k*v)", "power_by_place": "sum(k*y)"}, {"n": "count(*)"}, keys="site_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day")
+    + " FROM o GROUP BY site_id, CAST(ts AS DATE) HAVING count(*) = 24 AND count(y) = 24")
+def region_day_sequences(spark, sf):
+    # Five sites together have an event in nearly every hour, so most of their days are whole.
+    regions = hourly(spark, sf).groupBy(F.floor(F.col(SITE) / 5.0).cast("long").alias(SITE), "ts").agg(
+        F.max("wind_speed_120m").alias("wind_speed_120m"), F.max(TARGET).alias(TARGET))
+    d = windows.day_sequences(regions, features=["wind_speed_120m"])
+
+    def by_place(f: str):
+        weighted = F.transform(f"sequence.{f}", lambda x, i: x * (i + 1))
+        return F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x)
+    return d.select(SITE, "day", by_place("wind_speed_120m").alias("wind_by_place"), by_place(TARGET).alias("power_by_place"), F.size("sequence").alias("n"))

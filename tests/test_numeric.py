@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from galeframe.functions.curve import POWER_KW, turbine_power_kw
 from galeframe.functions.nullsafe import bin_left_closed, bin_right_closed, clip, sector_clamped, sector_wrapped
 from galeframe.operators import analogs, cleaning, kalman, smoothing
-from galeframe.operators.isotonic import WIND_AXIS, apply_isotonic, fit_isotonic, segments
-from galeframe.operators.ranks import percentiles
+from galeframe.operators.isotonic import FAN, apply_isotonic, fit_isotonic, segments
+from galeframe.operators.ranks import percentiles, table_medians
 from tests.helpers import by_site, collected, frame, hours, near
 
 
@@ -46,7 +46,20 @@ def test_trimmed_spread(spark, ties):
     assert got["one"] is None
 
 
-def pava(x, y):
+def test_medians_of_several_columns_in_one_pass(spark):
+    import statistics
+    rnd = random.Random(8)
+    rows = [(rnd.gauss(1000, 9), rnd.choice([1.5, 2.5, None]), 7, None, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, c long, d double, _name long")
+    medians = table_medians(df, {"a": 1.0, "b": 1e-3, "c": 50.0, "d": 1.0})
+    got = spark.range(1).select(*[e.alias(n) for n, e in medians.items()]).first()
+    assert got["d"] is None and got["c"] == 7.0
+    assert got["a"] == statistics.median(r[0] for r in rows) and got["b"] == statistics.median(r[1] for r in rows if r[1])
+    empty = table_medians(df.filter("false"), {"a": 1.0})
+    assert spark.range(1).select(empty["a"].alias("m")).first()["m"] is None
+
+
+def pava(x, y, least=0.0, most=90.09):
     blocks = []
     for xi in sorted(set(x)):
         ys = [b for a, b in zip(x, y) if a == xi]
@@ -54,7 +67,7 @@ def pava(x, y):
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             last = blocks.pop()
             blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2] + last[2]]
-    return [(xi, min(90.09, max(0.0, s / n))) for xs, s, n in blocks for xi in xs]
+    return [(xi, min(most, max(least, s / n))) for xs, s, n in blocks for xi in xs]
 
 
 @pytest.mark.parametrize("batch", [3, 10_000])
@@ -65,9 +78,9 @@ def test_isotonic_curve_pools_in_any_batches(spark, batch):
         rows = [(s, round(rnd.uniform(0, 25), 1), 0.0) for s in (0, 1) for _ in range(300)]
         rows = [(s, x, max(0.0, 4 * x + rnd.gauss(0, 15))) for s, x, _ in rows]
         df = spark.createDataFrame(rows, "site_id long, x double, y double")
-        table = segments(fit_isotonic(df, ["site_id"], "x", "y"), ["site_id"], **WIND_AXIS)
+        table = segments(fit_isotonic(df, ["site_id"], "x", "y"), ["site_id"])
         probe = [(s, q) for s in (0, 1) for q in (-1.0, 0.05, 3.33, 12.0, 12.05, 24.99, 30.0)]
-        got = apply_isotonic(spark.createDataFrame(probe, "site_id long, x double"), table, ["site_id"], "x", "p").collect()
+        got = apply_isotonic(spark.createDataFrame(probe, "site_id long, x double"), table, ["site_id"], {"p": "x"}).collect()
         for s in (0, 1):
             knots = pava([x for k, x, _ in rows if k == s], [y for k, _, y in rows if k == s])
             for r in got:
@@ -196,25 +209,32 @@ def test_nearest_visits_few_cells_at_ten_times_the_rows(spark):
     assert large < 1.5 * small + 2 and large < 0.2 * 20_000 / 64
 
 
-def test_isotonic_rounds_and_narrow_buckets_equal_one_task(spark):
+def test_isotonic_zones_and_search_tree_equal_one_task(spark):
     import random
     rnd = random.Random(4)
     rows = [(s, i / 40.0, i / 400.0 + rnd.gauss(0, 3) + (5 if 200 < i < 300 else 0)) for s, n in ((0, 900), (1, 60), (None, 40)) for i in range(n)]
     rows += [(2, i / 1000.0, float(i)) for i in range(3000)]  # nothing pools: every point is a block
     rows += [(3, i / 100.0, float(-i % 90)) for i in range(900)]  # almost everything pools
+    rows += [(4, 1.0 + i * 1e-9, float(i % 30)) for i in range(600)]  # crowded x; stretches rise, the curve does not
+    rows += [(5, float(i), 7.0) for i in range(200)]  # all means equal
     df = spark.createDataFrame(rows, "site_id long, x double, y double")
-    whole = fit_isotonic(df, ["site_id"], "x", "y", y_min=-1e9, y_max=1e9)
-    cut = fit_isotonic(df, ["site_id"], "x", "y", y_min=-1e9, y_max=1e9, group_blocks=10)
+    whole = fit_isotonic(df, ["site_id"], "x", "y", y_min=-1e9, y_max=1e9, stretches=1)
+    cut = fit_isotonic(df, ["site_id"], "x", "y", y_min=-1e9, y_max=1e9, stretches=60)
     def blocks(curve):
         return sorted(((r["site_id"], r["x_lo"], r["x_hi"], round(r["value"], 9), r["n_rows"]) for r in curve.collect()), key=str)
     assert blocks(cut) == blocks(whole) and cut.select("part").distinct().count() > 1
     assert max(r["count"] for r in cut.groupBy("part").count().collect()) < 0.5 * whole.count()
-    a, b = segments(whole, ["site_id"], **WIND_AXIS), segments(cut, ["site_id"], **WIND_AXIS)
-    assert a.width < WIND_AXIS["width"] and a.table.selectExpr("max(size(_segs)) AS n").first()["n"] <= 2 * 64
-    probe = spark.createDataFrame([(s, rnd.uniform(-1, 40)) for s in (0, 1, 2, 3) for _ in range(200)], "site_id long, x double")
+    a, b = segments(whole, ["site_id"]), segments(cut, ["site_id"])
+    assert len(a.levels) == 3 and all(t.selectExpr("max(size(_list)) AS n").first()["n"] <= FAN for t in a.levels)
+    probe = spark.createDataFrame([(s, rnd.uniform(-1, 40)) for s in (0, 1, 2, 3) for _ in range(200)] + [(4, 1.0 + i * 3.3e-10) for i in range(1800)], "site_id long, x double")
     def looked_up(curves):
-        return sorted((r["site_id"], r["x"], round(r["p"], 9)) for r in apply_isotonic(probe, curves, ["site_id"], "x", "p").collect())
+        return sorted((r["site_id"], r["x"], round(r["p"], 9)) for r in apply_isotonic(probe, curves, ["site_id"], {"p": "x", "again": "x"}).collect())
     assert looked_up(a) == looked_up(b)
+    for site in (0, 1, 2, 3, 4, 5):  # against pooling in plain Python
+        pairs = [(x, y) for k, x, y in rows if k == site]
+        knots = pava([x for x, _ in pairs], [y for _, y in pairs], -1e9, 1e9)
+        tested = [(x, p) for k, x, p in looked_up(b) if k == site]
+        assert all(near(p, float(np.interp(x, *zip(*knots))), 1e-6) for x, p in tested)
 
 
 def test_power_curve_knots_and_limits(spark):
