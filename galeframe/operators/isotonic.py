@@ -29,7 +29,7 @@ from galeframe.operators.settle import settle
 from galeframe.session import prepare
 
 _FAR = float("inf")
-FAN = 32
+FAN = 64
 PART = "part"  # stretch of the axis that a block belongs to; stretches of a group are numbered along it
 
 
@@ -93,13 +93,13 @@ def _borders(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fit_isotonic(
-    df: DataFrame, keys: Sequence[str], x: str, y: str, *, fit_filter: Column | None = None, min_rows: int = 1,
+    df: DataFrame, keys: Sequence[str], x: str, y: str, *, fit_filter: Column | None = None, min_rows: int | Column = 1,
     y_min: float = 0.0, y_max: float = CAPACITY_MW, stretches: int | None = None,
 ) -> DataFrame:
     """Blocks of the non-decreasing least-squares curve: keys, part, x_lo, x_hi, value, n_rows (of the block).
 
     ``fit_filter`` marks the rows allowed into the fit; groups with fewer than
-    ``min_rows`` of them get no curve. The axis is cut into ``stretches``, by
+    ``min_rows`` of them (a number or an expression of the keys) get no curve. The axis is cut into ``stretches``, by
     default the session's shuffle partitions; the result does not depend on it.
     """
     spark, keys, c = prepare(df.sparkSession), list(keys), F.col
@@ -121,7 +121,7 @@ def fit_isotonic(
     zones = placed.filter(c(PART) % 2 == 0)
     zones = _pooled(zones.repartition(parts, *keys, PART), [*keys, PART], schema=placed.schema)
     blocks = placed.filter(c(PART) % 2 == 1).unionByName(zones)
-    if min_rows > 1:
+    if isinstance(min_rows, Column) or min_rows > 1:
         total = blocks.groupBy(*keys).agg(F.sum("w").alias("_rows"))
         blocks = join_null_safe(blocks, total, keys).filter(c("_rows") >= min_rows)
     value = F.greatest(F.lit(float(y_min)), F.least(F.lit(float(y_max)), c("s") / c("w")))

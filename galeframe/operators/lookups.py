@@ -151,12 +151,26 @@ def apply_sector_curve(df: DataFrame, sector_curve: DataFrame, site_curve: DataF
         "curve_sector", "_by_sector", "_by_site")
 
 
-def curve_columns(df: DataFrame, sector_curve: DataFrame, site_curve: DataFrame, cfg: FarmConfig = DEFAULT) -> DataFrame:
-    """Sector, site and rotor-wind curve power and their products with availability."""
-    keys = [SITE, "curve_sector"]
-    out = apply_isotonic(df, site_segments(site_curve), [SITE], {"p_curve_global": "v_eff", "p_curve_rews": "rews"})
+WHOLE_SITE = -1  # the sector that stands for all of a site
+
+
+def fit_curves(df: DataFrame, *, wind: str = "v_eff", degrees: Column | None = None, n_sectors: int = 8, min_rows: int = 51,
+               fit_filter: Column | None = None) -> DataFrame:
+    """Site curves and sector curves of one fit: keys site and ``curve_sector``, ``WHOLE_SITE`` for the site's own curve."""
+    deg = c("wind_direction_120m") * 1000.0 if degrees is None else degrees
+    cond = valid_target() if fit_filter is None else valid_target() & fit_filter
+    both = F.array_compact(F.array(F.lit(WHOLE_SITE), sector_wrapped(deg, n_sectors)))
+    rows = df.filter(cond).select(SITE, wind, TARGET, F.explode(both).alias("curve_sector"))
+    least = F.when(c("curve_sector") == WHOLE_SITE, 1).otherwise(min_rows)
+    return settle(fit_isotonic(rows, [SITE, "curve_sector"], wind, TARGET, min_rows=least))
+
+
+def curve_columns(df: DataFrame, curves: DataFrame, cfg: FarmConfig = DEFAULT) -> DataFrame:
+    """Sector, site and rotor-wind curve power and their products with availability; ``curves`` come from ``fit_curves``."""
+    keys, tree = [SITE, "curve_sector"], segments(curves, [SITE, "curve_sector"])
+    out = apply_isotonic(df.withColumn("curve_sector", F.lit(WHOLE_SITE)), tree, keys, {"p_curve_global": "v_eff", "p_curve_rews": "rews"})
     out = out.withColumn("curve_sector", sector_wrapped(c("wind_direction_120m") * 1000.0, 8))
-    out = apply_isotonic(out, segments(sector_curve, keys), keys, {"_by_sector": "v_eff"}).drop("curve_sector")
+    out = apply_isotonic(out, tree, keys, {"_by_sector": "v_eff"}).drop("curve_sector")
     by_sector = clip(F.coalesce(c("_by_sector"), c("p_curve_global")), 0.0, cfg.capacity_mw)
     out = out.withColumn("p_curve_sector", by_sector).drop("_by_sector")
     return out.withColumns({

@@ -132,8 +132,7 @@ def sector_isotonic(spark, sf):
     + " FROM " + iso_lookup(_SECROWS, "iso", "rews", "p3"))
 def curve_columns(spark, sf):
     b = weather.rotor_columns(base(spark, sf)).drop("rews_cube")
-    site = lookups.fit_site_curve(b, fit_filter=_train())
-    return added(b, lookups.curve_columns(b, lookups.fit_sector_curve(b, fit_filter=_train()), site))
+    return added(b, lookups.curve_columns(b, lookups.fit_curves(b, fit_filter=_train())))
 
 
 @query("A07_impute_upper_level", with_(HOURLY, """a AS (SELECT site_id, avg(ln(wind_speed_180m/wind_speed_120m))/ln(1.5e0) AS al FROM hourly

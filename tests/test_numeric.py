@@ -213,7 +213,7 @@ def test_isotonic_zones_and_search_tree_equal_one_task(spark):
     import random
     rnd = random.Random(4)
     rows = [(s, i / 40.0, i / 400.0 + rnd.gauss(0, 3) + (5 if 200 < i < 300 else 0)) for s, n in ((0, 900), (1, 60), (None, 40)) for i in range(n)]
-    rows += [(2, i / 1000.0, float(i)) for i in range(3000)]  # nothing pools: every point is a block
+    rows += [(2, i / 2000.0, float(i)) for i in range(6000)]  # nothing pools: every point is a block
     rows += [(3, i / 100.0, float(-i % 90)) for i in range(900)]  # almost everything pools
     rows += [(4, 1.0 + i * 1e-9, float(i % 30)) for i in range(600)]  # crowded x; stretches rise, the curve does not
     rows += [(5, float(i), 7.0) for i in range(200)]  # all means equal
