@@ -21,7 +21,8 @@ RUNTIME_SETTINGS = {
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings; cluster sizing stays with whoever submits the job.
 
-    Functions sent to Python workers carry their code along, so executors need no copy of the package.
+    Functions sent to Python workers carry their code along, so executors need no copy of the package. Broadcast values do
+    not: they have to be plain arrays and containers.
     """
     cloudpickle.register_pickle_by_value(sys.modules["galeframe"])
     for key, value in RUNTIME_SETTINGS.items():
