@@ -4,16 +4,15 @@ A model is a column of row weights (0: the row takes no part) and a column that
 folds or hours of day are models over the same rows. Rows are binned once, by edges from a mergeable quantile sketch, and
 lie in written blocks of small integers. A level of all trees of all models is one pass: tasks add up gradients by (model,
 node, feature, bin), and the sums of a model meet in one group that picks its splits, so only splits reach the driver. The
-number of passes does not depend on the number of models. A missing value has a bin of its own, and each split decides
-which side it takes. Under the absolute loss, leaves take the weighted median of their residuals.
+number of passes does not depend on the number of models. A model's part of a block is the rows that it learns from or is
+judged by; their margins lie in the block and are written anew with every tree, so a pass walks the tree under way only and
+workers keep nothing between tasks. A missing value has a bin of its own, and each split decides which side it takes. Under
+the absolute loss, leaves take the weighted median of their residuals.
 """
 
 from __future__ import annotations
 
 import io
-import sys
-import types
-import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -24,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galeframe.operators.settle import settle
-from galeframe.session import prepare
+from galeframe.session import prepare, remove_folder, shared_folder
 
 BINS = 64  # of a feature, the one of missing values aside
 MEDIAN_BINS = 1024
-BLOCK = "rows int, x binary, y binary, w binary, v binary"
+BLOCK = "rows int, x binary, y binary, w binary, v binary, margin binary"
 
 
 @dataclass(frozen=True)
@@ -62,10 +61,12 @@ class Trees:
 
 def walk(bins: np.ndarray, feature: Sequence[int], cut: Sequence[int], missing: Sequence[bool], depth: int) -> np.ndarray:
     """Leaf of each row, counted from the left, after ``depth`` splits."""
-    f, c, m, node, rows = np.asarray(feature), np.asarray(cut), np.asarray(missing), np.zeros(len(bins), np.int64), np.arange(len(bins))
+    f, flat, first, node = np.asarray(feature, np.int64), bins.ravel(), np.arange(len(bins)) * bins.shape[1], np.zeros(len(bins), np.int64)
+    right = np.arange(256) > np.asarray(cut)[:, None]  # by node and bin
+    right[:, 0] = ~np.asarray(missing, bool)
+    right = right.astype(np.int64).ravel()
     for _ in range(depth):
-        b = bins[rows, f[node]]
-        node = 2 * node + 1 + np.where(b == 0, ~m[node], b > c[node])
+        node = 2 * node + 1 + right[256 * node + flat[first + f[node]]]
     return node - ((1 << depth) - 1)
 
 
@@ -97,7 +98,7 @@ def inputs(features: Sequence[str]) -> Column:
 
 
 def blocks(df: DataFrame, features: Sequence[str], target: Column, weights: Sequence[Column], judged: Sequence[Column], edges: list[np.ndarray]) -> DataFrame:
-    """Written blocks of binned rows with target, weights and judging weights of all models."""
+    """Blocks of binned rows with target and, model by model, weights and judging weights; no margins yet."""
     m = len(weights)
     width = len(features)
 
@@ -105,20 +106,52 @@ def blocks(df: DataFrame, features: Sequence[str], target: Column, weights: Sequ
         for b in batches:
             if b.num_rows:
                 x, w, v = (matrix(b.column(i), n) for i, n in ((0, width), (2, m), (3, m)))
-                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32())] + [pa.array([a.tobytes()], pa.binary()) for a in (
-                    binned(x, edges), b.column(1).to_numpy(zero_copy_only=False).astype(np.float64), np.nan_to_num(w).astype(np.float32), np.nan_to_num(v).astype(np.float32))], ["rows", "x", "y", "w", "v"])
+                yield block_of(b.num_rows, binned(x, edges), b.column(1).to_numpy(zero_copy_only=False).astype(np.float64), *(np.nan_to_num(a).astype(np.float32).T for a in (w, v)), b"")
 
     cols = [F.array(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in cs]) for cs in (weights, judged)]
     rows = df.select(inputs(features).alias("x"), target.cast("double").alias("y"), cols[0].alias("w"), cols[1].alias("v"))
-    return settle(rows.filter("y IS NOT NULL AND NOT isnan(y)").mapInArrow(run, BLOCK))
+    return rows.filter("y IS NOT NULL AND NOT isnan(y)").mapInArrow(run, BLOCK)
 
 
-def _kept(run_id: str, limit: int = 256 << 20) -> dict:
-    """What this worker already knows of a fit's blocks: margins up to a number of trees. Bounded; anything missing is recomputed."""
-    module = sys.modules.setdefault("_galeframe_margins", types.ModuleType("_galeframe_margins"))
-    if module.__dict__.get("run") != run_id or module.__dict__.get("size", 0) > limit:
-        module.__dict__.update(run=run_id, size=0, margins={})
-    return module.__dict__
+def block_of(rows: int, *parts: np.ndarray | bytes) -> pa.RecordBatch:
+    arrays = [pa.array([p if isinstance(p, bytes) else p.tobytes()], pa.binary()) for p in parts]
+    return pa.RecordBatch.from_arrays([pa.array([rows], pa.int32()), *arrays], ["rows", "x", "y", "w", "v", "margin"])
+
+
+@dataclass
+class Block:
+    """One block in memory, not copied out of the batch it came in; ``margins`` hold the first ``written`` trees of some models."""
+
+    x: np.ndarray
+    y: np.ndarray
+    w: np.ndarray
+    v: np.ndarray
+    margins: dict[int, np.ndarray]
+    written: int
+
+    def own(self, model: int) -> np.ndarray:
+        """The rows that a model learns from or is judged by."""
+        return np.flatnonzero((self.w[model] != 0.0) | (self.v[model] != 0.0))
+
+    def part(self, model: int, tree: Trees) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A model's own rows, their bins and their margins after all trees of it."""
+        own = self.own(model)
+        x = self.x[own]
+        if model in self.margins:
+            return own, x, tree.add(x, self.written, self.margins[model])
+        return own, x, tree.add(x, 0, np.full(len(own), tree.base))
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], width: int, models: int, told: Sequence[int], written: int) -> Iterator[Block]:
+    """The blocks of batches; ``told`` are the models whose margins lie in them, one after the other."""
+    for b in batches:
+        for i, n in enumerate(b.column(0).to_pylist()):
+            x, y, w, v, margin = (np.frombuffer(b.column(k)[i].as_buffer(), kind) for k, kind in enumerate((np.uint8, float, np.float32, np.float32, float), 1))
+            block = Block(x.reshape(n, width), y, w.reshape(models, n), v.reshape(models, n), {}, written)
+            if told:
+                ends = np.cumsum([len(block.own(m)) for m in told])
+                block.margins = dict(zip(told, np.split(margin, ends[:-1])))
+            yield block
 
 
 def gradient(loss: str, y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,57 +203,69 @@ class Fit:
         prepare(df.sparkSession)
         self.s, self.features, self.models, self.seeds = settings, list(features), len(weights), list(seeds)
         self.edges = quantile_edges(df, features)
-        self.rows = blocks(df, features, target, weights, judged, self.edges)
-        self.id = uuid.uuid4().hex
+        self.folder: str | None = None
+        self._write(blocks(df, features, target, weights, judged, self.edges))
         self.trees = [Trees(0.0) for _ in weights]
+        self.told, self.written = [], 0  # models whose margins lie in the blocks, and of how many trees
+
+    def _write(self, table: DataFrame) -> None:
+        """Blocks from now on; what they were read from is deleted."""
+        old, self.folder = self.folder, shared_folder(table.sparkSession)
+        self.rows = settle(table, self.folder)
+        if old is not None:
+            remove_folder(old)
+
+    def _write_margins(self, active: list[int]) -> None:
+        """Put the margins of all trees so far into the blocks."""
+        width, count, trees, told, written = len(self.features), self.models, self.trees, self.told, self.written
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in blocks_of(batches, width, count, told, written):
+                yield block_of(len(b.y), b.x, b.y, b.w, b.v, np.concatenate([b.part(m, trees[m])[2] for m in active]))
+
+        self._write(self.rows.mapInArrow(run, BLOCK))
+        self.told, self.written = list(active), len(trees[active[0]].leaf)
 
     def _pass(self, active: list[int], grown: dict[int, tuple], part: str, reach: tuple[float, float] = (0.0, 0.0)) -> dict[int, dict]:
         """One pass: ``split`` sums gradients for the next level and picks splits; ``leaf`` sums residuals for the leaf values;
         ``start`` sums the target. ``grown`` is the tree under way of each model."""
-        s, width, bins, run_id, trees, count, seeds = self.s, len(self.features), BINS + 1, self.id, self.trees, self.models, self.seeds
+        s, width, bins, trees, count, seeds, stored, written = self.s, len(self.features), BINS + 1, self.trees, self.models, self.seeds, self.told, self.written
         low, high = reach
         level = len(next(iter(grown.values()))[0]).bit_length() if grown else 0
         nodes = 1 << level
 
-        def one(model: int, x: np.ndarray, y: np.ndarray, w: np.ndarray, v: np.ndarray, kept: dict, block: bytes) -> np.ndarray:
-            tree = trees[model]
-            done, margin = kept["margins"].get((block, model), (0, np.full(len(y), tree.base)))
-            if done < len(tree.leaf):
-                margin = tree.add(x, done, margin)
-            if (block, model) not in kept["margins"]:
-                kept["size"] += margin.nbytes
-            kept["margins"][block, model] = (len(tree.leaf), margin)
-            place = walk(x, *grown[model][:3], level) if level else np.zeros(len(y), np.int64)
-            if part == "split":
-                in_use = np.flatnonzero(w)
-                g, h = gradient(s.loss, y[in_use], margin[in_use])
-                codes = (place[in_use, None] * (width * bins) + np.arange(width) * bins + x[in_use]).ravel()
-                size = nodes * width * bins
-                return np.stack([np.bincount(codes, np.repeat(a * w[in_use], width), size) for a in (g, h)], -1)
+        def one(model: int, block: Block) -> np.ndarray:
+            own, x, margin = block.part(model, trees[model])
+            y, w = block.y[own], block.w[model][own].astype(float)
             in_use = np.flatnonzero(w)
-            told = np.array([(v * lost(s.loss, y, margin)).sum(), v.sum()])
-            if s.loss == "absolute":
-                at = np.clip(((y[in_use] - margin[in_use]) - low) / max(high - low, 1e-300) * MEDIAN_BINS, 0, MEDIAN_BINS - 1).astype(np.int64)
-                return np.concatenate([told, np.bincount(place[in_use] * MEDIAN_BINS + at, w[in_use], nodes * MEDIAN_BINS)])
-            g, h = gradient(s.loss, y[in_use], margin[in_use])
-            return np.concatenate([told, *(np.bincount(place[in_use], a * w[in_use], nodes) for a in (g, h))])
+            told = []
+            if part == "leaf":
+                v = block.v[model][own].astype(float)
+                told = [(v * lost(s.loss, y, margin)).sum(), v.sum()]
+            x, y, w, margin = x[in_use], y[in_use], w[in_use], margin[in_use]
+            place = walk(x, *grown[model][:3], level) if level else np.zeros(len(y), np.int64)
+            if part == "leaf" and s.loss == "absolute":
+                at = np.clip(((y - margin) - low) / max(high - low, 1e-300) * MEDIAN_BINS, 0, MEDIAN_BINS - 1).astype(np.int64)
+                return np.concatenate([told, np.bincount(place * MEDIAN_BINS + at, w, nodes * MEDIAN_BINS)])
+            g, h = gradient(s.loss, y, margin)
+            if part == "leaf":
+                return np.concatenate([told, *(np.bincount(place, a * w, nodes) for a in (g, h))])
+            codes = (place[:, None] * (width * bins) + np.arange(width) * bins + x).ravel()
+            return np.stack([np.bincount(codes, np.repeat(a * w, width), nodes * width * bins) for a in (g, h)], -1)
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept, total = _kept(run_id), {}
-            for b in batches:
-                for n, *raw in zip(*(b.column(i).to_pylist() for i in range(5))):
-                    x, y = np.frombuffer(raw[0], np.uint8).reshape(n, width), np.frombuffer(raw[1])
-                    w, v = (np.frombuffer(r, np.float32).reshape(n, count).astype(float) for r in raw[2:])
-                    name = f"{hash(raw[0])}:{hash(raw[1])}"
-                    for m in active:
-                        found = one(m, x, y, w[:, m], v[:, m], kept, name)
-                        total[m] = total[m] + found if m in total else found
+            total: dict[int, np.ndarray] = {}
+            for block in blocks_of(batches, width, count, stored, written):
+                for m in active:
+                    found = one(m, block)
+                    total[m] = total[m] + found if m in total else found
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([a.tobytes() for a in total.values()], pa.binary())], ["model", "sums"])
 
         def choose(group: pd.DataFrame) -> pd.DataFrame:
-            m = int(group["model"].iloc[0])
-            sums = np.sum([np.frombuffer(x) for x in group["sums"]], axis=0)
+            m, sums = int(group["model"].iloc[0]), 0.0
+            for x in group["sums"]:
+                sums = sums + np.frombuffer(x)
             out = io.BytesIO()
             if part == "split":
                 rng = np.random.default_rng([seeds[m], len(trees[m].leaf)])
@@ -254,7 +299,6 @@ class Fit:
             return self.trees
         for m in every:
             self.trees[m].base = float(first[m]["leaf"][0])
-        self.id = uuid.uuid4().hex  # margins before the bases count no more
         best = dict.fromkeys(every, (np.inf, 0))
         active = every
         for turn in range(s.rounds + 1):
@@ -280,6 +324,8 @@ class Fit:
             active = going
             if not active:
                 break
+            if turn + 1 < s.rounds:  # the last tree's margins have one pass to serve
+                self._write_margins(active)
         for m, (_, keep) in best.items():
             t = self.trees[m]
             for part in (t.feature, t.cut, t.missing, t.leaf, t.gain):
@@ -332,4 +378,5 @@ def fit_models(df: DataFrame, *, features: Sequence[str], target: Column, weight
         low, high = df.agg(F.min(target.cast("double")), F.max(target.cast("double"))).first()
         bounds = (0.0, 1.0) if low is None else (float(low), float(high) + 1e-9)
     trees = fit.run(bounds)
+    remove_folder(fit.folder)
     return Models(list(features), fit.edges, trees, fit.fitted, settings.loss)

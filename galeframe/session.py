@@ -47,13 +47,18 @@ def shared_folder(spark: SparkSession) -> str:
 _FOLDERS: list[str] = []
 
 
+def remove_folder(folder: str) -> None:
+    """Delete a shared folder before the program ends."""
+    path = SparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(SparkContext._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    _FOLDERS.remove(folder)
+
+
 def _remove_folders() -> None:
-    jvm = SparkContext._jvm
-    if jvm is None:
+    if SparkContext._jvm is None:
         return
-    for folder in _FOLDERS:
+    for folder in list(_FOLDERS):
         try:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+            remove_folder(folder)
         except Exception:  # noqa: BLE001 - the JVM may have ended before
             return

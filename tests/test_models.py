@@ -3,13 +3,16 @@
 import datetime as dt
 import itertools
 import random
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from galeframe import session
 from galeframe.models import boosting, regimes
-from galeframe.models.histogram import Settings, fit_models, middle, split
+from galeframe.models.histogram import Settings, Trees, block_of, blocks_of, fit_models, middle, split, walk
 
 START = dt.datetime(2024, 1, 1)
 SCHEMA = "site_id long, ts timestamp_ntz, a double, b double, wind_speed_120m double, y double, fold int"
@@ -81,6 +84,49 @@ def test_models_grown_together_equal_models_grown_alone(frame):
         assert alone.trees[0].feature == both.trees[m].feature and np.allclose(alone.trees[0].leaf, both.trees[m].leaf, atol=1e-9)
 
 
+def test_walk_against_one_row_at_a_time():
+    rng = np.random.default_rng(2)
+    bins = rng.integers(0, 65, (500, 3)).astype(np.uint8)
+    f, c, m = rng.integers(0, 3, 7), rng.choice([1, 20, 64, 255], 7), rng.random(7) < 0.5
+    want = []
+    for row in bins:
+        node = 0
+        for _ in range(3):
+            b = row[f[node]]
+            node = 2 * node + 1 + int(not m[node] if b == 0 else b > c[node])
+        want.append(node - 7)
+    assert walk(bins, f.tolist(), c.tolist(), m.tolist(), 3).tolist() == want
+
+
+def test_margins_of_a_block_are_those_of_its_trees():
+    """Models are told apart, rows that a model neither learns from nor is judged by have no margin, and trees after the written ones are added."""
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 5, (40, 2)).astype(np.uint8), rng.normal(size=40)
+    w, v = (rng.random((2, 40)) < 0.4).astype(np.float32), (rng.random((2, 40)) < 0.2).astype(np.float32)
+    trees = [Trees(b, feature=[[0], [1]], cut=[[2], [1]], missing=[[True], [False]], leaf=[[b, 2.0], [3.0, -b]]) for b in (1.0, 5.0)]
+    (plain,) = blocks_of(iter([block_of(40, x, y, w, v, b"")]), 2, 2, [], 0)
+    whole = [plain.part(m, trees[m]) for m in range(2)]
+    for m, (own, bins, margin) in enumerate(whole):
+        assert own.tolist() == [i for i in range(40) if w[m, i] or v[m, i]] and (bins == x[own]).all()
+        assert margin.tolist() == pytest.approx([trees[m].base + sum(leaf[int(x[i, f] > c if x[i, f] else not g)] for (f,), (c,), (g,), leaf in zip(trees[m].feature, trees[m].cut, trees[m].missing, trees[m].leaf)) for i in own])
+    first = [Trees(t.base, *(p[:1] for p in (t.feature, t.cut, t.missing, t.leaf))) for t in trees]
+    written = np.concatenate([plain.part(m, first[m])[2] for m in (1, 0)])
+    (block,) = blocks_of(iter([block_of(40, x, y, w, v, written)]), 2, 2, [1, 0], 1)
+    assert all(np.allclose(block.part(m, trees[m])[2], whole[m][2]) for m in range(2))
+
+
+def test_a_fit_leaves_nothing_in_workers_and_no_blocks(spark, frame):
+    """Workers live on through later stages, so what they keep of a fit would grow with its rows."""
+    def kept(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"id": [sum(name.startswith("_galeframe_margins") for name in sys.modules)] * b.num_rows})
+
+    before = list(session._FOLDERS)
+    fit_models(frame, features=["a", "b"], target=F.col("y"), weights=[F.lit(1.0)], settings=FEW)
+    assert session._FOLDERS == before
+    assert spark.range(64, numPartitions=16).mapInArrow(kept, "id long").agg(F.sum("id")).first()[0] == 0
+
+
 def test_rows_without_weight_do_not_matter(spark, frame):
     """The predictions of a fold stay the same when its own and later targets change: they only end the growth."""
     changed = frame.withColumn("y", F.when(F.col("fold") >= 4, F.col("y") * 3.0 - 50.0).otherwise(F.col("y")))
