@@ -263,6 +263,7 @@ def hourly_models(train: DataFrame, val: DataFrame, *, features: Sequence[str],
     """One model per hour of day, stopped early on that hour's validation rows; hours with too few training rows use a model of
     all hours, as ``hour_model`` tells. The 25 models grow side by side."""
     both = train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)), allowMissingColumns=True).withColumn("_h", F.hour(TS))
+    both = settle(both.select("_val", "_h", *dict.fromkeys([target, *features])))  # counted, sketched and binned
     some = F.array(*[F.sum(((c("_h") == h) & ~c("_val") & c(target).isNotNull()).cast("long")) for h in range(24)])
     counts = both.agg(some.alias("n")).first()["n"]
     enough = [(n or 0) >= min_rows for n in counts]

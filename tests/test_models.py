@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from galeframe import session
 from galeframe.models import boosting, regimes
-from galeframe.models.histogram import Settings, Trees, block_of, blocks_of, fit_models, middle, split, walk
+from galeframe.models.histogram import (BINS, Fit, Settings, Trees, block_of, blocks_of, few_at_once, fit_models, gradient, gradient_sums, histogram, histogram_by_sign,
+                                        middle, split, walk)
 
 START = dt.datetime(2024, 1, 1)
 SCHEMA = "site_id long, ts timestamp_ntz, a double, b double, wind_speed_120m double, y double, fold int"
@@ -115,6 +116,56 @@ def test_margins_of_a_block_are_those_of_its_trees():
     assert all(np.allclose(block.part(m, trees[m])[2], whole[m][2]) for m in range(2))
 
 
+def test_blocks_hold_weights_by_the_kinds_of_rows():
+    """25 models of 24 hours and all took 200 bytes a row of weights; a row's kind takes one, and a weight of its own for every row still fits."""
+    rng = np.random.default_rng(5)
+    x, y, hour = rng.integers(0, 65, (3000, 9)).astype(np.uint8), rng.normal(size=3000), rng.integers(0, 24, 3000)
+    w = np.concatenate([hour == np.arange(24)[:, None], np.ones((1, 3000))]).astype(np.float32)
+    assert block_of(3000, x, y, w, np.zeros_like(w)).nbytes < 25 * 3000
+    w[24] = rng.random(3000)
+    (block,) = blocks_of(iter([block_of(3000, x, y, w, w[::-1])]), 9, 25, [], 0)
+    every = np.arange(3000)
+    assert all((block.weight(m, every) == w[m]).all() and (block.weight(m, every, 1) == w[24 - m]).all() for m in range(25))
+    assert block.learnt(3).tolist() == np.flatnonzero(hour == 3).tolist() and (block.x == x).all()
+
+
+@pytest.mark.parametrize("rows", [300, 5000])
+def test_histograms_against_plain_sums(rows):
+    rng = np.random.default_rng(6)
+    x, place, w = rng.integers(0, BINS + 1, (rows, 3)).astype(np.uint8), rng.integers(0, 4, rows), rng.choice(np.float32([0.3, 2.0]), rows).astype(float)
+    y, margin = rng.integers(0, 4, (2, rows)).astype(float)
+    for loss in ("absolute", "logistic"):
+        g, h = gradient(loss, y, margin)
+        want = np.zeros((4, 3, BINS + 1, 2))
+        for f in range(3):
+            np.add.at(want, (place, f, x[:, f]), np.stack([g * w, h * w], 1))
+        told = histogram_by_sign(x, place, 4, np.sign(y - margin), w) if loss == "absolute" else np.stack([histogram(x, place, 4, a * w) for a in (g, h)])
+        assert gradient_sums(told, loss) == pytest.approx(want, abs=1e-9)
+
+
+def test_blocks_reach_workers_a_few_at_once_and_splits_read_no_margins(spark, frame):
+    """A task's blocks came in one batch, so a worker's memory grew with the rows of its task."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    many = spark.range(100, numPartitions=1)
+    with few_at_once(spark):
+        assert many.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] <= 8
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == usual
+    fit = Fit(frame, features=["a", "b"], target=F.col("y"), weights=[F.lit(1.0), F.when(F.col("fold") < 4, 2.0)], judged=[F.lit(0.0)] * 2, settings=FEW, seeds=[1, 2])
+    for t in fit.trees:
+        t.base = 20.0
+    before = fit._pass([0, 1], {}, "split")
+    fit.trees = [Trees(20.0, [[0]], [[30]], [[True]], [[0.0, 0.0]], [[1.0]]) for _ in fit.trees]
+    fit._write_margins([0, 1])
+    fit.seeds = [1, 2]
+    fit.rows = fit.rows.drop("y", "margin").withColumns({n: F.lit(b"") for n in ("y", "margin")})  # a reader of them would fail
+    after = fit._pass([0, 1], {}, "split")
+    assert all((before[m][k] == after[m][k]).all() for m in (0, 1) for k in ("feature", "cut", "missing", "gain"))
+
+
 def test_a_fit_leaves_nothing_in_workers_and_no_blocks(spark, frame):
     """Workers live on through later stages, so what they keep of a fit would grow with its rows."""
     def kept(batches):
